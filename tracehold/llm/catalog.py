@@ -7,12 +7,24 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracehold.llm import jaccard_join, mixing, packing, secret_scan, substring_dedup, token_counts, toxicity
-from tracehold.llm.storage import table
+from tracehold.llm import jaccard_join, mixing, nearest, packing, secret_scan, substring_dedup, token_counts, topk_search, toxicity, warc
+from tracehold.llm.storage import table, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best documents for every benchmark item whose id is divisible by 20."""
+    index = written(topk_search.build(table(spark, sf_dir, "documents")), "search-index")
+    asked = table(spark, sf_dir, "benchmark").where("item_id % 20 = 0").select(F.col("item_id").alias("query_id"), "text")
+    return topk_search.search(index, asked, 20)
+
+
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = written(warc.write(table(spark, sf_dir, "pages")), "warc")
+    return warc.read(archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
@@ -23,6 +35,11 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return nearest.search(vectors, vectors.where("vec_id % 100 = 0"), 10)
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base_text", 256).alias("base_sha256"), "spans")
