@@ -1,17 +1,14 @@
-"""Registry of the library's queries and their DuckDB SQL."""
+"""All registered queries of the library and their DuckDB SQL."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-Query = Callable[[SparkSession, str], DataFrame]
+from tracehold.plans import detections, evaluation, evidence, intake, streams  # noqa: F401  (they register their queries)
+from tracehold.plans.registry import QUERIES, SQL, Query
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
