@@ -1 +1,168 @@
-"""Queries."""
+"""Queries: chained streams over the lines of orders, each order a stream, each supplier group a session."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from tracehold.operators import chains
+from tracehold.plans.registry import query
+from tracehold.plans.view import VIEW, table, telemetry
+
+_STREAMS = """WITH numbered AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 AS seq FROM lineitem),
+bodies AS (SELECT 's' || l_orderkey AS stream_id, 'k' || (l_orderkey % 3) AS key_id, 'o' || (l_suppkey % 50) || '-' || (l_orderkey % 40) AS session_id, seq, l_orderkey, l_partkey, l_suppkey, sha256(concat_ws('|', l_orderkey, seq, l_partkey, l_suppkey)) AS body FROM numbered),
+seeded AS (SELECT *, sha256('stream/1' || chr(31) || stream_id || chr(31) || key_id || chr(31)) AS seed, array_agg(body) OVER (PARTITION BY stream_id ORDER BY seq) AS upto FROM bodies),
+chained AS (SELECT * EXCLUDE (upto), list_reduce(list_concat([seed], upto), lambda a, x: sha256(a || chr(31) || x)) AS chain FROM seeded),
+linked AS (SELECT *, coalesce(lag(chain) OVER (PARTITION BY stream_id ORDER BY seq), seed) AS prev FROM chained),
+records AS (SELECT session_id, stream_id, key_id, seq, prev, chain, CASE WHEN l_partkey % 97 = 0 THEN sha256(body) ELSE body END AS body, l_orderkey * 1000 + seq * 10 + CASE WHEN l_partkey % 71 = 0 THEN 25 ELSE 0 END AS arrival FROM linked WHERE l_partkey % 89 <> 0
+  UNION ALL SELECT session_id, stream_id, key_id, seq, prev, chain, body, l_orderkey * 1000 + 500 + seq FROM linked WHERE l_partkey % 89 <> 0 AND l_suppkey % 83 = 0),
+firsts AS (SELECT stream_id, arg_min(seq, arrival) AS first_seq FROM records GROUP BY 1),
+replay AS (SELECT r.*, row_number() OVER (PARTITION BY r.stream_id, seq ORDER BY arrival) > 1 OR seq < first_seq AS is_replay FROM records r JOIN firsts USING (stream_id)),
+kept AS (SELECT *, lag(seq) OVER w AS prev_seq, lag(chain) OVER w AS prev_chain, lag(session_id) OVER w AS prev_session FROM replay WHERE NOT is_replay WINDOW w AS (PARTITION BY stream_id ORDER BY seq)),
+headed AS (SELECT *, CASE WHEN seq = 0 THEN sha256('stream/1' || chr(31) || stream_id || chr(31) || key_id || chr(31)) WHEN seq = prev_seq + 1 THEN prev_chain ELSE prev END AS head FROM kept),
+judged AS (SELECT *, greatest(coalesce(seq - prev_seq - 1, 0), 0) AS gap, chain <> sha256(head || chr(31) || body) OR prev <> head AS broken FROM headed),
+codes AS (SELECT session_id, code, count(*) AS n FROM (
+  SELECT session_id, 'SEQUENCE_REPLAY' AS code FROM replay WHERE is_replay
+  UNION ALL SELECT session_id, 'CHAIN_BROKEN' FROM judged WHERE broken UNION ALL SELECT prev_session, 'CHAIN_BROKEN' FROM judged WHERE broken AND prev_session <> session_id
+  UNION ALL SELECT session_id, 'SEQUENCE_GAP' FROM judged WHERE gap > 0 UNION ALL SELECT prev_session, 'SEQUENCE_GAP' FROM judged WHERE gap > 0 AND prev_session <> session_id) GROUP BY ALL),
+summary AS (SELECT stream_id, min(seq) AS first_seq, max(seq) AS last_seq, count(*) AS records, arg_max(chain, seq) AS head, count(DISTINCT session_id) AS sessions FROM replay WHERE NOT is_replay GROUP BY 1)
+"""
+
+
+def streams_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chained records with tampered bodies, deleted records, replays and late arrivals."""
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    lines = table(spark, sf_dir, "lineitem").withColumn("seq", (F.row_number().over(order) - 1).cast("long"))
+    bodies = lines.select(
+        F.concat(F.lit("s"), "l_orderkey").alias("stream_id"), F.concat(F.lit("k"), F.col("l_orderkey") % 3).alias("key_id"),
+        F.concat(F.lit("o"), F.col("l_suppkey") % 50, F.lit("-"), F.col("l_orderkey") % 40).alias("session_id"), "seq", "l_orderkey", "l_partkey", "l_suppkey",
+        F.sha2(F.concat_ws("|", "l_orderkey", "seq", "l_partkey", "l_suppkey"), 256).alias("body"),
+    )
+    by_seq = Window.partitionBy("stream_id").orderBy("seq")
+    upto = F.array_sort(F.collect_list(F.struct("seq", "body")).over(by_seq))
+    first = chains.seed(F.col("stream_id"), F.col("key_id"))
+    chained = bodies.withColumn("chain", F.aggregate(upto, first, lambda acc, x: chains.step(acc, x["body"])))
+    linked = chained.withColumn("prev", F.coalesce(F.lag("chain").over(by_seq), first)).where("l_partkey % 89 <> 0")
+    own = F.when(F.col("l_partkey") % 97 == 0, F.sha2("body", 256)).otherwise(F.col("body"))
+    arrival = F.col("l_orderkey") * 1000 + F.col("seq") * 10 + F.when(F.col("l_partkey") % 71 == 0, 25).otherwise(0)
+    columns = ["session_id", "stream_id", "key_id", "seq", "prev", "chain", "body", "arrival"]
+    sent = linked.withColumns({"body": own, "arrival": arrival}).select(*columns)
+    again = linked.where("l_suppkey % 83 = 0").withColumn("arrival", F.col("l_orderkey") * 1000 + 500 + F.col("seq")).select(*columns)
+    return sent.unionByName(again)
+
+
+@query(_STREAMS + "SELECT session_id, stream_id, seq, prev_session FROM judged WHERE broken")
+def chain_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chains.verified(streams_of(spark, sf_dir)).where("broken").select("session_id", "stream_id", "seq", "prev_session")
+
+
+@query(_STREAMS + "SELECT stream_id, prev_seq + 1 AS missing_from, seq - 1 AS missing_to, gap, prev_session, session_id FROM judged WHERE gap > 0")
+def sequence_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = chains.verified(streams_of(spark, sf_dir)).where("gap > 0")
+    return rows.select("stream_id", (F.col("prev_seq") + 1).alias("missing_from"), (F.col("seq") - 1).alias("missing_to"), "gap", "prev_session", "session_id")
+
+
+@query(_STREAMS + "SELECT session_id, stream_id, seq, arrival FROM replay WHERE is_replay")
+def sequence_replays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chains.with_replays(streams_of(spark, sf_dir)).where("is_replay").select("session_id", "stream_id", "seq", "arrival")
+
+
+@query(_STREAMS + "SELECT stream_id, seq, reached FROM (SELECT *, max(seq) OVER (PARTITION BY stream_id ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reached FROM replay WHERE NOT is_replay) WHERE seq < reached")
+def reordered_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chains.reordered(streams_of(spark, sf_dir)).select("stream_id", "seq", "reached")
+
+
+@query(_STREAMS + "SELECT * FROM codes")
+def stream_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chains.session_codes(streams_of(spark, sf_dir))
+
+
+@query(_STREAMS + "SELECT DISTINCT r.session_id, CASE WHEN c.session_id IS NULL THEN 'chained_unsigned' ELSE 'inadmissible' END AS status FROM records r LEFT JOIN (SELECT DISTINCT session_id FROM codes) c USING (session_id)")
+def evidence_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = streams_of(spark, sf_dir)
+    return chains.evidence_status(chains.session_codes(records), records)
+
+
+@query(_STREAMS + "SELECT session_id, string_agg(code, ',' ORDER BY code) AS codes, 'critical' AS severity FROM codes GROUP BY 1")
+def ch06_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes = chains.session_codes(streams_of(spark, sf_dir)).where(F.col("code").isin(*chains.INADMISSIBLE))
+    return codes.groupBy("session_id").agg(F.array_join(F.array_sort(F.collect_set("code")), ",").alias("codes"), F.lit("critical").alias("severity"))
+
+
+@query(_STREAMS + "SELECT * FROM summary")
+def stream_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chains.summary(streams_of(spark, sf_dir))
+
+
+_LEDGER = """, ledger AS (SELECT stream_id, first_seq, last_seq - CASE WHEN n % 5 = 0 THEN 1 ELSE 0 END AS last_seq, CASE WHEN n % 7 = 0 THEN sha256(head) WHEN n % 5 = 0 THEN NULL ELSE head END AS head, n % 11 = 0 AS closed, CAST(1 AS BIGINT) AS runs FROM (SELECT *, CAST(substr(stream_id, 2) AS BIGINT) AS n FROM summary) WHERE n % 2 = 0),
+seen AS (SELECT s.*, l.last_seq AS seen_seq, l.head AS seen_head, l.closed, k.chain AS now_head FROM summary s LEFT JOIN ledger l USING (stream_id) LEFT JOIN (SELECT stream_id, seq, chain FROM replay WHERE NOT is_replay) k ON k.stream_id = s.stream_id AND k.seq = l.last_seq),
+status AS (SELECT *, CASE WHEN seen_head IS NULL THEN 'new' WHEN now_head IS NOT NULL AND now_head <> seen_head THEN 'forked' WHEN last_seq <= seen_seq THEN 'replayed' WHEN closed THEN 'after_close' WHEN first_seq > seen_seq + 1 THEN 'discontinuous' ELSE 'advanced' END AS status FROM seen)
+"""
+
+
+def ledger_of(streams: DataFrame) -> DataFrame:
+    """A ledger of every other stream: some a record behind without its head, some with another head, some closed."""
+    n = F.substring("stream_id", 2, 20).cast("long")
+    return streams.where(n % 2 == 0).select(
+        "stream_id", "first_seq", (F.col("last_seq") - F.when(n % 5 == 0, 1).otherwise(0)).alias("last_seq"),
+        F.when(n % 7 == 0, F.sha2("head", 256)).when(n % 5 == 0, F.lit(None)).otherwise(F.col("head")).alias("head"), (n % 11 == 0).alias("closed"), F.lit(1).cast("long").alias("runs"),
+    )
+
+
+@query(_STREAMS + _LEDGER + "SELECT stream_id, status, seen_seq, last_seq FROM status")
+def stream_ledger_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = streams_of(spark, sf_dir)
+    streams = chains.summary(records)
+    return chains.ledger_status(streams, ledger_of(streams), records).select("stream_id", "status", "seen_seq", "last_seq")
+
+
+@query(_STREAMS + _LEDGER + """SELECT coalesce(l.stream_id, s.stream_id) AS stream_id, CASE WHEN l.first_seq IS NULL THEN s.first_seq WHEN status IN ('new', 'advanced', 'discontinuous') THEN least(l.first_seq, s.first_seq) ELSE l.first_seq END AS first_seq,
+CASE WHEN status IN ('new', 'advanced', 'discontinuous') THEN greatest(coalesce(l.last_seq, s.last_seq), s.last_seq) ELSE l.last_seq END AS last_seq, CASE WHEN status IN ('new', 'advanced', 'discontinuous') THEN s.head ELSE l.head END AS head, coalesce(l.runs, 0) + CASE WHEN s.status IS NULL THEN 0 ELSE 1 END AS runs FROM ledger l FULL OUTER JOIN status s USING (stream_id)""")
+def ledger_next(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = streams_of(spark, sf_dir)
+    streams = chains.summary(records)
+    ledger = ledger_of(streams)
+    return chains.ledger_next(chains.ledger_status(streams, ledger, records), ledger.drop("closed"))
+
+
+_KEYS = "(VALUES ('k0', ['collector'], 0.0, 1.7045e9, NULL), ('k1', ['collector', 'approver'], 1.7043e9, 1.8e9, 1.7055e9), ('k2', ['approver'], 0.0, 1.8e9, NULL)) AS keys(key_id, roles, not_before, not_after, revoked_at)"
+
+
+def trust(spark: SparkSession) -> DataFrame:
+    rows = [("k0", ["collector"], 0.0, 1.7045e9, None), ("k1", ["collector", "approver"], 1.7043e9, 1.8e9, 1.7055e9), ("k2", ["approver"], 0.0, 1.8e9, None)]
+    return spark.createDataFrame(rows, "key_id string, roles array<string>, not_before double, not_after double, revoked_at double")
+
+
+@query(VIEW + f"SELECT arrival, key_id, CASE WHEN roles IS NULL THEN 'KEY_UNKNOWN' WHEN NOT list_contains(roles, 'collector') THEN 'KEY_WRONG_ROLE' WHEN ts >= revoked_at THEN 'KEY_REVOKED' WHEN ts < not_before THEN 'KEY_NOT_YET_VALID' WHEN ts > not_after THEN 'KEY_EXPIRED' ELSE 'TRUSTED' END AS key_status FROM (SELECT *, 'k' || (user_id % 4) AS key_id FROM tele) LEFT JOIN {_KEYS} USING (key_id)")
+def signature_key_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    signed = telemetry(spark, sf_dir).select("arrival", F.concat(F.lit("k"), F.col("user_id") % 4).alias("key_id"), F.lit("collector").alias("role"), F.col("ts").alias("at"))
+    return chains.key_status(signed, trust(spark)).select("arrival", "key_id", "key_status")
+
+
+@query(VIEW + "SELECT session_id, freshness, count(*) AS n FROM (SELECT session_id, CASE WHEN 1706000000.0 - ts > 864000 THEN 'STALE' WHEN 1706000000.0 - ts < -300 THEN 'FROM_FUTURE' ELSE 'fresh' END AS freshness FROM tele) GROUP BY ALL")
+def freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chains.freshness(telemetry(spark, sf_dir), 1_706_000_000.0, 864_000.0).groupBy("session_id", "freshness").agg(F.count("*").alias("n"))
+
+
+@query(VIEW + "SELECT arrival, nonce, CASE WHEN row_number() OVER (PARTITION BY nonce ORDER BY arrival) > 1 OR k % 10 = 9 THEN 'spent' ELSE 'first' END AS use FROM (SELECT *, 'n' || user_id || '-' || k AS nonce FROM tele)")
+def spent_nonces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    used = telemetry(spark, sf_dir).withColumn("nonce", F.concat(F.lit("n"), "user_id", F.lit("-"), "k"))
+    return chains.spent_nonces(used.select("nonce", "arrival"), used.where("k % 10 = 9").select("nonce")).select("arrival", "nonce", "use")
+
+
+_TIERS = ("claimed", "bound", "authenticated", "single_use")
+
+
+@query(VIEW + "SELECT session_id, list_extract(['claimed', 'bound', 'authenticated', 'single_use'], min(least(k % 4, user_id % 4) + 1)) AS weakest, list_extract(['claimed', 'bound', 'authenticated', 'single_use'], max(least(k % 4, user_id % 4) + 1)) AS strongest FROM tele GROUP BY 1")
+def trust_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A claim's tier is the weaker of its binding's and its assurance's."""
+    rank = F.least(F.col("k") % 4, F.col("user_id") % 4).cast("int") + 1
+    names = F.array(*map(F.lit, _TIERS))
+    return telemetry(spark, sf_dir).groupBy("session_id").agg(F.element_at(names, F.min(rank)).alias("weakest"), F.element_at(names, F.max(rank)).alias("strongest"))
+
+
+@query(VIEW + "SELECT session_id, sha256(string_agg(d, '' ORDER BY ts, arrival)) AS digest FROM (SELECT *, sha256(concat_ws('|', arrival, event_type, k)) AS d FROM tele) GROUP BY 1")
+def session_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A digest of the digests of a session's events in clock order."""
+    one = F.struct("ts", "arrival", F.sha2(F.concat_ws("|", "arrival", "event_type", "k"), 256).alias("d"))
+    return telemetry(spark, sf_dir).groupBy("session_id").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(one)), lambda x: x["d"]), ""), 256).alias("digest"))
