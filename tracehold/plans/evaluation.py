@@ -1 +1,172 @@
-"""Queries."""
+"""Queries: measures on labelled documents as sessions, and drift over the telemetry view."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from tracehold.operators import evaluate
+from tracehold.plans.detections import _FINDINGS, calls_of, findings_of
+from tracehold.plans.registry import query
+from tracehold.plans.view import CALLS, VIEW, table, telemetry
+
+_OUT = "WITH outcomes AS (SELECT doc_id, source AS family, lang AS kind, source || '-' || (doc_id % 5) AS task, toxic = 1 AS is_attack, (quality = 0) <> (doc_id % 4 = 0) AS alerted FROM labels JOIN documents USING (doc_id)), c AS (SELECT count_if(is_attack AND alerted) AS tp, count_if(NOT is_attack AND alerted) AS fp, count_if(is_attack AND NOT alerted) AS fn, count_if(NOT is_attack AND NOT alerted) AS tn FROM outcomes) "
+_COUNTS = "count_if(is_attack AND alerted) AS tp, count_if(NOT is_attack AND alerted) AS fp, count_if(is_attack AND NOT alerted) AS fn, count_if(NOT is_attack AND NOT alerted) AS tn"
+
+
+def outcomes_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "source", "lang"), "doc_id")
+    return rows.select("doc_id", F.col("source").alias("family"), F.col("lang").alias("kind"), F.concat("source", F.lit("-"), F.col("doc_id") % 5).alias("task"), (F.col("toxic") == 1).alias("is_attack"), ((F.col("quality") == 0) != (F.col("doc_id") % 4 == 0)).alias("alerted"))
+
+
+@query(_OUT + "SELECT tp, fp, fn, tn FROM c")
+def confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.counts(outcomes_of(spark, sf_dir))
+
+
+_RATES = "round(CASE WHEN tp + fn > 0 THEN tp / (tp + fn) END, 6) AS recall, round(CASE WHEN fp + tn > 0 THEN fp / (fp + tn) END, 6) AS fpr, round(CASE WHEN tp + fp > 0 THEN tp / (tp + fp) END, 6) AS precision, round(CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn) END, 6) AS f1, round(CASE WHEN fp + tn > 0 THEN 1000 * fp / (fp + tn) END, 6) AS fp_per_1000"
+
+
+@query(_OUT + f"SELECT tp, fp, fn, tn, {_RATES} FROM c")
+def metrics_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.rates(evaluate.counts(outcomes_of(spark, sf_dir)))
+
+
+@query(_OUT + f"SELECT family, kind, tp, fp, fn, tn, {_RATES} FROM (SELECT family, kind, {_COUNTS} FROM outcomes GROUP BY GROUPING SETS ((family), (kind)))")
+def metrics_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = outcomes_of(spark, sf_dir)
+    a, f = F.col("is_attack"), F.col("alerted")
+    sets = rows.groupingSets([["family"], ["kind"]], "family", "kind").agg(F.count_if(a & f).alias("tp"), F.count_if(~a & f).alias("fp"), F.count_if(a & ~f).alias("fn"), F.count_if(~a & ~f).alias("tn"))
+    return evaluate.rates(sets.select("family", "kind", "tp", "fp", "fn", "tn"))
+
+
+@query(_OUT + f", f AS (SELECT family, {_COUNTS} FROM outcomes GROUP BY 1), n AS (SELECT family, tp, CAST(nullif(tp + fn, 0) AS DOUBLE) AS n, 3.8414588206941254 AS z FROM f), h AS (SELECT *, tp / n AS p, (tp / n + z / (2 * n)) / (1 + z / n) AS centre, 1.959963984540054 / (1 + z / n) * sqrt(tp / n * (1 - tp / n) / n + z / (4 * n * n)) AS half FROM n) SELECT family, round(coalesce(greatest(0.0, centre - half), 0.0), 6) AS low, round(coalesce(least(1.0, centre + half), 1.0), 6) AS high FROM h")
+def wilson(spark: SparkSession, sf_dir: str) -> DataFrame:
+    per = evaluate.counts(outcomes_of(spark, sf_dir), "family")
+    low, high = evaluate.wilson(F.col("tp"), F.col("tp") + F.col("fn"))
+    return per.select("family", F.round(low, 6).alias("low"), F.round(high, 6).alias("high"))
+
+
+@query(_OUT + "SELECT prevalence, round(tp / (tp + fn) * prevalence / (tp / (tp + fn) * prevalence + fp / (fp + tn) * (1 - prevalence)), 6) AS precision FROM c, (VALUES (0.001::DOUBLE), (0.01::DOUBLE), (0.05::DOUBLE)) AS p(prevalence)")
+def base_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.base_rate(evaluate.counts(outcomes_of(spark, sf_dir)))
+
+
+@query(_OUT + f"SELECT round(avg(recall), 6) AS macro_recall, round(avg(fpr), 6) AS macro_fpr, count(*) AS families FROM (SELECT CASE WHEN tp + fn > 0 THEN tp / (tp + fn) END AS recall, CASE WHEN fp + tn > 0 THEN fp / (fp + tn) END AS fpr FROM (SELECT family, {_COUNTS} FROM outcomes GROUP BY 1))")
+def macro_average(spark: SparkSession, sf_dir: str) -> DataFrame:
+    per = evaluate.counts(outcomes_of(spark, sf_dir), "family")
+    recall, fpr = evaluate.ratio(F.col("tp"), F.col("tp") + F.col("fn")), evaluate.ratio(F.col("fp"), F.col("fp") + F.col("tn"))
+    return per.agg(F.round(F.avg(recall), 6).alias("macro_recall"), F.round(F.avg(fpr), 6).alias("macro_fpr"), F.count("*").alias("families"))
+
+
+@query(_OUT + "SELECT is_attack, count(DISTINCT doc_id) AS sessions, count(DISTINCT task) AS tasks, count(DISTINCT family) AS families, count(DISTINCT kind) AS kinds FROM outcomes GROUP BY 1")
+def independence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return outcomes_of(spark, sf_dir).groupBy("is_attack").agg(*(F.count_distinct(c).alias(n) for c, n in (("doc_id", "sessions"), ("task", "tasks"), ("family", "families"), ("kind", "kinds"))))
+
+
+@query()
+def cluster_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.bootstrap(evaluate.counts(outcomes_of(spark, sf_dir), "task"))
+
+
+_SPLIT = _OUT + ", units AS (SELECT *, CASE WHEN percent_rank() OVER (PARTITION BY family ORDER BY md5(task), task) < 0.5 THEN 'train' ELSE 'test' END AS side FROM (SELECT DISTINCT task, family FROM outcomes)) "
+
+
+@query(_SPLIT + "SELECT doc_id, task, side FROM outcomes JOIN units USING (task, family)")
+def corpus_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.split(outcomes_of(spark, sf_dir), "task", ["family"]).select("doc_id", "task", "side")
+
+
+@query(_SPLIT + "SELECT count(*) AS shared_tasks FROM (SELECT task FROM units WHERE side = 'train' INTERSECT SELECT task FROM units WHERE side = 'test')")
+def split_disjoint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = evaluate.split(outcomes_of(spark, sf_dir), "task", ["family"])
+    side = lambda s: rows.where(F.col("side") == s).select("task")
+    return side("train").intersect(side("test")).agg(F.count("*").alias("shared_tasks"))
+
+
+@query("SELECT count_if(l.doc_id IS NULL) AS unlabelled, count_if(d.doc_id IS NULL) AS orphan_labels, count_if(l.n > 1) AS duplicate_labels, count_if(l.n = 1 AND d.doc_id IS NOT NULL) AS matched FROM (SELECT doc_id, count(*) AS n FROM labels GROUP BY 1) l FULL OUTER JOIN (SELECT doc_id FROM documents WHERE doc_id % 9 <> 0) d ON l.doc_id = d.doc_id")
+def corpus_bijection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels against sessions, of which a ninth is missing."""
+    labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.count("*").alias("n")).withColumnRenamed("doc_id", "label_id")
+    docs = table(spark, sf_dir, "documents").where("doc_id % 9 <> 0").select("doc_id")
+    both = labels.join(docs, F.col("label_id") == F.col("doc_id"), "full_outer")
+    return both.agg(F.count_if(F.col("label_id").isNull()).alias("unlabelled"), F.count_if(F.col("doc_id").isNull()).alias("orphan_labels"), F.count_if(F.col("n") > 1).alias("duplicate_labels"), F.count_if((F.col("n") == 1) & F.col("doc_id").isNotNull()).alias("matched"))
+
+
+_FIRED = _OUT + ", fired AS (SELECT *, CASE doc_id % 3 WHEN 0 THEN 'CH01' WHEN 1 THEN 'CH03' ELSE 'CH05' END AS \"check\", CASE doc_id % 2 WHEN 0 THEN 'CH01' ELSE 'CH03' END AS target FROM outcomes WHERE alerted) "
+
+
+@query(_FIRED + "SELECT \"check\", count_if(is_attack) AS on_attacks, count_if(NOT is_attack) AS on_benign, count_if(is_attack AND \"check\" = target) AS on_own_target, round(count_if(is_attack) / count(*), 6) AS precision FROM fired GROUP BY 1")
+def check_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    third, half = F.col("doc_id") % 3, F.col("doc_id") % 2
+    fired = outcomes_of(spark, sf_dir).where("alerted").withColumns({"check": F.when(third == 0, "CH01").when(third == 1, "CH03").otherwise("CH05"), "target": F.when(half == 0, "CH01").otherwise("CH03")})
+    return fired.groupBy("check").agg(F.count_if("is_attack").alias("on_attacks"), F.count_if(~F.col("is_attack")).alias("on_benign"), F.count_if(F.col("is_attack") & (F.col("check") == F.col("target"))).alias("on_own_target"), F.round(F.count_if("is_attack") / F.count("*"), 6).alias("precision"))
+
+
+@query(CALLS + "SELECT name, count(*) AS n, count_if(class <> 'unknown') AS recognised, count_if((class = 'egress') = (name = 'send_payment')) AS correct, round(count_if(class = 'unknown') / count(*), 6) AS blind_rate FROM classed GROUP BY 1")
+def vocabulary_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return calls_of(spark, sf_dir).groupBy("name").agg(F.count("*").alias("n"), F.count_if(F.col("class") != "unknown").alias("recognised"), F.count_if((F.col("class") == "egress") == (F.col("name") == "send_payment")).alias("correct"), F.round(F.count_if(F.col("class") == "unknown") / F.count("*"), 6).alias("blind_rate"))
+
+
+@query(CALLS + "SELECT session_id, min(q) AS worst, round(avg(q), 6) AS mean, count_if(q = 0) AS unknown, count_if(q = 0.7) AS heuristic, count_if(q = 1) AS manifest FROM (SELECT session_id, CASE WHEN start_arrival % 2 = 0 THEN 1.0::DOUBLE WHEN class <> 'unknown' THEN 0.7::DOUBLE ELSE 0.0::DOUBLE END AS q FROM classed) GROUP BY 1")
+def class_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """1 for declared tools (every other call here), 0.7 for tools known by name, 0 for others."""
+    q = F.when(F.col("start_arrival") % 2 == 0, 1.0).when(F.col("class") != "unknown", 0.7).otherwise(0.0)
+    return calls_of(spark, sf_dir).withColumn("q", q).groupBy("session_id").agg(F.min("q").alias("worst"), F.round(F.avg("q"), 6).alias("mean"), F.count_if(F.col("q") == 0).alias("unknown"), F.count_if(F.col("q") == 0.7).alias("heuristic"), F.count_if(F.col("q") == 1).alias("manifest"))
+
+
+@query(VIEW + "SELECT session_id, round(coalesce(max(CASE WHEN k % 4 = 0 THEN cost * 10 END), sum(cost)), 6) AS cost FROM tele GROUP BY 1")
+def session_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The largest running cost where one is reported, else the sum of the calls' costs."""
+    running = F.max(F.when(F.col("k") % 4 == 0, F.col("cost") * 10))
+    return telemetry(spark, sf_dir).groupBy("session_id").agg(F.round(F.coalesce(running, F.sum("cost")), 6).alias("cost"))
+
+
+@query(VIEW + "SELECT session_id, max(k % 6) AS max_depth, string_agg(CAST(k % 6 AS VARCHAR), '>' ORDER BY ts, arrival) FILTER (k % 9 = 0) AS chain FROM tele GROUP BY 1")
+def handoffs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hop = F.when(F.col("k") % 9 == 0, F.struct("ts", "arrival", (F.col("k") % 6).cast("string").alias("to")))
+    per = telemetry(spark, sf_dir).groupBy("session_id").agg(F.max(F.col("k") % 6).alias("max_depth"), F.array_sort(F.collect_list(hop)).alias("hops"))
+    return per.select("session_id", "max_depth", F.when(F.size("hops") > 0, F.array_join(F.transform("hops", lambda h: h["to"]), ">")).alias("chain"))
+
+
+@query(VIEW + "SELECT agent_name, CAST(floor(ts / 3600) AS BIGINT) AS hour, count(*) AS n FROM tele WHERE event_type IN ('tool_error', 'cost_threshold_exceeded') GROUP BY ALL HAVING count(*) >= 2")
+def agent_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Agents with two or more errors or policy events within an hour."""
+    bad = telemetry(spark, sf_dir).where(F.col("event_type").isin("tool_error", "cost_threshold_exceeded"))
+    return bad.groupBy("agent_name", F.floor(F.col("ts") / 3600).alias("hour")).agg(F.count("*").alias("n")).where("n >= 2")
+
+
+@query()
+def alert_suppression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    alerts = telemetry(spark, sf_dir).where("event_type = 'cost_threshold_exceeded'").withColumnRenamed("agent_name", "agent")
+    return evaluate.suppressed(alerts)
+
+
+@query(VIEW + ", per AS (SELECT agent_name, session_id, min(ts) AS begun, round(count(marked) / count(*), 6) AS completeness FROM tele GROUP BY 1, 2) SELECT * FROM (SELECT agent_name, session_id, completeness, lag(completeness) OVER (PARTITION BY agent_name ORDER BY begun, session_id) AS before FROM per) WHERE completeness < before")
+def coverage_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    per = telemetry(spark, sf_dir).groupBy("agent_name", "session_id").agg(F.min("ts").alias("at"), F.round(F.count("marked") / F.count("*"), 6).alias("completeness"))
+    before = F.lag("completeness").over(Window.partitionBy("agent_name").orderBy("at", "session_id"))
+    return per.withColumn("before", before).where("completeness < before").select("agent_name", "session_id", "completeness", "before")
+
+
+_RULES = "(VALUES ('untrusted_flow', 'CH03'), ('unpaired', 'CH05'), ('effects', 'CH07')) AS rules(rule, \"check\")"
+
+
+@query(CALLS + _FINDINGS + f"SELECT DISTINCT session_id, rule FROM findings JOIN {_RULES} USING (\"check\")")
+def content_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Detection content over verdicts: a small rule table against the checks that fired."""
+    rules = spark.createDataFrame([("untrusted_flow", "CH03"), ("unpaired", "CH05"), ("effects", "CH07")], "rule string, check string")
+    return findings_of(spark, sf_dir).select("session_id", "check").distinct().join(F.broadcast(rules), "check").select("session_id", "rule")
+
+
+_SIG = VIEW + ", sig AS (SELECT session_id, user_id, string_agg(event_type, ',' ORDER BY ts, arrival) AS ordered, string_agg(event_type, ',' ORDER BY event_type) AS bag, count(*) AS arity FROM tele GROUP BY ALL) "
+
+
+@query(_SIG + "SELECT count(*) AS pairs, count_if(a.ordered = b.ordered) AS same_ordered, count_if(a.bag = b.bag) AS same_bag, count_if(a.arity = b.arity) AS same_arity FROM sig a JOIN sig b ON a.user_id = b.user_id AND a.session_id < b.session_id")
+def separability_ceiling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of a user's sessions whose actions are the same in order, as a bag, or in number."""
+    one = F.struct("ts", "arrival", "event_type")
+    per = telemetry(spark, sf_dir).groupBy("session_id", "user_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(one)), lambda x: x["event_type"]), ",").alias("ordered"), F.array_join(F.sort_array(F.collect_list("event_type")), ",").alias("bag"), F.count("*").alias("arity"))
+    a, b = per.alias("a"), per.alias("b")
+    pairs = a.join(b, F.expr("a.user_id = b.user_id AND a.session_id < b.session_id"))
+    return pairs.agg(F.count("*").alias("pairs"), *(F.count_if(F.col(f"a.{c}") == F.col(f"b.{c}")).alias(f"same_{c}") for c in ("ordered", "bag", "arity")))
