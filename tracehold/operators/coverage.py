@@ -37,7 +37,7 @@ def contracts(features: DataFrame) -> DataFrame:
         ).otherwise(0.0),
         "CH07": F.when(c("receipted") > 0, share(c("receipted"), c("effectful")) * c("corr") * c("class_worst") * (1 - 0.5 * share(c("loose"), c("receipted"))) * cut(c("digest_disagrees"), 0.5)).otherwise(0.0),
     }
-    rows = F.array(*(F.struct(F.lit(check).alias("check"), F.round(value.cast("double"), 4).alias("confidence")) for check, value in confidence.items()))
+    rows = F.array(*(F.struct(F.lit(check).alias("check"), value.cast("double").alias("confidence")) for check, value in confidence.items()))
     out = features.select("session_id", F.inline(rows))
     return out.withColumn("status", F.when(c("confidence") >= 1, "evaluated").when(c("confidence") <= 0, "not_evaluated").otherwise("degraded"))
 

@@ -127,7 +127,7 @@ def features(spark: SparkSession, sf_dir: str) -> DataFrame:
 _COVER = CALLS + """, f AS (SELECT session_id, count(marked) AS answers, round(count(marked) / count(*), 6) AS scan, count_if(event_type = 'cost_threshold_exceeded') AS policy FROM tele GROUP BY 1),
 cl AS (SELECT session_id, min(CASE WHEN class = 'unknown' THEN 0.0::DOUBLE ELSE 0.7::DOUBLE END) AS w FROM classed GROUP BY 1),
 g AS (SELECT f.*, coalesce(w, 1.0::DOUBLE) AS w FROM f LEFT JOIN cl USING (session_id)),
-contracts AS (SELECT session_id, "check", round(confidence, 4) AS confidence FROM (SELECT session_id, 'CH01' AS "check", 0.5 + 0.5 * w AS confidence FROM g UNION ALL SELECT session_id, 'CH02', 0.0 FROM g UNION ALL SELECT session_id, 'CH03', CASE WHEN answers > 0 THEN w * scan ELSE 0.0 END FROM g UNION ALL SELECT session_id, 'CH04', CASE WHEN policy > 0 THEN w * 0.6::DOUBLE * 0.8::DOUBLE ELSE 0.0 END FROM g UNION ALL SELECT session_id, 'CH05', 1.0 FROM g UNION ALL SELECT session_id, 'CH06', 0.0 FROM g UNION ALL SELECT session_id, 'CH07', 0.0 FROM g)),
+contracts AS (SELECT session_id, "check", CAST(confidence AS DOUBLE) AS confidence FROM (SELECT session_id, 'CH01' AS "check", 0.5 + 0.5 * w AS confidence FROM g UNION ALL SELECT session_id, 'CH02', 0.0 FROM g UNION ALL SELECT session_id, 'CH03', CASE WHEN answers > 0 THEN w * scan ELSE 0.0 END FROM g UNION ALL SELECT session_id, 'CH04', CASE WHEN policy > 0 THEN w * (0.6::DOUBLE * 0.8::DOUBLE) ELSE 0.0 END FROM g UNION ALL SELECT session_id, 'CH05', 1.0 FROM g UNION ALL SELECT session_id, 'CH06', 0.0 FROM g UNION ALL SELECT session_id, 'CH07', 0.0 FROM g)),
 stated AS (SELECT *, CASE WHEN confidence >= 1 THEN 'evaluated' WHEN confidence <= 0 THEN 'not_evaluated' ELSE 'degraded' END AS status FROM contracts)"""
 
 
