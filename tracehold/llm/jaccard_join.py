@@ -6,9 +6,12 @@ links without further test. Large sets scan inverted lists: with all shingles in
 similar sets share a shingle among their first n - ceil(t * n) + 1. The size that parts small from large is the one
 with the least cost, counted from the table of sizes.
 
-Inverted lists are not expanded into pairs. Each list first compares its sets with one pivot per size band; the links
-found join most of a group of copies. Only lists that still hold sets of different components are expanded, and only
-into pairs of different components.
+Inverted lists are not expanded into pairs. Each list first compares its sets with one pivot per size band, the set with
+the smallest share of shingles that recur nowhere (copies that were edited have more of them than what they were copied
+from); the links found join most of a group of copies. Only lists that still hold sets of different components are
+expanded, and only into pairs of different components. A pair is left to the list of its first common shingle: what either
+set has before it cannot be shared, and what is left must suffice. Pairs whose parity sketches differ in more bits than similar
+sets can differ in shingles are dropped before any text is fetched; that bound is exact.
 
 The order in which shingles are taken never changes the result, only the lengths of the lists: shingles that many
 documents share come last. They are those that recur within a task's runs of documents, summed over all tasks.
@@ -40,6 +43,8 @@ LARGEST_SMALL, ENTRY_COST = 24, 4.0
 #: Documents up to which the ids whose texts are to be compared are broadcast (8 bytes each); beyond, they are joined.
 BROADCAST_IDS = 200_000
 
+SKETCH_BITS = 1024
+
 _SHINGLE_BASE = 0xD1342543DE82EF95
 
 
@@ -75,13 +80,19 @@ def signature(shingles: np.ndarray) -> int:
     return int((spread ^ np.bitwise_xor.reduce(shingles)).view(np.int64)[0])
 
 
+def sketch(shingles: np.ndarray) -> bytes:
+    """For each of SKETCH_BITS buckets whether it has an odd number of shingles: two sketches differ in no more bits than the sets in shingles."""
+    return np.packbits(np.bincount((shingles & np.uint64(SKETCH_BITS - 1)).astype(np.int64), minlength=SKETCH_BITS) & 1).tobytes()
+
+
 def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sizes, signs = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
+        sizes, signs, sketches = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64), []
         for row, sets in shingle_sets(batch.column(1)):
             for k, s in enumerate(sets):
                 sizes[row + k], signs[row + k] = len(s), signature(s)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), pa.array(signs)], ["doc_id", "n_shingles", "sig"])
+                sketches.append(sketch(s) if len(s) else None)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), pa.array(signs), pa.array(sketches, pa.binary())], ["doc_id", "n_shingles", "sig", "sketch"])
 
 
 def _recurring(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,7 +123,7 @@ def _entries(frequent: np.ndarray, small: int):
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            hs, sigs, sizes = [], [], []
+            hs, sigs, ranks_of = [], [], []
             for _, sets in shingle_sets(batch.column(0)):
                 for s in sets:
                     n = len(s)
@@ -123,20 +134,21 @@ def _entries(frequent: np.ndarray, small: int):
                         continue
                     if len(seen) < 1_000_000:
                         seen.add(sign)
-                    length = n - ceil(n * a / b) + 1
+                    length, rare = n - ceil(n * a / b) + 1, n
                     if len(ordered):
                         at = np.minimum(np.searchsorted(ordered, s), len(ordered) - 1)
                         common = ordered[at] == s
-                        if n - int(common.sum()) < length:
+                        rare = n - int(common.sum())
+                        if rare < length:
                             late = s[common]
                             s = np.concatenate([s[~common], late[np.argsort(-ranks[at[common]], kind="stable")]])
                         else:
                             s = s[~common]
                     hs.append(s[:length])
                     sigs.append(np.full(length, sign, np.int64))
-                    sizes.append(np.full(length, n, np.int32))
+                    ranks_of.append(((rare * 1000 // n << 53) | (n << 26)) + np.arange(length, dtype=np.int64))
             if hs:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hs).view(np.int64)), pa.array(np.concatenate(sigs)), pa.array(np.concatenate(sizes))], ["h", "sig", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hs).view(np.int64)), pa.array(np.concatenate(sigs)), pa.array(np.concatenate(ranks_of))], ["h", "sig", "rank"])
 
     return entries
 
@@ -188,6 +200,24 @@ def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(found, pa.bool_()))
 
 
+def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs (a, b, n, m, s, t) of nodes, sizes and sketches that may be similar."""
+    low, high = SIMILARITY
+    for batch in batches:
+        if batch.num_rows:
+            n, m = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+            bits = [np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for c in (4, 5)]
+            apart = np.bitwise_count(bits[0] ^ bits[1]).sum(1, dtype=np.int64)
+            # similar sets share at least low * (n + m) / (low + high), so they differ in at most (n + m) less twice that
+            possible = apart * (low + high) <= (n + m) * (high - low)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(possible))
+
+
+def _promising(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    own = lambda key, n, s: nodes.select(F.col("sig").alias(key), F.col("n").alias(n), F.col("sketch").alias(s))
+    return pairs.join(own("a", "n", "s"), "a").join(own("b", "m", "t"), "b").select("a", "b", "n", "m", "s", "t").mapInArrow(_possible, "a long, b long")
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, repeated: bool) -> DataFrame:
     """The similar ones of pairs (a, b) of set signatures, by the texts of the documents that stand for them."""
     ids = pairs.select(F.col("a").alias("sig")).union(pairs.select(F.col("b").alias("sig"))).distinct().join(nodes, "sig")
@@ -220,8 +250,8 @@ def join(docs: DataFrame) -> DataFrame:
     compared by the text of any of them that has it. An empty table gives an empty result; other columns play no part.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sets = written(docs.mapInArrow(_summaries, "doc_id long, n_shingles long, sig long"), "jaccard-sets")
-    nodes = written(sets.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n")), "jaccard-nodes")
+    sets = written(docs.mapInArrow(_summaries, "doc_id long, n_shingles long, sig long, sketch binary"), "jaccard-sets")
+    nodes = written(sets.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n"), F.min("sketch").alias("sketch")), "jaccard-nodes")
     repeated = not sets.groupBy("doc_id").count().where("count > 1").isEmpty()
     sizes = nodes.where(F.col("n") <= LARGEST_SMALL).groupBy("n").count().collect()
     small = _boundary([(r["n"], r["count"]) for r in sizes])
@@ -234,28 +264,33 @@ def join(docs: DataFrame) -> DataFrame:
     groups = keyed.groupBy("low", "high", "key").agg(F.min("sig").alias("pivot"), F.bool_or("lower").alias("has_low"), F.bool_or(~F.col("lower") | (F.col("low") == F.col("high"))).alias("has_high"), F.max("sig").alias("other"))
     by_subset = keyed.join(groups.where("has_low AND has_high AND pivot <> other"), ["low", "high", "key"]).where("sig <> pivot").select(F.col("sig").alias("a"), F.col("pivot").alias("b")).distinct()
 
-    entries = text.mapInArrow(_entries(common, small), "h long, sig long, n int")
-    band = F.floor(F.log(F.col("n").cast("double")) / log(SIMILARITY[1] / SIMILARITY[0])).cast("int")
+    entries = text.mapInArrow(_entries(common, small), "h long, sig long, rank long")
+    n = F.shiftright("rank", 26).bitwiseAND((1 << 27) - 1)
+    band = F.floor(F.log(n.cast("double")) / log(SIMILARITY[1] / SIMILARITY[0])).cast("int")
     lists = entries.groupBy("h").agg(F.min("sig").alias("first"), F.max("sig").alias("last")).where("first <> last").select("h")
-    shared = written(entries.join(lists, "h").distinct().withColumn("band", band), "jaccard-lists")
-    pivots = shared.groupBy("h", "band").agg(F.min("sig").alias("pivot"), F.max("sig").alias("other")).where("pivot <> other").drop("other")
-    to_pivot = written(shared.join(pivots, ["h", "band"]).where("sig <> pivot").select(F.col("sig").alias("a"), F.col("pivot").alias("b")).distinct(), "jaccard-pivots")
+    shared = written(entries.join(lists, "h").distinct().withColumns({"n": n, "place": F.col("rank").bitwiseAND((1 << 26) - 1), "band": band}), "jaccard-lists")
+    pivots = shared.groupBy("h", "band").agg(F.min(F.struct("rank", "sig", "n", "place")).alias("pivot"), F.min("sig").alias("first"), F.max("sig").alias("last")).where("first <> last").select("h", "band", F.col("pivot.n").alias("m"), F.col("pivot.place").alias("mplace"), F.col("pivot.sig").alias("pivot"))
+    low, high = SIMILARITY
+    fits = lambda n, place, m: (F.col(n) - F.col(place)) * (low + high) >= (F.col(n) + F.col(m)) * low
+    proposed = shared.join(pivots, ["h", "band"]).where("sig <> pivot").where(fits("n", "place", "m") & fits("m", "mplace", "n"))
+    proposed = proposed.select(F.least("sig", "pivot").alias("a"), F.greatest("sig", "pivot").alias("b")).distinct()
+    to_pivot = written(_promising(proposed, nodes), "jaccard-pivots")
     first = written(_verified(to_pivot, docs, nodes, repeated).union(by_subset), "jaccard-links")
 
     known = written(components(first), "jaccard-components")
-    owned = shared.join(known.withColumnRenamed("node", "sig"), "sig", "left").select("h", "sig", "n", F.coalesce("component", "sig").alias("component"))
+    owned = shared.join(known.withColumnRenamed("node", "sig"), "sig", "left").select("h", "sig", "n", "place", F.coalesce("component", "sig").alias("component"))
     mixed = owned.groupBy("h").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("h")
     open_lists = written(owned.join(mixed, "h"), "jaccard-open")
-    a, b = SIMILARITY
     x, y = open_lists.alias("x"), open_lists.alias("y")
-    between = F.expr(f"x.h = y.h AND x.component < y.component AND x.n * {b}L >= y.n * {a}L AND y.n * {b}L >= x.n * {a}L")
-    left = x.join(y, between).select(F.col("x.sig").alias("a"), F.col("y.sig").alias("b")).distinct()
-    rest = written(left.join(to_pivot, ["a", "b"], "left_anti").join(to_pivot.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti"), "jaccard-rest")
+    between = F.expr("x.h = y.h AND x.component < y.component") & fits("x.n", "x.place", "y.n") & fits("y.n", "y.place", "x.n")
+    left = x.join(y, between).select(F.least("x.sig", "y.sig").alias("a"), F.greatest("x.sig", "y.sig").alias("b")).distinct()
+    rest = written(_promising(left, nodes).join(to_pivot, ["a", "b"], "left_anti"), "jaccard-rest")
     links = first.union(_verified(rest, docs, nodes, repeated))
 
     least = components(links).withColumnRenamed("node", "sig").join(nodes, "sig")
     labels = least.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     member = least.join(labels, "component").select("sig", "component_id")
+    sets = sets.drop("sketch")
     classes = nodes.select("sig", F.col("doc_id").alias("class_id")).join(member, "sig", "left")
     linked = F.col("n_shingles") > 0
     return sets.join(classes, "sig", "left").select(
