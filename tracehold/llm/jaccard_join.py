@@ -37,7 +37,7 @@ SHINGLE = 5
 #: Similarity as a ratio of whole numbers: numerator * union <= denominator * intersection.
 SIMILARITY = (80, 100)
 #: Shingles kept as frequent ones, and how often they must recur among RUN shingles of a task to be counted.
-FREQUENT, RECUR, RUN = 100_000, 3, 4_000_000
+FREQUENT, RECUR, RUN = 400_000, 3, 4_000_000
 #: Largest size that may count as small, and the cost of a list entry against that of a subset.
 LARGEST_SMALL, ENTRY_COST = 24, 4.0
 #: Documents up to which the ids whose texts are to be compared are broadcast (8 bytes each); beyond, they are joined.
