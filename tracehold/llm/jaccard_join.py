@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from tracehold.llm import words
 from tracehold.llm.components import components
-from tracehold.llm.storage import written
+from tracehold.llm.storage import discard, written
 
 SHINGLE = 5
 #: Similarity as a ratio of whole numbers: numerator * union <= denominator * intersection.
@@ -285,13 +285,15 @@ def join(docs: DataFrame) -> DataFrame:
     between = F.expr("x.h = y.h AND x.component < y.component") & fits("x.n", "x.place", "y.n") & fits("y.n", "y.place", "x.n")
     left = x.join(y, between).select(F.least("x.sig", "y.sig").alias("a"), F.greatest("x.sig", "y.sig").alias("b")).distinct()
     rest = written(_promising(left, nodes).join(to_pivot, ["a", "b"], "left_anti"), "jaccard-rest")
-    links = first.union(_verified(rest, docs, nodes, repeated))
+    links = written(first.union(_verified(rest, docs, nodes, repeated)), "jaccard-links")
+    discard(shared, to_pivot, first, known, open_lists, rest)
 
     least = components(links).withColumnRenamed("node", "sig").join(nodes, "sig")
     labels = least.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     member = least.join(labels, "component").select("sig", "component_id")
     sets = sets.drop("sketch")
-    classes = nodes.select("sig", F.col("doc_id").alias("class_id")).join(member, "sig", "left")
+    classes = written(nodes.select("sig", F.col("doc_id").alias("class_id")).join(member, "sig", "left"), "jaccard-classes")
+    discard(nodes, links)
     linked = F.col("n_shingles") > 0
     return sets.join(classes, "sig", "left").select(
         "doc_id", "n_shingles",
