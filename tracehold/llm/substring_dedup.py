@@ -18,7 +18,6 @@ windows by 128 bits.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
