@@ -52,7 +52,6 @@ def classified_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _WORDS = "list_filter(string_split_regex(lower({0}), '[^a-z0-9]+'), lambda t: t <> '')"
-_HIT = "(list_has_any(w, [{0}]))"
 
 
 def _hit(keywords: tuple[str, ...]) -> str:
