@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracehold.llm import jaccard_join, mixing, nearest, packing, secret_scan, substring_dedup, token_counts, topk_search, toxicity, warc
+from tracehold.llm import jaccard_join, mixing, nearest, packing, secret_scan, sql, substring_dedup, token_counts, topk_search, toxicity, warc
 from tracehold.llm.storage import table, written
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -67,4 +67,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_topk_search": sql.TOPK_SEARCH, "op7_source_mixing": sql.SOURCE_MIXING, "op10_substring_dedup": sql.SUBSTRING_DEDUP}
