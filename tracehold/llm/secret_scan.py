@@ -67,12 +67,20 @@ def _named(spans: Column) -> Column:
     return F.array_join(F.transform(F.sort_array(spans), lambda x: F.concat_ws(":", F.element_at(names, x["kind"] + 1), x["start"], x["end"])), ",")
 
 
+def _let(value: Column, body) -> Column:
+    """body of a value that is computed once, however often body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def _upper_normal(z: Column) -> Column:
-    """P(Z > z) by a rational approximation good to 1e-7."""
-    t = F.lit(1.0) / (F.lit(1.0) + F.lit(0.2316419) * F.abs(z))
-    poly = reduce(lambda acc, c: (acc + F.lit(c)) * t, (1.330274429, -1.821255978, 1.781477937, -0.356563782, 0.319381530), F.lit(0.0))
-    tail = F.exp(-z * z / 2) * F.lit(0.3989422804014327) * poly
-    return F.greatest(F.when(z >= 0, tail).otherwise(1 - tail), F.lit(1e-18))
+    """P(Z > z) by a rational approximation good to 1e-7; z is a plain reference."""
+
+    def tail(t: Column) -> Column:
+        poly = reduce(lambda acc, c: (acc + F.lit(c)) * t, (1.330274429, -1.821255978, 1.781477937, -0.356563782, 0.319381530), F.lit(0.0))
+        upper = F.exp(-z * z / 2) * F.lit(0.3989422804014327) * poly
+        return F.greatest(F.when(z >= 0, upper).otherwise(1 - upper), F.lit(1e-18))
+
+    return _let(F.lit(1.0) / (F.lit(1.0) + F.lit(0.2316419) * F.abs(z)), tail)
 
 
 def _tested(token: Column) -> Column:
@@ -84,39 +92,47 @@ def _tested(token: Column) -> Column:
     # positions in the alphabet, one per character
     marks = F.transform(F.sequence(F.lit(1), F.length(bare)), lambda i: (F.instr(alphabet, F.substr(bare, i, F.lit(1))) - 1).cast("double"))
     packed = F.struct(which.alias("which"), k.alias("k"), n.alias("n"), marks.alias("x"))
-    return F.transform(F.array(packed), _scores)[0]
+    return _let(packed, _scores)
 
 
 def _scores(s: Column) -> Column:
     x, k, n = s["x"], s["k"], s["n"]
     total = lambda a: F.aggregate(a, F.lit(0.0), lambda acc, v: acc + v)
     squares = total(F.transform(F.array_distinct(x), lambda v: F.pow(F.size(F.filter(x, lambda w: w == v)).cast("double"), F.lit(2.0))))
-    chi, df = squares * k / n - n, k - 1
-    z_chi = (F.pow(F.greatest(chi, F.lit(1e-9)) / df, F.lit(1 / 3)) - (1 - F.lit(2.0) / (9 * df))) / F.sqrt(F.lit(2.0) / (9 * df))
-    nexts = F.slice(x, F.lit(2), F.greatest(F.size(x) - 1, F.lit(0)))
-    pairs = F.slice(F.arrays_zip(x.alias("a"), F.concat(nexts, F.array(F.lit(0.0))).alias("b")), F.lit(1), F.greatest(F.size(x) - 1, F.lit(0)))
-    half = k / 2
-    high = F.size(F.filter(x, lambda v: v >= half)).cast("double")
-    low = n - high
-    runs = 1 + F.size(F.filter(pairs, lambda p: (p["a"] >= half) != (p["b"] >= half))).cast("double")
-    expected = 2 * high * low / n + 1
-    spread = F.sqrt(F.greatest((expected - 1) * (expected - 2) / F.greatest(n - 1, F.lit(1.0)), F.lit(1e-9)))
-    z_runs = F.when((high == 0) | (low == 0), F.sqrt(n)).otherwise(F.abs(runs - expected) / spread)
-    mean = total(x) / n
-    variance = total(F.transform(x, lambda v: (v - mean) * (v - mean)))
-    serial = F.when(variance > 0, total(F.transform(pairs, lambda p: (p["a"] - mean) * (p["b"] - mean))) / variance).otherwise(F.lit(1.0))
-    z_serial = F.abs(serial + 1 / n) * F.sqrt(n)
-    half_x = -(F.log(_upper_normal(z_chi)) + F.log(F.least(F.lit(1.0), 2 * _upper_normal(z_runs))) + F.log(F.least(F.lit(1.0), 2 * _upper_normal(z_serial))))
-    surprise = half_x - F.log(1 + half_x + half_x * half_x / 2)
+    rest = F.greatest(F.size(x) - 1, F.lit(0))
+    pairs = F.slice(F.arrays_zip(x.alias("a"), F.concat(F.slice(x, F.lit(2), rest), F.array(F.lit(0.0))).alias("b")), F.lit(1), rest)
+    high = F.size(F.filter(x, lambda v: v >= k / 2)).cast("double")
+    counted = F.struct((squares * k / n - n).alias("chi"), pairs.alias("pairs"), high.alias("high"), (total(x) / n).alias("mean"))
+
+    def statistics(c: Column) -> Column:
+        runs = 1 + F.size(F.filter(c["pairs"], lambda p: (p["a"] >= k / 2) != (p["b"] >= k / 2))).cast("double")
+        variance = total(F.transform(x, lambda v: (v - c["mean"]) * (v - c["mean"])))
+        together = total(F.transform(c["pairs"], lambda p: (p["a"] - c["mean"]) * (p["b"] - c["mean"])))
+        return F.struct(c["chi"].alias("chi"), c["high"].alias("high"), (2 * c["high"] * (n - c["high"]) / n + 1).alias("expected"), runs.alias("runs"), variance.alias("variance"), together.alias("together"))
+
+    def deviations(c: Column) -> Column:
+        df = k - 1
+        z_chi = (F.pow(F.greatest(c["chi"], F.lit(1e-9)) / df, F.lit(1 / 3)) - (1 - F.lit(2.0) / (9 * df))) / F.sqrt(F.lit(2.0) / (9 * df))
+        spread = F.sqrt(F.greatest((c["expected"] - 1) * (c["expected"] - 2) / F.greatest(n - 1, F.lit(1.0)), F.lit(1e-9)))
+        z_runs = F.when((c["high"] == 0) | (c["high"] == n), F.sqrt(n)).otherwise(F.abs(c["runs"] - c["expected"]) / spread)
+        serial = F.when(c["variance"] > 0, c["together"] / c["variance"]).otherwise(F.lit(1.0))
+        return F.struct(z_chi.alias("chi"), z_runs.alias("runs"), (F.abs(serial + 1 / n) * F.sqrt(n)).alias("serial"))
+
+    def fisher(z: Column) -> Column:
+        one_sided, two_sided = _upper_normal(z["chi"]), [F.least(F.lit(1.0), 2 * _upper_normal(z[c])) for c in ("runs", "serial")]
+        return -(F.log(one_sided) + F.log(two_sided[0]) + F.log(two_sided[1]))
+
     band = sum((F.when(n >= b, 1).otherwise(0) for b in BANDS[1:]), F.lit(0))
-    return F.struct((s["which"] * len(BANDS) + band).cast("int").alias("stratum"), F.greatest(surprise, F.lit(0.0)).alias("surprise"))
+    half = _let(_let(_let(counted, statistics), deviations), fisher)
+    surprise = _let(half, lambda h: F.greatest(h - F.log(1 + h + h * h / 2), F.lit(0.0)))
+    return F.struct((s["which"] * len(BANDS) + band).cast("int").alias("stratum"), surprise.alias("surprise"))
 
 
 def _candidates(text: Column, base: Column) -> Column:
     """Tested structs (start, end, stratum, surprise) of candidates that touch no base span."""
     found = F.filter(_matches(text, CANDIDATE), lambda x: x["found"].rlike("[0-9]") & x["found"].rlike("[A-Za-z]"))
     free = F.filter(found, lambda x: ~F.exists(base, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
-    return F.transform(free, lambda x: F.transform(F.array(_tested(x["found"])), lambda t: F.struct(x["start"].alias("start"), x["end"].alias("end"), t["stratum"].alias("stratum"), t["surprise"].alias("surprise")))[0])
+    return F.transform(free, lambda x: _let(_tested(x["found"]), lambda t: F.struct(x["start"].alias("start"), x["end"].alias("end"), t["stratum"].alias("stratum"), t["surprise"].alias("surprise"))))
 
 
 def _with_base(docs: DataFrame) -> DataFrame:
