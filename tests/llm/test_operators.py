@@ -14,7 +14,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tracehold.llm import components, jaccard_join, mixing, nearest, packing, secret_scan, substring_dedup, token_counts, topk_search, toxicity, warc
+from tracehold.llm import catalog, components, jaccard_join, mixing, nearest, packing, secret_scan, substring_dedup, token_counts, topk_search, toxicity, warc
 from tracehold.llm.storage import written
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -272,6 +272,29 @@ def test_topk_search(spark):
         assert sorted(got[q]) == want
 
 
+def test_topk_search_asks_whole_documents(spark, tmp_path):
+    rng = random.Random(5)
+    vocabulary = [f"w{int(rng.paretovariate(0.5)) % 4000}" for _ in range(6000)]
+    rows = [(i, " ".join(rng.choice(vocabulary) for _ in range(rng.choice([3, 40, 400])))) for i in range(300)]
+    rows += [(300 + i, rows[i][1]) for i in range(0, 60, 20)] + [(400, None), (None, rows[0][1])]
+    spark.createDataFrame(rows, DOCS).repartition(2).write.parquet(f"{tmp_path}/documents.parquet")
+    got = defaultdict(list)
+    for r in catalog.op1_topk_documents(spark, str(tmp_path)).collect():
+        got[r.query_id].append((r.rank, r.doc_id, r.score))
+    bags = {i: Counter(words(lower(t))) for i, t in rows if i is not None}
+    n, mean = len(bags), sum(sum(c.values()) for c in bags.values()) / len(bags)
+    df = Counter(w for c in bags.values() for w in c)
+    assert set(got) == {i for i in bags if i % 20 == 0 and bags[i]}
+    assert any(len(bags[i]) > topk_search.LONG_QUERY for i in got) and any(len(bags[i]) < topk_search.LONG_QUERY for i in got)
+    for q, found in got.items():
+        scores = []
+        for i, c in bags.items():
+            s = math.fsum(math.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * c[w] * 2.2 / (c[w] + 1.2 * (0.25 + 0.75 * sum(c.values()) / mean)) for w in bags[q] if w in c)
+            if s:
+                scores.append((-round(s, 6), i))
+        assert sorted(found) == [(k + 1, i, pytest.approx(-s, abs=2e-6)) for k, (s, i) in enumerate(sorted(scores)[:20])]
+
+
 def test_nearest(spark):
     rng = np.random.default_rng(0)
     centres = rng.normal(size=(20, 16))
