@@ -337,6 +337,13 @@ def test_toxicity_restores_and_learns(spark):
     chars = model.chars.tolist()
     assert [toxicity.readings(w, chars)[-1] for w in ("bl0rg0n", "bloooorgon", "b.l.o.r.g.o.n", "bl-or-gon")] == ["blorgon"] * 4
     assert toxicity.fit(docs, spark.createDataFrame([], "doc_id long, toxic int")).weights == {}
+    clean = [" ".join(rng.choice(syllables) + rng.choice(syllables) for _ in range(30)) for _ in range(20)]
+    inner = lambda texts, sign: [(i, f"ta {sign.join(c for w in [*t.split()[:20], *mid, *t.split()[20:]] for c in w)} ren") for i, (t, mid) in enumerate(texts)]
+    for sign in (" ", "."):  # inside of runs of over 64 characters, and of long tokens
+        for mid, least in ((["blorgon"], 18), ([], 0)):
+            rows = toxicity.score(spark.createDataFrame(inner([(t, mid) for t in clean], sign), DOCS), model).collect()
+            assert least <= sum(r.predicted for r in rows) <= (20 if mid else 1), (sign, mid)
+    assert toxicity.suspicious("a$s") and not toxicity.suspicious("ass")
 
 
 def test_empty_tables(spark):

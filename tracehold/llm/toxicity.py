@@ -2,7 +2,7 @@
 
 A token that may be disguised (digits or symbols between letters, letters spaced apart, letters drawn out) becomes a
 lattice: each observed character offers the letters that it may stand for, each with a channel cost, or may be skipped
-as a separator or a repeat. Viterbi decoding under a character trigram model picks the cheapest letters. The trigram
+as a separator or a repeat. Runs of spaced letters and long tokens may also break into words. Viterbi decoding under a character trigram model picks the cheapest letters. The trigram
 counts are taken over all documents; the table has at most 64**3 rows whatever the corpus.
 
 The classifier sees the words as written and as restored, and the beginnings of each of them. It learns from at most
@@ -31,7 +31,8 @@ LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb",
 COST_LEET, COST_SEPARATOR, COST_SIGN, COST_SECOND, COST_FURTHER = 0.7, 0.3, 6.0, 4.0, 0.1
 CLASSES = 64
 BEAM = 24
-LONGEST_TOKEN = 64
+#: Tokens of more characters are read as several words, as are letters that are spaced apart.
+LONG_TOKEN = 64
 PREFIXES = range(3, 9)
 MAX_LABELS = 50_000
 #: Steps to a unit in which weights are told apart for the cut.
@@ -91,8 +92,8 @@ def char_model(docs: DataFrame) -> np.ndarray:
     return -np.log(p3).astype(np.float32).ravel()
 
 
-def _lattice(token: str) -> list[list[tuple[str, float]]]:
-    """For each observed character, the letters it may stand for ('' to skip it) and their costs."""
+def _lattice(token: str, breaks: bool = False) -> list[list[tuple[str, float]]]:
+    """For each observed character, the letters it may stand for ('' to skip it) and their costs; breaks: see decode()."""
     steps = []
     run = 0
     for k, ch in enumerate(token):
@@ -105,26 +106,37 @@ def _lattice(token: str) -> list[list[tuple[str, float]]]:
             options.append(("", COST_SIGN if ch in LEET else COST_SEPARATOR))
         elif run > 1:
             options.append(("", COST_SECOND if run == 2 and token[k + 1 : k + 2] != ch else COST_FURTHER))
+        if breaks:
+            options += [(letter + " ", cost + COST_SEPARATOR * (letter != "")) for letter, cost in options]
         steps.append(options)
     return steps
 
 
-def decode(token: str, model: list[float]) -> str:
-    """The cheapest letters of a token, by Viterbi over states of the last two classes."""
-    states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
-    for options in _lattice(token):
-        nexts: dict[tuple[int, int], tuple[float, str]] = {}
+def decode(token: str, model: list[float], breaks: bool = False) -> str:
+    """The cheapest letters of a token, by Viterbi over states of the last two classes; work is linear in its length.
+
+    breaks: a word may end after each letter and at each skipped sign; the words come with spaces between them.
+    """
+    states: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}  # the letters as (those before, the last)
+    for options in _lattice(token, breaks):
+        nexts: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+        choices = [(letters, paid, [char_class(ch) for ch in letters]) for letters, paid in options]
         for (a, b), (cost, text) in states.items():
-            for letter, paid in options:
-                if letter:
-                    c = char_class(letter)
-                    key, now = (b, c), cost + paid + model[(a << 12) | (b << 6) | c]
-                else:
-                    key, now = (a, b), cost + paid
+            for letters, paid, classes in choices:
+                x, y, now = a, b, cost + paid
+                for c in classes:
+                    now += model[(x << 12) | (y << 6) | c]
+                    x, y = y, c
+                key = x, y
                 if key not in nexts or now < nexts[key][0]:
-                    nexts[key] = (now, text + letter)
-        states = nexts if len(nexts) <= BEAM else dict(sorted(nexts.items(), key=lambda s: s[1])[:BEAM])
-    return min((cost + model[(a << 12) | (b << 6)], text) for (a, b), (cost, text) in states.items())[1]
+                    nexts[key] = (now, (text, letters) if letters else text)
+        states = nexts if len(nexts) <= BEAM else dict(sorted(nexts.items(), key=lambda s: s[1][0])[:BEAM])
+    text = min(((cost + model[(a << 12) | (b << 6)], text) for (a, b), (cost, text) in states.items()), key=lambda s: s[0])[1]
+    letters = []
+    while text:
+        text, last = text
+        letters.append(last)
+    return "".join(reversed(letters))
 
 
 def bare(word: str) -> str:
@@ -132,22 +144,25 @@ def bare(word: str) -> str:
 
 
 def suspicious(word: str) -> bool:
-    return 3 < len(word) <= LONGEST_TOKEN and not (word.isalpha() and not _DRAWN.search(word)) and bool(_INNER.search(word) or _DRAWN.search(word))
+    return len(word) > 2 and not (word.isalpha() and not _DRAWN.search(word)) and bool(_INNER.search(word) or _DRAWN.search(word))
 
 
 def readings(word: str, model: list[float]) -> tuple[str, ...]:
-    """A lower-case word without its edge signs, and its restored form where it may be disguised."""
+    """A lower-case word without its edge signs, and the words of its restored form where it may be disguised."""
     core = bare(word)
     if core and suspicious(core):
-        restored = decode(core, model)
-        if restored and restored != core:
-            return core, restored
+        restored = decode(core, model, len(core) > LONG_TOKEN).split()
+        if restored and restored != [core]:
+            return core, *restored
     return (core,) if core else ()
 
 
 def spaced(text: str, model: list[float]) -> list[str]:
-    """The restored words of letters that are spaced apart in a lower-case text."""
-    return [decode(m[0][:LONGEST_TOKEN], model) for m in _SPACED.finditer(text)]
+    """The restored words of letters that are spaced apart in a lower-case text: each run as one word and as several."""
+    found = []
+    for m in _SPACED.finditer(text):
+        found += [decode(m[0], model), *decode(m[0], model, True).split()]
+    return found
 
 
 def features(word: str) -> list[str]:
@@ -300,8 +315,8 @@ def restore(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             out = []
             for text in batch.column(batch.schema.get_field_index("text")).to_pylist():
-                text = _SPACED.sub(lambda m: decode(m[0][:LONGEST_TOKEN], reader.chars) + m[0][LONGEST_TOKEN:], (text or "").lower())
-                out.append(re.sub(r"\S+", lambda m: readings(m[0], reader.chars)[-1] if bare(m[0]) and suspicious(bare(m[0])) else m[0], text))
+                text = _SPACED.sub(lambda m: decode(m[0], reader.chars, True).strip(), (text or "").lower())
+                out.append(re.sub(r"\S+", lambda m: " ".join(readings(m[0], reader.chars)[1:]) or bare(m[0]) if suspicious(bare(m[0])) else m[0], text))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], names=[*batch.schema.names, "restored"])
 
     return docs.mapInArrow(restored, docs.select("*").schema.add("restored", "string"))
