@@ -19,10 +19,19 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).where("predicted = 0").select(docs.columns)
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """docs with a number of its own for each row as _row, written so that it stays the same: ids may be null or repeat."""
+    return written(docs.withColumn("_row", F.monotonically_increasing_id()), "corpus-rows")
+
+
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each group that links connect, and all that link with nothing."""
-    kept = jaccard_join.join(docs).where("doc_id = component_id OR n_shingles = 0").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
+    """One row of each group that links connect, one with the least id (null comes last), and all rows without words."""
+    rows = numbered(docs)
+    joined = jaccard_join.join(rows.select(F.col("_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("_row"), "n_shingles", "component_id")
+    groups = rows.select("_row", "doc_id").join(joined.where("n_shingles > 0"), "_row").groupBy("component_id")
+    first = groups.agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row")).alias("first")).select("first._row")
+    kept = joined.where("n_shingles = 0").select("_row").union(first)
+    return rows.join(kept, "_row", "left_semi").select(docs.columns)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,8 +43,9 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """As many copies of each document as the mix takes: none, one or two."""
-    copies = mixing.mix(docs).where("copies > 0").select("doc_id", "copies")
-    return docs.join(copies, "doc_id").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(docs.columns)
+    rows = numbered(docs)
+    copies = mixing.mix(rows, key="_row").where("copies > 0").select("_row", "copies")
+    return rows.join(copies, "_row").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -57,3 +57,20 @@ def test_stages(spark):
     assert pieces.where("start = 0").count() == seen[4].count()
     full = pieces.groupBy("sequence_id").agg(F.sum("length").alias("n"))
     assert full.where("n > 4096 OR (n & (n - 1)) <> 0").isEmpty()
+
+
+def test_stages_keep_rows_with_null_and_repeated_ids(spark):
+    text = lambda name, n=30: " ".join(f"{name}{k}" for k in range(n))
+    rows = [(1, text("a")), (1, text("a")), (2, text("a") + " x"), (None, text("a")), (None, text("b")), (None, text("b")), (None, text("c")), (3, text("d")), (3, text("e")), (4, ""), (4, ""), (None, None)]
+    docs = written(spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3), "test-ids")
+    kept = corpus_pipeline.keep_one_of_near_copies(spark, docs, DATA)
+    assert kept.columns == docs.columns
+    want = [(1, text("a")), (None, text("b")), (None, text("c")), (3, text("d")), (3, text("e")), (4, ""), (4, ""), (None, None)]
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted(want, key=str)
+    mixed = corpus_pipeline.mix_sources(spark, docs, DATA)
+    assert mixed.columns == docs.columns
+    counts = {(r.doc_id, r.text): r["count"] for r in mixed.groupBy("doc_id", "text").count().collect()}
+    repeats = {row: rows.count(row) for row in rows}
+    assert all(n <= 2 * repeats[row] for row, n in counts.items())
+    # every row is in the mix's first epoch, as one source may be taken one and a half times
+    assert all(counts.get(row, 0) >= n for row, n in repeats.items() if row[1])

@@ -61,16 +61,19 @@ def targets(sizes: DataFrame, budget: float = BUDGET, epochs: int = EPOCHS) -> D
     )
 
 
-def mix(docs: DataFrame, budget: float = BUDGET, epochs: int = EPOCHS) -> DataFrame:
+def mix(docs: DataFrame, budget: float = BUDGET, epochs: int = EPOCHS, key: str | None = None) -> DataFrame:
     """One row per row of docs (doc_id, source, text): doc_id, source, size, source_size, target, taken, copies.
 
     size is the number of words (null text: 0), taken the words that the mix holds of this document, copies how often
     it holds it. Null sources are one source, ordered last. Documents without words are taken in no epoch. Repeated
     rows are documents of their own; among equal doc_ids and sizes either may be the last one taken. An empty table
-    gives an empty result; other columns of docs play no part.
+    gives an empty result; other columns of docs play no part, but for key: a column that tells all rows apart, which
+    is added to the result, deals out rows without a doc_id and orders equal ones.
     """
-    order = lambda e: F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(str(e))))
-    sized = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"))
+    own = [key] if key else []
+    name = F.coalesce(F.col("doc_id").cast("string"), *(F.concat(F.lit("row "), k) for k in own), F.lit(""))
+    order = lambda e: F.md5(F.concat_ws(":", name, F.lit(str(e))))
+    sized = docs.select(*own, "doc_id", "source", n_words(F.col("text")).alias("size"))
     sizes = written(sized.withColumns({f"order{e}": order(e) for e in range(epochs)}), "mix-sizes")
     shares = written(targets(sizes, budget, epochs), "mix-targets")
 
@@ -81,11 +84,11 @@ def mix(docs: DataFrame, budget: float = BUDGET, epochs: int = EPOCHS) -> DataFr
         ahead = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
         sums = sums.select(F.col("source").alias("of"), F.col("bucket").alias("at"), F.coalesce(F.sum("words").over(ahead), F.lit(0)).alias(f"ahead{e}"))
         rows = rows.join(sums, F.col("source").eqNullSafe(F.col("of")) & (F.col(f"bucket{e}") == F.col("at"))).drop("of", "at")
-        within = Window.partitionBy("source", f"bucket{e}").orderBy(f"order{e}", "size").rowsBetween(Window.unboundedPreceding, 0)
+        within = Window.partitionBy("source", f"bucket{e}").orderBy(f"order{e}", "size", *own).rowsBetween(Window.unboundedPreceding, 0)
         done = F.col("source_size") * e + F.col(f"ahead{e}") + F.sum("size").over(within)
         rows = rows.withColumn(f"finish{e}", F.when((F.col("size") > 0) & (F.col("target") > 0), done / F.col("target")))
     queue = written(
-        rows.select("doc_id", "source", "size", "source_size", "target", F.array(*(F.struct(F.col(f"finish{e}").alias("finish"), F.col(f"order{e}").alias("tie")) for e in range(epochs))).alias("queued")),
+        rows.select(*own, "doc_id", "source", "size", "source_size", "target", F.array(*(F.struct(F.col(f"finish{e}").alias("finish"), F.col(f"order{e}").alias("tie")) for e in range(epochs))).alias("queued")),
         "mix-queue",
     )
 
@@ -104,4 +107,4 @@ def mix(docs: DataFrame, budget: float = BUDGET, epochs: int = EPOCHS) -> DataFr
         .agg(F.min(F.struct("finish", "tie")).alias("first_refused"))
     )
     taken = F.size(F.filter("queued", lambda x: x["finish"].isNotNull() & (F.col("first_refused").isNull() | (F.struct(x["finish"], x["tie"]) < F.col("first_refused"))))).cast("long")
-    return queue.crossJoin(F.broadcast(last)).select("doc_id", "source", "size", "source_size", "target", (F.col("size") * taken).alias("taken"), taken.alias("copies"))
+    return queue.crossJoin(F.broadcast(last)).select(*own, "doc_id", "source", "size", "source_size", "target", (F.col("size") * taken).alias("taken"), taken.alias("copies"))
