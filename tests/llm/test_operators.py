@@ -337,6 +337,14 @@ def test_toxicity_restores_and_learns(spark):
     chars = model.chars.tolist()
     assert [toxicity.readings(w, chars)[-1] for w in ("bl0rg0n", "bloooorgon", "b.l.o.r.g.o.n", "bl-or-gon")] == ["blorgon"] * 4
     assert toxicity.fit(docs, spark.createDataFrame([], "doc_id long, toxic int")).weights == {}
+
+
+def test_toxicity_reads_long_runs_and_tokens_whole(spark):
+    rng = random.Random(6)
+    syllables = ["ta", "ren", "mo", "lis", "ver", "dan", "shi", "pol"]
+    plain = lambda: " ".join("".join(rng.choice(syllables) for _ in range(rng.randint(1, 4))) for _ in range(60))
+    rows = [(i, f"{plain()} {'blorgon' if i % 5 == 0 else ''} {plain()}") for i in range(500)]
+    model = toxicity.fit(spark.createDataFrame(rows, DOCS), spark.createDataFrame([(i, int(i % 5 == 0)) for i, _ in rows], "doc_id long, toxic int"))
     clean = [" ".join(rng.choice(syllables) + rng.choice(syllables) for _ in range(30)) for _ in range(20)]
     inner = lambda texts, sign: [(i, f"ta {sign.join(c for w in [*t.split()[:20], *mid, *t.split()[20:]] for c in w)} ren") for i, (t, mid) in enumerate(texts)]
     for sign in (" ", "."):  # inside of runs of over 64 characters, and of long tokens
