@@ -11,6 +11,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -295,26 +296,66 @@ def test_topk_search_asks_whole_documents(spark, tmp_path):
         assert sorted(found) == [(k + 1, i, pytest.approx(-s, abs=2e-6)) for k, (s, i) in enumerate(sorted(scores)[:20])]
 
 
-def test_nearest(spark):
+def _nearest_by_force(rows, q, k):
+    """(vec_id, distance) of the k nearest ids by one distance at a time; rows (vec_id, vector) of usable vectors."""
+    own = min(tuple(v) for i, v in rows if i == q)
+    gaps = {}
+    for i, v in rows:
+        if i != q and len(v) == len(own):
+            gaps[i] = min(gaps.get(i, math.inf), math.sqrt(sum((a - b) ** 2 for a, b in zip(own, v, strict=True))))
+    return sorted(gaps.items(), key=lambda x: (x[1], x[0]))[:k]
+
+
+def test_nearest_with_odd_rows(spark):
     rng = np.random.default_rng(0)
-    centres = rng.normal(size=(20, 16))
-    vectors = {i: (centres[i % 20] + 0.3 * rng.normal(size=16)).tolist() for i in range(1500)}
-    vectors |= {2000 + i: vectors[0] for i in range(40)}
-    odd = [(3000, None), (3001, [0.0] * 16), (3002, [None, *[1.0] * 15]), (3003, [float("nan")] * 16), (3004, [1.0] * 3)]
-    df = spark.createDataFrame([*vectors.items(), *odd], "vec_id long, embedding array<double>")
+    centres = rng.normal(size=(20, 8))
+    rows = [(i, (centres[i % 20] + 0.3 * rng.normal(size=8)).tolist()) for i in range(300)]
+    rows += [(2000 + i, rows[0][1]) for i in range(40)] + [(50, rows[7][1]), (50, rows[7][1]), (61, rows[50][1]), *((4000 + 50 * i, [float(i), 1.0, 2.0]) for i in range(4))]
+    odd = [(3000, None), (3001, [0.0] * 8), (3002, [None, *[1.0] * 7]), (3003, [float("nan")] * 8), (None, rows[0][1])]
+    df = spark.createDataFrame([*rows, *odd], "vec_id long, embedding array<double>").repartition(3).withColumns({"rank": F.lit("mine"), "query_id": F.lit(1), "v": F.lit(2)})
     got = defaultdict(list)
     for r in nearest.search(df, df.where("vec_id % 50 = 0 OR vec_id > 2999"), 10).collect():
         got[r.query_id].append((r.rank, r.vec_id, r.score))
-    ids, matrix = np.array(list(vectors)), np.array(list(vectors.values()))
-    hits = total = 0
-    for q in [i for i in vectors if i % 50 == 0]:
-        gap = np.sqrt(((matrix - np.array(vectors[q])) ** 2).sum(1))
-        want = [int(ids[k]) for k in np.lexsort((ids, gap)) if ids[k] != q][:10]
-        mine = sorted(got.pop(q))
-        assert [m[0] for m in mine] == list(range(1, 11)) and all(s == pytest.approx(gap[list(ids).index(v)]) for _, v, s in mine)
-        hits += len(set(want) & {m[1] for m in mine})
-        total += 10
-    assert hits / total >= 0.9 and not got
+    asked = {i for i, _ in rows if i % 50 == 0 or i > 2999}
+    assert set(got) == asked
+    for q in asked:
+        assert sorted(got[q]) == [(k + 1, i, pytest.approx(s)) for k, (i, s) in enumerate(_nearest_by_force(rows, q, 10))]
+
+
+@pytest.mark.parametrize("clusters", [0, 150])
+def test_nearest_finds_by_hashing(spark, clusters):
+    rng = np.random.default_rng(clusters)
+    x = rng.normal(size=(12_000, 24))
+    if clusters:
+        x = 4 * rng.normal(size=(clusters, 24))[rng.integers(0, clusters, 12_000)] + x
+    x[5000:5400] = x[5000]  # a vector with many copies
+    df = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(12_000), "embedding": x.tolist()}), "vec_id long, embedding array<double>").repartition(4)
+    asked = df.where("vec_id % 100 = 0")
+    rows, wanted = nearest.usable(df), nearest.usable(asked)
+    (hasher, recall, share) = nearest.hashers_of(rows, wanted, 10)[24]
+    assert recall >= 0.9 and share < (0.2 if clusters else 0.6)
+    shard = nearest._Shard(np.arange(12_000), x, hasher)
+    assert shard.candidates(x[::100]).mean() < share + 0.05
+    hits = 0
+    found = defaultdict(list)
+    for r in nearest.search(df, asked, 10).collect():
+        found[r.query_id].append((r.rank, r.vec_id, r.score))
+    assert set(found) == set(range(0, 12_000, 100))
+    for q, mine in found.items():
+        gap = np.sqrt(((x - x[q]) ** 2).sum(1))
+        want = [int(i) for i in np.lexsort((np.arange(12_000), gap)) if i != q][:10]
+        assert sorted(r for r, _, _ in mine) == list(range(1, 11)) and all(s == gap[v] for _, v, s in mine)
+        hits += len(set(want) & {v for _, v, _ in mine})
+    assert hits / (10 * len(found)) >= 0.9
+
+
+def test_nearest_sets_of_steps_are_in_order():
+    sets = nearest.step_sets(5, 60)
+    assert (sets[0] == -1).all() and len({tuple(r) for r in sets.tolist()}) == len(sets)
+    m = 5
+    expect = [j * (j + 1) / (4 * (m + 1) * (m + 2)) if j <= m else 1 - (2 * m + 1 - j) / (m + 1) + (2 * m + 1 - j) * (2 * m + 2 - j) / (4 * (m + 1) * (m + 2)) for j in range(1, 2 * m + 1)]
+    every = sorted(sum(expect[c] for c in range(2 * m) if mask >> c & 1) for mask in range(1 << 2 * m) if not any(mask >> c & 1 and mask >> (2 * m - 1 - c) & 1 for c in range(m)))
+    assert [sum(expect[c] for c in row if c >= 0) for row in sets.tolist()] == pytest.approx(every[:60])
 
 
 def test_toxicity_restores_and_learns(spark):
