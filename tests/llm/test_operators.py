@@ -176,26 +176,42 @@ def test_token_counts(spark):
     from sentencepiece import SentencePieceProcessor
 
     model = SentencePieceProcessor(model_file=public_tokenizers.path(token_counts.VOCABULARY))
-    docs = spark.createDataFrame(list(enumerate(TEXTS)), DOCS).withColumn("n_tokens", F.lit("mine"))
+    long = ["a" * 70_000, "b" + "a" * 50_001, "日本" * 20_000, "\x00" * 17_000, "the" * 30_000 + " end", "▁" * 40_001 + "x", "abc\n" * 20_000]
+    rows = list(enumerate([*TEXTS, *long, *TEXTS[:3]]))
+    docs = spark.createDataFrame(rows, DOCS).withColumns({"n_tokens": F.lit("mine"), "_chunk": F.lit(1), "look": F.lit(2)})
     got = {r.doc_id: (r.n_bytes, r.n_tokens, r.over_limit) for r in token_counts.count(docs).collect()}
-    want = {i: (len((t or "").encode()), n := len(model.encode(t or "")), n > 4096) for i, t in enumerate(TEXTS)}
+    want = {i: (len((t or "").encode()), n := len(model.encode(t or "")), n > 4096) for i, t in rows}
     assert got == want
 
 
 def test_chunk_maps_compose_to_the_whole(spark):
     machine, rng = token_counts.transducer(), random.Random(3)
-    for _ in range(60):
-        text = "".join(rng.choice("ab  \n▁é") for _ in range(rng.randint(1, 60)))
-        cuts = sorted(rng.randrange(len(text) + 1) for _ in range(4))
-        parts = [text[a:b] for a, b in zip([0, *cuts], [*cuts, len(text)], strict=True)]
-        maps = [token_counts.chunk_map(machine, p) for p in parts]
-        left = right = None
-        for m in maps:
-            left = m if left is None else token_counts.compose(machine, left, m)
-        for m in reversed(maps):
-            right = m if right is None else token_counts.compose(machine, m, right)
-        want = len(machine.model.encode(text))
-        assert token_counts.total(machine, left) == token_counts.total(machine, right) == token_counts.count_text(machine, text) == want
+    for n in range(300):
+        text = "".join(rng.choice("ab  \n▁étheino日" if n % 2 else "aab") for _ in range(rng.randint(1, 300)))
+        cuts = sorted({0, len(text), *(rng.randrange(len(text) + 1) for _ in range(4))})
+        parts = list(zip(cuts, cuts[1:], strict=False))
+        look = rng.choice([1, 3, 64])
+        maps = [machine.chunk_map(text[a:b], text[max(0, a - look) : a]) for a, b in parts]
+        for k in range(1, len(maps)):  # chunks that are entered otherwise than expected
+            if token_counts.compose(maps[k - 1], maps[k]) is None:
+                maps[k] = machine.chunk_map(text[parts[k][0] : parts[k][1]], text[max(0, parts[k][0] - look) : parts[k][0]], maps[k - 1][1])
+        left, right = maps[0], maps[-1]
+        for m in maps[1:]:
+            left = token_counts.compose(left, m)
+        for m in reversed(maps[:-1]):
+            right = token_counts.compose(m, right)
+        assert left == right and left[2] == machine.count([text])[0] == len(machine.model.encode(text))
+
+
+def test_transducer_tells_states_and_emitted_tokens():
+    machine = token_counts.transducer()
+    rng = random.Random(8)
+    texts = ["".join(rng.choice(["the", "in", "er", "▁", "a", "ñ", "x", "ing", "\n"]) for _ in range(rng.randint(0, 40))) for _ in range(800)]
+    assert machine.count(texts).tolist() == [len(machine.model.encode(t)) for t in texts]
+    before = len(machine.states)
+    assert machine.count(texts).tolist() == [len(machine.model.encode(t)) for t in texts] and len(machine.states) == before
+    machine.forget()
+    assert machine.count(texts[:5]).tolist() == [len(machine.model.encode(t)) for t in texts[:5]]
 
 
 def test_packing(spark):
