@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -396,6 +397,41 @@ def test_toxicity_restores_and_learns(spark):
     assert toxicity.fit(docs, spark.createDataFrame([], "doc_id long, toxic int")).weights == {}
 
 
+def test_toxicity_decodes_as_exhaustive_enumeration(spark):
+    rng = random.Random(12)
+    texts = ["".join(rng.choice("ilabegostz ") for _ in range(200)) for _ in range(30)]
+    chars = toxicity.char_model(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], DOCS)).tolist()
+
+    def worth(path):
+        x = y = 0
+        total = sum(cost for _, cost in path)
+        for ch in "".join(letters for letters, _ in path):
+            c = toxicity.char_class(ch)
+            total, x, y = total + chars[(x << 12) | (y << 6) | c], y, c
+        return total + chars[(x << 12) | (y << 6)]
+
+    for n in range(150):
+        token = "".join(rng.choice("16!|0@3$.-aabbgil") for _ in range(rng.randint(1, 5 if n % 3 == 0 else 8)))
+        breaks = n % 3 == 0
+        costs = defaultdict(lambda: math.inf)
+        for path in itertools.product(*toxicity._lattice(token, breaks)):
+            text = "".join(letters for letters, _ in path)
+            costs[text] = min(costs[text], worth(path))
+        assert costs[toxicity.decode(token, chars, breaks)] == pytest.approx(min(costs.values()), abs=1e-4), token
+
+
+def test_toxicity_of_odd_rows(spark):
+    rows = [(1, "good words here"), (1, "good words here"), (1, "other"), (None, "bad blorg"), (2, None), (3, "bl0rg " * 30_000), (4, "b l o r g " * 20_000), (5, "x" * 200_000 + "0a0b")]
+    docs = spark.createDataFrame([*rows, *((10 + i, f"say blorg {i} now") for i in range(30)), *((50 + i, f"say hello {i} now") for i in range(60))], DOCS).withColumns({"score": F.lit("a"), "predicted": F.lit("b"), "strongest": F.lit("c"), "near": F.lit(1)})
+    labels = spark.createDataFrame([*((10 + i, 1) for i in range(30)), *((50 + i, 0) for i in range(60)), (10, 1), (None, 1), (1, None)], "doc_id long, toxic int")
+    got = toxicity.score(docs, toxicity.fit(docs, labels)).collect()
+    assert len(got) == 98 and {r.score for r in got if r.text == "good words here"} == {next(r.score for r in got if r.doc_id == 2)}
+    assert [r.predicted for r in got if r.doc_id in (3, 4)] == [1, 1] and next(r.predicted for r in got if r.doc_id is None) == 1
+    line = " ".join(f"licence{i}" for i in range(20))
+    own = lambda k: " ".join(f"own{k}x{i}" for i in range(60))
+    assert len({toxicity._near(f"{line} {own(k)}") for k in range(30)}) == 30 and toxicity._near(own(1)) == toxicity._near(own(1).upper())
+
+
 def test_toxicity_reads_long_runs_and_tokens_whole(spark):
     rng = random.Random(6)
     syllables = ["ta", "ren", "mo", "lis", "ver", "dan", "shi", "pol"]

@@ -6,7 +6,8 @@ as a separator or a repeat. Runs of spaced letters and long tokens may also brea
 counts are taken over all documents; the table has at most 64**3 rows whatever the corpus.
 
 The classifier sees the words as written and as restored, and the beginnings of each of them. It learns from at most
-max_labels labelled rows, one of each group of near-equal texts. A document scores by its strongest feature.
+max_labels labelled rows, one of each group of near-equal texts. A document scores by its strongest feature, a logistic
+function of that weight.
 """
 
 from __future__ import annotations
@@ -30,16 +31,18 @@ LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb",
 #: Channel costs in nats: a substitute, a skipped separator, a skipped sign that could be a letter, a second and a further repeat.
 COST_LEET, COST_SEPARATOR, COST_SIGN, COST_SECOND, COST_FURTHER = 0.7, 0.3, 6.0, 4.0, 0.1
 CLASSES = 64
-BEAM = 24
 #: Tokens of more characters are read as several words, as are letters that are spaced apart.
 LONG_TOKEN = 64
 PREFIXES = range(3, 9)
 MAX_LABELS = 50_000
 #: Steps to a unit in which weights are told apart for the cut.
 STEPS = 20
-#: Features kept, and the least share of toxic rows that must have one.
-MAX_FEATURES, LEAST_SHARE = 20_000, 0.01
-CACHE = 500_000
+#: The least share of the toxic labelled rows that must have a feature; it bounds how many there are.
+LEAST_SHARE = 0.01
+#: Min-hashes that near-equal labelled rows share.
+MINS = 6
+#: Characters of the words whose readings a task remembers.
+CACHE = 8_000_000
 
 _SPACED = re.compile(r"(?<!\S)(?:[^\W_][ .\-_*]){3,}[^\W_](?!\S)")
 _DRAWN = re.compile(r"(.)\1\1")
@@ -113,7 +116,7 @@ def _lattice(token: str, breaks: bool = False) -> list[list[tuple[str, float]]]:
 
 
 def decode(token: str, model: list[float], breaks: bool = False) -> str:
-    """The cheapest letters of a token, by Viterbi over states of the last two classes; work is linear in its length.
+    """The cheapest letters of a token, by Viterbi over all states of the last two classes; work is linear in its length.
 
     breaks: a word may end after each letter and at each skipped sign; the words come with spaces between them.
     """
@@ -130,7 +133,7 @@ def decode(token: str, model: list[float], breaks: bool = False) -> str:
                 key = x, y
                 if key not in nexts or now < nexts[key][0]:
                     nexts[key] = (now, (text, letters) if letters else text)
-        states = nexts if len(nexts) <= BEAM else dict(sorted(nexts.items(), key=lambda s: s[1][0])[:BEAM])
+        states = nexts
     text = min(((cost + model[(a << 12) | (b << 6)], text) for (a, b), (cost, text) in states.items()), key=lambda s: s[0])[1]
     letters = []
     while text:
@@ -184,6 +187,7 @@ class _Reader:
     def __init__(self, chars: np.ndarray):
         self.chars = chars.tolist()
         self.known: dict[str, tuple[str, ...]] = {}
+        self.held = 0
 
     def words(self, text: str) -> set[str]:
         text = text.lower()
@@ -191,20 +195,25 @@ class _Reader:
         for word in set(text.split()):
             got = self.known.get(word)
             if got is None:
-                if len(self.known) >= CACHE:
+                if self.held > CACHE:
                     self.known.clear()
+                    self.held = 0
                 got = self.known[word] = readings(word, self.chars)
+                self.held += len(word) + 16
             found.update(got)
         found.update(spaced(text, self.chars))
         return found
 
 
 def _near(text: str) -> int:
-    """The least hash of the 3-word shingles: near-equal texts mostly share it."""
+    """One number for the MINS least hashes of the 3-word shingles; a shared line alone does not make two texts alike."""
     data = np.frombuffer(text.encode(), np.uint8)
     hashes = words.find_words(data, np.array([0, len(data)]), lower=True)[3]
     rolled = words.rolled(hashes, min(3, max(1, len(hashes))), 0xD1342543DE82EF95)
-    return int(rolled.min().view(np.int64)) if len(rolled) else 0
+    if not len(rolled):
+        return 0
+    least = np.array([words.mix(rolled ^ np.uint64(k * 0x9E3779B97F4A7C15 & (1 << 64) - 1)).min() for k in range(MINS)])
+    return int(words.rolled(least, MINS, 0xC2B2AE3D27D4EB4F).view(np.int64)[0])
 
 
 def _counted(chars: np.ndarray, wanted: set[str] | None):
@@ -237,14 +246,16 @@ def fit(docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS) -> Mod
     """A model from docs (doc_id, text), all of them for the characters, and labels (doc_id, toxic) for the words.
 
     Rows whose crc32(doc_id) modulo 5 is 0 are held out. Of the rest, at most about max_labels are taken, by a hash of
-    the id. Without labelled rows of both kinds the model has no weights and every score is low.
+    the id, so that they can be broadcast and no text is shuffled but theirs. Of near-equal rows one counts. Without
+    labelled rows of both kinds the model has no weights and every score is low. Rows that repeat a doc_id with other
+    texts are rows of that label; null ids and texts have none and no words.
     """
     chars = char_model(docs)
     known = labels.where(F.col("toxic").isin(0, 1) & ~held_out()).select("doc_id", "toxic").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     share = max_labels / max(known.count(), 1)
     if share < 1:
         known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
-    labelled = docs.select("doc_id", "text").join(known, "doc_id").select("doc_id", "text", "toxic").mapInArrow(_nears, "doc_id long, text string, toxic int, near long")
+    labelled = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("doc_id", "text", "toxic").mapInArrow(_nears, "doc_id long, text string, toxic int, near long")
     rows = written(labelled.groupBy("near", "toxic").agg(F.min_by("text", "doc_id").alias("text")), "toxicity-labelled")
     totals = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
     toxic, clean = totals.get(1, 0), totals.get(0, 0)
@@ -253,7 +264,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS) -> Mod
         return model
     counts = lambda kind, wanted: rows.where(F.col("toxic") == kind).select("text").mapInArrow(_counted(chars, wanted), "feature string, n long").groupBy("feature").agg(F.sum("n").alias("n"))
     least = max(4, ceil(LEAST_SHARE * toxic))
-    bad = {r["feature"]: r["n"] for r in counts(1, None).where(F.col("n") >= least).orderBy(F.desc("n"), "feature").limit(MAX_FEATURES).collect()}
+    bad = {r["feature"]: r["n"] for r in counts(1, None).where(F.col("n") >= least).collect()}
     good = {r["feature"]: r["n"] for r in counts(0, set(bad)).collect()}
     for f, n in bad.items():
         ratio = log((n + 0.5) / (toxic + 1)) - log((good.get(f, 0) + 0.5) / (clean + 1))
@@ -275,13 +286,13 @@ def best_cut(counts: list[tuple[float, int, int]]) -> float:
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """docs with score (0 to 1; higher: likelier toxic), predicted (1 from 0.5 on) and strongest (the weight behind it).
 
-    Whole texts are read. Null and empty texts get the score of a text without any feature. Repeated rows score alike;
-    an empty table stays empty; columns of docs named like the added ones are replaced.
+    Whole texts are read, spaced letters and disguised tokens at any length. Null and empty texts get the score of a text
+    without any feature. Repeated rows score alike; an empty table stays empty; columns of docs named like the added ones are replaced.
     """
     docs = docs.drop("score", "predicted", "strongest")
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader, weights, worth = _Reader(model.chars), model.weights, {}
+        reader, weights, worth, held = _Reader(model.chars), model.weights, {}, 0
         for batch in batches:
             strongest = []
             for text in batch.column(batch.schema.get_field_index("text")).to_pylist():
@@ -290,8 +301,10 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 for word in set(text.split()):
                     value = worth.get(word)
                     if value is None:
-                        if len(worth) >= CACHE:
+                        if held > CACHE:
                             worth.clear()
+                            held = 0
+                        held += len(word) + 16
                         value = worth[word] = max((weights.get(f, 0.0) for w in readings(word, reader.chars) for f in features(w)), default=0.0)
                     if value > best:
                         best = value
