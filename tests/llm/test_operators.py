@@ -108,6 +108,36 @@ def test_substring_dedup(spark, vocabulary):
     assert {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in substring_dedup.dedup(docs).collect()} == want
 
 
+@pytest.mark.parametrize("hot", [1_000, 3])
+def test_substring_dedup_of_long_repeats(spark, monkeypatch, hot):
+    monkeypatch.setattr(substring_dedup, "HOT", hot)
+    rng = random.Random(hot)
+    v = [f"w{i}" for i in range(500)]
+    some = lambda n: [rng.choice(v) for _ in range(n)]
+    passages = [some(60), some(90), some(400), some(1500), ["Is", "onhe."] * 300, ["x", "y", "z"] * 40]
+    rows = []
+    for i in range(60):
+        text = some(rng.randint(0, 50))
+        for _ in range(rng.randint(0, 2)):
+            p = rng.choice(passages)
+            a = rng.choice([0, 0, rng.randrange(len(p) - 20)])
+            text += p[a : rng.choice([len(p), a + 36, a + 80])] + some(rng.randint(0, 30))
+        rows.append((rng.choice([i, None, 7]), " ".join(text)))
+    rows += [rows[1], rows[1], (None, None), (7, " "), (8, " ".join(some(40_000) + passages[2] + passages[2][50:]))]
+    seen = Counter(tuple(w[k : k + 35]) for _, t in rows for w in [words(t)] for k in range(len(w) - 34))
+    want = Counter()
+    for i, t in rows:
+        w = words(t)
+        gone = {x for k in range(len(w) - 34) if seen[tuple(w[k : k + 35])] > 1 for x in range(k, k + 35)}
+        want[i, len(w), len(gone), " ".join(x for k, x in enumerate(w) if k not in gone)] += 1
+    docs = spark.createDataFrame(rows, DOCS).repartition(3).withColumns({"firsts": F.lit("mine"), "n_words": F.lit(0), "name": F.lit(1)})
+    got = substring_dedup.dedup(docs)
+    assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept) for r in got.collect()) == want
+    assert {"name"} <= set(got.columns)
+    long, covered = substring_dedup.long_repeats(docs.withColumn("_key", F.monotonically_increasing_id()).select("_key", "text"))
+    assert 0 < covered.count() < long.count() and long.where("size >= 100").count() > 2
+
+
 def test_secret_spans(spark):
     pattern = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
     texts = [None, "", "secret=token : abcdefgh", "😀 Password = 'hunter22x' token:ab", "AKIA" + "Q7" * 8 + " AKIAAKIA", "deadbeef" * 4 + " api_key: x=y/z.w-", "a" * 50_000 + " passwd:abcdef", "token=" * 30]

@@ -2,23 +2,27 @@
 
 Texts are rewritten in rounds. A round may name maximal runs of one symbol, and names each pair of a left symbol and a
 right symbol; which side a symbol is on in a round follows from its name. Names are hashes of what they stand for, so
-they are the same in all documents without an exchange. Whether two neighbours pair depends on the two alone, so equal
-substrings get the same symbols in their interior. Each symbol carries its context: the words that decided it.
-
-- A window's anchor is the least-hashed symbol whose context lies in the window, of the highest round that has one
-  (single words are their own context, so there always is one). Equal windows have equal anchors at equal places.
-- Consecutive windows of one anchor form a stretch. Stretches are grouped by the anchor's symbol. A symbol that occurs
-  once in the corpus rules out all windows of its stretch. Stretches that are equal as a whole reveal repeats at once.
-- What is left are ends of repeats: different stretches of one symbol. Only their windows are compared one by one, by
-  the hash of all 35 words together with the symbol.
-
-No group is gathered: groups are counted with partial aggregation and joined back. Words are compared by 64-bit hashes,
-windows by 128 bits.
+they are the same in all documents. Whether two neighbours pair depends on the two alone, so equal substrings get the
+same symbols in their interior. Spark counts the names of three levels, one exchange each, from long symbols to short:
+
+- Long symbols, of LONG_ROUNDS rounds and at least 35 words. One that occurs twice, with a second hash of all its words
+  to verify it, is a repeat as a whole. All its occurrences are taken; but for one they leave the further levels.
+- Short symbols, as anchors of what is left. A window's anchor is the least-hashed symbol whose context (the words that
+  decided it) lies in the window, of the highest round that has one; single words are their own context. Equal windows
+  have equal anchors at equal places. Consecutive windows of one anchor form a stretch. An anchor that occurs once in
+  the corpus rules out all windows of its stretch; stretches that are equal as a whole are repeats.
+- Windows, of the different stretches that share an anchor: the ends of repeats. Only they are compared one by one, by
+  the hash of all 35 words together with the anchor.
+
+No group is gathered: groups are counted with partial aggregation. Groups of so many members that they would fill a task
+are at most HOT, so these are broadcast to their members instead of being joined. Words are compared by 64-bit hashes,
+symbols, stretches and windows by 128 bits.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -29,11 +33,15 @@ from tracehold.llm import words
 from tracehold.llm.storage import written
 
 WINDOW = 35
-#: Rounds of pairing, those that also name runs, the longest symbol in words, and the rounds whose symbols may anchor.
+#: Rounds of pairing, those that also name runs, the longest anchor in words, and the rounds whose symbols may anchor.
 ROUNDS, RUN_ROUNDS, LONGEST = 6, (0, 1), 10
 ANCHOR_ROUNDS = (6, 3, 1, 0)
+#: Rounds whose symbols are looked for as long repeats, those of them that also name runs, and the most words of one.
+LONG_ROUNDS, LONG_RUN_ROUNDS, MOST_WORDS = (11, 14, 18, 22), (0, 1, 3, 5, 8, 11, 15), 1 << 20
 #: Documents up to which the keys of those concerned are broadcast (8 bytes each); beyond, they are joined.
 BROADCAST_KEYS = 200_000
+#: Places of long repeats up to which they are broadcast (16 bytes each), and groups that may count as hot.
+BROADCAST_PLACES, HOT = 1_000_000, 1_000
 
 _PAIR, _RUN, _SIDE, _WINDOW_BASE, _STRETCH_BASE = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB
 U = np.uint64
@@ -59,7 +67,7 @@ def _borders(s: Symbols, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return left, right
 
 
-def name_runs(s: Symbols, edges: np.ndarray) -> Symbols:
+def name_runs(s: Symbols, edges: np.ndarray, longest: int = LONGEST) -> Symbols:
     """Each maximal run of one symbol that is not too long becomes a symbol."""
     n = len(s.name)
     if not n:
@@ -72,7 +80,7 @@ def name_runs(s: Symbols, edges: np.ndarray) -> Symbols:
     end = np.append(begin[1:], n)
     run = np.cumsum(starts) - 1
     low, high = left[begin], right[end - 1]
-    whole = s.size[begin] * (end - begin) <= LONGEST
+    whole = s.size[begin] * (end - begin) <= longest
     keep = starts | ~whole[run]
     merged = (whole & (end - begin > 1))[run]
     name = np.where(merged, words.mix(s.name * U(_RUN) + (end - begin)[run].astype(np.uint64)), s.name)
@@ -80,7 +88,7 @@ def name_runs(s: Symbols, edges: np.ndarray) -> Symbols:
     return Symbols(name, s.first, size, low[run], high[run]).take(np.flatnonzero(keep))
 
 
-def name_pairs(s: Symbols, edges: np.ndarray, number: int) -> Symbols:
+def name_pairs(s: Symbols, edges: np.ndarray, number: int, longest: int = LONGEST) -> Symbols:
     """Each left symbol followed by a right one, not too long together, becomes a symbol with it."""
     n = len(s.name)
     if not n:
@@ -89,7 +97,7 @@ def name_pairs(s: Symbols, edges: np.ndarray, number: int) -> Symbols:
     is_left = (words.mix(s.name ^ U(_SIDE * (number + 1) & (1 << 64) - 1)) & U(1)).astype(bool)
     doc = np.searchsorted(edges, s.first, "right")
     opens = np.zeros(n, bool)
-    opens[:-1] = is_left[:-1] & ~is_left[1:] & (doc[:-1] == doc[1:]) & (s.size[:-1] + s.size[1:] <= LONGEST)
+    opens[:-1] = is_left[:-1] & ~is_left[1:] & (doc[:-1] == doc[1:]) & (s.size[:-1] + s.size[1:] <= longest)
     closes = np.zeros(n, bool)
     closes[1:] = opens[:-1]
     low, high = np.where(~is_left & ~closes, left, s.low), np.where(is_left & ~opens, right, s.high)
@@ -119,16 +127,52 @@ def rounds(hashes: np.ndarray, edges: np.ndarray) -> list[Symbols]:
     return found
 
 
-def stretches(hashes: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Anchor symbol, hash of all words with the anchor's place, first window and number of windows of each stretch."""
+def _run_hashes(hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int) -> np.ndarray:
+    """A hash of each run hashes[start:end]."""
+    sums = np.zeros(len(hashes) + 1, np.uint64)
+    np.cumsum(hashes * words.powers(base, len(hashes)), out=sums[1:])
+    return words.mix((sums[ends] - sums[starts]) * words.powers(pow(base, -1, 1 << 64), len(hashes) + 1)[starts])
+
+
+def long_symbols(hashes: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Name, hash of all words, first word and number of words of each symbol of LONG_ROUNDS that is as long as a window."""
+    at = np.arange(len(hashes))
+    s = Symbols(hashes, at, np.ones(len(hashes), np.int64), at, at + 1)
+    found = []
+    for number in range(max(LONG_ROUNDS)):
+        if number in LONG_RUN_ROUNDS:
+            s = name_runs(s, edges, MOST_WORDS)
+        s = name_pairs(s, edges, number, MOST_WORDS)
+        if number + 1 in LONG_ROUNDS:
+            found.append(s.take(np.flatnonzero(s.size >= WINDOW)))
+    name, first, size = (np.concatenate([getattr(f, c) for f in found]) for c in ("name", "first", "size"))
+    # one symbol may be found in several rounds
+    _, once = np.unique(np.stack([first, size], 1), axis=0, return_index=True) if len(first) else (0, np.zeros(0, np.int64))
+    name, first, size = name[once], first[once], size[once]
+    return name, _run_hashes(hashes, first, first + size, _STRETCH_BASE | 1), first, size
+
+
+def stretches(hashes: np.ndarray, edges: np.ndarray, gone: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """Anchor symbol, hash of all words with the anchor's place, first window and number of windows of each stretch.
+
+    Windows that start at words in gone are left out.
+    """
     sizes = np.diff(edges)
     counts = np.maximum(sizes - WINDOW + 1, 0)
     total = int(counts.sum())
     if not total:
         none = np.zeros(0, np.uint64)
-        return none, none, none.astype(np.int64), none.astype(np.int64)
+        return none, none, none.astype(np.int64), none.astype(np.int64), none.astype(np.int64)
     doc = np.repeat(np.arange(len(sizes)), counts)
     start = np.arange(total) - np.repeat(np.cumsum(counts) - counts, counts) + edges[:-1][doc]
+    if gone is not None and len(gone):
+        left = np.ones(len(hashes), bool)
+        left[gone] = False
+        start, doc = start[left[start]], doc[left[start]]
+        total = len(start)
+        if not total:
+            none = np.zeros(0, np.uint64)
+            return none, none, none.astype(np.int64), none.astype(np.int64), none.astype(np.int64)
     anchor_name, anchor_at = np.zeros(total, np.uint64), np.zeros(total, np.int64)
     kind = np.zeros(total, np.int64)
     todo = np.arange(total)
@@ -140,7 +184,7 @@ def stretches(hashes: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, ...]:
         a, b = np.searchsorted(low, p), np.searchsorted(high, p + WINDOW, "right")
         seen = b > a
         here, a, b = todo[seen], a[seen], b[seen]
-        least = (words.mix(s.name) >> U(24) << U(24)) | np.arange(len(s.name), dtype=np.uint64)
+        least = (words.mix(s.name) >> U(32) << U(32)) | np.arange(len(s.name), dtype=np.uint64)
         table = [least]
         while (1 << len(table)) <= WINDOW:
             half = 1 << (len(table) - 1)
@@ -151,78 +195,97 @@ def stretches(hashes: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, ...]:
         for k in range(len(table)):
             at = power == k
             best[at] = np.minimum(table[k][a[at]], table[k][b[at] - (1 << k)])
-        j = (best & U((1 << 24) - 1)).astype(np.int64)
+        j = (best & U((1 << 32) - 1)).astype(np.int64)
         anchor_name[here], anchor_at[here], kind[here] = words.mix(s.name[j] + U(number)), s.first[j], number
         todo = todo[~seen]
         if not len(todo):
             break
     breaks = np.ones(total, bool)
-    breaks[1:] = (doc[1:] != doc[:-1]) | (anchor_at[1:] != anchor_at[:-1]) | (kind[1:] != kind[:-1])
+    breaks[1:] = (doc[1:] != doc[:-1]) | (anchor_at[1:] != anchor_at[:-1]) | (kind[1:] != kind[:-1]) | (start[1:] != start[:-1] + 1)
     first = np.flatnonzero(breaks)
     count = np.diff(np.append(first, total))
     p1 = start[first]
-    p2 = p1 + count - 1 + WINDOW
-    sums = np.zeros(len(hashes) + 1, np.uint64)
-    np.cumsum(hashes * words.powers(_STRETCH_BASE | 1, len(hashes)), out=sums[1:])
-    inverse = pow(_STRETCH_BASE | 1, -1, 1 << 64)
-    body = (sums[p2] - sums[p1]) * words.powers(inverse, len(hashes) + 1)[p1]
-    body = words.mix(words.mix(body) + (count * 64 + anchor_at[first] - p1).astype(np.uint64))
-    return anchor_name[first], body, p1 - edges[:-1][doc[first]], count
+    body = _run_hashes(hashes, p1, p1 + count - 1 + WINDOW, _STRETCH_BASE | 1)
+    body = words.mix(body + (count * 64 + anchor_at[first] - p1).astype(np.uint64))
+    return anchor_name[first], body, p1 - edges[:-1][doc[first]], count, doc[first]
 
 
 #: Windows of a stretch are numbered from its first word on: at * PLACES + windows in one number.
 PLACES = 64
 
 
+def _long_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        keys = batch.column(0).to_numpy()
+        for row, data, offsets in words.texts(batch.column(1)):
+            hashes, edges = _hashed(data, offsets)
+            name, body, first, size = long_symbols(hashes, edges)
+            of = np.searchsorted(edges, first, "right") - 1
+            yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(body.view(np.int64)), pa.array(keys[row + of]), pa.array(first - edges[of]), pa.array(size)], ["name", "body", "key", "first", "size"])
+
+
+def _hashed(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of texts, and where each text's words begin."""
+    doc, _, _, hashes = words.find_words(data, offsets)
+    return hashes, words.bounds(doc, len(offsets) - 1)
+
+
+def _expanded(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """starts[0], starts[0] + 1, ... for sizes[0] numbers, and so on."""
+    return np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(int(sizes.sum()))
+
+
 def _stretch_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Stretches of (key, text, firsts, sizes); windows inside of the given runs of words are left out."""
     for batch in batches:
         keys = batch.column(0).to_numpy()
         for row, data, offsets in words.texts(batch.column(1)):
-            doc, _, _, hashes = words.find_words(data, offsets)
             n = len(offsets) - 1
-            edges = words.bounds(doc, n)
-            name, body, at, count = stretches(hashes, edges)
-            of = np.repeat(np.arange(n), np.maximum(np.diff(edges) - WINDOW + 1, 0))[np.cumsum(count) - count] if len(count) else np.zeros(0, np.int64)
+            hashes, edges = _hashed(data, offsets)
+            firsts, sizes = batch.column(2).slice(row, n), batch.column(3).slice(row, n)
+            lengths = np.asarray(firsts.value_lengths().fill_null(0))
+            begin = firsts.flatten().to_numpy() + np.repeat(edges[:-1], lengths)
+            name, body, at, count, of = stretches(hashes, edges, _expanded(begin, sizes.flatten().to_numpy() - WINDOW + 1))
             yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(body.view(np.int64)), pa.array(keys[row + of]), pa.array(at * PLACES + count)], ["name", "body", "key", "place"])
 
 
 def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Windows of the open stretches of each text: (key, text, stretches (name, place, sure))."""
     for batch in batches:
-        for k in range(batch.num_rows):
-            (_, data, offsets), *_ = words.texts(batch.column(1).slice(k, 1))
-            hashes = words.find_words(data, offsets)[3]
-            rows = batch.column(2)[k].values
+        keys = batch.column(0).to_numpy()
+        for row, data, offsets in words.texts(batch.column(1)):
+            n = len(offsets) - 1
+            hashes, edges = _hashed(data, offsets)
+            lists = batch.column(2).slice(row, n)
+            rows = lists.flatten()
             name, place = rows.field(0).to_numpy(), rows.field(1).to_numpy()
             sure = rows.field(2).to_numpy(zero_copy_only=False)
+            of = np.repeat(np.arange(n), np.asarray(lists.value_lengths()))
             count = place % PLACES
             which = np.repeat(np.arange(len(place)), count)
-            at = (place // PLACES)[which] + np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count)
-            window = np.zeros(len(at), np.uint64)
-            for step in range(WINDOW):
-                window = window * U(_WINDOW_BASE) + hashes[at + step]
-            yield pa.RecordBatch.from_arrays([pa.array(name[which]), pa.array(words.mix(window).view(np.int64)), pa.array(np.full(len(at), batch.column(0)[k].as_py(), np.int64)), pa.array(at), pa.array(sure[which])], ["name", "window", "key", "at", "sure"])
+            at = _expanded(place // PLACES, count)
+            begin = at + edges[of[which]]
+            window = _run_hashes(hashes, begin, begin + WINDOW, _WINDOW_BASE | 1)
+            yield pa.RecordBatch.from_arrays([pa.array(name[which]), pa.array(window.view(np.int64)), pa.array(keys[row + of[which]]), pa.array(at), pa.array(sure[which])], ["name", "window", "key", "at", "sure"])
 
 
 def _kept_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """n_words, n_removed, kept text of (..., text, places)."""
+    """n_words, n_removed, kept text of (..., text, firsts, sizes); bytes.split() parts words as they are parted here."""
     for batch in batches:
-        texts, places = batch.column(batch.schema.get_field_index("text")), batch.column(batch.schema.get_field_index("places"))
+        texts, firsts, sizes = (batch.column(batch.schema.get_field_index(c)) for c in ("text", "firsts", "sizes"))
         total, gone, kept = [], [], []
-        for k in range(batch.num_rows):
-            (_, data, offsets), *_ = words.texts(texts.slice(k, 1))
-            _, first, last, _ = words.find_words(data, offsets)
-            change = np.zeros(len(first) + 1, np.int64)
-            if places[k].is_valid:
-                rows = places[k].values.to_numpy()
-                np.add.at(change, rows // PLACES, 1)
-                np.add.at(change, rows // PLACES + rows % PLACES - 1 + WINDOW, -1)
-            stay = np.cumsum(change[:-1]) == 0
-            raw = data.tobytes()
-            total.append(len(first))
-            gone.append(len(first) - int(stay.sum()))
-            kept.append(b" ".join(raw[a:b] for a, b in zip(first[stay].tolist(), last[stay].tolist(), strict=True)).decode())
-        out = [c for c in batch.schema.names if c not in ("text", "places")]
+        for k, text in enumerate(texts.cast(pa.large_binary())):
+            found = (text.as_py() or b"").split()
+            total.append(len(found))
+            if firsts[k].is_valid:
+                change = np.zeros(len(found) + 1, np.int64)
+                first = firsts[k].values.to_numpy()
+                np.add.at(change, first, 1)
+                np.add.at(change, first + sizes[k].values.to_numpy(), -1)
+                found = list(compress(found, (np.cumsum(change[:-1]) == 0).tolist()))
+            gone.append(total[-1] - len(found))
+            kept.append(b" ".join(found).decode())
+        out = [c for c in batch.schema.names if c not in ("text", "firsts", "sizes")]
         yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in out), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())], names=[*out, "n_words", "n_removed", "kept"])
 
 
@@ -232,23 +295,66 @@ def _of_keys(docs: DataFrame, keys: DataFrame) -> DataFrame:
     return docs.join(F.broadcast(keys) if few else keys, "_key", "left_semi")
 
 
-def repeated_places(keyed: DataFrame) -> DataFrame:
-    """(_key, place) of the repeated windows of keyed (_key, text): place // 64 is the first word, place % 64 the windows."""
-    all_rows = keyed.mapInArrow(_stretch_rows, "name long, body long, key long, place long")
-    shared = all_rows.groupBy("name").count().where("count > 1").select("name")
-    rows = written(all_rows.join(shared, "name"), "dedup-stretches")
-    groups = rows.groupBy("name", "body").agg(F.count("*").alias("n"), F.min(F.struct("key", "place")).alias("one"))
-    groups = written(groups.select("name", "body", "n", "one.key", "one.place"), "dedup-groups")
-    equal = rows.join(groups.where("n > 1").select("name", "body"), ["name", "body"]).select("key", "place")
+def _members(rows: DataFrame, groups: DataFrame, n: int, by: tuple[str, ...] = ("name", "body")) -> DataFrame:
+    """The rows of groups (by, n), which hold n members in all.
+
+    Groups of more than n / HOT members are fewer than HOT and are broadcast; the rows of all others are joined.
+    """
+    big = groups.where(F.col("n") > n // HOT)
+    few = groups.where(F.col("n") <= n // HOT).select(*by)
+    if big.isEmpty():
+        return rows.join(few, list(by), "left_semi")
+    hot = F.broadcast(big.select(*by))
+    return rows.join(hot, list(by), "left_semi").union(rows.join(hot, list(by), "left_anti").join(few, list(by), "left_semi"))
+
+
+def _size(table: DataFrame) -> int:
+    return table.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
+def long_repeats(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Runs of words (_key, first, size) that occur twice as long symbols: all of them, and all but one of each."""
+    symbols = written(keyed.mapInArrow(_long_rows, "name long, body long, key long, first long, size long"), "dedup-symbols")
+    groups = symbols.groupBy("name", "body").agg(F.count("*").alias("n"), F.min(F.struct("key", "first")).alias("one")).where("n > 1")
+    groups = written(groups.select("name", "body", "n", "one"), "dedup-shared-symbols")
+    found = written(_members(symbols, groups, _size(groups)), "dedup-long")
+    ones = groups.select(F.col("one.key").alias("key"), F.col("one.first").alias("first"), "name", "body")
+    others = found.join(ones, ["key", "first", "name", "body"], "left_anti")
+    runs = [df.select(F.col("key").alias("_key"), "first", "size") for df in (found, others)]
+    return runs[0], written(runs[1], "dedup-covered")
+
+
+def _listed(runs: DataFrame) -> DataFrame:
+    """(_key, firsts, sizes) of runs (_key, first, size)."""
+    both = runs.groupBy("_key").agg(F.collect_list(F.struct("first", "size")).alias("runs"))
+    return both.select("_key", F.col("runs.first").alias("firsts"), F.col("runs.size").alias("sizes"))
+
+
+def _with_runs(docs: DataFrame, runs: DataFrame, columns: list[str]) -> DataFrame:
+    """docs with firsts and sizes of their runs (null without); texts move only where the runs are too many to broadcast."""
+    few = runs.limit(BROADCAST_PLACES + 1).count() <= BROADCAST_PLACES
+    lists = written(_listed(runs), "dedup-runs")
+    return docs.join(F.broadcast(lists) if few else lists, "_key", "left").select(*columns, "text", "firsts", "sizes")
+
+
+def repeated_runs(keyed: DataFrame) -> DataFrame:
+    """(_key, first, size): runs of words of keyed (_key, text) whose windows are all repeated, and all repeated windows lie in one."""
+    long, covered = long_repeats(keyed)
+    rows = written(_with_runs(keyed, covered, ["_key"]).mapInArrow(_stretch_rows, "name long, body long, key long, place long"), "dedup-stretches")
+    groups = written(rows.groupBy("name", "body").agg(F.count("*").alias("n"), F.min(F.struct("key", "place")).alias("one")).select("name", "body", "n", "one.key", "one.place"), "dedup-groups")
+    repeated = written(groups.where("n > 1").select("name", "body", "n"), "dedup-equal")
+    equal = _members(rows, repeated, _size(repeated)).select("key", "place")
     # stretches of one symbol that differ: each is compared window by window, through one document that has it
-    several = groups.groupBy("name").count().where("count > 1").select("name")
-    single = written(groups.join(several, "name").select("name", "key", "place", (F.col("n") > 1).alias("sure")), "dedup-open")
+    several = written(groups.groupBy("name").agg(F.count("*").alias("n")).where("n > 1"), "dedup-several")
+    single = written(_members(groups, several, _size(several), ("name",)).select("name", "key", "place", (F.col("n") > 1).alias("sure")), "dedup-open")
     per_text = single.groupBy("key").agg(F.collect_list(F.struct("name", "place", "sure")).alias("open")).withColumnRenamed("key", "_key")
-    texts = _of_keys(keyed, single.select(F.col("key").alias("_key")).distinct()).dropDuplicates(["_key"])
+    texts = _of_keys(keyed, single.select(F.col("key").alias("_key")).distinct())
     windows = written(texts.join(per_text, "_key").select("_key", "text", "open").mapInArrow(_window_rows, "name long, window long, key long, at long, sure boolean"), "dedup-windows")
-    again = windows.groupBy("name", "window").agg(F.count("*").alias("n"), F.bool_or("sure").alias("sure")).where("n > 1").select("name", "window")
-    ends = windows.where("NOT sure").join(again, ["name", "window"]).select("key", (F.col("at") * PLACES + 1).alias("place"))
-    return equal.union(ends).withColumnRenamed("key", "_key")
+    again = windows.groupBy("name", "window").agg(F.count("*").alias("n"), F.bool_or("sure").alias("sure")).where("n > 1")
+    again = written(again.select("name", F.col("window").alias("body"), "n"), "dedup-again")
+    ends = _members(windows.where("NOT sure").withColumnRenamed("window", "body"), again, _size(again)).select("key", (F.col("at") * PLACES + 1).alias("place"))
+    short = equal.union(ends).select(F.col("key").alias("_key"), F.floor(F.col("place") / PLACES).alias("first"), (F.col("place") % PLACES - 1 + WINDOW).alias("size"))
+    return long.union(short)
 
 
 def dedup(docs: DataFrame) -> DataFrame:
@@ -259,17 +365,10 @@ def dedup(docs: DataFrame) -> DataFrame:
     texts of fewer than 35 words lose none. Repeated rows count as occurrences of each other. An empty table gives an
     empty result. Columns of docs named like the added ones, or with a leading underscore, are replaced.
     """
-    docs = docs.drop("n_words", "n_removed", "kept", "_key", "places").withColumn("_key", F.xxhash64("doc_id", "text"))
-    found = repeated_places(docs.select("_key", "text"))
-    places = written(found.groupBy("_key").agg(F.collect_list("place").alias("places")), "dedup-places")
-    carried = [c for c in docs.columns if c not in ("text", "_key")]
-    few = places.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
-    keys = places.select("_key")
-    if few:
-        hit = docs.join(F.broadcast(keys), "_key", "left_semi").join(places, "_key")
-        whole = docs.join(F.broadcast(keys), "_key", "left_anti").withColumn("places", F.lit(None).cast("array<long>"))
-        rows = hit.select(*carried, "text", "places").union(whole.select(*carried, "text", "places"))
-    else:
-        rows = docs.join(places, "_key", "left").select(*carried, "text", "places")
-    schema = rows.drop("text", "places").schema.add("n_words", "long").add("n_removed", "long").add("kept", "string")
-    return rows.mapInArrow(_kept_rows, schema)
+    docs = docs.drop("n_words", "n_removed", "kept", "_key", "firsts", "sizes")
+    carried = [c for c in docs.columns if c != "text"]
+    # rows are numbered once, so that ids may be null or repeat
+    rows = written(docs.withColumn("_key", F.monotonically_increasing_id()), "dedup-rows")
+    found = written(repeated_runs(rows.select("_key", "text")), "dedup-places")
+    schema = docs.select(*carried).schema.add("n_words", "long").add("n_removed", "long").add("kept", "string")
+    return _with_runs(rows, found, carried).mapInArrow(_kept_rows, schema)
