@@ -8,6 +8,7 @@ import itertools
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -165,6 +166,64 @@ def test_random_strings_are_found_and_names_are_not(spark):
     assert sum(got[i] > 0 for i, _ in plain) <= 3
 
 
+def _battery(token):
+    """(stratum, -ln of Fisher's combined p) of one candidate, from the definitions of the tests."""
+    bare = token.rstrip("=")
+    which = next(i for i, (_, _, pattern) in enumerate(secret_scan.ENCODINGS) if re.search(pattern, bare))
+    alphabet = secret_scan.ENCODINGS[which][1]
+    x, k, n = [alphabet.index(c) for c in bare], len(alphabet), len(bare)
+    upper = lambda z: max(math.erfc(z / math.sqrt(2)) / 2, 1e-18)
+    chi = sum((c - n / k) ** 2 / (n / k) for c in (x.count(v) for v in range(k)))
+    df = k - 1
+    p_chi = upper(((max(chi, 1e-9) / df) ** (1 / 3) - (1 - 2 / (9 * df))) / math.sqrt(2 / (9 * df)))
+    high = [v >= k / 2 for v in x]
+    ups = sum(high)
+    runs = 1 + sum(a != b for a, b in zip(high, high[1:], strict=False))
+    expected = 2 * ups * (n - ups) / n + 1
+    z_runs = math.sqrt(n) if ups in (0, n) else abs(runs - expected) / math.sqrt(max((expected - 1) * (expected - 2) / (n - 1), 1e-9))
+    mean = sum(x) / n
+    spread = sum((v - mean) ** 2 for v in x)
+    serial = sum((a - mean) * (b - mean) for a, b in zip(x, x[1:], strict=False)) / spread if spread else 1.0
+    z_serial = abs(serial + 1 / n) * math.sqrt(n)
+    half = -math.log(p_chi) - sum(math.log(min(1.0, 2 * upper(z))) for z in (z_runs, z_serial))
+    band = sum(n >= b for b in secret_scan.BANDS[1:])
+    return which * len(secret_scan.BANDS) + band, max(half - math.log(1 + half + half * half / 2), 0.0)  # Fisher: chi-squared with 6 degrees
+
+
+def test_randomness_battery(spark):
+    rng = random.Random(9)
+    alphabets = [a for _, a, _ in secret_scan.ENCODINGS]
+    tokens = ["".join(rng.choice(rng.choice(alphabets)[: rng.choice([4, 16, 64])]) for _ in range(rng.randint(20, 300))) for _ in range(150)]
+    tokens += ["".join(rng.choice(a) for _ in range(60)) + "=" for a in alphabets] + ["a1" * 20, "0" * 24 + "a", "ab12" * 3_000]
+    rows = spark.createDataFrame(list(enumerate(tokens)), DOCS).select("doc_id", secret_scan._tested(F.col("text")).alias("t")).collect()
+    for r in rows:
+        stratum, surprise = _battery(tokens[r.doc_id])
+        assert r.t.stratum == stratum and r.t.surprise == pytest.approx(surprise, rel=1e-3, abs=1e-4), tokens[r.doc_id][:80]
+
+
+def test_false_discovery_control(spark):
+    rng = random.Random(3)
+    rows = [(s, round(rng.choice([rng.random() * 3, 2 + rng.random() * 20]), 3)) for s in (0, 1, 7) for _ in range(400)]
+    got = secret_scan.cleared_from(spark.createDataFrame(rows, "stratum int, surprise double"))
+    for s in (0, 1, 7):
+        ps = sorted(math.exp(-math.floor(v * 10) / 10) for t, v in rows if t == s)
+        passing = [p for k, p in enumerate(ps) if p <= 0.05 * (k + 1) / len(ps)]
+        assert got[s] == pytest.approx(-math.log(max(passing)), abs=1e-6)
+
+
+def test_secret_scan_of_long_tokens_and_many_matches(spark):
+    rng = random.Random(2)
+    blob = base64.b64encode(rng.randbytes(750_000)).decode()
+    many = "".join(f"token={k:06d} " for k in range(20_000))
+    docs = spark.createDataFrame([(1, f"x {blob} y"), (2, many), (2, many), (None, None)], DOCS).withColumns({"n_hex": F.lit("mine"), "rows": F.lit(1)})
+    began = time.perf_counter()
+    got = secret_scan.redact(secret_scan.scan(docs)).collect()
+    assert time.perf_counter() - began < 60
+    assert [r.n_assign for r in got if r.doc_id == 2] == [20_000] * 2
+    assert {r.text for r in got if r.doc_id == 2} == {"[assign] " * 20_000}
+    assert next(r for r in got if r.doc_id == 1).n_random == 1 and next(r for r in got if r.doc_id is None).spans == ""
+
+
 def test_mixing(spark):
     rng = random.Random(1)
     rows = [(i, f"s{min(rng.randrange(9), 4)}" if i % 11 else None, " ".join(["w"] * rng.randint(0, 40))) for i in range(900)] + [(901, "s0", None), (902, "s0", "")]

@@ -2,7 +2,7 @@
 
 Only SQL functions run here. A candidate is a run of letters, digits and `+/_-` of 20 characters or more that holds both
 letters and digits and touches no pattern's span. Its encoding is inferred from the characters in it (hexadecimal,
-base 32, letters and digits, base 64). Three tests ask whether it could be a uniform draw from that alphabet:
+base 32, letters and digits, the two alphabets of base 64, or both). Three tests ask whether it could be a uniform draw from that alphabet:
 
 - chi-squared of the counts of characters, with the Wilson-Hilferty normal approximation;
 - Wald-Wolfowitz runs above and below the middle of the alphabet;
@@ -20,6 +20,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracehold.llm.storage import written
+
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 #: The same spans as `AKIA[A-Z0-9]+` and `[0-9a-f]+` after short matches are dropped: each run is matched as a whole.
 ACCESS, HEX = r"AKIA[A-Z0-9]{16,}", r"[0-9a-f]{24,}"
@@ -33,26 +35,52 @@ ENCODINGS = (
     ("HEX", "0123456789ABCDEF", "^[0-9A-F]+$"),
     ("base32", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "^[A-Z2-7]+$"),
     ("base62", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", "^[0-9A-Za-z]+$"),
-    ("base64", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_", "^.+$"),
+    ("base64", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "^[0-9A-Za-z+/]+$"),
+    ("base64url", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_", "^[0-9A-Za-z_-]+$"),
+    ("mixed", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_", "^.+$"),
 )
 #: Lower ends of the length bands, false-discovery rate, and bins of the p-value histogram (tenths of -ln p).
 BANDS, RATE, BINS = (20, 32, 48, 80, 160), 0.05, 400
+#: Matches whose places are summed together.
+BLOCK = 256
+
+
+def _blocks(rows: Column) -> Column:
+    return F.transform(F.sequence(F.lit(0), F.floor(F.greatest(F.size(rows) - 1, F.lit(0)) / BLOCK).cast("int")), lambda b: F.slice(rows, b * BLOCK + 1, F.lit(BLOCK)))
 
 
 def _matches(text: Column, pattern: str, keep: int | None = None) -> Column:
-    """Leftmost non-overlapping matches as structs (start, end, found), by code points."""
+    """Leftmost non-overlapping matches as structs (start, end, found, value), by code points.
+
+    Ends are sums of what was skipped and found before, taken block by block so that work is linear in the matches.
+    """
     pieces, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     value = F.regexp_extract_all(text, F.lit(pattern), F.lit(2)) if keep else found
-    rows = F.arrays_zip(pieces.alias("skipped"), found.alias("found"), value.alias("value"))
     nothing = F.array().cast("array<struct<start:int,end:int,found:string,value:string>>")
-    walked = F.aggregate(
-        F.slice(rows, F.lit(1), F.size(found)),
-        F.struct(F.lit(0).alias("at"), nothing.alias("out")),
-        lambda acc, x: F.struct(
-            (acc["at"] + F.length(x["skipped"]) + F.length(x["found"])).cast("int").alias("at"),
-            F.concat(acc["out"], F.array(F.struct((acc["at"] + F.length(x["skipped"])).cast("int").alias("start"), (acc["at"] + F.length(x["skipped"]) + F.length(x["found"])).cast("int").alias("end"), x["found"].alias("found"), x["value"].alias("value")))).alias("out"),
-        ),
-    )["out"]
+
+    def located(rows: Column) -> Column:
+        long = lambda x: F.length(x["skipped"]) + F.length(x["found"])
+        sums = F.transform(_blocks(rows), lambda b: F.struct(b.alias("rows"), F.aggregate(b, F.lit(0), lambda acc, x: acc + long(x)).alias("size")))
+        empty = F.array().cast("array<struct<rows:array<struct<skipped:string,found:string,value:string>>,at:int>>")
+        begun = F.aggregate(
+            sums, F.struct(F.lit(0).alias("at"), empty.alias("out")),
+            lambda acc, b: F.struct((acc["at"] + b["size"]).alias("at"), F.concat(acc["out"], F.array(F.struct(b["rows"].alias("rows"), acc["at"].alias("at")))).alias("out")),
+        )["out"]
+
+        def walked(block: Column) -> Column:
+            return F.aggregate(
+                block["rows"],
+                F.struct(block["at"].alias("at"), nothing.alias("out")),
+                lambda acc, x: F.struct(
+                    (acc["at"] + long(x)).alias("at"),
+                    F.concat(acc["out"], F.array(F.struct((acc["at"] + F.length(x["skipped"])).alias("start"), (acc["at"] + long(x)).alias("end"), x["found"].alias("found"), x["value"].alias("value")))).alias("out"),
+                ),
+            )["out"]
+
+        return F.flatten(F.transform(begun, walked))
+
+    rows = F.slice(F.arrays_zip(pieces.alias("skipped"), found.alias("found"), value.alias("value")), F.lit(1), F.size(found))
+    walked = _let(rows, located)
     kept = F.filter(walked, lambda x: F.length(x["value"]) >= keep) if keep else walked
     return F.when(text.rlike(pattern), kept).otherwise(nothing)
 
@@ -88,21 +116,25 @@ def _tested(token: Column) -> Column:
     bare = F.rtrim(token, F.lit("="))
     which = reduce(lambda rest, i: F.when(bare.rlike(ENCODINGS[i][2]), F.lit(i)).otherwise(rest), reversed(range(len(ENCODINGS))), F.lit(len(ENCODINGS) - 1))
     alphabet = F.element_at(F.array(*(F.lit(a) for _, a, _ in ENCODINGS)), which + 1)
-    k, n = F.length(alphabet).cast("double"), F.length(bare).cast("double")
-    # positions in the alphabet, one per character
-    marks = F.transform(F.sequence(F.lit(1), F.length(bare)), lambda i: (F.instr(alphabet, F.substr(bare, i, F.lit(1))) - 1).cast("double"))
-    packed = F.struct(which.alias("which"), k.alias("k"), n.alias("n"), marks.alias("x"))
-    return _let(packed, _scores)
+
+    def statistics(s: Column) -> Column:
+        k, n = F.length(s["alphabet"]).cast("double"), F.length(s["bare"]).cast("double")
+        # places in the alphabet, one per character, and the squared counts of its characters
+        marks = F.transform(F.slice(F.split(s["bare"], ""), F.lit(1), F.length(s["bare"])), lambda c: (F.instr(s["alphabet"], c) - 1).cast("double"))
+        counts = F.transform(F.slice(F.split(s["alphabet"], ""), F.lit(1), F.length(s["alphabet"])), lambda c: n - F.length(F.replace(s["bare"], c, F.lit(""))))
+        squares = F.aggregate(counts, F.lit(0.0), lambda acc, v: acc + v * v)
+        return _let(F.struct(s["which"].alias("which"), k.alias("k"), n.alias("n"), marks.alias("x"), squares.alias("squares")), _scores)
+
+    return _let(F.struct(bare.alias("bare"), which.alias("which"), alphabet.alias("alphabet")), statistics)
 
 
 def _scores(s: Column) -> Column:
     x, k, n = s["x"], s["k"], s["n"]
     total = lambda a: F.aggregate(a, F.lit(0.0), lambda acc, v: acc + v)
-    squares = total(F.transform(F.array_distinct(x), lambda v: F.pow(F.size(F.filter(x, lambda w: w == v)).cast("double"), F.lit(2.0))))
     rest = F.greatest(F.size(x) - 1, F.lit(0))
     pairs = F.slice(F.arrays_zip(x.alias("a"), F.concat(F.slice(x, F.lit(2), rest), F.array(F.lit(0.0))).alias("b")), F.lit(1), rest)
     high = F.size(F.filter(x, lambda v: v >= k / 2)).cast("double")
-    counted = F.struct((squares * k / n - n).alias("chi"), pairs.alias("pairs"), high.alias("high"), (total(x) / n).alias("mean"))
+    counted = F.struct((s["squares"] * k / n - n).alias("chi"), pairs.alias("pairs"), high.alias("high"), (total(x) / n).alias("mean"))
 
     def statistics(c: Column) -> Column:
         runs = 1 + F.size(F.filter(c["pairs"], lambda p: (p["a"] >= k / 2) != (p["b"] >= k / 2))).cast("double")
@@ -148,7 +180,7 @@ def _with_base(docs: DataFrame) -> DataFrame:
 def cleared_from(tested: DataFrame, rate: float = RATE) -> dict[int, float]:
     """For each stratum the least surprise of the Benjamini-Hochberg discoveries (ordinary text), from (stratum, surprise).
 
-    The p-values meet in a histogram of at most 25 * BINS rows, so only that table is gathered.
+    The p-values meet in a histogram of at most len(ENCODINGS) * len(BANDS) * BINS rows, so only that table is gathered.
     """
     bins = tested.groupBy("stratum", F.least(F.floor(F.col("surprise") * 10), F.lit(BINS - 1)).cast("int").alias("bin")).count().collect()
     found: dict[int, float] = {}
@@ -172,12 +204,11 @@ def scan(docs: DataFrame, rate: float = RATE) -> DataFrame:
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     base = F.concat("_assign", "_access", "_hex")
-    only = _with_base(docs.select("text")).select(F.inline(F.transform(_candidates(text, base), lambda x: F.struct(x["stratum"].alias("stratum"), x["surprise"].alias("surprise")))))
-    limits = cleared_from(only, rate)
-    limit = F.create_map(*(F.lit(v) for pair in limits.items() for v in pair)) if limits else F.create_map(F.lit(-1), F.lit(0.0))
     added = ("n_assign", "n_access", "n_hex", "n_random", "base_spans", "all_spans", "base_text", "spans")
-    rows = _with_base(docs.drop(*added, "_assign", "_access", "_hex", "_tested"))
-    tested = rows.withColumn("_tested", _candidates(text, base))
+    # texts are searched once: what is found is written beside them
+    tested = written(_with_base(docs.drop(*added, "_assign", "_access", "_hex", "_tested")).withColumn("_tested", _candidates(text, base)), "secrets-tested")
+    limits = cleared_from(tested.select(F.explode("_tested").alias("t")).select("t.stratum", "t.surprise"), rate)
+    limit = F.create_map(*(F.lit(v) for pair in limits.items() for v in pair)) if limits else F.create_map(F.lit(-1), F.lit(0.0))
     random = F.filter("_tested", lambda x: x["surprise"] < F.coalesce(limit[x["stratum"]], F.lit(float("inf"))))
     return tested.withColumns({
         "n_assign": F.size("_assign").cast("long"), "n_access": F.size("_access").cast("long"), "n_hex": F.size("_hex").cast("long"), "n_random": F.size(random).cast("long"),
@@ -189,12 +220,24 @@ def redact(scanned: DataFrame) -> DataFrame:
     """The documents of scan(), each run of overlapping spans in text replaced by `[kind]` of the first of them."""
     names = F.array(*map(F.lit, KINDS))
     text = F.coalesce(F.col("text"), F.lit(""))
-    cut = F.aggregate(
-        F.sort_array("all_spans"),
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda acc, x: F.when(x["start"] < acc["at"], F.struct(F.greatest(acc["at"], x["end"]).alias("at"), acc["out"].alias("out"))).otherwise(
-            F.struct(x["end"].alias("at"), F.concat(acc["out"], F.substr(text, acc["at"] + 1, x["start"] - acc["at"]), F.lit("["), F.element_at(names, x["kind"] + 1), F.lit("]")).alias("out"))
-        ),
-        lambda acc: F.concat(acc["out"], F.substr(text, acc["at"] + 1, F.length(text))),
-    )
-    return scanned.withColumn("text", F.when(F.size("all_spans") > 0, cut).otherwise(F.col("text")))
+    nothing = F.array().cast("array<string>")
+    state = lambda at, out: F.struct(at.cast("int").alias("at"), out.alias("out"))
+
+    def block(acc: Column, spans: Column) -> Column:
+        """The texts up to the end of some spans, cut from the part of the text that they reach over."""
+        begin, end = acc["at"], F.greatest(acc["at"], F.array_max(F.transform(spans, lambda x: x["end"])))
+
+        def cut(own: Column) -> Column:
+            return F.aggregate(
+                spans,
+                state(begin, nothing),
+                lambda a, x: F.when(x["start"] < a["at"], state(F.greatest(a["at"], x["end"]), a["out"])).otherwise(
+                    state(x["end"], F.concat(a["out"], F.array(F.substr(own, a["at"] - begin + 1, x["start"] - a["at"]), F.concat(F.lit("["), F.element_at(names, x["kind"] + 1), F.lit("]")))))
+                ),
+                lambda a: state(a["at"], F.concat(acc["out"], F.array(F.array_join(a["out"], "")))),
+            )
+
+        return _let(F.substr(text, begin + 1, end - begin), cut)
+
+    parts = F.aggregate(_blocks(F.sort_array("all_spans")), state(F.lit(0), nothing), block, lambda acc: F.concat(acc["out"], F.array(F.substr(text, acc["at"] + 1, F.length(text)))))
+    return scanned.withColumn("text", F.when(F.size("all_spans") > 0, F.array_join(parts, "")).otherwise(F.col("text")))
