@@ -135,7 +135,7 @@ def test_substring_dedup_of_long_repeats(spark, monkeypatch, hot):
     got = substring_dedup.dedup(docs)
     assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept) for r in got.collect()) == want
     assert {"name"} <= set(got.columns)
-    long, covered = substring_dedup.long_repeats(docs.withColumn("_key", F.monotonically_increasing_id()).select("_key", "text"))
+    long, covered = substring_dedup.long_repeats(docs.select(F.monotonically_increasing_id().alias("_key"), F.lit(1).alias("_key2"), "text"))
     assert 0 < covered.count() < long.count() and long.where("size >= 100").count() > 2
 
 

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracehold.llm import words
-from tracehold.llm.storage import written
+from tracehold.llm.storage import discard, written
 
 WINDOW = 35
 #: Rounds of pairing, those that also name runs, the longest anchor in words, and the rounds whose symbols may anchor.
@@ -210,18 +210,20 @@ def stretches(hashes: np.ndarray, edges: np.ndarray, gone: np.ndarray | None = N
     return anchor_name[first], body, p1 - edges[:-1][doc[first]], count, doc[first]
 
 
+#: What tells rows apart.
+KEYS, KEY_TYPES = ("_key", "_key2"), "_key long, _key2 int"
 #: Windows of a stretch are numbered from its first word on: at * PLACES + windows in one number.
 PLACES = 64
 
 
 def _long_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        keys = batch.column(0).to_numpy()
-        for row, data, offsets in words.texts(batch.column(1)):
+        for row, data, offsets in words.texts(batch.column(2)):
             hashes, edges = _hashed(data, offsets)
             name, body, first, size = long_symbols(hashes, edges)
             of = np.searchsorted(edges, first, "right") - 1
-            yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(body.view(np.int64)), pa.array(keys[row + of]), pa.array(first - edges[of]), pa.array(size)], ["name", "body", "key", "first", "size"])
+            own = pa.array(row + of)
+            yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(body.view(np.int64)), batch.column(0).take(own), batch.column(1).take(own), pa.array(first - edges[of]), pa.array(size)], ["name", "body", *KEYS, "first", "size"])
 
 
 def _hashed(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -236,27 +238,26 @@ def _expanded(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 def _stretch_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Stretches of (key, text, firsts, sizes); windows inside of the given runs of words are left out."""
+    """Stretches of (KEYS, text, firsts, sizes); windows inside of the given runs of words are left out."""
     for batch in batches:
-        keys = batch.column(0).to_numpy()
-        for row, data, offsets in words.texts(batch.column(1)):
+        for row, data, offsets in words.texts(batch.column(2)):
             n = len(offsets) - 1
             hashes, edges = _hashed(data, offsets)
-            firsts, sizes = batch.column(2).slice(row, n), batch.column(3).slice(row, n)
+            firsts, sizes = batch.column(3).slice(row, n), batch.column(4).slice(row, n)
             lengths = np.asarray(firsts.value_lengths().fill_null(0))
             begin = firsts.flatten().to_numpy() + np.repeat(edges[:-1], lengths)
             name, body, at, count, of = stretches(hashes, edges, _expanded(begin, sizes.flatten().to_numpy() - WINDOW + 1))
-            yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(body.view(np.int64)), pa.array(keys[row + of]), pa.array(at * PLACES + count)], ["name", "body", "key", "place"])
+            own = pa.array(row + of)
+            yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(body.view(np.int64)), batch.column(0).take(own), batch.column(1).take(own), pa.array(at * PLACES + count)], ["name", "body", *KEYS, "place"])
 
 
 def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Windows of the open stretches of each text: (key, text, stretches (name, place, sure))."""
+    """Windows of the open stretches of each text: (KEYS, text, stretches (name, place, sure))."""
     for batch in batches:
-        keys = batch.column(0).to_numpy()
-        for row, data, offsets in words.texts(batch.column(1)):
+        for row, data, offsets in words.texts(batch.column(2)):
             n = len(offsets) - 1
             hashes, edges = _hashed(data, offsets)
-            lists = batch.column(2).slice(row, n)
+            lists = batch.column(3).slice(row, n)
             rows = lists.flatten()
             name, place = rows.field(0).to_numpy(), rows.field(1).to_numpy()
             sure = rows.field(2).to_numpy(zero_copy_only=False)
@@ -266,7 +267,8 @@ def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at = _expanded(place // PLACES, count)
             begin = at + edges[of[which]]
             window = _run_hashes(hashes, begin, begin + WINDOW, _WINDOW_BASE | 1)
-            yield pa.RecordBatch.from_arrays([pa.array(name[which]), pa.array(window.view(np.int64)), pa.array(keys[row + of[which]]), pa.array(at), pa.array(sure[which])], ["name", "window", "key", "at", "sure"])
+            own = pa.array(row + of[which])
+            yield pa.RecordBatch.from_arrays([pa.array(name[which]), pa.array(window.view(np.int64)), batch.column(0).take(own), batch.column(1).take(own), pa.array(at), pa.array(sure[which])], ["name", "body", *KEYS, "at", "sure"])
 
 
 def _kept_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -290,9 +292,9 @@ def _kept_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _of_keys(docs: DataFrame, keys: DataFrame) -> DataFrame:
-    """The rows of docs whose key is in keys, without moving the texts of the others where keys are few."""
+    """The rows of docs whose keys are in keys, without moving the texts of the others where keys are few."""
     few = keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
-    return docs.join(F.broadcast(keys) if few else keys, "_key", "left_semi")
+    return docs.join(F.broadcast(keys) if few else keys, list(KEYS), "left_semi")
 
 
 def _members(rows: DataFrame, groups: DataFrame, n: int, by: tuple[str, ...] = ("name", "body")) -> DataFrame:
@@ -313,48 +315,64 @@ def _size(table: DataFrame) -> int:
 
 
 def long_repeats(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Runs of words (_key, first, size) that occur twice as long symbols: all of them, and all but one of each."""
-    symbols = written(keyed.mapInArrow(_long_rows, "name long, body long, key long, first long, size long"), "dedup-symbols")
-    groups = symbols.groupBy("name", "body").agg(F.count("*").alias("n"), F.min(F.struct("key", "first")).alias("one")).where("n > 1")
-    groups = written(groups.select("name", "body", "n", "one"), "dedup-shared-symbols")
+    """Runs of words (KEYS, first, size) that occur twice as long symbols: all of them, and all but one of each."""
+    symbols = written(keyed.mapInArrow(_long_rows, f"name long, body long, {KEY_TYPES}, first long, size long"), "dedup-symbols")
+    groups = symbols.groupBy("name", "body").agg(F.count("*").alias("n"), F.min(F.struct(*KEYS, "first")).alias("one")).where("n > 1")
+    groups = written(groups.select("name", "body", "n", "one.*"), "dedup-shared-symbols")
     found = written(_members(symbols, groups, _size(groups)), "dedup-long")
-    ones = groups.select(F.col("one.key").alias("key"), F.col("one.first").alias("first"), "name", "body")
-    others = found.join(ones, ["key", "first", "name", "body"], "left_anti")
-    runs = [df.select(F.col("key").alias("_key"), "first", "size") for df in (found, others)]
-    return runs[0], written(runs[1], "dedup-covered")
+    others = found.join(groups.drop("n"), ["name", "body", *KEYS, "first"], "left_anti")
+    covered = written(others.select(*KEYS, "first", "size"), "dedup-covered")
+    discard(symbols, groups)
+    return found.select(*KEYS, "first", "size"), covered
 
 
 def _listed(runs: DataFrame) -> DataFrame:
-    """(_key, firsts, sizes) of runs (_key, first, size)."""
-    both = runs.groupBy("_key").agg(F.collect_list(F.struct("first", "size")).alias("runs"))
-    return both.select("_key", F.col("runs.first").alias("firsts"), F.col("runs.size").alias("sizes"))
+    """(KEYS, firsts, sizes) of runs (KEYS, first, size)."""
+    both = runs.groupBy(*KEYS).agg(F.collect_list(F.struct("first", "size")).alias("runs"))
+    return both.select(*KEYS, F.col("runs.first").alias("firsts"), F.col("runs.size").alias("sizes"))
 
 
 def _with_runs(docs: DataFrame, runs: DataFrame, columns: list[str]) -> DataFrame:
     """docs with firsts and sizes of their runs (null without); texts move only where the runs are too many to broadcast."""
     few = runs.limit(BROADCAST_PLACES + 1).count() <= BROADCAST_PLACES
-    lists = written(_listed(runs), "dedup-runs")
-    return docs.join(F.broadcast(lists) if few else lists, "_key", "left").select(*columns, "text", "firsts", "sizes")
+    lists = _listed(runs)
+    if few:
+        return docs.join(F.broadcast(lists), list(KEYS), "left").select(*columns, "text", "firsts", "sizes")
+    lists = written(lists, "dedup-runs")
+    keys = lists.select(*KEYS)
+    hit = docs.join(F.broadcast(keys), list(KEYS), "left_semi") if (some := keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS) else docs
+    hit = hit.join(lists, list(KEYS), "inner" if some else "left").select(*columns, "text", "firsts", "sizes")
+    if not some:
+        return hit
+    none = F.lit(None).cast("array<long>")
+    whole = docs.join(F.broadcast(keys), list(KEYS), "left_anti").withColumns({"firsts": none, "sizes": none})
+    return hit.union(whole.select(*columns, "text", "firsts", "sizes"))
 
 
 def repeated_runs(keyed: DataFrame) -> DataFrame:
-    """(_key, first, size): runs of words of keyed (_key, text) whose windows are all repeated, and all repeated windows lie in one."""
+    """(KEYS, first, size) of keyed (KEYS, text): runs of words whose windows are all repeated; all repeated windows lie in one."""
     long, covered = long_repeats(keyed)
-    rows = written(_with_runs(keyed, covered, ["_key"]).mapInArrow(_stretch_rows, "name long, body long, key long, place long"), "dedup-stretches")
-    groups = written(rows.groupBy("name", "body").agg(F.count("*").alias("n"), F.min(F.struct("key", "place")).alias("one")).select("name", "body", "n", "one.key", "one.place"), "dedup-groups")
-    repeated = written(groups.where("n > 1").select("name", "body", "n"), "dedup-equal")
-    equal = _members(rows, repeated, _size(repeated)).select("key", "place")
+    every = written(_with_runs(keyed, covered, list(KEYS)).mapInArrow(_stretch_rows, f"name long, body long, {KEY_TYPES}, place long"), "dedup-stretches")
+    shared = written(every.groupBy("name").agg(F.count("*").alias("n")).where("n > 1"), "dedup-shared")
+    rows = written(_members(every, shared, _size(shared), ("name",)), "dedup-rows")
+    discard(every, covered)
+    groups = rows.groupBy("name", "body").agg(F.count("*").alias("n"), F.min(F.struct(*KEYS, "place")).alias("one"))
+    groups = written(groups.select("name", "body", "n", "one.*"), "dedup-groups")
+    repeated = groups.where("n > 1").select("name", "body", "n")
+    equal = _members(rows, repeated, _size(repeated)).select(*KEYS, "place")
     # stretches of one symbol that differ: each is compared window by window, through one document that has it
     several = written(groups.groupBy("name").agg(F.count("*").alias("n")).where("n > 1"), "dedup-several")
-    single = written(_members(groups, several, _size(several), ("name",)).select("name", "key", "place", (F.col("n") > 1).alias("sure")), "dedup-open")
-    per_text = single.groupBy("key").agg(F.collect_list(F.struct("name", "place", "sure")).alias("open")).withColumnRenamed("key", "_key")
-    texts = _of_keys(keyed, single.select(F.col("key").alias("_key")).distinct())
-    windows = written(texts.join(per_text, "_key").select("_key", "text", "open").mapInArrow(_window_rows, "name long, window long, key long, at long, sure boolean"), "dedup-windows")
-    again = windows.groupBy("name", "window").agg(F.count("*").alias("n"), F.bool_or("sure").alias("sure")).where("n > 1")
-    again = written(again.select("name", F.col("window").alias("body"), "n"), "dedup-again")
-    ends = _members(windows.where("NOT sure").withColumnRenamed("window", "body"), again, _size(again)).select("key", (F.col("at") * PLACES + 1).alias("place"))
-    short = equal.union(ends).select(F.col("key").alias("_key"), F.floor(F.col("place") / PLACES).alias("first"), (F.col("place") % PLACES - 1 + WINDOW).alias("size"))
-    return long.union(short)
+    single = written(_members(groups, several, _size(several), ("name",)).select("name", *KEYS, "place", (F.col("n") > 1).alias("sure")), "dedup-open")
+    per_text = single.groupBy(*KEYS).agg(F.collect_list(F.struct("name", "place", "sure")).alias("open"))
+    texts = _of_keys(keyed, single.select(*KEYS).distinct())
+    windows = texts.join(per_text, list(KEYS)).select(*KEYS, "text", "open").mapInArrow(_window_rows, f"name long, body long, {KEY_TYPES}, at long, sure boolean")
+    windows = written(windows, "dedup-windows")
+    again = written(windows.groupBy("name", "body").agg(F.count("*").alias("n")).where("n > 1"), "dedup-again")
+    ends = _members(windows.where("NOT sure"), again, _size(again)).select(*KEYS, (F.col("at") * PLACES + 1).alias("place"))
+    short = equal.union(ends).select(*KEYS, F.floor(F.col("place") / PLACES).alias("first"), (F.col("place") % PLACES - 1 + WINDOW).alias("size"))
+    found = written(long.union(short), "dedup-places")
+    discard(shared, rows, groups, several, single, windows, again)
+    return found
 
 
 def dedup(docs: DataFrame) -> DataFrame:
@@ -362,13 +380,13 @@ def dedup(docs: DataFrame) -> DataFrame:
 
     A word goes if it lies in 35 consecutive words of one document whose sequence also starts anywhere else, in another
     row or in the same text. Windows are those of the input, not of what is left. Null and empty texts have no words;
-    texts of fewer than 35 words lose none. Repeated rows count as occurrences of each other. An empty table gives an
-    empty result. Columns of docs named like the added ones, or with a leading underscore, are replaced.
+    texts of fewer than 35 words lose none. Repeated rows count as occurrences of each other; rows are told apart by 96
+    bits of hashes of doc_id and text, so ids may be null or repeat. An empty table gives an empty result. Columns of
+    docs named like the added ones, or with a leading underscore, are replaced.
     """
-    docs = docs.drop("n_words", "n_removed", "kept", "_key", "firsts", "sizes")
+    docs = docs.drop("n_words", "n_removed", "kept", *KEYS, "firsts", "sizes")
     carried = [c for c in docs.columns if c != "text"]
-    # rows are numbered once, so that ids may be null or repeat
-    rows = written(docs.withColumn("_key", F.monotonically_increasing_id()), "dedup-rows")
-    found = written(repeated_runs(rows.select("_key", "text")), "dedup-places")
+    rows = docs.withColumns({KEYS[0]: F.xxhash64("doc_id", "text"), KEYS[1]: F.hash("text", "doc_id")})
+    found = repeated_runs(rows.select(*KEYS, "text"))
     schema = docs.select(*carried).schema.add("n_words", "long").add("n_removed", "long").add("kept", "string")
     return _with_runs(rows, found, carried).mapInArrow(_kept_rows, schema)
