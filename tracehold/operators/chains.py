@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracehold.operators.detect import small
+
 SCHEME = "stream/1"
 SEPARATOR = "\x1f"
 #: Codes that make a session's evidence inadmissible.
@@ -98,7 +100,7 @@ def ledger_next(status: DataFrame, ledger: DataFrame) -> DataFrame:
 
 def key_status(signed: DataFrame, keys: DataFrame) -> DataFrame:
     """signed (key_id, role, at) against trust keys (key_id, roles, not_before, not_after, revoked_at); the first test that fails."""
-    known = signed.join(F.broadcast(keys), "key_id", "left")
+    known = signed.join(small(keys), "key_id", "left")
     status = (
         F.when(F.col("roles").isNull(), "KEY_UNKNOWN")
         .when(~F.array_contains("roles", F.col("role")), "KEY_WRONG_ROLE")

@@ -15,12 +15,21 @@ SEVERITIES = ("low", "medium", "high", "critical")
 START, END = "<start>", "<end>"
 
 
+#: Rows up to which a dimension is broadcast; a larger one is joined as any other table.
+DIMENSION_ROWS = 100_000
+
+
+def small(dimension: DataFrame) -> DataFrame:
+    """dimension, to be broadcast if it is as small as dimensions are."""
+    return F.broadcast(dimension) if dimension.limit(DIMENSION_ROWS + 1).count() <= DIMENSION_ROWS else dimension
+
+
 def classified(calls: DataFrame, manifest: DataFrame | None = None) -> DataFrame:
     """calls with class and class_source: the manifest (tool_id, effect) before the name; a manifest is a small dimension."""
     if manifest is None:
         known = calls.withColumn("effect", F.lit(None).cast("string"))
     else:
-        known = calls.join(F.broadcast(manifest.select(F.col("tool_id").alias("name"), "effect")), "name", "left")
+        known = calls.join(small(manifest.select(F.col("tool_id").alias("name"), "effect")), "name", "left")
     by_name = tool_class(F.col("name"))
     source = F.when(F.col("effect").isNotNull(), "manifest").when(by_name != "unknown", "name_heuristic").otherwise("unclassified")
     out = known.withColumns({"class": F.coalesce("effect", by_name), "class_source": source}).drop("effect")
@@ -28,15 +37,26 @@ def classified(calls: DataFrame, manifest: DataFrame | None = None) -> DataFrame
 
 
 def in_order(calls: DataFrame) -> Window:
-    return Window.partitionBy("session_id").orderBy(F.coalesce("start_arrival", "end_arrival"))
+    """Calls in clock order of their first event, those without a valid clock last, ties by arrival."""
+    return Window.partitionBy("session_id").orderBy(*call_clock())
+
+
+def call_clock() -> list[Column]:
+    at = F.when(F.col("start_arrival").isNotNull(), F.col("start_ts")).otherwise(F.col("end_ts"))
+    return [F.when(at.isNull() | F.isnan(at), 1).otherwise(0), at, F.coalesce("start_arrival", "end_arrival")]
 
 
 def transitions(calls: DataFrame) -> DataFrame:
-    """(session_id, prev, next, ...) over each session's calls in order, with a start and an end."""
+    """(session_id, prev, next, consequential, is_retry) over each session's calls in order, with a start and an end.
+
+    A retry repeats the tool and the arguments (arg_digest, where calls have one) of a call that did not execute.
+    """
     order = in_order(calls)
-    steps = calls.withColumns({"prev": F.coalesce(F.lag("name").over(order), F.lit(START)), "is_last": F.lead("name").over(order).isNull()})
-    inner = steps.select("session_id", "prev", F.col("name").alias("next"), "consequential")
-    return inner.unionByName(steps.where("is_last").select("session_id", F.col("name").alias("prev"), F.lit(END).alias("next"), F.lit(False).alias("consequential")))
+    before = lambda c: F.lag(c).over(order)
+    again = (before("name") == F.col("name")) & ~before("executed") & (before("arg_digest") == F.col("arg_digest")) if "arg_digest" in calls.columns else F.lit(False)
+    steps = calls.withColumns({"prev": F.coalesce(before("name"), F.lit(START)), "is_last": F.lead("name").over(order).isNull(), "is_retry": F.coalesce(again, F.lit(False))})
+    inner = steps.select("session_id", "prev", F.col("name").alias("next"), "consequential", "is_retry")
+    return inner.unionByName(steps.where("is_last").select("session_id", F.col("name").alias("prev"), F.lit(END).alias("next"), F.lit(False).alias("consequential"), F.lit(False).alias("is_retry")))
 
 
 def grammar(calls: DataFrame) -> DataFrame:
@@ -49,11 +69,11 @@ def unseen_transitions(calls: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def ch01_sequence_order(calls: DataFrame, known: DataFrame) -> DataFrame:
-    """Sessions whose order of tools is unusual: too many unseen transitions, or one into a consequential call."""
+    """Sessions whose order of tools is unusual: too many unseen transitions, or one into a consequential call, but for retries."""
     seen = known.select("prev", "next", F.lit(True).alias("seen"))
     vocabulary = known.select(F.col("next").alias("name")).where(F.col("name") != END).distinct()
     per = transitions(calls).join(seen, ["prev", "next"], "left").groupBy("session_id").agg(
-        F.count("*").alias("n_transitions"), F.count_if(F.col("seen").isNull()).alias("n_unseen"), F.count_if(F.col("seen").isNull() & F.col("consequential")).alias("n_into_consequential"),
+        F.count("*").alias("n_transitions"), F.count_if(F.col("seen").isNull()).alias("n_unseen"), F.count_if(F.col("seen").isNull() & F.col("consequential") & ~F.col("is_retry")).alias("n_into_consequential"),
     )
     tools = calls.groupBy("session_id", "name").agg(F.count("*").alias("n")).join(vocabulary.withColumn("known", F.lit(True)), "name", "left")
     shape = tools.groupBy("session_id").agg(F.sum("n").alias("n_calls"), F.count_if(F.col("known").isNull()).alias("n_novel"), (F.count_if(F.col("known")) / F.count("*")).alias("overlap"))
@@ -100,7 +120,7 @@ def ch04_guardrail(calls: DataFrame, events: DataFrame, enforcement: DataFrame,
         after = after.withColumn("approval", F.lit("none"))
     else:
         after = after.join(approvals, ["session_id", "start_arrival"], "left").withColumn("approval", F.coalesce("approval", F.lit("none")))
-    known = after.join(F.broadcast(enforcement.select(F.col("event_type").alias("policy"), "enforcement")), "policy", "left").withColumn("enforcement", F.coalesce("enforcement", F.lit("undeclared")))
+    known = after.join(small(enforcement.select(F.col("event_type").alias("policy"), "enforcement")), "policy", "left").withColumn("enforcement", F.coalesce("enforcement", F.lit("undeclared")))
     done = F.col("executed") & (F.col("approval") != "covered")
     tried = ~F.col("executed") & (F.col("approval") != "covered")
     sums = known.groupBy("session_id", "policy", "enforcement").agg(F.count_if(done).alias("n_completed"), F.count_if(done & (F.col("approval") == "denied")).alias("n_denied"), F.count_if(tried).alias("n_attempted"), F.bool_or(done & (F.col("class") == "egress")).alias("egress"))
@@ -116,7 +136,7 @@ def ch04_guardrail(calls: DataFrame, events: DataFrame, enforcement: DataFrame,
 def undeclared_controls(events: DataFrame, enforcement: DataFrame) -> DataFrame:
     """Policy events that match no declaration."""
     spoke = events.where(F.col("event_type").isin(*POLICY_TYPES)).groupBy("session_id", "event_type").agg(F.count("*").alias("n"))
-    return spoke.join(F.broadcast(enforcement.select("event_type")), "event_type", "left_anti")
+    return spoke.join(small(enforcement.select("event_type")), "event_type", "left_anti")
 
 
 def ch05_unpaired(calls: DataFrame) -> DataFrame:
@@ -173,7 +193,7 @@ def session_features(events: DataFrame, calls: DataFrame) -> DataFrame:
     per_event = events.groupBy("session_id").agg(
         F.count("*").alias("event_count"), F.min("ts").alias("started_at"), F.max("ts").alias("ended_at"), F.round(F.max("ts") - F.min("ts"), 3).alias("duration_s"),
         F.count_if(F.col("event_type").isin(*POLICY_TYPES)).alias("policy_events"), F.count_if(F.coalesce("marked", F.lit(False))).alias("markers"), F.count("marked").alias("scanner_answers"),
-        F.min_by("agent_name", F.struct("ts", "arrival")).alias("agent"), F.min_by("host", F.struct("ts", "arrival")).alias("host"), F.count_distinct("agent_name").alias("agents"),
+        F.min_by("agent_name", F.struct(*clock())).alias("agent"), F.min_by("host", F.struct(*clock())).alias("host"), F.count_distinct("agent_name").alias("agents"),
     )
     per_call = calls.groupBy("session_id").agg(
         F.count("*").alias("call_count"), F.count_distinct("name").alias("distinct_tools"), F.count_if("executed").alias("executed_calls"), F.count_if(F.col("state") == "open").alias("open_calls"),

@@ -17,15 +17,21 @@ def calls_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def benign_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Transitions of the sessions of users whose id is divisible by 3."""
-    return detect.grammar(calls_of(spark, sf_dir).where(F.pmod(F.regexp_extract("session_id", r"^u(\d+)", 1).cast("long"), F.lit(3)) == 0))
+    """Transitions of the sessions in which no scanner marked anything and no control spoke."""
+    suspect = telemetry(spark, sf_dir).where(F.col("marked") | F.col("event_type").isin(*detect.POLICY_TYPES)).select("session_id").distinct()
+    return detect.grammar(calls_of(spark, sf_dir).join(suspect, "session_id", "left_anti"))
+
+
+def with_arguments(calls: DataFrame, events: DataFrame) -> DataFrame:
+    """calls with the argument digest of their start."""
+    return calls.join(events.select(F.col("arrival").alias("start_arrival"), "arg_digest"), "start_arrival", "left")
 
 
 def enforcement(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([("cost_threshold_exceeded", "blocking")], "event_type string, enforcement string")
 
 
-_STEPS = ", ordered AS (SELECT *, coalesce(start_arrival, end_arrival) AS pos FROM classed), steps AS (SELECT session_id, coalesce(lag(name) OVER w, '<start>') AS prev, name AS next, consequential, lead(name) OVER w IS NULL AS is_last FROM ordered WINDOW w AS (PARTITION BY session_id ORDER BY pos)), trans AS (SELECT session_id, prev, next, consequential FROM steps UNION ALL SELECT session_id, next, '<end>', FALSE FROM steps WHERE is_last), grammar AS (SELECT prev, next, count(*) AS n FROM trans WHERE CAST(regexp_extract(session_id, '^u([0-9]+)', 1) AS BIGINT) % 3 = 0 GROUP BY ALL)"
+_STEPS = ", ordered AS (SELECT c.*, arg_digest, coalesce(start_ts, end_ts) AS clk, coalesce(start_arrival, end_arrival) AS pos FROM classed c LEFT JOIN (SELECT arrival AS start_arrival, arg_digest FROM tele) USING (start_arrival)), steps AS (SELECT session_id, coalesce(lag(name) OVER w, '<start>') AS prev, name AS next, consequential, coalesce(lag(name) OVER w = name AND NOT lag(executed) OVER w AND lag(arg_digest) OVER w = arg_digest, FALSE) AS is_retry, lead(name) OVER w IS NULL AS is_last FROM ordered WINDOW w AS (PARTITION BY session_id ORDER BY clk, pos)), trans AS (SELECT session_id, prev, next, consequential, is_retry FROM steps UNION ALL SELECT session_id, next, '<end>', FALSE, FALSE FROM steps WHERE is_last), grammar AS (SELECT prev, next, count(*) AS n FROM trans WHERE session_id NOT IN (SELECT session_id FROM tele WHERE marked OR event_type IN ('cost_threshold_exceeded', 'depth_exceeded')) GROUP BY ALL)"
 
 
 @query(CALLS + "SELECT session_id, name, state, executed, start_ts, start_arrival, end_ts, end_arrival, cost FROM calls")
@@ -40,9 +46,9 @@ def tool_calls_spanned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pair_calls(telemetry(spark, sf_dir).withColumn("span_id", span))
 
 
-@query(CALLS + "SELECT session_id, string_agg(name, ',' ORDER BY coalesce(start_arrival, end_arrival)) AS tools, count(*) AS n_calls FROM calls GROUP BY session_id")
+@query(CALLS + "SELECT session_id, string_agg(name, ',' ORDER BY coalesce(start_ts, end_ts), coalesce(start_arrival, end_arrival)) AS tools, count(*) AS n_calls FROM calls GROUP BY session_id")
 def tool_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    calls = pair_calls(telemetry(spark, sf_dir)).select("session_id", F.struct(F.coalesce("start_arrival", "end_arrival").alias("at"), "name").alias("call"))
+    calls = pair_calls(telemetry(spark, sf_dir)).select("session_id", F.struct(*detect.call_clock(), "name").alias("call"))
     return calls.groupBy("session_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("call")), lambda c: c["name"]), ",").alias("tools"), F.count("*").alias("n_calls"))
 
 
@@ -80,18 +86,17 @@ def grammar_bigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return benign_grammar(spark, sf_dir)
 
 
-@query(CALLS + _STEPS + "SELECT t.session_id, t.prev, t.next, count(*) AS n FROM trans t ANTI JOIN (SELECT * FROM grammar WHERE n >= 40) g ON t.prev = g.prev AND t.next = g.next GROUP BY ALL")
+@query(CALLS + _STEPS + "SELECT t.session_id, t.prev, t.next, count(*) AS n FROM trans t ANTI JOIN grammar g ON t.prev = g.prev AND t.next = g.next GROUP BY ALL")
 def unseen_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    known = benign_grammar(spark, sf_dir).where("n >= 40")
-    return detect.unseen_transitions(calls_of(spark, sf_dir), known).groupBy("session_id", "prev", "next").agg(F.count("*").alias("n"))
+    return detect.unseen_transitions(calls_of(spark, sf_dir), benign_grammar(spark, sf_dir)).groupBy("session_id", "prev", "next").agg(F.count("*").alias("n"))
 
 
-@query(CALLS + _STEPS + """, known AS (SELECT * FROM grammar WHERE n >= 40), vocab AS (SELECT DISTINCT next AS name FROM known WHERE next <> '<end>'),
-per AS (SELECT t.session_id, count(*) AS n_transitions, count_if(g.prev IS NULL) AS n_unseen, count_if(g.prev IS NULL AND consequential) AS n_into FROM trans t LEFT JOIN known g ON t.prev = g.prev AND t.next = g.next GROUP BY 1),
+@query(CALLS + _STEPS + """, known AS (SELECT * FROM grammar), vocab AS (SELECT DISTINCT next AS name FROM known WHERE next <> '<end>'),
+per AS (SELECT t.session_id, count(*) AS n_transitions, count_if(g.prev IS NULL) AS n_unseen, count_if(g.prev IS NULL AND consequential AND NOT is_retry) AS n_into FROM trans t LEFT JOIN known g ON t.prev = g.prev AND t.next = g.next GROUP BY 1),
 shape AS (SELECT session_id, sum(n) AS n_calls, count_if(v.name IS NULL) AS n_novel, count_if(v.name IS NOT NULL) / count(*) AS overlap FROM (SELECT session_id, name, count(*) AS n FROM calls GROUP BY ALL) c LEFT JOIN vocab v ON c.name = v.name GROUP BY 1)
 SELECT session_id, n_transitions, n_unseen, round(n_unseen / n_transitions, 6) AS rate, CASE WHEN n_novel > 0 THEN 'high' ELSE 'medium' END AS severity FROM per JOIN shape USING (session_id) WHERE (n_unseen / n_transitions > 0.25 OR n_into >= 1) AND NOT (n_calls >= 3 AND overlap < 0.5)""")
 def ch01_sequence_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return detect.ch01_sequence_order(calls_of(spark, sf_dir), benign_grammar(spark, sf_dir).where("n >= 40"))
+    return detect.ch01_sequence_order(with_arguments(calls_of(spark, sf_dir), telemetry(spark, sf_dir)), benign_grammar(spark, sf_dir))
 
 
 def _after(refs: str) -> str:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tracehold.functions import text
 from tracehold.operators import detect
+from tracehold.operators.pairing import clock
 from tracehold.plans.detections import calls_of
 from tracehold.plans.registry import query
 from tracehold.plans.view import CALLS, VIEW, table, telemetry
@@ -137,7 +138,7 @@ def ch02_concealment_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(VIEW + "SELECT session_id, arg_min(arrival, (ts, arrival)) AS first_event, min(ts) AS first_ts FROM tele WHERE event_type = 'cost_threshold_exceeded' GROUP BY 1")
 def first_policy_event(spark: SparkSession, sf_dir: str) -> DataFrame:
     spoke = telemetry(spark, sf_dir).where(F.col("event_type").isin(*detect.POLICY_TYPES))
-    return spoke.groupBy("session_id").agg(F.min_by("arrival", F.struct("ts", "arrival")).alias("first_event"), F.min("ts").alias("first_ts"))
+    return spoke.groupBy("session_id").agg(F.min_by("arrival", F.struct(*clock())).alias("first_event"), F.min("ts").alias("first_ts"))
 
 
 @query(VIEW + "SELECT event_type, CASE WHEN k % 3 = 0 THEN 'manifest' WHEN k % 3 = 1 THEN 'policy_event' ELSE 'undeclared' END AS source, CASE WHEN k % 3 = 0 THEN 'blocking' WHEN k % 3 = 1 THEN 'advisory' ELSE 'undeclared' END AS enforcement, count(*) AS n FROM tele WHERE event_type = 'cost_threshold_exceeded' GROUP BY ALL")
