@@ -10,7 +10,7 @@ import pytest
 from tracehold.functions.text import asserted
 from tracehold.operators import chains, evaluate
 from tracehold.operators.pairing import pair_by_name, pair_calls
-from tracehold.sources.jsonl import anonymous_windows, reject_code
+from tracehold.sources.jsonl import anonymous_windows, quarantined, read_lines, reject_code
 
 EVENTS = "session_id string, event_type string, tool_name string, span_id string, ts double, arrival long, cost double"
 
@@ -49,7 +49,7 @@ def test_pairing_by_span(spark):
     ("line", "code"),
     [
         ('{"a": 1}', None), ('{"a": 1, "a": 2}', "MALFORMED_JSON"), ('{"a": NaN}', "MALFORMED_JSON"), ('{"a": 1e999}', "MALFORMED_JSON"), ('{"a": 1} x', "MALFORMED_JSON"), ("[1]", "NOT_A_JSON_OBJECT"),
-        ("[" * 65 + "]" * 65, "NESTING_EXCEEDS_MAX_DEPTH"), ('{"a": "' + "[" * 70 + '"}', None), ('{"a": "�"}', "LINE_NOT_VALID_UTF8"), ("{" + ",".join(f'"k{i}": 1' for i in range(513)) + "}", "RECORD_EXCEEDS_MAX_KEYS"),
+        ("[" * 65 + "]" * 65, "NESTING_EXCEEDS_MAX_DEPTH"), ('{"a": "' + "[" * 70 + '"}', None), ('{"a": "�"}', None), ("{" + ",".join(f'"k{i}": 1' for i in range(513)) + "}", "RECORD_EXCEEDS_MAX_KEYS"),
         ('{"a": ' + "9" * 1025 + "}", "MALFORMED_JSON"), (None, "MALFORMED_JSON"),
     ],
 )
@@ -57,6 +57,12 @@ def test_reject_codes(line, code):
     assert reject_code(line) == code
 
 
+def test_encoding_is_tested_on_the_bytes(spark, tmp_path):
+    (tmp_path / "a.jsonl").write_bytes('{"a": "\ufffd"}\n'.encode() + b'{"a": "\xff"}\n\n{"a": "\xe2\x82"}\n{"b": 1}\n')
+    rows = quarantined(read_lines(spark, str(tmp_path))).orderBy("arrival").collect()
+    assert [r.reject_code for r in rows] == [None, "LINE_NOT_VALID_UTF8", "LINE_NOT_VALID_UTF8", None]
+
+
 def test_denials_hide_words():
     assert "email" not in asserted("I did not send any email to them")
     assert "email" in asserted("Nothing was skipped. I sent the email to Bob.")

@@ -60,7 +60,7 @@ def approval_matches(calls: DataFrame, granted: DataFrame) -> DataFrame:
     """
     g = granted.select("session_id", "span_id", "tool_id", F.col("arg_digest").alias("granted_digest"), "decision", "granted_at", "expires_at", "observed_at")
     both = calls.join(g, ["session_id", "span_id"]).where("tool_id IS NULL OR tool_id = name")
-    binding = F.when(F.col("granted_digest").isNull() | F.col("arg_digest").isNull(), "bound_span_only").when(F.col("granted_digest") == F.col("arg_digest"), "bound").otherwise("arg_mismatch")
+    binding = F.when(F.col("granted_digest") != F.col("arg_digest"), "arg_mismatch").when((F.col("granted_digest") == F.col("arg_digest")) & F.col("tool_id").isNotNull(), "bound").otherwise("bound_span_only")
     window = F.when(F.col("start_ts").isNull() | (F.col("granted_at").isNull() & F.col("expires_at").isNull()), F.lit(None)).otherwise(
         (F.coalesce("granted_at", F.lit(float("-inf"))) <= F.col("start_ts")) & (F.col("start_ts") <= F.coalesce("expires_at", F.lit(float("inf"))))
     )
@@ -75,6 +75,76 @@ def covering(matches: DataFrame) -> DataFrame:
     return good.withColumn("_nth", F.row_number().over(order)).where("_nth = 1").drop("_nth")
 
 
+#: What the approvals of a call come to, the first that holds.
+APPROVAL_STATES = ("denied", "covered", "unassured", "arg_mismatch", "expired", "span_only", "none")
+
+
+def approval_states(calls: DataFrame, matches: DataFrame, assured: Column | None = None) -> DataFrame:
+    """calls (session_id, span_id) with approval, one of APPROVAL_STATES, from approval_matches() of them.
+
+    assured: whether a match's approval is vouched for, where that is required; without it none needs to be.
+    """
+    fits = (F.col("decision") == "allow") & (F.col("binding") == "bound") & F.coalesce("observed_before", F.lit(False)) & F.coalesce("in_window", F.lit(True))
+    rank = (
+        F.when((F.col("decision") == "deny") & (F.col("binding") == "bound"), 1)
+        .when(fits & (F.lit(True) if assured is None else assured), 2)
+        .when(fits, 3)
+        .when(F.col("binding") == "arg_mismatch", 4)
+        .when(~F.col("in_window"), 5)
+        .when(F.col("binding") == "bound_span_only", 6)
+        .otherwise(7)
+    )
+    best = matches.groupBy("session_id", "span_id").agg(F.min(rank).alias("_rank"))
+    names = F.array(*map(F.lit, APPROVAL_STATES))
+    return calls.join(best, ["session_id", "span_id"], "left").withColumn("approval", F.element_at(names, F.coalesce("_rank", F.lit(7)))).drop("_rank")
+
+
+#: Tiers of trust from the weakest on, and the highest that a receipt's stated assurance allows.
+RECEIPT_TIERS = ("claimed", "bound", "authenticated", "reconciled")
+CEILINGS = {"operation": 4, "object": 2, "client": 1}
+
+
+def parsed_receipts(rows: DataFrame, scheme: str) -> DataFrame:
+    """rows (receipt JSON) with receipt, assurance_unreadable and receipt_defect; null for what names no call.
+
+    A receipt needs its scheme, authority, kind, identifier, and a binding that names something. An assurance that
+    cannot be read leaves the receipt, but not its trust.
+    """
+    rows = rows.withColumn("_r", F.from_json("receipt", RECEIPT))
+    short = lambda c: F.when(F.length(F.col(c)).between(1, 256), F.col(c))
+    bound = F.struct(short("_r.binding.span_id").alias("span_id"), short("_r.binding.tool_id").alias("tool_id"), digest_text(F.col("_r.binding.arg_digest")).alias("arg_digest"))
+    rows = rows.withColumn("_b", bound)
+    named = F.coalesce("_b.span_id", "_b.tool_id", "_b.arg_digest").isNotNull()
+    fine = F.coalesce((F.col("_r.scheme") == scheme) & short("_r.authority").isNotNull() & short("_r.kind").isNotNull() & short("_r.identifier").isNotNull() & named, F.lit(False))
+    odd = F.col("_r.assurance").isNotNull() & ~F.col("_r.assurance").isin(*CEILINGS)
+    made = F.struct("_r.authority", "_r.kind", "_r.identifier", F.col("_b").alias("binding"), F.when(~odd, F.col("_r.assurance")).alias("assurance"))
+    return rows.withColumns({
+        "receipt_defect": F.when(F.col("receipt").isNotNull() & (~fine | odd), "INVALID_RECEIPT_OBJECT"), "assurance_unreadable": fine & odd, "receipt": F.when(fine, made),
+    }).drop("_r", "_b")
+
+
+def receipt_binding(span_id: Column, name: Column, arg_digest: Column, contradicted: Column | None = None) -> Column:
+    """How a parsed receipt binds to its call: null without one, else unbound, arg_mismatch, bound or bound_span_only."""
+    b = F.col("receipt.binding")
+    whole = b["span_id"].isNotNull() & b["tool_id"].isNotNull() & b["arg_digest"].isNotNull() & span_id.isNotNull() & arg_digest.isNotNull()
+    return (
+        F.when(F.col("receipt").isNull(), F.lit(None))
+        .when((b["span_id"] != span_id) | (b["tool_id"] != name), "unbound")
+        .when((F.lit(False) if contradicted is None else contradicted) | (b["arg_digest"] != arg_digest), "arg_mismatch")
+        .when(whole, "bound")
+        .otherwise("bound_span_only")
+    )
+
+
+def receipt_tier(binding: Column) -> Column:
+    """The weaker of what the binding and the stated assurance support, as a place in RECEIPT_TIERS from 1 on."""
+    stated = F.col("receipt.assurance")
+    ceiling = F.when(F.col("assurance_unreadable"), 1).when(stated.isNull(), len(RECEIPT_TIERS))
+    for name, rank in CEILINGS.items():
+        ceiling = ceiling.when(stated == name, rank)
+    return F.when(F.col("receipt").isNotNull(), F.least(F.when(binding == "bound", 2).otherwise(1), ceiling.otherwise(1)))
+
+
 def dangling(granted: DataFrame, calls: DataFrame) -> DataFrame:
     """Approvals whose span no call has."""
     return granted.join(calls.select("session_id", "span_id").distinct(), ["session_id", "span_id"], "left_anti")

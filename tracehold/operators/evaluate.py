@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 Z95 = 1.959963984540054
 PREVALENCES = (0.001, 0.01, 0.05)
+#: Rows of cluster counts that a bootstrap holds in each task.
+DISTINCT = 100_000
 
 
 def counts(outcomes: DataFrame, *by: str) -> DataFrame:
@@ -51,20 +53,27 @@ def base_rate(confusion: DataFrame) -> DataFrame:
 def bootstrap(clusters: DataFrame, draws: int = 2000, seed: int = 7) -> DataFrame:
     """2.5%, 50% and 97.5% of recall and false-positive rate over resampled clusters (tp, fp, fn, tn).
 
-    The clusters' counts, one small row each, are the only thing gathered; draws are spread over tasks, each with its own
-    seeded generator.
+    Clusters with the same counts are one row with a number of clusters; draws are multinomial over these rows, spread over
+    tasks, each with its own seeded generator. There are at most DISTINCT of them: beyond, counts are rounded to as many
+    steps as that takes.
     """
     spark = clusters.sparkSession
-    table = clusters.select("tp", "fp", "fn", "tn").orderBy("tp", "fp", "fn", "tn").toPandas().to_numpy(np.int64)
+    names = ["tp", "fp", "fn", "tn"]
+    rows, unit = clusters.groupBy(*names).agg(F.count("*").alias("n")), 1
+    while rows.limit(DISTINCT + 1).count() > DISTINCT:
+        unit *= 2
+        rows = clusters.select(*((F.round(F.col(c) / unit) * unit).cast("long").alias(c) for c in names)).groupBy(*names).agg(F.count("*").alias("n"))
+    table = rows.orderBy(*names).toPandas().to_numpy(np.int64)
+    total = int(table[:, 4].sum()) if len(table) else 0
 
     def drawn(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            rows = []
+            found = []
             for draw in part["id"]:
-                picked = table[np.random.default_rng([seed, int(draw)]).integers(0, len(table), len(table))].sum(0)
+                picked = np.random.default_rng([seed, int(draw)]).multinomial(total, table[:, 4] / total) @ table[:, :4] if total else np.zeros(4)
                 tp, fp, fn, tn = picked.tolist()
-                rows.append((int(draw), tp / (tp + fn) if tp + fn else None, fp / (fp + tn) if fp + tn else None))
-            yield pd.DataFrame(rows, columns=["draw", "recall", "fpr"])
+                found.append((int(draw), tp / (tp + fn) if tp + fn else None, fp / (fp + tn) if fp + tn else None))
+            yield pd.DataFrame(found, columns=["draw", "recall", "fpr"])
 
     every = spark.range(draws).mapInPandas(drawn, "draw long, recall double, fpr double")
     at = F.array(F.lit(0.025), F.lit(0.5), F.lit(0.975))
@@ -89,4 +98,8 @@ def suppressed(alerts: DataFrame, quiet: float = 3600.0) -> DataFrame:
             until = ts + quiet if kept[-1] else until
         return part.assign(kept=kept)
 
-    return alerts.select("agent", "ts", "arrival").groupBy("agent").applyInPandas(fold, "agent string, ts double, arrival long, kept boolean")
+    # a pause of quiet seconds ends all suppression, so what lies between two pauses is folded by itself
+    order = Window.partitionBy("agent").orderBy("ts", "arrival")
+    pause = F.coalesce((F.col("ts") - F.lag("ts").over(order) >= quiet).cast("int"), F.lit(0))
+    runs = alerts.select("agent", "ts", "arrival").withColumn("run", pause).withColumn("run", F.sum("run").over(order))
+    return runs.groupBy("agent", "run").applyInPandas(fold, "agent string, ts double, arrival long, run long, kept boolean").drop("run")

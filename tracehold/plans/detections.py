@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from tracehold.functions.names import tool_class
 from tracehold.operators import detect
 from tracehold.operators.pairing import pair_calls
+from tracehold.plans import claims
+from tracehold.plans.claims import CLAIMS
 from tracehold.plans.registry import query
 from tracehold.plans.view import CALLS, VIEW, table, telemetry
 
@@ -126,28 +128,24 @@ def ch03_untrusted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect.ch03_untrusted(calls_of(spark, sf_dir), telemetry(spark, sf_dir))
 
 
-_APPROVALS = ", appr AS (SELECT session_id, start_arrival, CASE WHEN start_arrival % 5 = 0 THEN 'covered' ELSE 'denied' END AS approval FROM calls WHERE start_arrival % 5 IN (0, 1))"
-_CH04 = _POLICY + _APPROVALS + """, judged AS (SELECT p.*, coalesce(approval, 'none') AS approval FROM placed p LEFT JOIN appr a ON p.session_id = a.session_id AND p.start_arrival = a.start_arrival WHERE position = 'after' AND consequential AND p.start_arrival IS NOT NULL),
-sums AS (SELECT session_id, count_if(executed AND approval <> 'covered') AS n_completed, count_if(NOT executed AND approval <> 'covered') AS n_attempted FROM judged GROUP BY 1),
-ch04 AS (SELECT session_id, 'cost_threshold_exceeded' AS policy, 'blocking' AS enforcement, 'bypassed' AS kind, 'critical' AS severity, n_completed AS n_calls FROM sums WHERE n_completed > 0 UNION ALL SELECT session_id, 'cost_threshold_exceeded', 'blocking', 'attempted', 'medium', n_attempted FROM sums WHERE n_attempted > 0)"""
+_CH04 = _POLICY + CLAIMS + """, judged AS (SELECT p.*, coalesce(approval, 'none') AS approval FROM placed p LEFT JOIN states a ON p.session_id = a.session_id AND p.start_arrival = a.start_arrival WHERE position = 'after' AND consequential AND p.start_arrival IS NOT NULL),
+sums AS (SELECT session_id, CASE WHEN bool_or(executed AND approval <> 'covered' AND class = 'egress') THEN 'critical' ELSE 'high' END AS severity, count_if(executed AND approval <> 'covered') AS n_completed, count_if(NOT executed AND approval <> 'covered') AS n_attempted FROM judged GROUP BY 1),
+ch04 AS (SELECT session_id, 'cost_threshold_exceeded' AS policy, 'blocking' AS enforcement, 'bypassed' AS kind, severity, n_completed AS n_calls FROM sums WHERE n_completed > 0 UNION ALL SELECT session_id, 'cost_threshold_exceeded', 'blocking', 'attempted', 'medium', n_attempted FROM sums WHERE n_attempted > 0)"""
 
 
-def approvals_of(calls: DataFrame) -> DataFrame:
-    """Approval states by the start's number: a fifth covered, a fifth denied."""
-    rest = F.col("start_arrival") % 5
-    return calls.where(rest.isin(0, 1)).select("session_id", "start_arrival", F.when(rest == 0, "covered").otherwise("denied").alias("approval"))
+def approval_states_of(calls: DataFrame) -> DataFrame:
+    return claims.approval_states(calls).select("session_id", "start_arrival", "approval")
 
 
 @query(CALLS + _CH04 + "SELECT * FROM ch04")
 def ch04_guardrail(spark: SparkSession, sf_dir: str) -> DataFrame:
     calls = calls_of(spark, sf_dir)
-    return detect.ch04_guardrail(calls, telemetry(spark, sf_dir), enforcement(spark), approvals_of(calls))
+    return detect.ch04_guardrail(calls, telemetry(spark, sf_dir), enforcement(spark), approval_states_of(calls))
 
 
-@query(CALLS + _APPROVALS + "SELECT session_id, coalesce(approval, 'none') AS approval, count(*) AS n FROM calls LEFT JOIN appr USING (session_id, start_arrival) WHERE start_arrival IS NOT NULL GROUP BY ALL")
+@query(CALLS + CLAIMS + "SELECT session_id, approval, count(*) AS n FROM states GROUP BY ALL")
 def approval_states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    calls = calls_of(spark, sf_dir)
-    return calls.where("start_arrival IS NOT NULL").join(approvals_of(calls), ["session_id", "start_arrival"], "left").groupBy("session_id", F.coalesce("approval", F.lit("none")).alias("approval")).agg(F.count("*").alias("n"))
+    return claims.approval_states(calls_of(spark, sf_dir)).groupBy("session_id", "approval").agg(F.count("*").alias("n"))
 
 
 @query(VIEW + "SELECT session_id, event_type, count(*) AS n FROM tele WHERE event_type IN ('cost_threshold_exceeded', 'depth_exceeded') GROUP BY ALL")
@@ -165,24 +163,17 @@ def ch05_unpaired(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect.ch05_unpaired(calls_of(spark, sf_dir))
 
 
-_RECEIPTS = "CASE start_arrival % 4 WHEN 0 THEN 'bound' WHEN 1 THEN 'bound_span_only' WHEN 2 THEN 'arg_mismatch' END"
-_CH07 = f", ch07 AS (SELECT session_id, kind, n_calls, CASE WHEN kind = 'partial' THEN 'low' WHEN kind = 'contradicted' AND egress THEN 'high' ELSE 'medium' END AS severity FROM (SELECT session_id, CASE WHEN b IN ('unbound', 'arg_mismatch') THEN 'unbound' WHEN NOT executed AND b = 'bound' THEN 'contradicted' WHEN NOT executed AND b = 'bound_span_only' THEN 'partial' END AS kind, count(*) AS n_calls, bool_or(class = 'egress') AS egress FROM (SELECT *, {_RECEIPTS} AS b FROM classed WHERE state = 'complete') GROUP BY ALL) WHERE kind IS NOT NULL)"
-
-
-def receipted(calls: DataFrame) -> DataFrame:
-    """Complete calls with a receipt's binding by the start's number."""
-    rest = F.col("start_arrival") % 4
-    return calls.where("state = 'complete'").withColumn("receipt_binding", F.when(rest == 0, "bound").when(rest == 1, "bound_span_only").when(rest == 2, "arg_mismatch"))
+_CH07 = CLAIMS + ", ch07 AS (SELECT session_id, kind, n_calls, CASE WHEN kind = 'partial' THEN 'low' WHEN kind = 'contradicted' AND egress THEN 'high' ELSE 'medium' END AS severity FROM (SELECT session_id, CASE WHEN b IN ('unbound', 'arg_mismatch') THEN 'unbound' WHEN NOT executed AND b = 'bound' THEN 'contradicted' WHEN NOT executed AND b = 'bound_span_only' THEN 'partial' END AS kind, count(*) AS n_calls, bool_or(class = 'egress') AS egress FROM (SELECT *, receipt_binding AS b FROM receipted) GROUP BY ALL) WHERE kind IS NOT NULL)"
 
 
 @query(CALLS + _CH07 + "SELECT * FROM ch07")
 def ch07_effects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return detect.ch07_effects(receipted(calls_of(spark, sf_dir)))
+    return detect.ch07_effects(claims.with_receipts(calls_of(spark, sf_dir)))
 
 
-@query(CALLS + f"SELECT session_id, b AS receipt_binding, count(*) AS n FROM (SELECT *, {_RECEIPTS} AS b FROM classed WHERE state = 'complete') WHERE b IS NOT NULL GROUP BY ALL")
+@query(CALLS + CLAIMS + "SELECT session_id, receipt_binding, count(*) AS n FROM receipted WHERE receipt_binding IS NOT NULL GROUP BY ALL")
 def receipt_bindings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return receipted(calls_of(spark, sf_dir)).where("receipt_binding IS NOT NULL").groupBy("session_id", "receipt_binding").agg(F.count("*").alias("n"))
+    return claims.with_receipts(calls_of(spark, sf_dir)).where("receipt_binding IS NOT NULL").groupBy("session_id", "receipt_binding").agg(F.count("*").alias("n"))
 
 
 _FINDINGS = _MARKED + f", ch03 AS ({_CH03})" + _CH05 + _CH07 + ", findings AS (SELECT session_id, 'CH03' AS \"check\", severity FROM ch03 UNION ALL SELECT session_id, 'CH05', severity FROM ch05 UNION ALL SELECT session_id, 'CH07', severity FROM ch07)"
@@ -190,7 +181,7 @@ _FINDINGS = _MARKED + f", ch03 AS ({_CH03})" + _CH05 + _CH07 + ", findings AS (S
 
 def findings_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     calls = calls_of(spark, sf_dir)
-    return detect.union_findings(ch03=detect.ch03_untrusted(calls, telemetry(spark, sf_dir)), ch05=detect.ch05_unpaired(calls), ch07=detect.ch07_effects(receipted(calls)))
+    return detect.union_findings(ch03=detect.ch03_untrusted(calls, telemetry(spark, sf_dir)), ch05=detect.ch05_unpaired(calls), ch07=detect.ch07_effects(claims.with_receipts(calls)))
 
 
 @query(CALLS + _FINDINGS + "SELECT session_id, \"check\", severity, count(*) AS n FROM findings GROUP BY ALL")

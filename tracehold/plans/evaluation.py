@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tracehold.operators import evaluate
+from tracehold.operators import detect, evaluate
+from tracehold.operators.pairing import pair_calls
 from tracehold.plans.detections import _FINDINGS, calls_of, findings_of
 from tracehold.plans.registry import query
 from tracehold.plans.view import CALLS, VIEW, table, telemetry
@@ -108,11 +111,13 @@ def vocabulary_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return calls_of(spark, sf_dir).groupBy("name").agg(F.count("*").alias("n"), F.count_if(F.col("class") != "unknown").alias("recognised"), F.count_if((F.col("class") == "egress") == (F.col("name") == "send_payment")).alias("correct"), F.round(F.count_if(F.col("class") == "unknown") / F.count("*"), 6).alias("blind_rate"))
 
 
-@query(CALLS + "SELECT session_id, min(q) AS worst, round(avg(q), 6) AS mean, count_if(q = 0) AS unknown, count_if(q = 0.7) AS heuristic, count_if(q = 1) AS manifest FROM (SELECT session_id, CASE WHEN start_arrival % 2 = 0 THEN 1.0::DOUBLE WHEN class <> 'unknown' THEN 0.7::DOUBLE ELSE 0.0::DOUBLE END AS q FROM classed) GROUP BY 1")
+@query(CALLS + "SELECT session_id, min(q) AS worst, round(avg(q), 6) AS mean, count_if(q = 0) AS unknown, count_if(q = 0.7) AS heuristic, count_if(q = 1) AS manifest FROM (SELECT session_id, CASE WHEN name = 'fetch_page' THEN 1.0::DOUBLE WHEN class <> 'unknown' THEN 0.7::DOUBLE ELSE 0.0::DOUBLE END AS q FROM classed) GROUP BY 1")
 def class_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """1 for declared tools (every other call here), 0.7 for tools known by name, 0 for others."""
-    q = F.when(F.col("start_arrival") % 2 == 0, 1.0).when(F.col("class") != "unknown", 0.7).otherwise(0.0)
-    return calls_of(spark, sf_dir).withColumn("q", q).groupBy("session_id").agg(F.min("q").alias("worst"), F.round(F.avg("q"), 6).alias("mean"), F.count_if(F.col("q") == 0).alias("unknown"), F.count_if(F.col("q") == 0.7).alias("heuristic"), F.count_if(F.col("q") == 1).alias("manifest"))
+    """1 for tools of the manifest (it declares one here), 0.7 for tools known by name, 0 for others."""
+    manifest = spark.createDataFrame([("fetch_page", "read_only")], "tool_id string, effect string")
+    q = F.when(F.col("class") == "unknown", 0.0).when(F.col("class_source") == "manifest", 1.0).otherwise(0.7)
+    calls = detect.classified(pair_calls(telemetry(spark, sf_dir)), manifest)
+    return calls.withColumn("q", q).groupBy("session_id").agg(F.min("q").alias("worst"), F.round(F.avg("q"), 6).alias("mean"), F.count_if(F.col("q") == 0).alias("unknown"), F.count_if(F.col("q") == 0.7).alias("heuristic"), F.count_if(F.col("q") == 1).alias("manifest"))
 
 
 @query(VIEW + "SELECT session_id, round(coalesce(max(CASE WHEN k % 4 = 0 THEN cost * 10 END), sum(cost)), 6) AS cost FROM tele GROUP BY 1")
@@ -167,6 +172,7 @@ def separability_ceiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of a user's sessions whose actions are the same in order, as a bag, or in number."""
     one = F.struct("ts", "arrival", "event_type")
     per = telemetry(spark, sf_dir).groupBy("session_id", "user_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(one)), lambda x: x["event_type"]), ",").alias("ordered"), F.array_join(F.sort_array(F.collect_list("event_type")), ",").alias("bag"), F.count("*").alias("arity"))
-    a, b = per.alias("a"), per.alias("b")
-    pairs = a.join(b, F.expr("a.user_id = b.user_id AND a.session_id < b.session_id"))
-    return pairs.agg(F.count("*").alias("pairs"), *(F.count_if(F.col(f"a.{c}") == F.col(f"b.{c}")).alias(f"same_{c}") for c in ("ordered", "bag", "arity")))
+    # pairs of equals are counted by groups of equals, so no two sessions meet
+    pairs = lambda *by: per.groupBy("user_id", *by).count().agg(F.sum(F.expr("count * (count - 1) div 2")).alias("n"))
+    sums = [pairs(*by).select(F.col("n").alias(name)) for name, by in (("pairs", ()), ("same_ordered", ("ordered",)), ("same_bag", ("bag",)), ("same_arity", ("arity",)))]
+    return reduce(lambda x, y: x.crossJoin(y), sums)

@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tracehold.operators import chains
+from tracehold.operators import bindings, chains
+from tracehold.plans import claims
+from tracehold.plans.claims import CLAIMS
+from tracehold.plans.detections import calls_of
 from tracehold.plans.registry import query
-from tracehold.plans.view import VIEW, table, telemetry
+from tracehold.plans.view import CALLS, VIEW, table, telemetry
 
 _STREAMS = """WITH numbered AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 AS seq FROM lineitem),
 bodies AS (SELECT 's' || l_orderkey AS stream_id, 'k' || (l_orderkey % 3) AS key_id, 'o' || (l_suppkey % 50) || '-' || (l_orderkey % 40) AS session_id, seq, l_orderkey, l_partkey, l_suppkey, sha256(concat_ws('|', l_orderkey, seq, l_partkey, l_suppkey)) AS body FROM numbered),
@@ -150,15 +153,13 @@ def spent_nonces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chains.spent_nonces(used.select("nonce", "arrival"), used.where("k % 10 = 9").select("nonce")).select("arrival", "nonce", "use")
 
 
-_TIERS = ("claimed", "bound", "authenticated", "single_use")
-
-
-@query(VIEW + "SELECT session_id, list_extract(['claimed', 'bound', 'authenticated', 'single_use'], min(least(k % 4, user_id % 4) + 1)) AS weakest, list_extract(['claimed', 'bound', 'authenticated', 'single_use'], max(least(k % 4, user_id % 4) + 1)) AS strongest FROM tele GROUP BY 1")
+@query(CALLS + CLAIMS + "SELECT session_id, list_extract(['claimed', 'bound', 'authenticated', 'reconciled'], min(tier)) AS weakest, list_extract(['claimed', 'bound', 'authenticated', 'reconciled'], max(tier)) AS strongest FROM (SELECT session_id, least(CASE WHEN receipt_binding = 'bound' THEN 2 ELSE 1 END, CASE WHEN start_arrival % 8 = 7 THEN 1 WHEN assurance = 'operation' THEN 4 WHEN assurance = 'object' THEN 2 ELSE 1 END) AS tier FROM receipted WHERE receipt_binding IS NOT NULL) GROUP BY 1")
 def trust_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A claim's tier is the weaker of its binding's and its assurance's."""
-    rank = F.least(F.col("k") % 4, F.col("user_id") % 4).cast("int") + 1
-    names = F.array(*map(F.lit, _TIERS))
-    return telemetry(spark, sf_dir).groupBy("session_id").agg(F.element_at(names, F.min(rank)).alias("weakest"), F.element_at(names, F.max(rank)).alias("strongest"))
+    """The weakest and the strongest tier of a session's receipts: the weaker of what binding and assurance support."""
+    rank = bindings.receipt_tier(F.col("receipt_binding"))
+    names = F.array(*map(F.lit, bindings.RECEIPT_TIERS))
+    rows = claims.with_receipts(calls_of(spark, sf_dir)).where("receipt IS NOT NULL")
+    return rows.groupBy("session_id").agg(F.element_at(names, F.min(rank)).alias("weakest"), F.element_at(names, F.max(rank)).alias("strongest"))
 
 
 @query(VIEW + "SELECT session_id, sha256(string_agg(d, '' ORDER BY ts, arrival)) AS digest FROM (SELECT *, sha256(concat_ws('|', arrival, event_type, k)) AS d FROM tele) GROUP BY 1")

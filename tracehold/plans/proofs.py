@@ -7,51 +7,38 @@ from pyspark.sql import functions as F
 
 from tracehold.functions.canonical import body_digests
 from tracehold.operators import bindings, coverage
+from tracehold.plans import claims
 from tracehold.plans.detections import calls_of
 from tracehold.plans.registry import query
 from tracehold.plans.view import CALLS, VIEW, table, telemetry
 
-_SPANNED = CALLS + """, spanned AS (SELECT session_id, 'sp' || start_arrival AS span_id, name, 'sha256:' || sha256(CAST(start_arrival AS VARCHAR)) AS arg_digest, start_ts, start_arrival FROM calls WHERE start_arrival IS NOT NULL),
-granted AS (SELECT session_id, 'sp' || (start_arrival + CASE WHEN start_arrival % 13 = 0 THEN 100000000 ELSE 0 END) AS span_id, CASE WHEN start_arrival % 10 = 1 THEN 'other' WHEN start_arrival % 10 = 2 THEN NULL ELSE name END AS tool_id, CASE start_arrival % 3 WHEN 0 THEN arg_digest WHEN 1 THEN NULL ELSE 'sha256:' || sha256('x') END AS granted_digest, CASE WHEN start_arrival % 7 = 0 THEN 'deny' ELSE 'allow' END AS decision, start_ts - 60 AS granted_at, CASE WHEN start_arrival % 4 = 0 THEN start_ts - 30 ELSE start_ts + 600 END AS expires_at, start_ts - CASE WHEN start_arrival % 9 = 0 THEN -5 WHEN start_arrival % 9 = 1 THEN 0 ELSE 20 END AS observed_at FROM spanned WHERE start_arrival % 2 = 0 OR start_arrival % 3 = 0),
-matches AS (SELECT s.session_id, s.span_id, s.start_ts, decision, observed_at, CASE WHEN granted_digest IS NULL THEN 'bound_span_only' WHEN granted_digest = arg_digest THEN 'bound' ELSE 'arg_mismatch' END AS binding, granted_at <= start_ts AND start_ts <= expires_at AS in_window, CASE WHEN observed_at <> start_ts THEN observed_at < start_ts END AS observed_before FROM spanned s JOIN granted g ON s.session_id = g.session_id AND s.span_id = g.span_id WHERE tool_id IS NULL OR tool_id = name)
-"""
-
-
-def spanned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    calls = calls_of(spark, sf_dir).where("start_arrival IS NOT NULL")
-    return calls.select("session_id", F.concat(F.lit("sp"), "start_arrival").alias("span_id"), "name", F.concat(F.lit("sha256:"), F.sha2(F.col("start_arrival").cast("string"), 256)).alias("arg_digest"), "start_ts", "start_arrival")
-
-
-def granted(calls: DataFrame) -> DataFrame:
-    """Approvals of two thirds of the calls: some for other spans, tools or arguments, some denied, expired or late."""
-    n = F.col("start_arrival")
-    return calls.where((n % 2 == 0) | (n % 3 == 0)).select(
-        "session_id", F.concat(F.lit("sp"), n + F.when(n % 13 == 0, 100_000_000).otherwise(0)).alias("span_id"),
-        F.when(n % 10 == 1, "other").when(n % 10 == 2, F.lit(None)).otherwise(F.col("name")).alias("tool_id"),
-        F.when(n % 3 == 0, F.col("arg_digest")).when(n % 3 == 1, F.lit(None)).otherwise(F.concat(F.lit("sha256:"), F.sha2(F.lit("x"), 256))).alias("arg_digest"),
-        F.when(n % 7 == 0, "deny").otherwise("allow").alias("decision"), (F.col("start_ts") - 60).alias("granted_at"),
-        F.when(n % 4 == 0, F.col("start_ts") - 30).otherwise(F.col("start_ts") + 600).alias("expires_at"),
-        (F.col("start_ts") - F.when(n % 9 == 0, -5).when(n % 9 == 1, 0).otherwise(20)).alias("observed_at"),
-    )
+_SPANNED = CALLS + claims.CLAIMS + " "
 
 
 @query(_SPANNED + "SELECT session_id, span_id, decision, binding, in_window, observed_before FROM matches")
 def approval_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    calls = spanned(spark, sf_dir)
-    return bindings.approval_matches(calls, granted(calls)).select("session_id", "span_id", "decision", "binding", "in_window", "observed_before")
+    calls = claims.spanned(calls_of(spark, sf_dir))
+    return bindings.approval_matches(calls, claims.granted(calls)).select("session_id", "span_id", "decision", "binding", "in_window", "observed_before")
 
 
 @query(_SPANNED + "SELECT session_id, span_id, observed_at FROM matches WHERE decision = 'allow' AND binding = 'bound' AND observed_before AND in_window")
 def covering_approvals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    calls = spanned(spark, sf_dir)
-    return bindings.covering(bindings.approval_matches(calls, granted(calls))).select("session_id", "span_id", "observed_at")
+    calls = claims.spanned(calls_of(spark, sf_dir))
+    return bindings.covering(bindings.approval_matches(calls, claims.granted(calls))).select("session_id", "span_id", "observed_at")
 
 
 @query(_SPANNED + "SELECT g.session_id, g.span_id, g.decision FROM granted g ANTI JOIN spanned s ON g.session_id = s.session_id AND g.span_id = s.span_id")
 def dangling_approvals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    calls = spanned(spark, sf_dir)
-    return bindings.dangling(granted(calls), calls).select("session_id", "span_id", "decision")
+    calls = claims.spanned(calls_of(spark, sf_dir))
+    return bindings.dangling(claims.granted(calls), calls).select("session_id", "span_id", "decision")
+
 
+@query(_SPANNED + "SELECT session_id, start_arrival, receipt_binding, CASE WHEN start_arrival % 8 IN (5, 6, 7) THEN 'INVALID_RECEIPT_OBJECT' END AS defect, CASE WHEN b_span IS NOT NULL THEN list_extract(['claimed', 'bound', 'authenticated', 'reconciled'], least(CASE WHEN receipt_binding = 'bound' THEN 2 ELSE 1 END, CASE WHEN start_arrival % 8 = 7 THEN 1 WHEN assurance = 'operation' THEN 4 WHEN assurance = 'object' THEN 2 ELSE 1 END)) END AS tier FROM receipted")
+def receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each complete call's receipt, parsed and bound, with the trust that it supports."""
+    rows = claims.with_receipts(calls_of(spark, sf_dir))
+    tier = F.get(F.array(*map(F.lit, bindings.RECEIPT_TIERS)), bindings.receipt_tier(F.col("receipt_binding")) - 1)
+    return rows.select("session_id", "start_arrival", "receipt_binding", F.col("receipt_defect").alias("defect"), tier.alias("tier"))
 
 
 @query(VIEW + "SELECT arrival, CASE k % 5 WHEN 0 THEN 'declared_and_recomputed' WHEN 1 THEN 'producer_contradicted' WHEN 2 THEN 'recomputed' WHEN 3 THEN 'producer_declared' ELSE 'none' END AS identity FROM tele")

@@ -6,7 +6,7 @@ import json
 import math
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -76,8 +76,6 @@ def reject_code(line: str | None) -> str | None:
         return CODES[3]
     if len(line) * 4 > MAX_BYTES and len(line.encode("utf-8", "surrogatepass")) > MAX_BYTES:
         return CODES[0]
-    if "�" in line:
-        return CODES[1]
     if line.count("[") + line.count("{") > MAX_DEPTH and _depth(line) > MAX_DEPTH:
         return CODES[2]
     try:
@@ -101,8 +99,10 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def quarantined(lines: DataFrame) -> DataFrame:
-    """lines (line) with reject_code, null where accepted."""
-    return lines.withColumn("reject_code", json_reject_code("line"))
+    """lines (line) with reject_code, null where accepted. Encoding is tested on the bytes; a line may hold U+FFFD."""
+    text = F.when(F.is_valid_utf8("line") & (F.octet_length("line") <= MAX_BYTES), F.col("line")).otherwise("")
+    code = F.when(F.octet_length("line") > MAX_BYTES, CODES[0]).when(~F.is_valid_utf8("line"), CODES[1]).when(F.col("line").isNull(), CODES[3]).otherwise(json_reject_code(text))
+    return lines.withColumn("reject_code", code)
 
 
 def ledger(lines: DataFrame, rows: int = LEDGER_ROWS) -> DataFrame:
@@ -176,5 +176,8 @@ def anonymous_windows(records: DataFrame, width: float = 300.0) -> DataFrame:
             starts.append(start)
         return part.assign(window_start=starts)
 
-    instants = records.select("scope", "ts").distinct()
-    return instants.groupBy("scope").applyInPandas(fold, "scope string, ts double, window_start double")
+    # an instant over width after the one before it opens a window whatever came earlier, so runs between such gaps are folded apart
+    order = Window.partitionBy("scope").orderBy("ts")
+    gap = F.coalesce((F.col("ts") - F.lag("ts").over(order) > width).cast("int"), F.lit(0))
+    runs = records.select("scope", "ts").distinct().withColumn("run", gap).withColumn("run", F.sum("run").over(order))
+    return runs.groupBy("scope", "run").applyInPandas(fold, "scope string, ts double, run long, window_start double").drop("run")

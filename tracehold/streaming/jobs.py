@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tracehold.sources.jsonl import json_reject_code
+from tracehold.sources.jsonl import quarantined
 
 
 def alert_rates(events: DataFrame, late: str = "10 minutes", window: str = "1 hour", slide: str = "15 minutes") -> DataFrame:
@@ -25,7 +25,7 @@ def dropped_duplicates(events: DataFrame, keys: list[str], late: str = "1 hour")
 
 def quarantine(lines: DataFrame) -> DataFrame:
     """lines with reject_code; split by it in foreachBatch."""
-    return lines.withColumn("reject_code", json_reject_code("line"))
+    return quarantined(lines)
 
 
 SESSION = "session_id string, started_at double, ended_at double, events long, closed_by string"
