@@ -7,8 +7,9 @@ from collections import defaultdict
 
 import pytest
 
+from tracehold.functions import ed25519
 from tracehold.functions.text import asserted
-from tracehold.operators import chains, evaluate
+from tracehold.operators import chains, evaluate, signatures
 from tracehold.operators.pairing import pair_by_name, pair_calls
 from tracehold.sources.jsonl import anonymous_windows, quarantined, read_lines, reject_code
 
@@ -87,3 +88,30 @@ def test_empty_tables(spark):
     assert pair_calls(empty).count() == 0
     records = spark.createDataFrame([], "session_id string, stream_id string, key_id string, seq long, prev string, chain string, body string, arrival long")
     assert chains.session_codes(records).count() == 0
+
+
+def test_signatures_are_those_of_the_standard():
+    seed = bytes.fromhex("9d61b19deffd5a60ba844af492ec2cc44449c5697b326919703bac031cae7f60")
+    public = bytes.fromhex("d75a980182b10ab7d54bfed3c964073a0ee172f3daa62325af021a68f707511a")
+    sig = bytes.fromhex("e5564300c360ac729086e2cc806e828a84877f1eb8e5d974d873e065224901555fb8821590a33bacc61e39701cf9b46bd25bf5f0595bbe24655141438e7a100b")
+    assert ed25519.public_key(seed) == public and ed25519.sign(seed, b"") == sig
+    assert ed25519.verify(public, b"", sig) and not ed25519.verify(public, b"x", sig) and not ed25519.verify(public, b"", sig[:-1] + b"\x7f") and not ed25519.verify(None, b"", sig)
+    more = ed25519.sign(b"k" * 32, b"head")
+    assert ed25519.verify(ed25519.public_key(b"k" * 32), b"head", more) and not ed25519.verify(public, b"head", more)
+
+
+def test_trust_stores_are_refused_whole(spark):
+    good = '{"keys": {"a": {"key": "' + "A" * 43 + '=", "roles": ["collector"], "replaces": "b"}}}'
+    load = lambda text: signatures.trust_store(spark, spark.createDataFrame([(text,)], "value string")).collect()
+    assert [r.key_id for r in load(good)] == ["a"]
+    for bad in (good.replace('"b"', '"a"'), good.replace('["collector"]', "[]"), good.replace("A" * 43, "AAAA"), "{", '{"keys": null}'):
+        with pytest.raises(signatures.StoreError):
+            load(bad)
+
+
+def test_keys_are_pinned_and_succession_is_transitive(spark):
+    keys = spark.createDataFrame([("a", None), ("b", "a"), ("c", "b"), ("x", "y"), ("y", "x")], "key_id string, replaces string")
+    assert signatures.successions(keys) == {("b", "a"), ("c", "b"), ("c", "a"), ("x", "y"), ("y", "x")}
+    found = spark.createDataFrame([("s", k, key, True) for k, key in enumerate("aacxcba")] + [("s", 9, "x", False)], "stream_id string, seq long, key_id string, held boolean")
+    got = {(r.seq, r.from_key_id, r.to_key_id) for r in signatures.key_changes(found, keys).collect()}
+    assert got == {(3, "c", "x"), (5, "c", "b"), (6, "c", "a")}

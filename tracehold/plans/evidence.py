@@ -32,20 +32,25 @@ summary AS (SELECT stream_id, min(seq) AS first_seq, max(seq) AS last_seq, count
 """
 
 
-def streams_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chained records with tampered bodies, deleted records, replays and late arrivals."""
+def chained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of orders as chained records."""
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
     lines = table(spark, sf_dir, "lineitem").withColumn("seq", (F.row_number().over(order) - 1).cast("long"))
     bodies = lines.select(
         F.concat(F.lit("s"), "l_orderkey").alias("stream_id"), F.concat(F.lit("k"), F.col("l_orderkey") % 3).alias("key_id"),
-        F.concat(F.lit("o"), F.col("l_suppkey") % 50, F.lit("-"), F.col("l_orderkey") % 40).alias("session_id"), "seq", "l_orderkey", "l_partkey", "l_suppkey",
+        F.concat(F.lit("o"), F.col("l_suppkey") % 50, F.lit("-"), F.col("l_orderkey") % 40).alias("session_id"), "seq", "l_orderkey", "l_partkey", "l_suppkey", "l_shipdate",
         F.sha2(F.concat_ws("|", "l_orderkey", "seq", "l_partkey", "l_suppkey"), 256).alias("body"),
     )
     by_seq = Window.partitionBy("stream_id").orderBy("seq")
     upto = F.array_sort(F.collect_list(F.struct("seq", "body")).over(by_seq))
     first = chains.seed(F.col("stream_id"), F.col("key_id"))
-    chained = bodies.withColumn("chain", F.aggregate(upto, first, lambda acc, x: chains.step(acc, x["body"])))
-    linked = chained.withColumn("prev", F.coalesce(F.lag("chain").over(by_seq), first)).where("l_partkey % 89 <> 0")
+    heads = bodies.withColumn("chain", F.aggregate(upto, first, lambda acc, x: chains.step(acc, x["body"])))
+    return heads.withColumn("prev", F.coalesce(F.lag("chain").over(by_seq), first)).where("l_partkey % 89 <> 0")
+
+
+def streams_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chained records with tampered bodies, deleted records, replays and late arrivals."""
+    linked = chained(spark, sf_dir)
     own = F.when(F.col("l_partkey") % 97 == 0, F.sha2("body", 256)).otherwise(F.col("body"))
     arrival = F.col("l_orderkey") * 1000 + F.col("seq") * 10 + F.when(F.col("l_partkey") % 71 == 0, 25).otherwise(0)
     columns = ["session_id", "stream_id", "key_id", "seq", "prev", "chain", "body", "arrival"]
