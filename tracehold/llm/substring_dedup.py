@@ -48,21 +48,25 @@ U = np.uint64
 
 
 class Symbols:
-    """Symbols of one round: name, first word, words, and the context [low, high) in words."""
+    """Symbols of one round: name, first word, words, text, and the context [low, high) in words, where it is kept."""
 
-    def __init__(self, name, first, size, low, high):
-        self.name, self.first, self.size, self.low, self.high = name, first, size, low, high
+    def __init__(self, name, first, size, doc, low=None, high=None):
+        self.name, self.first, self.size, self.doc, self.low, self.high = name, first, size, doc, low, high
+
+    @classmethod
+    def of(cls, hashes: np.ndarray, edges: np.ndarray, contexts: bool) -> Symbols:
+        """The words themselves."""
+        at = np.arange(len(hashes))
+        return cls(hashes, at, np.ones(len(hashes), np.int64), np.repeat(np.arange(len(edges) - 1), np.diff(edges)), *((at, at + 1) if contexts else ()))
 
     def take(self, at: np.ndarray) -> Symbols:
-        return Symbols(self.name[at], self.first[at], self.size[at], self.low[at], self.high[at])
+        return Symbols(self.name[at], self.first[at], self.size[at], self.doc[at], *((self.low[at], self.high[at]) if self.low is not None else ()))
 
 
 def _borders(s: Symbols, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Contexts of the left and the right neighbour of each symbol; beyond a text's edge, one word outside of it."""
-    doc = np.searchsorted(edges, s.first, "right") - 1
-    low, high = edges[doc] - 1, edges[np.minimum(doc + 1, len(edges) - 1)] + 1
-    same = doc[1:] == doc[:-1]
-    left, right = low.copy(), high.copy()
+    left, right = edges[s.doc] - 1, edges[s.doc + 1] + 1
+    same = s.doc[1:] == s.doc[:-1]
     left[1:][same], right[:-1][same] = s.low[:-1][same], s.high[1:][same]
     return left, right
 
@@ -72,20 +76,24 @@ def name_runs(s: Symbols, edges: np.ndarray, longest: int = LONGEST) -> Symbols:
     n = len(s.name)
     if not n:
         return s
-    left, right = _borders(s, edges)
     starts = np.ones(n, bool)
-    doc = np.searchsorted(edges, s.first, "right")
-    starts[1:] = (s.name[1:] != s.name[:-1]) | (doc[1:] != doc[:-1])
+    starts[1:] = (s.name[1:] != s.name[:-1]) | (s.doc[1:] != s.doc[:-1])
+    if s.low is None and starts.all():
+        return s
     begin = np.flatnonzero(starts)
     end = np.append(begin[1:], n)
     run = np.cumsum(starts) - 1
-    low, high = left[begin], right[end - 1]
     whole = s.size[begin] * (end - begin) <= longest
-    keep = starts | ~whole[run]
-    merged = (whole & (end - begin > 1))[run]
-    name = np.where(merged, words.mix(s.name * U(_RUN) + (end - begin)[run].astype(np.uint64)), s.name)
-    size = np.where(merged, s.size * (end - begin)[run], s.size)
-    return Symbols(name, s.first, size, low[run], high[run]).take(np.flatnonzero(keep))
+    keep = np.flatnonzero(starts | ~whole[run])
+    many = (end - begin)[run[keep]]
+    merged = (whole & (end - begin > 1))[run[keep]]
+    name, size = s.name[keep], s.size[keep]
+    name = np.where(merged, words.mix(name * U(_RUN) + many.astype(np.uint64)), name)
+    found = Symbols(name, s.first[keep], np.where(merged, size * many, size), s.doc[keep])
+    if s.low is not None:
+        left, right = _borders(s, edges)
+        found.low, found.high = left[begin][run[keep]], right[end - 1][run[keep]]
+    return found
 
 
 def name_pairs(s: Symbols, edges: np.ndarray, number: int, longest: int = LONGEST) -> Symbols:
@@ -93,30 +101,28 @@ def name_pairs(s: Symbols, edges: np.ndarray, number: int, longest: int = LONGES
     n = len(s.name)
     if not n:
         return s
-    left, right = _borders(s, edges)
     is_left = (words.mix(s.name ^ U(_SIDE * (number + 1) & (1 << 64) - 1)) & U(1)).astype(bool)
-    doc = np.searchsorted(edges, s.first, "right")
     opens = np.zeros(n, bool)
-    opens[:-1] = is_left[:-1] & ~is_left[1:] & (doc[:-1] == doc[1:]) & (s.size[:-1] + s.size[1:] <= longest)
+    opens[:-1] = is_left[:-1] & ~is_left[1:] & (s.doc[:-1] == s.doc[1:]) & (s.size[:-1] + s.size[1:] <= longest)
     closes = np.zeros(n, bool)
     closes[1:] = opens[:-1]
-    low, high = np.where(~is_left & ~closes, left, s.low), np.where(is_left & ~opens, right, s.high)
     at = np.flatnonzero(~closes)
-    nexts = np.minimum(at + 1, n - 1)
     pair = opens[at]
-    return Symbols(
-        np.where(pair, words.mix(s.name[at] * U(_PAIR) + words.mix(s.name[nexts] + U(number + 1))), s.name[at]),
-        s.first[at],
-        np.where(pair, s.size[at] + s.size[nexts], s.size[at]),
-        np.where(pair, s.low[at], low[at]),
-        np.where(pair, s.high[nexts], high[at]),
-    )
+    two = at[pair]
+    name, size = s.name[at], s.size[at]
+    name[pair] = words.mix(s.name[two] * U(_PAIR) + words.mix(s.name[two + 1] + U(number + 1)))
+    size[pair] += s.size[two + 1]
+    found = Symbols(name, s.first[at], size, s.doc[at])
+    if s.low is not None:
+        left, right = _borders(s, edges)
+        found.low, found.high = np.where(~is_left & ~closes, left, s.low)[at], np.where(is_left & ~opens, right, s.high)[at]
+        found.low[pair], found.high[pair] = s.low[two], s.high[two + 1]
+    return found
 
 
 def rounds(hashes: np.ndarray, edges: np.ndarray) -> list[Symbols]:
     """The symbols after each round, from the words themselves on; texts are hashes[edges[i]:edges[i+1]]."""
-    at = np.arange(len(hashes))
-    s = Symbols(hashes, at, np.ones(len(hashes), np.int64), at, at + 1)
+    s = Symbols.of(hashes, edges, True)
     found = [s]
     for number in range(ROUNDS):
         if number in RUN_ROUNDS:
@@ -136,8 +142,7 @@ def _run_hashes(hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray, base:
 
 def long_symbols(hashes: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, ...]:
     """Name, hash of all words, first word and number of words of each symbol of LONG_ROUNDS that is as long as a window."""
-    at = np.arange(len(hashes))
-    s = Symbols(hashes, at, np.ones(len(hashes), np.int64), at, at + 1)
+    s = Symbols.of(hashes, edges, False)
     found = []
     for number in range(max(LONG_ROUNDS)):
         if number in LONG_RUN_ROUNDS:
