@@ -57,3 +57,17 @@ def asserted(text: str | None) -> list[str]:
 @F.pandas_udf(ArrayType(StringType()))
 def asserted_words(text: pd.Series) -> pd.Series:
     return text.map(asserted)
+
+
+# Characters that a display must not receive: controls, zero-width characters, direction marks, separators.
+UNSAFE = r"[\x00-\x1f\x7f-\x9f​-‏  ‪-‮⁦-⁩﻿]"
+
+
+def displayed(value: Column, longest: int = 200) -> Column:
+    """value with unsafe characters as visible escapes, cut at longest characters with the number of those left out."""
+    code = lambda c: F.lower(F.hex(F.ascii(c)))
+    escape = lambda c: F.when(F.ascii(c) < 256, F.concat(F.lit("\\x"), F.lpad(code(c), 2, "0"))).otherwise(F.concat(F.lit("\\u"), F.lpad(code(c), 4, "0")))
+    safe = F.array_join(F.transform(F.split(value, ""), lambda c: F.when(c.rlike(UNSAFE), escape(c)).otherwise(c)), "")
+    shown = F.when(value.rlike(UNSAFE), safe).otherwise(value)
+    rest = F.length(shown) - longest
+    return F.when(rest > 0, F.concat(F.substring(shown, 1, longest), F.lit("...(+"), rest.cast("string"), F.lit(" chars)"))).otherwise(shown)

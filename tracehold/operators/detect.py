@@ -13,6 +13,8 @@ VIOLATION_RATE, LEAST_CALLS, LEAST_OVERLAP = 0.25, 3, 0.5
 POLICY_TYPES = ("cost_threshold_exceeded", "depth_exceeded")
 SEVERITIES = ("low", "medium", "high", "critical")
 START, END = "<start>", "<end>"
+#: The registry of checks: each one's family.
+FAMILIES = {"CH01": "sequence", "CH02": "concealment", "CH03": "untrusted_flow", "CH04": "guardrail", "CH05": "pairing", "CH06": "integrity", "CH07": "effects"}
 
 
 #: Rows up to which a dimension is broadcast; a larger one is joined as any other table.
@@ -200,3 +202,27 @@ def session_features(events: DataFrame, calls: DataFrame) -> DataFrame:
         F.count_if("consequential").alias("consequential_calls"), F.round(F.sum("cost"), 6).alias("call_cost"),
     )
     return per_event.join(per_call, "session_id", "left").fillna(0, ["call_count", "distinct_tools", "executed_calls", "open_calls", "consequential_calls"])
+
+
+def numbered(rows: DataFrame, block: Column, order: list[str]) -> DataFrame:
+    """rows with sequence, from 0 on in order. block must not fall as order rises; blocks are counted first and sorted apart."""
+    blocks = rows.groupBy(block.alias("_block")).agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ahead = blocks.select("_block", before.alias("_ahead"))
+    own = rows.withColumn("_block", block).join(ahead, "_block")
+    place = F.row_number().over(Window.partitionBy("_block").orderBy(*order))
+    return own.withColumn("sequence", (F.col("_ahead") + place - 1).cast("long")).drop("_block", "_ahead")
+
+
+def leakage(calls: DataFrame) -> DataFrame:
+    """What near-copies in the training set hide: calls with attempt and held_out (a task of the test set).
+
+    The test set is attempts 0 and 1 of held-out tasks. The clean grammar knows other tasks only, the leaky one the later
+    attempts of the same tasks too. Both score the same sessions; a session alerts with any unseen transition.
+    """
+    steps = transitions(calls).select("session_id", "prev", "next")
+    rows = steps.join(calls.select("session_id", "attempt", "held_out").distinct(), "session_id")
+    known = rows.where("NOT held_out OR attempt >= 2").groupBy("prev", "next").agg(F.bool_and("held_out").alias("leaked"))
+    test = rows.where("held_out AND attempt < 2").join(known, ["prev", "next"], "left")
+    scored = test.groupBy("session_id").agg(F.bool_or(F.coalesce("leaked", F.lit(True))).alias("clean"), F.bool_or(F.col("leaked").isNull()).alias("leaky"))
+    return scored.agg(F.count("*").alias("test_sessions"), F.count_if("clean").alias("clean_alerts"), F.count_if("leaky").alias("leaky_alerts"), F.count_if(F.col("clean") & ~F.col("leaky")).alias("hidden"))

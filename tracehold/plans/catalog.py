@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tracehold.plans import detections, evaluation, evidence, intake, proofs, signing, streams, verdicts  # noqa: F401  (they register their queries)
+from tracehold.plans import detections, evaluation, evidence, intake, proofs, signing, streams, surface, verdicts  # noqa: F401  (they register their queries)
 from tracehold.plans.registry import QUERIES, SQL, Query
 
 

@@ -12,16 +12,19 @@ from tracehold.plans import claims
 from tracehold.plans.claims import CLAIMS
 from tracehold.plans.registry import query
 from tracehold.plans.view import CALLS, VIEW, table, telemetry
+from tracehold.sources.shared import kept
 
 
 def calls_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return detect.classified(pair_calls(telemetry(spark, sf_dir)))
+    """The view's calls, paired once and written: most queries read them several times."""
+    return kept(detect.classified(pair_calls(telemetry(spark, sf_dir))), "calls")
 
 
-def benign_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
+def benign_grammar(spark: SparkSession, sf_dir: str, calls: DataFrame | None = None) -> DataFrame:
     """Transitions of the sessions in which no scanner marked anything and no control spoke."""
     suspect = telemetry(spark, sf_dir).where(F.col("marked") | F.col("event_type").isin(*detect.POLICY_TYPES)).select("session_id").distinct()
-    return detect.grammar(calls_of(spark, sf_dir).join(suspect, "session_id", "left_anti"))
+    calls = calls_of(spark, sf_dir) if calls is None else calls
+    return kept(detect.grammar(calls.join(suspect, "session_id", "left_anti")), "grammar")
 
 
 def with_arguments(calls: DataFrame, events: DataFrame) -> DataFrame:
@@ -90,7 +93,8 @@ def grammar_bigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(CALLS + _STEPS + "SELECT t.session_id, t.prev, t.next, count(*) AS n FROM trans t ANTI JOIN grammar g ON t.prev = g.prev AND t.next = g.next GROUP BY ALL")
 def unseen_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return detect.unseen_transitions(calls_of(spark, sf_dir), benign_grammar(spark, sf_dir)).groupBy("session_id", "prev", "next").agg(F.count("*").alias("n"))
+    calls = calls_of(spark, sf_dir)
+    return detect.unseen_transitions(calls, benign_grammar(spark, sf_dir, calls)).groupBy("session_id", "prev", "next").agg(F.count("*").alias("n"))
 
 
 @query(CALLS + _STEPS + """, known AS (SELECT * FROM grammar), vocab AS (SELECT DISTINCT next AS name FROM known WHERE next <> '<end>'),
@@ -98,7 +102,8 @@ per AS (SELECT t.session_id, count(*) AS n_transitions, count_if(g.prev IS NULL)
 shape AS (SELECT session_id, sum(n) AS n_calls, count_if(v.name IS NULL) AS n_novel, count_if(v.name IS NOT NULL) / count(*) AS overlap FROM (SELECT session_id, name, count(*) AS n FROM calls GROUP BY ALL) c LEFT JOIN vocab v ON c.name = v.name GROUP BY 1)
 SELECT session_id, n_transitions, n_unseen, round(n_unseen / n_transitions, 6) AS rate, CASE WHEN n_novel > 0 THEN 'high' ELSE 'medium' END AS severity FROM per JOIN shape USING (session_id) WHERE (n_unseen / n_transitions > 0.25 OR n_into >= 1) AND NOT (n_calls >= 3 AND overlap < 0.5)""")
 def ch01_sequence_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return detect.ch01_sequence_order(with_arguments(calls_of(spark, sf_dir), telemetry(spark, sf_dir)), benign_grammar(spark, sf_dir))
+    calls = calls_of(spark, sf_dir)
+    return detect.ch01_sequence_order(with_arguments(calls, telemetry(spark, sf_dir)), benign_grammar(spark, sf_dir, calls))
 
 
 def _after(refs: str) -> str:

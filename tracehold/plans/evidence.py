@@ -11,6 +11,7 @@ from tracehold.plans.claims import CLAIMS
 from tracehold.plans.detections import calls_of
 from tracehold.plans.registry import query
 from tracehold.plans.view import CALLS, VIEW, table, telemetry
+from tracehold.sources.shared import kept
 
 _STREAMS = """WITH numbered AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 AS seq FROM lineitem),
 bodies AS (SELECT 's' || l_orderkey AS stream_id, 'k' || (l_orderkey % 3) AS key_id, 'o' || (l_suppkey % 50) || '-' || (l_orderkey % 40) AS session_id, seq, l_orderkey, l_partkey, l_suppkey, sha256(concat_ws('|', l_orderkey, seq, l_partkey, l_suppkey)) AS body FROM numbered),
@@ -45,7 +46,7 @@ def chained(spark: SparkSession, sf_dir: str) -> DataFrame:
     upto = F.array_sort(F.collect_list(F.struct("seq", "body")).over(by_seq))
     first = chains.seed(F.col("stream_id"), F.col("key_id"))
     heads = bodies.withColumn("chain", F.aggregate(upto, first, lambda acc, x: chains.step(acc, x["body"])))
-    return heads.withColumn("prev", F.coalesce(F.lag("chain").over(by_seq), first)).where("l_partkey % 89 <> 0")
+    return kept(heads.withColumn("prev", F.coalesce(F.lag("chain").over(by_seq), first)).where("l_partkey % 89 <> 0"), "chained")
 
 
 def streams_of(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import json
 import math
+import uuid
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from tracehold.sources.shared import shared_dir
+
 # Reject codes in the order in which they are tested, and their bounds.
 CODES = ("LINE_EXCEEDS_MAX_BYTES", "LINE_NOT_VALID_UTF8", "NESTING_EXCEEDS_MAX_DEPTH", "MALFORMED_JSON", "NOT_A_JSON_OBJECT", "RECORD_EXCEEDS_MAX_KEYS")
 MAX_BYTES, MAX_DEPTH, MAX_KEYS, MAX_DIGITS = 4_194_304, 64, 512, 1024
@@ -98,6 +101,31 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return lines.where(F.trim("line") != "")
 
 
+def looked_up(line: Column, key: str) -> Column:
+    """A field's value in the envelope where it is not null, else in the data bag."""
+    return F.coalesce(F.get_json_object(line, f"$.{key}"), F.get_json_object(line, f"$.data.{key}"))
+
+
+def written_lines(lines: DataFrame) -> str:
+    """The folder that lines (value) are written to as text, in the folder that the cluster shares."""
+    path = f"{shared_dir(lines.sparkSession)}/lines/{uuid.uuid4().hex}"
+    lines.write.text(path)
+    return path
+
+
+VERDICT = "session_id string, events long, started_at double, severity string, n_findings long, rules string, sequence long"
+
+
+def write_verdicts(rows: DataFrame) -> str:
+    """Writes rows (VERDICT) as JSON lines in order of sequence, range by range, and returns their folder."""
+    names = [c.split()[0] for c in VERDICT.split(", ")]
+    return written_lines(rows.select("sequence", F.to_json(F.struct(*names)).alias("value")).repartitionByRange("sequence").sortWithinPartitions("sequence").select("value"))
+
+
+def read_verdicts(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(VERDICT).json(path)
+
+
 def quarantined(lines: DataFrame) -> DataFrame:
     """lines (line) with reject_code, null where accepted. Encoding is tested on the bytes; a line may hold U+FFFD."""
     text = F.when(F.is_valid_utf8("line") & (F.octet_length("line") <= MAX_BYTES), F.col("line")).otherwise("")
