@@ -254,6 +254,16 @@ def test_mixing(spark):
     assert Counter(map(tuple, again)) == Counter((r.doc_id, r.taken) for r in got)
 
 
+def test_mixing_of_repeated_rows_and_clashing_columns(spark):
+    rows = [(1, "a", "x y z"), (1, "a", "x y z"), (1, "a", "other words here now"), (None, "a", "p q"), (None, "a", "p q"), (2, "b", "w " * 30_000)] + [(k, "ab"[k % 2], "u v w") for k in range(10, 60)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string").withColumns({c: F.lit("mine") for c in ("size", "target", "taken", "copies", "slot", "finish", "bucket0")})
+    got = mixing.mix(docs).collect()
+    size = lambda t: len(words(t))
+    assert Counter((r.doc_id, r.source, r.size) for r in got) == Counter((i, s, size(t)) for i, s, t in rows)
+    assert all(r.taken == r.size * r.copies and r.copies in (0, 1, 2) for r in got)
+    assert sorted(map(tuple, mixing.mix(docs.repartition(4)).collect()), key=str) == sorted(map(tuple, got), key=str)
+
+
 def test_mixing_without_words(spark):
     assert {r.taken for r in mixing.mix(spark.createDataFrame([(1, "a", None), (2, None, " ")], "doc_id long, source string, text string")).collect()} == {0}
 
@@ -311,7 +321,10 @@ def test_packing(spark):
     tokenizer = Tokenizer.from_file(public_tokenizers.path(packing.VOCABULARY))
     rng = random.Random(2)
     rows = list(enumerate([*TEXTS[:-1], *(" ".join(f"word{rng.randrange(99)}," for _ in range(rng.randint(1, 900))) for _ in range(80))]))
-    pieces = packing.pack(spark.createDataFrame(rows, DOCS).repartition(2)).collect()
+    rows[-1] = (len(rows) - 1, "very " * 60_000 + "long")
+    docs = spark.createDataFrame(rows, DOCS).repartition(2).withColumns({"start": F.lit("mine"), "tier": F.lit("mine")})
+    pieces = packing.pack(docs).collect()
+    assert packing.pack(docs.union(docs)).where("start = 0").count() == 2 * len(rows)
     by_doc, by_sequence = defaultdict(list), defaultdict(list)
     for p in pieces:
         by_doc[p.doc_id].append(p)
@@ -350,13 +363,33 @@ def test_broken_archives_are_refused():
     squeeze = zlib.compressobj(6, zlib.DEFLATED, 31)
     member = squeeze.compress(good) + squeeze.flush()
     headers, block = warc.parsed(next(warc.members(member * 2)))
-    assert warc.checked(headers, block) == (7, b"payload")
+    assert warc.checked(headers, block) == (7, warc.sha1(b"payload"), b"payload")
     with pytest.raises(EOFError):
         list(next(warc.members(member[:-9])))
     with pytest.raises(ValueError, match="digest"):
         warc.checked(headers, block[:-1] + b"X")
 
 
+def test_archives_of_others_are_read(spark):
+    def squeezed(kind, block, *more):
+        head = "\r\n".join(["WARC/1.0", f"WARC-Type: {kind}", "WARC-Date: 2020-01-01T00:00:00Z", *more, f"Content-Length: {len(block)}"])
+        squeeze = zlib.compressobj(9, zlib.DEFLATED, 31)
+        return squeeze.compress(head.encode() + b"\r\n\r\n" + block + b"\r\n\r\n") + squeeze.flush()
+
+    http = "Content-Type: application/http; msgtype=response"
+    chunked = b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\nContent-Length: 99\r\n\r\n2\r\nok\r\n0\r\n\r\n"
+    records = [
+        squeezed("warcinfo", b"software: x\r\n", "Content-Type: application/warc-fields"), squeezed("request", b"GET / HTTP/1.1\r\nHost: a\r\n\r\n", "Content-Type: application/http; msgtype=request", "WARC-Target-URI: http://a/"),
+        squeezed("response", chunked, http), squeezed("response", b"HTTP/1.1 200 OK\r\n\r\nbody", http, "WARC-Block-Digest: md5:abc", f"WARC-Payload-Digest: sha1:{warc.sha1(b'body').lower()}"),
+        squeezed("revisit", b"HTTP/1.1 304\r\n\r\n", http, "WARC-Payload-Digest: sha1:X"), squeezed("metadata", b"\x00\xff", f"WARC-Block-Digest: sha1:{warc.sha1(bytes([0, 255]))}"),
+    ]
+    archives = spark.createDataFrame([("a", bytearray(b"".join(records))), ("a", bytearray(b"".join(records)))], "archive string, content binary").withColumn("page_id", F.lit("mine"))
+    got = warc.read(archives).collect()
+    assert Counter(r.record_type for r in got) == {"warcinfo": 2, "request": 2, "response": 4, "revisit": 2, "metadata": 2}
+    assert {(r.record_type, r.payload_bytes) for r in got} == {("warcinfo", 13), ("request", 0), ("response", 12), ("response", 4), ("revisit", 0), ("metadata", 2)}
+    assert {r.url for r in got} == {None, "http://a/"} and {r.page_id for r in got} == {None}
+
+
 def test_topk_search(spark):
     rng = random.Random(4)
     vocabulary = [f"w{int(rng.paretovariate(0.6)) % 300}" for _ in range(3000)]

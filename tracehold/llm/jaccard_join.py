@@ -132,7 +132,7 @@ def _entries(frequent: np.ndarray, small: int):
                     sign = signature(s)
                     if sign in seen:
                         continue
-                    if len(seen) < 1_000_000:
+                    if len(seen) < 250_000:
                         seen.add(sign)
                     length, rare = n - ceil(n * a / b) + 1, n
                     if len(ordered):
@@ -215,7 +215,7 @@ def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _promising(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     own = lambda key, n, s: nodes.select(F.col("sig").alias(key), F.col("n").alias(n), F.col("sketch").alias(s))
-    return pairs.join(own("a", "n", "s"), "a").join(own("b", "m", "t"), "b").select("a", "b", "n", "m", "s", "t").mapInArrow(_possible, "a long, b long")
+    return pairs.join(own("a", "n", "s"), "a").join(own("b", "m", "t"), "b").select("a", "b", "n", "m", "s", "t").mapInArrow(words.trimmed(_possible), "a long, b long")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, repeated: bool) -> DataFrame:
@@ -227,7 +227,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, repeated: boo
     if repeated:
         held = held.groupBy("sig", F.xxhash64("text").alias("same")).agg(F.first("text").alias("text")).drop("same")
     left, right = held.select(F.col("sig").alias("a"), F.col("text").alias("x")), held.select(F.col("sig").alias("b"), F.col("text").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_similar, "a long, b long")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(words.trimmed(_similar), "a long, b long")
 
 
 def _boundary(sizes: list[tuple[int, int]]) -> int:
@@ -250,21 +250,21 @@ def join(docs: DataFrame) -> DataFrame:
     compared by the text of any of them that has it. An empty table gives an empty result; other columns play no part.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sets = written(docs.mapInArrow(_summaries, "doc_id long, n_shingles long, sig long, sketch binary"), "jaccard-sets")
+    sets = written(docs.mapInArrow(words.trimmed(_summaries), "doc_id long, n_shingles long, sig long, sketch binary"), "jaccard-sets")
     nodes = written(sets.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n"), F.min("sketch").alias("sketch")), "jaccard-nodes")
     repeated = not sets.groupBy("doc_id").count().where("count > 1").isEmpty()
     sizes = nodes.where(F.col("n") <= LARGEST_SMALL).groupBy("n").count().collect()
     small = _boundary([(r["n"], r["count"]) for r in sizes])
     text = docs.where("doc_id IS NOT NULL").select("text")
 
-    frequent = text.mapInArrow(_recurring, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(FREQUENT).select("h").toArrow()
+    frequent = text.mapInArrow(words.trimmed(_recurring), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(FREQUENT).select("h").toArrow()
     common = frequent.column(0).to_numpy().view(np.uint64) if frequent.num_rows else np.zeros(0, np.uint64)
 
-    keyed = text.mapInArrow(_subsets(small), "low int, high int, key long, sig long, lower boolean").distinct()
+    keyed = text.mapInArrow(words.trimmed(_subsets(small)), "low int, high int, key long, sig long, lower boolean").distinct()
     groups = keyed.groupBy("low", "high", "key").agg(F.min("sig").alias("pivot"), F.bool_or("lower").alias("has_low"), F.bool_or(~F.col("lower") | (F.col("low") == F.col("high"))).alias("has_high"), F.max("sig").alias("other"))
     by_subset = keyed.join(groups.where("has_low AND has_high AND pivot <> other"), ["low", "high", "key"]).where("sig <> pivot").select(F.col("sig").alias("a"), F.col("pivot").alias("b")).distinct()
 
-    entries = text.mapInArrow(_entries(common, small), "h long, sig long, rank long")
+    entries = text.mapInArrow(words.trimmed(_entries(common, small)), "h long, sig long, rank long")
     n = F.shiftright("rank", 26).bitwiseAND((1 << 27) - 1)
     band = F.floor(F.log(n.cast("double")) / log(SIMILARITY[1] / SIMILARITY[0])).cast("int")
     lists = entries.groupBy("h").agg(F.min("sig").alias("first"), F.max("sig").alias("last")).where("first <> last").select("h")

@@ -23,6 +23,9 @@ EPOCHS = 2
 BUCKET_DIGITS = 3
 SLOTS = 16384
 
+#: Sources up to which their targets are broadcast; beyond, they are joined.
+BROADCAST_SOURCES = 100_000
+
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -77,7 +80,8 @@ def mix(docs: DataFrame, budget: float = BUDGET, epochs: int = EPOCHS, key: str
     sizes = written(sized.withColumns({f"order{e}": order(e) for e in range(epochs)}), "mix-sizes")
     shares = written(targets(sizes, budget, epochs), "mix-targets")
 
-    rows = sizes.join(F.broadcast(shares), sizes["source"].eqNullSafe(shares["source"])).drop(shares["source"])
+    few = shares.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
+    rows = sizes.join(F.broadcast(shares) if few else shares, sizes["source"].eqNullSafe(shares["source"])).drop(shares["source"])
     for e in range(epochs):
         rows = rows.withColumn(f"bucket{e}", F.substring(f"order{e}", 1, BUCKET_DIGITS))
         sums = sizes.groupBy("source", F.substring(f"order{e}", 1, BUCKET_DIGITS).alias("bucket")).agg(F.sum("size").alias("words"))

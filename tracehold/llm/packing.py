@@ -22,10 +22,12 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from tracehold.llm import words
+
 LONGEST = 4096
 TIERS = (256, 512, 1024, 2048, LONGEST)
-#: Tokens held while a task packs, words whose ids it remembers, words of a text at a time, tokens of a step group.
-HELD, CACHE, RUN, STEP_TOKENS = 1_000_000, 600_000, 200_000, 65_536
+#: Tokens held while a task packs, characters of the words whose ids it remembers, words of a text at a time, tokens of a step group.
+HELD, CACHE, RUN, STEP_TOKENS = 1_000_000, 6_000_000, 200_000, 65_536
 #: Texts whose unknown words are tokenized together.
 GROUP = 100
 VOCABULARY = "word_bpe_49k.json"
@@ -55,6 +57,11 @@ class WordTokenizer:
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.words: dict[str, bytes] = {}
         self.letters: dict[str, bytes] = {}
+        self.held = 0
+        probes = ["", "Plain words, it's 12abc!", " Ünï x\x1cy <|startoftext|>z don't.", "日本 a\n\tb"]
+        for probe, found in zip(probes, self.ids(probes), strict=True):
+            if found.tolist() != self.tokenizer.encode(probe, add_special_tokens=False).ids:
+                raise ValueError("this vocabulary does not part words at white space, lower-cased and with word ends")
 
     def _plain(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, np.uint32).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -70,10 +77,11 @@ class WordTokenizer:
                 self.letters.update(zip(some, self._plain(some), strict=True))
 
     def _learn(self, missing: list[str]) -> None:
-        if len(self.words) + len(missing) > CACHE:
+        if self.held > CACHE:
             self.words.clear()
-        if len(self.letters) > CACHE:
             self.letters.clear()
+            self.held = 0
+        self.held += sum(map(len, missing)) + 16 * len(missing)
         parts, other = {}, []
         for word in missing:
             core = word.rstrip(_PUNCTUATION)
@@ -231,4 +239,4 @@ def pack(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     STEP_TOKENS tokens together (the last group of a task fewer). Rows that repeat a doc_id are documents of their own.
     An empty table gives an empty result; other columns play no part.
     """
-    return docs.selectExpr("CAST(doc_id AS LONG) AS doc_id", "text").mapInArrow(_packed(vocabulary), SCHEMA)
+    return docs.selectExpr("CAST(doc_id AS LONG) AS doc_id", "text").mapInArrow(words.trimmed(_packed(vocabulary)), SCHEMA)

@@ -321,7 +321,7 @@ def _size(table: DataFrame) -> int:
 
 def long_repeats(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Runs of words (KEYS, first, size) that occur twice as long symbols: all of them, and all but one of each."""
-    symbols = written(keyed.mapInArrow(_long_rows, f"name long, body long, {KEY_TYPES}, first long, size long"), "dedup-symbols")
+    symbols = written(keyed.mapInArrow(words.trimmed(_long_rows), f"name long, body long, {KEY_TYPES}, first long, size long"), "dedup-symbols")
     groups = symbols.groupBy("name", "body").agg(F.count("*").alias("n"), F.min(F.struct(*KEYS, "first")).alias("one")).where("n > 1")
     groups = written(groups.select("name", "body", "n", "one.*"), "dedup-shared-symbols")
     found = written(_members(symbols, groups, _size(groups)), "dedup-long")
@@ -357,7 +357,7 @@ def _with_runs(docs: DataFrame, runs: DataFrame, columns: list[str]) -> DataFram
 def repeated_runs(keyed: DataFrame) -> DataFrame:
     """(KEYS, first, size) of keyed (KEYS, text): runs of words whose windows are all repeated; all repeated windows lie in one."""
     long, covered = long_repeats(keyed)
-    every = written(_with_runs(keyed, covered, list(KEYS)).mapInArrow(_stretch_rows, f"name long, body long, {KEY_TYPES}, place long"), "dedup-stretches")
+    every = written(_with_runs(keyed, covered, list(KEYS)).mapInArrow(words.trimmed(_stretch_rows), f"name long, body long, {KEY_TYPES}, place long"), "dedup-stretches")
     shared = written(every.groupBy("name").agg(F.count("*").alias("n")).where("n > 1"), "dedup-shared")
     rows = written(_members(every, shared, _size(shared), ("name",)), "dedup-rows")
     discard(every, covered)
@@ -370,7 +370,7 @@ def repeated_runs(keyed: DataFrame) -> DataFrame:
     single = written(_members(groups, several, _size(several), ("name",)).select("name", *KEYS, "place", (F.col("n") > 1).alias("sure")), "dedup-open")
     per_text = single.groupBy(*KEYS).agg(F.collect_list(F.struct("name", "place", "sure")).alias("open"))
     texts = _of_keys(keyed, single.select(*KEYS).distinct())
-    windows = texts.join(per_text, list(KEYS)).select(*KEYS, "text", "open").mapInArrow(_window_rows, f"name long, body long, {KEY_TYPES}, at long, sure boolean")
+    windows = texts.join(per_text, list(KEYS)).select(*KEYS, "text", "open").mapInArrow(words.trimmed(_window_rows), f"name long, body long, {KEY_TYPES}, at long, sure boolean")
     windows = written(windows, "dedup-windows")
     again = written(windows.groupBy("name", "body").agg(F.count("*").alias("n")).where("n > 1"), "dedup-again")
     ends = _members(windows.where("NOT sure"), again, _size(again)).select(*KEYS, (F.col("at") * PLACES + 1).alias("place"))
@@ -394,4 +394,4 @@ def dedup(docs: DataFrame) -> DataFrame:
     rows = docs.withColumns({KEYS[0]: F.xxhash64("doc_id", "text"), KEYS[1]: F.hash("text", "doc_id")})
     found = repeated_runs(rows.select(*KEYS, "text"))
     schema = docs.select(*carried).schema.add("n_words", "long").add("n_removed", "long").add("kept", "string")
-    return _with_runs(rows, found, carried).mapInArrow(_kept_rows, schema)
+    return _with_runs(rows, found, carried).mapInArrow(words.trimmed(_kept_rows), schema)

@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracehold.llm import words
 from tracehold.llm.storage import written
 
 LIMIT = 4096
@@ -325,14 +326,14 @@ def _chunk_sums(cut: DataFrame, vocabulary: str | None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["_row", "_chunk", "entered", "left", "tokens"])
 
     schema = "_row long, _chunk long, entered string, left string, tokens long"
-    maps = written(cut.withColumn("given", F.lit(None).cast("string")).mapInArrow(mapped, schema), "token-maps")
+    maps = written(cut.withColumn("given", F.lit(None).cast("string")).mapInArrow(words.trimmed(mapped), schema), "token-maps")
     before = F.lag("left").over(Window.partitionBy("_row").orderBy("_chunk"))
     while True:
         scanned = maps.withColumn("given", before)
         wrong = written(scanned.where("entered <> given").select("_row", "_chunk", "given"), "token-maps-wrong")
         if wrong.isEmpty():
             break
-        again = cut.join(wrong, ["_row", "_chunk"]).select("_row", "_chunk", "part", "look", "given").mapInArrow(mapped, schema)
+        again = cut.join(wrong, ["_row", "_chunk"]).select("_row", "_chunk", "part", "look", "given").mapInArrow(words.trimmed(mapped), schema)
         maps = written(maps.join(wrong, ["_row", "_chunk"], "left_anti").unionByName(again), "token-maps")
     return maps.groupBy("_row").agg(F.sum("tokens").alias("n_tokens"))
 
@@ -357,7 +358,7 @@ def count(docs: DataFrame, vocabulary: str | None = None, limit: int = LIMIT) ->
             n = pa.array(np.concatenate(counts) if counts else np.zeros(0, np.int64))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(carried)], n], names=[*carried, "n_tokens"])
 
-    brief = rows.where(length <= CHUNK).withColumn("_size", length.cast("long")).mapInArrow(short, rows.schema.add("n_tokens", "long"))
+    brief = rows.where(length <= CHUNK).withColumn("_size", length.cast("long")).mapInArrow(words.trimmed(short), rows.schema.add("n_tokens", "long"))
     # a row's number must not change if its task runs again, so it is written with the rows
     long = written(rows.where(length > CHUNK).withColumn("_row", F.monotonically_increasing_id()), "token-long")
     cut = long.select("_row", F.explode(F.sequence(F.lit(0), F.floor((length - 1) / CHUNK).cast("int"))).alias("k"), "text")

@@ -42,7 +42,7 @@ LEAST_SHARE = 0.01
 #: Min-hashes that near-equal labelled rows share.
 MINS = 6
 #: Characters of the words whose readings a task remembers.
-CACHE = 8_000_000
+CACHE = 4_000_000
 
 _SPACED = re.compile(r"(?<!\S)(?:[^\W_][ .\-_*]){3,}[^\W_](?!\S)")
 _DRAWN = re.compile(r"(.)\1\1")
@@ -84,7 +84,7 @@ def _trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def char_model(docs: DataFrame) -> np.ndarray:
     """-ln P(c | a, b) of character classes over all texts, interpolated with lower orders; CLASSES**3 numbers."""
-    rows = docs.select("text").mapInArrow(_trigrams, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
+    rows = docs.select("text").mapInArrow(words.trimmed(_trigrams), "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(CLASSES**3)
     counts[rows.column(0).to_numpy()] = rows.column(1).to_numpy()
     tri = counts.reshape(CLASSES, CLASSES, CLASSES)
@@ -255,14 +255,14 @@ def fit(docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS) -> Mod
     share = max_labels / max(known.count(), 1)
     if share < 1:
         known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
-    labelled = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("doc_id", "text", "toxic").mapInArrow(_nears, "doc_id long, text string, toxic int, near long")
+    labelled = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("doc_id", "text", "toxic").mapInArrow(words.trimmed(_nears), "doc_id long, text string, toxic int, near long")
     rows = written(labelled.groupBy("near", "toxic").agg(F.min_by("text", "doc_id").alias("text")), "toxicity-labelled")
     totals = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
     toxic, clean = totals.get(1, 0), totals.get(0, 0)
     model = Model(chars)
     if not toxic or not clean:
         return model
-    counts = lambda kind, wanted: rows.where(F.col("toxic") == kind).select("text").mapInArrow(_counted(chars, wanted), "feature string, n long").groupBy("feature").agg(F.sum("n").alias("n"))
+    counts = lambda kind, wanted: rows.where(F.col("toxic") == kind).select("text").mapInArrow(words.trimmed(_counted(chars, wanted)), "feature string, n long").groupBy("feature").agg(F.sum("n").alias("n"))
     least = max(4, ceil(LEAST_SHARE * toxic))
     bad = {r["feature"]: r["n"] for r in counts(1, None).where(F.col("n") >= least).collect()}
     good = {r["feature"]: r["n"] for r in counts(0, set(bad)).collect()}
@@ -316,7 +316,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, *added], names=[*batch.schema.names, "score", "predicted", "strongest"])
 
     schema = docs.select("*").schema.add("score", "double").add("predicted", "integer").add("strongest", "double")
-    return docs.mapInArrow(scored, schema)
+    return docs.mapInArrow(words.trimmed(scored), schema)
 
 
 def restore(docs: DataFrame, model: Model) -> DataFrame:
@@ -332,4 +332,4 @@ def restore(docs: DataFrame, model: Model) -> DataFrame:
                 out.append(re.sub(r"\S+", lambda m: " ".join(readings(m[0], reader.chars)[1:]) or bare(m[0]) if suspicious(bare(m[0])) else m[0], text))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], names=[*batch.schema.names, "restored"])
 
-    return docs.mapInArrow(restored, docs.select("*").schema.add("restored", "string"))
+    return docs.mapInArrow(words.trimmed(restored), docs.select("*").schema.add("restored", "string"))

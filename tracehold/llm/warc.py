@@ -19,7 +19,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracehold.llm.storage import written
+
 ARCHIVE_BYTES, STEP_BYTES, LEVEL = 8 << 20, 1 << 16, 6
+#: Repeated payloads up to which their first pages are broadcast (some 60 bytes each); beyond, they are joined.
+BROADCAST_FIRSTS = 200_000
 #: Payloads from this size on become revisits of the first page that has them.
 LEAST_REVISIT = 0
 DATE = "2024-01-01T00:00:00Z"
@@ -93,8 +97,11 @@ def write(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
     """
     digested = pages.selectExpr("CAST(page_id AS LONG) AS page_id", "url", "html")
     digested = digested.mapInArrow(_digests, "page_id long, url string, html string, digest string").withColumn("size", F.coalesce(F.octet_length("html"), F.lit(0)))
-    firsts = digested.select("page_id", "digest", "size").where(F.col("size") >= least).groupBy("digest", "size").agg(F.min("page_id").alias("first"))
-    known = digested.join(firsts, ["digest", "size"], "left")
+    groups = digested.select("page_id", "digest", "size").where(F.col("size") >= least).groupBy("digest", "size").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
+    # only payloads that several pages have need to know who is first; where they are few, no payload is moved
+    firsts = written(groups.where("n > 1").drop("n"), "warc-firsts")
+    few = firsts.limit(BROADCAST_FIRSTS + 1).count() <= BROADCAST_FIRSTS
+    known = digested.join(F.broadcast(firsts) if few else firsts, ["digest", "size"], "left")
     revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     return known.withColumn("refers_to", F.when(revisit, F.col("first"))).mapInArrow(_archives, "archive string, content binary")
 
@@ -137,17 +144,28 @@ def parsed(stream: Iterator[bytes]) -> tuple[dict[str, str], bytes]:
     return headers, bytes(held[:length])
 
 
-def checked(headers: dict[str, str], block: bytes) -> tuple[int, bytes | None]:
-    """Payload size and payload (None for a revisit) of a record whose digests hold."""
-    if headers["warc-block-digest"] != f"sha1:{sha1(block)}":
+def _digest(data: bytes, said: str) -> bool:
+    """Whether data has the digest that a header states; digests of other kinds than SHA-1 are taken as they are."""
+    kind, _, value = said.partition(":")
+    return kind.lower() != "sha1" or value.upper() == sha1(data)
+
+
+def checked(headers: dict[str, str], block: bytes) -> tuple[int, str, bytes | None]:
+    """Payload size, bare payload digest and payload (None for a revisit) of a record whose stated digests hold.
+
+    The payload of an HTTP message is what follows its header, of any other record its whole block. Digests need not be
+    stated; a revisit's size is that of its HTTP header, or 0.
+    """
+    if not _digest(block, headers.get("warc-block-digest", "")):
         raise ValueError("the block digest does not hold")
-    http, _, payload = block.partition(b"\r\n\r\n")
-    size = next(int(line.split(b":")[1]) for line in http.split(b"\r\n") if line.lower().startswith(b"content-length:"))
-    if headers["warc-type"] == "revisit":
-        return size, None
-    if len(payload) != size or headers["warc-payload-digest"] != f"sha1:{sha1(payload)}":
+    http, _, payload = block.partition(b"\r\n\r\n") if headers.get("content-type", "").startswith("application/http") else (b"", b"", block)
+    said = [int(line.split(b":")[1]) for line in http.split(b"\r\n")[1:] if line.lower().startswith(b"content-length:") and line.split(b":")[1].strip().isdigit()]
+    stated = headers.get("warc-payload-digest", "")
+    if headers.get("warc-type") == "revisit":
+        return said[0] if said else 0, stated.partition(":")[2], None
+    if said and b"transfer-encoding:" not in http.lower() and len(payload) != said[0] or not _digest(payload, stated):
         raise ValueError("the payload digest does not hold")
-    return size, payload
+    return len(payload), stated.partition(":")[2] or sha1(payload), payload
 
 
 SCHEMA = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary"
@@ -161,9 +179,9 @@ def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows, size = [], 0
             for member in members(content.as_buffer()):
                 headers, block = parsed(member)
-                length, payload = checked(headers, block)
+                length, digest, payload = checked(headers, block)
                 number = lambda name: int(headers[name]) if name in headers else None  # noqa: B023, E731
-                rows.append((number("x-page-id"), headers.get("warc-target-uri"), headers["warc-type"], number("x-refers-to-page-id"), length, headers["warc-payload-digest"].removeprefix("sha1:"), payload))
+                rows.append((number("x-page-id"), headers.get("warc-target-uri"), headers.get("warc-type"), number("x-refers-to-page-id"), length, digest, payload))
                 size += len(block)
                 if size > ARCHIVE_BYTES:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
@@ -175,7 +193,9 @@ def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read(archives: DataFrame) -> DataFrame:
     """One row per record of archives (content): page_id, url, record_type, refers_to, payload_bytes, payload_digest, payload.
 
-    payload is null for revisits; their size and digest are those of the full payload. A record that is cut off, is not
-    as long as it says, or whose digests do not hold fails the job with the reason.
+    payload is null for revisits; their size and digest are those of the full payload. Records of all types are read:
+    warcinfo, requests and metadata too, with or without digests, each with its own record_type. A record that is cut
+    off, is not as long as it says, or whose stated digests do not hold fails the job with the reason. Repeated records
+    stay; an empty table gives an empty result; other columns of archives play no part.
     """
     return archives.select("content").mapInArrow(_records, SCHEMA)

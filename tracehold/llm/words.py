@@ -6,7 +6,9 @@ Hashes are 64 bits wide and the same in every process.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -104,3 +106,21 @@ def rolled(hashes: np.ndarray, width: int, base: int) -> np.ndarray:
     for k in range(width):
         total += hashes[k : k + len(total)] * U(pow(base, k + 1, 1 << 64))
     return mix(total)
+
+
+Batches = Iterator[pa.RecordBatch]
+
+
+def trimmed(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
+    """run, after which a worker gives its free memory back: workers outlive tasks and wait beside the next stages."""
+
+    @wraps(run)
+    def then_free(batches: Batches) -> Batches:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # another C library
+            pass
+
+    return then_free
