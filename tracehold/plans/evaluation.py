@@ -141,7 +141,12 @@ def agent_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bad.groupBy("agent_name", F.floor(F.col("ts") / 3600).alias("hour")).agg(F.count("*").alias("n")).where("n >= 2")
 
 
-@query()
+_SUPPRESSED = """, numbered AS (SELECT agent_name AS agent, ts, arrival, row_number() OVER (PARTITION BY agent_name ORDER BY ts, arrival) AS nth FROM tele WHERE event_type = 'cost_threshold_exceeded'),
+folded AS (SELECT *, TRUE AS kept, ts + 3600 AS until FROM numbered WHERE nth = 1 UNION ALL SELECT n.*, n.ts >= f.until, CASE WHEN n.ts >= f.until THEN n.ts + 3600 ELSE f.until END FROM folded f JOIN numbered n ON n.agent = f.agent AND n.nth = f.nth + 1)
+SELECT agent, ts, arrival, kept FROM folded"""
+
+
+@query((VIEW + _SUPPRESSED).replace("WITH tele", "WITH RECURSIVE tele", 1))
 def alert_suppression(spark: SparkSession, sf_dir: str) -> DataFrame:
     alerts = telemetry(spark, sf_dir).where("event_type = 'cost_threshold_exceeded'").withColumnRenamed("agent_name", "agent")
     return evaluate.suppressed(alerts)

@@ -76,7 +76,13 @@ def session_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jsonl.session_keys(anonymous(spark, sf_dir)).select("arrival", "session_key", "key_kind", "confidence")
 
 
-@query()
+_FOLDED = """, instants AS (SELECT DISTINCT 'anon-' || substr(sha256(host || chr(31) || chr(31)), 1, 32) AS scope, ts FROM keyed WHERE session_id IS NULL AND trace_id IS NULL AND ts IS NOT NULL),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY scope ORDER BY ts) AS nth FROM instants),
+folded AS (SELECT scope, ts, nth, ts AS window_start FROM numbered WHERE nth = 1 UNION ALL SELECT n.scope, n.ts, n.nth, CASE WHEN n.ts - f.window_start > 300 THEN n.ts ELSE f.window_start END FROM folded f JOIN numbered n ON n.scope = f.scope AND n.nth = f.nth + 1)
+SELECT scope, ts, window_start FROM folded"""
+
+
+@query((_KEYED + _FOLDED).replace("WITH tele", "WITH RECURSIVE tele", 1))
 def anon_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     keyed = jsonl.session_keys(anonymous(spark, sf_dir)).where("key_kind = 'anonymous'")
     return jsonl.anonymous_windows(keyed.withColumnRenamed("session_key", "scope"))
@@ -117,13 +123,34 @@ def final_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return said.groupBy("conv_id").agg(F.max_by("text", "turn").alias("response"), F.count("*").alias("turns"))
 
 
-@query()
+_DENIALS = text.DENIALS.replace("'", "''")
+#: After a CTE spoken (id, t): heard holds the distinct words of t that stand outside of denials' reach.
+_HEARD = f""", lowered AS (SELECT id, lower(coalesce(t, '')) AS t FROM spoken),
+matched AS (SELECT id, t, regexp_extract_all(t, '{_DENIALS}') AS cues, string_split_regex(t, '{_DENIALS}') AS between FROM lowered),
+cues AS (SELECT id, t, list_sum(list_transform(between[:n], lambda x: length(x))) + coalesce(list_sum(list_transform(cues[:n - 1], lambda x: length(x))), 0) AS begin, length(cues[n]) AS size FROM matched, unnest(range(1, len(cues) + 1)) AS u(n)),
+letters AS (SELECT id, t, i, substr(t, i, 1) AS c, substr(t, i + 1, 1) AS d, CASE WHEN i > 1 THEN substr(t, i - 1, 1) ELSE '' END AS b FROM lowered, unnest(range(1, length(t) + 1)) AS u(i)),
+stops AS (SELECT id, i - 1 AS place FROM letters WHERE c = chr(10) OR c IN ('.', '!', '?', ';') AND (d = '' OR regexp_matches(d, '\\s'))),
+spans AS (SELECT c.id, begin, least(any_value(length(t)), any_value(begin + size + {text.REACH}), min(place)) AS until FROM cues c LEFT JOIN stops s ON s.id = c.id AND s.place >= begin + size GROUP BY c.id, begin),
+said AS (SELECT id, i - 1 AS place, regexp_extract(substr(t, i), '^[a-z0-9]+') AS word FROM letters WHERE regexp_matches(c, '[a-z0-9]') AND NOT regexp_matches(b, '[a-z0-9]')),
+heard AS (SELECT DISTINCT w.id, word FROM said w WHERE length(word) > 2 AND NOT EXISTS (SELECT 1 FROM spans s WHERE s.id = w.id AND s.begin <= w.place AND w.place < s.until))"""
+_FINAL = "SELECT conv_id, arg_max(text, turn) AS response FROM conversations WHERE role = 'assistant' GROUP BY 1"
+
+
+@query(f"WITH spoken AS (SELECT conv_id AS id, response AS t FROM ({_FINAL})){_HEARD} SELECT s.id AS conv_id, CAST(count(h.word) AS INTEGER) AS n_words FROM spoken s LEFT JOIN heard h ON h.id = s.id GROUP BY 1")
 def response_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of final responses outside of denials."""
     return final_responses(spark, sf_dir).select("conv_id", F.size(text.asserted_words("response")).alias("n_words"))
 
 
-@query()
+_TOLD = f"""CASE WHEN conv_id % 3 = 0 THEN response || ' I sent the payment.' ELSE replace(response || ' I sent the payment.', 'I sent', 'I did not send') END"""
+
+
+@query(
+    CALLS
+    + f""", finals AS ({_FINAL}), spoken AS (SELECT conv_id AS id, {_TOLD} AS t FROM finals){_HEARD},
+hidden AS (SELECT c.* FROM (SELECT *, CAST(regexp_extract(session_id, '^u([0-9]+)', 1) AS BIGINT) AS id FROM classed WHERE executed AND consequential) c WHERE id IN (SELECT id FROM spoken) AND NOT EXISTS (SELECT 1 FROM heard h WHERE h.id = c.id AND list_contains(list_filter(string_split_regex(lower(c.name), '[^a-z0-9]+'), lambda t: length(t) > 2), h.word)))
+SELECT session_id, count(*) AS n_calls, CASE WHEN bool_or(class = 'egress') THEN 'critical' ELSE 'high' END AS severity FROM hidden GROUP BY 1"""
+)
 def ch02_concealment_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Executed consequential calls that the session's final response does not disclose."""
     answers = final_responses(spark, sf_dir).select(F.col("conv_id").alias("user_id"), F.concat("response", F.lit(" I sent the payment.")).alias("response"))

@@ -7,32 +7,70 @@ from pyspark.sql import functions as F
 
 from tracehold.operators import detect
 from tracehold.plans import detections, evidence, intake, proofs
-from tracehold.plans.registry import query
+from tracehold.plans.detections import _RANK
+from tracehold.plans.registry import SQL, query
+from tracehold.sources.shared import kept
 
+_CHECKS = {
+    "CH01": "ch01_sequence_order", "CH02": "ch02_concealment_gap", "CH03": "ch03_untrusted", "CH04": "ch04_guardrail", "CH05": "ch05_unpaired", "CH06": "ch06_integrity", "CH07": "ch07_effects",
+}
+_FOUND = "WITH found AS (" + " UNION ALL ".join(f"SELECT session_id, '{check}' AS \"check\", severity FROM ({SQL[name]})" for check, name in _CHECKS.items()) + ")"
+_STAMPED = _FOUND + f", stamped AS (SELECT f.session_id, f.\"check\", f.severity, c.confidence, c.status AS coverage, e.status AS evidence_status FROM found f LEFT JOIN ({SQL['contracts']}) c ON c.session_id = f.session_id AND c.\"check\" = f.\"check\" LEFT JOIN ({SQL['evidence_status']}) e ON e.session_id = f.session_id)"
 
-def stamped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(session_id, check, severity, confidence, coverage, evidence_status); nulls where a session has no contract or no chained record."""
+
+def found_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(session_id, check, severity) of the seven checks."""
     checks = {
         "ch01": detections.ch01_sequence_order, "ch02": intake.ch02_concealment_gap, "ch03": detections.ch03_untrusted, "ch04": detections.ch04_guardrail,
         "ch05": detections.ch05_unpaired, "ch06": evidence.ch06_integrity, "ch07": detections.ch07_effects,
     }
-    found = detect.union_findings(**{name: f(spark, sf_dir) for name, f in checks.items()})
+    return kept(detect.union_findings(**{name: f(spark, sf_dir) for name, f in checks.items()}), "findings")
+
+
+def stamped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(session_id, check, severity, confidence, coverage, evidence_status); nulls where a session has no contract or no chained record."""
+    found = found_of(spark, sf_dir)
     contracts = proofs.contracts(spark, sf_dir).withColumnRenamed("status", "coverage")
     status = evidence.evidence_status(spark, sf_dir).withColumnRenamed("status", "evidence_status")
     return found.join(contracts, ["session_id", "check"], "left").join(status, "session_id", "left")
 
 
-@query()
+@query(_STAMPED + " SELECT *, count(*) AS n FROM stamped GROUP BY ALL")
 def findings_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stamped(spark, sf_dir).groupBy("session_id", "check", "severity", "confidence", "coverage", "evidence_status").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(_FOUND + f" SELECT session_id, arg_max(severity, {_RANK}) AS severity, string_agg(DISTINCT \"check\", ',' ORDER BY \"check\") AS rules, count(*) AS n_findings FROM found GROUP BY 1")
 def session_severity_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return detect.session_severity(stamped(spark, sf_dir))
+    return detect.session_severity(found_of(spark, sf_dir))
 
 
-@query()
+@query(_STAMPED + f" SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY {_RANK} DESC, \"check\", severity) AS place FROM stamped")
 def findings_all_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     order = Window.partitionBy("session_id").orderBy(detect.ranked(F.col("severity")).desc(), "check", "severity")
     return stamped(spark, sf_dir).withColumn("place", F.row_number().over(order))
+
+
+#: Detection content: rules on the checks that fired, and three filters on what a verdict says of its evidence.
+RULES = (
+    ("novel_sequence", "CH01"), ("concealed_action", "CH02"), ("untrusted_flow", "CH03"), ("guardrail_bypassed", "CH04"), ("unpaired_call", "CH05"), ("evidence_tampered", "CH06"), ("effect_contradicted", "CH07"),
+)
+LEAST_COMPLETENESS = 0.8
+_RULES = ", ".join(f"('{rule}', '{check}')" for rule, check in RULES)
+
+
+@query(_FOUND + f""" SELECT DISTINCT session_id, rule FROM found JOIN (VALUES {_RULES}) AS r(rule, "check") USING ("check")
+UNION ALL SELECT session_id, 'coverage_degraded' FROM ({SQL['coverage_per_session']}) WHERE completeness <= {LEAST_COMPLETENESS} UNION ALL SELECT session_id, 'integrity_defects' FROM ({SQL['stream_codes']}) GROUP BY 1
+UNION ALL SELECT session_id, 'unpaired_consequential' FROM ({SQL['ch05_unpaired']}) WHERE n_consequential >= 1""")
+def content_alerts_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions with the rules that they trip, over all checks, and the filters on completeness, integrity and consequence."""
+    rules = spark.createDataFrame(list(RULES), "rule string, check string")
+    fired = found_of(spark, sf_dir).select("session_id", "check").distinct().join(F.broadcast(rules), "check")  # as many rows as there are checks
+    filters = (
+        ("coverage_degraded", proofs.coverage_per_session(spark, sf_dir).where(F.col("completeness") <= LEAST_COMPLETENESS)), ("integrity_defects", evidence.stream_codes(spark, sf_dir)),
+        ("unpaired_consequential", detections.ch05_unpaired(spark, sf_dir).where("n_consequential >= 1")),
+    )
+    out = fired.select("session_id", "rule")
+    for rule, rows in filters:
+        out = out.unionByName(rows.select("session_id").distinct().withColumn("rule", F.lit(rule)))
+    return out

@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tracehold.operators import chains
 from tracehold.sources.jsonl import quarantined
 
 
@@ -24,7 +26,7 @@ def dropped_duplicates(events: DataFrame, keys: list[str], late: str = "1 hour")
 
 
 def quarantine(lines: DataFrame) -> DataFrame:
-    """lines with reject_code; split by it in foreachBatch."""
+    """lines with reject_code; split_quarantine() parts them."""
     return quarantined(lines)
 
 
@@ -69,3 +71,53 @@ def sessions(events: DataFrame, idle: float = 1800.0, late: str = "10 minutes")
 
     rows = events.select("session_id", "at", "ts", "event_type").withWatermark("at", late)
     return rows.groupBy("session_id").applyInPandasWithState(advance, SESSION, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+RECORD_COLUMNS = ("session_id", "stream_id", "key_id", "seq", "prev", "chain", "body", "arrival")
+LEDGER = "stream_id string, first_seq long, last_seq long, head string, runs long"
+
+
+def latest_ledger(spark: SparkSession, folder: str) -> DataFrame:
+    """The ledger's last version in folder, empty before the first batch. Versions are whole tables, so a lost batch is run again."""
+    versions = spark.read.schema(LEDGER + ", version long").option("basePath", f"{folder}/ledger").parquet(f"{folder}/ledger") if _versions(spark, folder) else None
+    if versions is None:
+        return spark.createDataFrame([], LEDGER)
+    last = versions.agg(F.max("version")).first()[0]
+    return versions.where(F.col("version") == last).drop("version")
+
+
+def _versions(spark: SparkSession, folder: str) -> bool:
+    try:
+        spark.read.schema(LEDGER).parquet(f"{folder}/ledger")
+    except AnalysisException:  # no batch has written one yet
+        return False
+    return True
+
+
+def run_ledger(records: DataFrame, folder: str) -> None:
+    """Takes what records (RECORD_COLUMNS) hold so far into the ledger in folder, one version per batch, and stops.
+
+    A batch that is run again writes its version again, from the version before it.
+    """
+    spark = records.sparkSession
+
+    def taken(batch: DataFrame, number: int) -> None:
+        before = latest_ledger(spark, folder)
+        streams = chains.summary(batch)
+        status = chains.ledger_status(streams, before.withColumn("closed", F.lit(False)), batch)
+        chains.ledger_next(status, before).write.mode("overwrite").parquet(f"{folder}/ledger/version={number}")
+
+    run = records.writeStream.foreachBatch(taken).option("checkpointLocation", f"{folder}/ledger-state").trigger(availableNow=True).start()
+    run.awaitTermination()
+
+
+def split_quarantine(lines: DataFrame, folder: str) -> None:
+    """Writes accepted and rejected lines of a stream to two sinks, batch by batch, and stops when all is taken."""
+
+    def taken(batch: DataFrame, number: int) -> None:
+        judged = quarantined(batch)
+        judged.where("reject_code IS NULL").write.mode("overwrite").parquet(f"{folder}/accepted/batch={number}")
+        judged.where("reject_code IS NOT NULL").write.mode("overwrite").parquet(f"{folder}/rejected/batch={number}")
+
+    run = lines.writeStream.foreachBatch(taken).option("checkpointLocation", f"{folder}/split-state").trigger(availableNow=True).start()
+    run.awaitTermination()
