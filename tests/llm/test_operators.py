@@ -412,6 +412,16 @@ def test_topk_search(spark):
         assert sorted(got[q]) == want
 
 
+def test_topk_search_of_odd_rows(spark):
+    rows = [(7, "a b c"), (7, "a b c"), (7, "a x"), (8, "a " * 50_000), (None, "a b"), (9, None)]
+    docs = spark.createDataFrame(rows, DOCS).withColumns({"term": F.lit("mine"), "shard": F.lit(1), "counts": F.lit(2)})
+    queries = spark.createDataFrame([(1, "A b"), (1, "c"), (2, "x")], DOCS).withColumnRenamed("doc_id", "query_id").withColumn("rank", F.lit(0))
+    got = defaultdict(list)
+    for r in topk_search.search(written(topk_search.build(docs), "odd"), queries, 10).collect():
+        got[r.query_id].append((r.rank, r.doc_id))
+    assert sorted(got[1])[:2] == [(1, 7), (2, 7)] and sorted(i for _, i in got[1]) == [7, 7, 7, 8] and got[2] == [(1, 7)]
+
+
 def test_topk_search_asks_whole_documents(spark, tmp_path):
     rng = random.Random(5)
     vocabulary = [f"w{int(rng.paretovariate(0.5)) % 4000}" for _ in range(6000)]
