@@ -12,6 +12,7 @@ from tracehold.operators.pairing import clock
 VIOLATION_RATE, LEAST_CALLS, LEAST_OVERLAP = 0.25, 3, 0.5
 POLICY_TYPES = ("cost_threshold_exceeded", "depth_exceeded")
 SEVERITIES = ("low", "medium", "high", "critical")
+CLASSES = ("egress", "state_change", "read_only", "unknown")
 START, END = "<start>", "<end>"
 #: The registry of checks: each one's family.
 FAMILIES = {"CH01": "sequence", "CH02": "concealment", "CH03": "untrusted_flow", "CH04": "guardrail", "CH05": "pairing", "CH06": "integrity", "CH07": "effects"}
@@ -196,12 +197,19 @@ def session_features(events: DataFrame, calls: DataFrame) -> DataFrame:
         F.count("*").alias("event_count"), F.min("ts").alias("started_at"), F.max("ts").alias("ended_at"), F.round(F.max("ts") - F.min("ts"), 3).alias("duration_s"),
         F.count_if(F.col("event_type").isin(*POLICY_TYPES)).alias("policy_events"), F.count_if(F.coalesce("marked", F.lit(False))).alias("markers"), F.count("marked").alias("scanner_answers"),
         F.min_by("agent_name", F.struct(*clock())).alias("agent"), F.min_by("host", F.struct(*clock())).alias("host"), F.count_distinct("agent_name").alias("agents"),
+        F.count_if(F.col("event_type") == "tool_start").alias("tool_starts"), F.count_if(F.col("event_type").isin("tool_end", "tool_error")).alias("tool_ends"), F.count_if(F.col("event_type") == "tool_error").alias("tool_errors"),
+        F.count_if(F.col("marked").isNull()).alias("unanswered"), F.count_if(F.col("ts").isNotNull() & ~F.isnan("ts")).alias("valid_clocks"), F.count_distinct("event_type").alias("event_types"),
+        F.count_distinct("host").alias("hosts"), F.min_by("user_id", F.struct(*clock())).alias("first_user"),
     )
+    states = ("complete", "orphan_end", "mismatched_end", "duplicate_end")
     per_call = calls.groupBy("session_id").agg(
         F.count("*").alias("call_count"), F.count_distinct("name").alias("distinct_tools"), F.count_if("executed").alias("executed_calls"), F.count_if(F.col("state") == "open").alias("open_calls"),
         F.count_if("consequential").alias("consequential_calls"), F.round(F.sum("cost"), 6).alias("call_cost"),
+        *(F.count_if(F.col("state") == s).alias(f"{s}_calls") for s in states), *(F.count_if(F.col("class") == c).alias(f"{c}_calls") for c in CLASSES),
+        F.count_if((F.col("state") == "complete") & ~F.col("executed")).alias("failed_calls"), F.count_if(F.col("consequential") & F.col("executed")).alias("consequential_executed"), F.round(F.max("cost"), 6).alias("largest_call_cost"),
     )
-    return per_event.join(per_call, "session_id", "left").fillna(0, ["call_count", "distinct_tools", "executed_calls", "open_calls", "consequential_calls"])
+    counts = ["call_count", "distinct_tools", "executed_calls", "open_calls", "consequential_calls", *(f"{s}_calls" for s in (*states, *CLASSES)), "failed_calls", "consequential_executed"]
+    return per_event.join(per_call, "session_id", "left").fillna(0, counts)
 
 
 def numbered(rows: DataFrame, block: Column, order: list[str]) -> DataFrame:

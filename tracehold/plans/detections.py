@@ -236,9 +236,13 @@ def dedup_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return redelivered(spark, sf_dir).where("NOT is_dup").select("session_id", "arrival", "is_conflict")
 
 
-@query(CALLS + """, ev AS (SELECT session_id, count(*) AS event_count, min(ts) AS started_at, max(ts) AS ended_at, round(max(ts) - min(ts), 3) AS duration_s, count_if(event_type = 'cost_threshold_exceeded') AS policy_events, count_if(coalesce(marked, FALSE)) AS markers, count(marked) AS scanner_answers, arg_min(agent_name, (ts, arrival)) AS agent, arg_min(host, (ts, arrival)) AS host, count(DISTINCT agent_name) AS agents FROM tele GROUP BY 1),
-cl AS (SELECT session_id, count(*) AS call_count, count(DISTINCT name) AS distinct_tools, count_if(executed) AS executed_calls, count_if(state = 'open') AS open_calls, count_if(consequential) AS consequential_calls, round(sum(cost), 6) AS call_cost FROM classed GROUP BY 1)
-SELECT ev.*, coalesce(call_count, 0) AS call_count, coalesce(distinct_tools, 0) AS distinct_tools, coalesce(executed_calls, 0) AS executed_calls, coalesce(open_calls, 0) AS open_calls, coalesce(consequential_calls, 0) AS consequential_calls, call_cost FROM ev LEFT JOIN cl USING (session_id)""")
+_SHAPES = ", ".join([*(f"count_if(state = '{s}') AS {s}_calls" for s in ("complete", "orphan_end", "mismatched_end", "duplicate_end")), *(f"count_if(class = '{c}') AS {c}_calls" for c in detect.CLASSES), "count_if(state = 'complete' AND NOT executed) AS failed_calls", "count_if(consequential AND executed) AS consequential_executed"])
+_SHAPED = ", ".join(f"coalesce({part.rsplit(' ', 1)[1]}, 0) AS {part.rsplit(' ', 1)[1]}" for part in _SHAPES.split(", "))
+
+
+@query(CALLS + f""", ev AS (SELECT session_id, count(*) AS event_count, min(ts) AS started_at, max(ts) AS ended_at, round(max(ts) - min(ts), 3) AS duration_s, count_if(event_type = 'cost_threshold_exceeded') AS policy_events, count_if(coalesce(marked, FALSE)) AS markers, count(marked) AS scanner_answers, arg_min(agent_name, (ts, arrival)) AS agent, arg_min(host, (ts, arrival)) AS host, count(DISTINCT agent_name) AS agents, count_if(event_type = 'tool_start') AS tool_starts, count_if(event_type IN ('tool_end', 'tool_error')) AS tool_ends, count_if(event_type = 'tool_error') AS tool_errors, count_if(marked IS NULL) AS unanswered, count(ts) AS valid_clocks, count(DISTINCT event_type) AS event_types, count(DISTINCT host) AS hosts, arg_min(user_id, (ts, arrival)) AS first_user FROM tele GROUP BY 1),
+cl AS (SELECT session_id, count(*) AS call_count, count(DISTINCT name) AS distinct_tools, count_if(executed) AS executed_calls, count_if(state = 'open') AS open_calls, count_if(consequential) AS consequential_calls, round(sum(cost), 6) AS call_cost, round(max(cost), 6) AS largest_call_cost, {_SHAPES} FROM classed GROUP BY 1)
+SELECT ev.*, largest_call_cost, {_SHAPED}, coalesce(call_count, 0) AS call_count, coalesce(distinct_tools, 0) AS distinct_tools, coalesce(executed_calls, 0) AS executed_calls, coalesce(open_calls, 0) AS open_calls, coalesce(consequential_calls, 0) AS consequential_calls, call_cost FROM ev LEFT JOIN cl USING (session_id)""")
 def session_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect.session_features(telemetry(spark, sf_dir), calls_of(spark, sf_dir))
 
