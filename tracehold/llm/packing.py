@@ -27,7 +27,7 @@ from tracehold.llm import words
 LONGEST = 4096
 TIERS = (256, 512, 1024, 2048, LONGEST)
 #: Tokens held while a task packs, characters of the words whose ids it remembers, words of a text at a time, tokens of a step group.
-HELD, CACHE, RUN, STEP_TOKENS = 1_000_000, 6_000_000, 200_000, 65_536
+HELD, CACHE, RUN, STEP_TOKENS = 1_000_000, 14_000_000, 200_000, 65_536
 #: Texts whose unknown words are tokenized together.
 GROUP = 100
 VOCABULARY = "word_bpe_49k.json"
