@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracehold.llm import jaccard_join, mixing, nearest, packing, secret_scan, sql, substring_dedup, token_counts, topk_search, toxicity, warc
+from tracehold.llm import centroids, jaccard_join, mixing, nearest, packing, quality_rules, secret_scan, spelling, sql, substring_dedup, token_counts, topk_search, toxicity, warc
 from tracehold.llm.storage import table, written
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -69,9 +69,23 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    judged = quality_rules.judge(docs, quality_rules.fit(docs, table(spark, sf_dir, "labels")))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_topk_search": sql.TOPK_SEARCH, "op7_source_mixing": sql.SOURCE_MIXING, "op10_substring_dedup": sql.SUBSTRING_DEDUP}
+    return {"op1_topk_search": sql.TOPK_SEARCH, "op7_source_mixing": sql.SOURCE_MIXING, "op10_substring_dedup": sql.SUBSTRING_DEDUP, "op11_centroids": sql.CENTROIDS}

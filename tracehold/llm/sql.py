@@ -27,3 +27,20 @@ gone AS (SELECT DISTINCT doc_id, i + k AS pos FROM win SEMI JOIN (SELECT h FROM
 each AS (SELECT doc_id, pos, ws[pos] AS word FROM w, unnest(range(1, len(ws) + 1)) AS t(pos)),
 kept AS (SELECT each.doc_id, count(gone.pos) AS n_removed, string_agg(word, ' ' ORDER BY each.pos) FILTER (gone.pos IS NULL) AS kept FROM each LEFT JOIN gone ON each.doc_id = gone.doc_id AND each.pos = gone.pos GROUP BY 1)
 SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (doc_id)"""
+
+
+def _centroids(k: int = 40, rounds: int = 5) -> str:
+    """Each round as two tables: the nearest centroid of each vector, and the floored means with the empty ones as before."""
+    gap = "CAST(list_sum(list_transform(range(1, 65), lambda i: (v[i] - c[i]) * (v[i] - c[i]))) AS BIGINT)"
+    parts = ["""kept AS MATERIALIZED (SELECT row_number() OVER () AS n, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64)""",
+        f"c0 AS MATERIALIZED (SELECT CAST(row_number() OVER (ORDER BY sha256('2:' || vec_id)) - 1 AS INTEGER) AS cluster, v AS c FROM kept ORDER BY sha256('2:' || vec_id) LIMIT {k})"]
+    for r in range(rounds + 1):
+        parts.append(f"a{r} AS MATERIALIZED (SELECT n, any_value(vec_id) AS vec_id, any_value(v) AS v, arg_min(cluster, (d, cluster)) AS cluster, min(d) AS distance FROM (SELECT n, vec_id, v, cluster, {gap} AS d FROM kept, c{r}) GROUP BY n)")
+        if r < rounds:
+            means = "SELECT cluster, list(m ORDER BY i) AS m FROM (SELECT cluster, i, CAST(floor(CAST(sum(v[i]) AS DOUBLE) / count(*)) AS BIGINT) AS m FROM a{0}, range(1, 65) AS t(i) GROUP BY ALL) GROUP BY 1"
+            parts.append(f"c{r + 1} AS MATERIALIZED (SELECT cluster, coalesce(m, c) AS c FROM c{r} LEFT JOIN ({means.format(r)}) USING (cluster))")
+    last = f"SELECT vec_id, cluster, distance, CAST(sum(distance) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia, CAST(sum(distance) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256 FROM a{rounds} JOIN c{rounds} USING (cluster)"
+    return "WITH " + ", ".join(parts) + " " + last
+
+
+CENTROIDS = _centroids()

@@ -54,6 +54,18 @@ def _hashed(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, code: np.nda
     return mix((sums[ends] - sums[starts]) * powers(_INVERSE, n + 1)[starts] + (ends - starts).astype(np.uint64))
 
 
+def hashed(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hash of the bytes of each piece data[starts[i]:ends[i]]; pieces are in order and do not overlap."""
+    found = np.empty(len(starts), np.uint64)
+    at = 0
+    while at < len(starts):
+        to = max(at + 1, int(np.searchsorted(starts, starts[at] + SLICE_BYTES)))
+        first, last = starts[at], ends[to - 1]
+        found[at:to] = _hashed(data[first:last], starts[at:to] - first, ends[at:to] - first, _BYTE_CODE)
+        at = to
+    return found
+
+
 def find_words(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Text number, first byte, byte after the last, and hash of each word of the texts data[offsets[i]:offsets[i+1]]."""
     inside = ~_DELIMITER[data]
