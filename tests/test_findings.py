@@ -21,7 +21,7 @@ def test_all_seven_checks_are_united_and_stamped(spark):
         want.update((r.session_id, name[:4].upper(), r.severity) for r in queries[name](spark, DATA).collect())
     assert {"CH01", "CH04", "CH06"} <= {check for _, check, _ in want}
     confidence = {(r.session_id, r.check): (r.confidence, r.status) for r in queries["contracts"](spark, DATA).collect()}
-    status = {r.session_id: r.status for r in queries["evidence_status"](spark, DATA).collect()}
+    status = {r.session_id: r.status for r in queries["signed_evidence_status"](spark, DATA).collect()}
     rows = queries["findings_all"](spark, DATA).collect()
     assert Counter({(r.session_id, r.check, r.severity): r.n for r in rows}) == want
     for r in rows:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import base64
 import random
 from collections import defaultdict
 
@@ -13,6 +14,7 @@ from tracehold.operators import chains, evaluate, signatures
 from tracehold.operators.pairing import pair_by_name, pair_calls
 from tracehold.sources.jsonl import anonymous_windows, quarantined, read_lines, reject_code
 
+_KEY = base64.b64encode(ed25519.public_key(b"k" * 32)).decode()
 EVENTS = "session_id string, event_type string, tool_name string, span_id string, ts double, arrival long, cost double"
 
 
@@ -101,10 +103,10 @@ def test_signatures_are_those_of_the_standard():
 
 
 def test_trust_stores_are_refused_whole(spark):
-    good = '{"keys": {"a": {"key": "' + "A" * 43 + '=", "roles": ["collector"], "replaces": "b"}}}'
+    good = '{"keys": {"a": {"key": "' + _KEY + '", "roles": ["collector"], "replaces": "b"}}}'
     load = lambda text: signatures.trust_store(spark, spark.createDataFrame([(text,)], "value string")).collect()
     assert [r.key_id for r in load(good)] == ["a"]
-    for bad in (good.replace('"b"', '"a"'), good.replace('["collector"]', "[]"), good.replace("A" * 43, "AAAA"), "{", '{"keys": null}'):
+    for bad in (good.replace('"b"', '"a"'), good.replace('["collector"]', "[]"), good.replace(_KEY, "AAAA"), good.replace(_KEY, "A" * 43 + "="), "{", '{"keys": null}'):
         with pytest.raises(signatures.StoreError):
             load(bad)
 
@@ -112,6 +114,6 @@ def test_trust_stores_are_refused_whole(spark):
 def test_keys_are_pinned_and_succession_is_transitive(spark):
     keys = spark.createDataFrame([("a", None), ("b", "a"), ("c", "b"), ("x", "y"), ("y", "x")], "key_id string, replaces string")
     assert signatures.successions(keys) == {("b", "a"), ("c", "b"), ("c", "a"), ("x", "y"), ("y", "x")}
-    found = spark.createDataFrame([("s", k, key, True) for k, key in enumerate("aacxcba")] + [("s", 9, "x", False)], "stream_id string, seq long, key_id string, held boolean")
+    found = spark.createDataFrame([("s", "t", k, key, True) for k, key in enumerate("aacxcba")] + [("s", "t", 9, "x", False)], "stream_id string, session_id string, seq long, key_id string, held boolean")
     got = {(r.seq, r.from_key_id, r.to_key_id) for r in signatures.key_changes(found, keys).collect()}
     assert got == {(3, "c", "x"), (5, "c", "b"), (6, "c", "a")}

@@ -56,15 +56,20 @@ def approval_matches(calls: DataFrame, granted: DataFrame) -> DataFrame:
     """Approvals at the calls that they name by span: bound, bound_span_only or arg_mismatch; another tool is no match.
 
     calls: session_id, span_id, name, arg_digest, start_ts. granted: session_id, span_id, tool_id, arg_digest, decision,
-    granted_at, expires_at, observed_at.
+    granted_at, expires_at, observed_at. Both may have verified positions (start_stream, start_seq; observed_stream,
+    observed_seq): in one stream they tell whether the approval was there before the call started, else the clock does.
     """
-    g = granted.select("session_id", "span_id", "tool_id", F.col("arg_digest").alias("granted_digest"), "decision", "granted_at", "expires_at", "observed_at")
+    if "start_stream" not in calls.columns:
+        calls = calls.withColumns({"start_stream": F.lit(None).cast("string"), "start_seq": F.lit(None).cast("long")})
+    if "observed_stream" not in granted.columns:
+        granted = granted.withColumns({"observed_stream": F.lit(None).cast("string"), "observed_seq": F.lit(None).cast("long")})
+    g = granted.select("observed_stream", "observed_seq", *(c for c in ("assured", "tier") if c in granted.columns), "session_id", "span_id", "tool_id", F.col("arg_digest").alias("granted_digest"), "decision", "granted_at", "expires_at", "observed_at")
     both = calls.join(g, ["session_id", "span_id"]).where("tool_id IS NULL OR tool_id = name")
     binding = F.when(F.col("granted_digest") != F.col("arg_digest"), "arg_mismatch").when((F.col("granted_digest") == F.col("arg_digest")) & F.col("tool_id").isNotNull(), "bound").otherwise("bound_span_only")
     window = F.when(F.col("start_ts").isNull() | (F.col("granted_at").isNull() & F.col("expires_at").isNull()), F.lit(None)).otherwise(
         (F.coalesce("granted_at", F.lit(float("-inf"))) <= F.col("start_ts")) & (F.col("start_ts") <= F.coalesce("expires_at", F.lit(float("inf"))))
     )
-    before = F.when(F.col("observed_at").isNull() | F.col("start_ts").isNull() | (F.col("observed_at") == F.col("start_ts")), F.lit(None)).otherwise(F.col("observed_at") < F.col("start_ts"))
+    before = F.when(F.col("start_stream") == F.col("observed_stream"), F.col("observed_seq") < F.col("start_seq")).when(~F.isnan("observed_at") & ~F.isnan("start_ts"), F.col("observed_at") <= F.col("start_ts"))
     return both.withColumns({"binding": binding, "in_window": window.cast("boolean"), "observed_before": before.cast("boolean")})
 
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,8 +13,13 @@ from tracehold.operators.detect import small
 
 SCHEME = "stream/1"
 SEPARATOR = "\x1f"
-#: Codes that make a session's evidence inadmissible.
-INADMISSIBLE = ("CHAIN_BROKEN", "CHAIN_UNANCHORED", "SEQUENCE_GAP", "SEQUENCE_REPLAY", "PARTIAL_INTEGRITY", "SIGNATURE_INVALID", "KEY_UNKNOWN", "KEY_REVOKED", "KEY_EXPIRED", "KEY_NOT_YET_VALID", "KEY_WRONG_ROLE", "STALE", "FROM_FUTURE")
+#: Codes that make a session's evidence inadmissible: a question that was answered, and against it.
+INADMISSIBLE = (
+    "CHAIN_BROKEN", "CHAIN_UNANCHORED", "SEQUENCE_GAP", "SEQUENCE_REPLAY", "PARTIAL_INTEGRITY", "SIGNATURE_INVALID", "KEY_UNKNOWN", "KEY_REVOKED", "KEY_EXPIRED", "KEY_NOT_YET_VALID",
+    "KEY_WRONG_ROLE", "STALE", "FROM_FUTURE", "STREAM_REPLAYED", "STREAM_FORKED", "STREAM_KEY_CHANGED", "STREAM_END_MISSING", "RECORDS_AFTER_CLOSE",
+)
+#: Positions of a stream that a task takes together, so that a hot stream is many groups.
+BLOCK = 100_000
 
 
 def seed(stream_id: Column, key_id: Column) -> Column:
@@ -28,28 +37,69 @@ def with_replays(records: DataFrame) -> DataFrame:
     return records.join(first, "stream_id").withColumn("is_replay", (F.row_number().over(again) > 1) | (F.col("seq") < F.col("first_seq"))).drop("first_seq")
 
 
-def verified(records: DataFrame) -> DataFrame:
-    """Records (session_id, stream_id, key_id, seq, prev, chain, body, arrival) without replays, with gap, broken, unanchored, prev_session.
+def with_previous(rows: DataFrame, columns: list[str], block: int = BLOCK) -> DataFrame:
+    """rows (stream_id, seq) with prev_<column> of the record before in their stream, null for the first.
 
-    The declared chain is the next record's head, so a lag replaces the fold. Needs every record to declare its chain.
+    A window takes a block of positions; each block's first record gets the last one of the blocks before from a table
+    of one row per block. So no task holds a stream, however many records it has.
     """
-    order = Window.partitionBy("stream_id").orderBy("seq")
-    rows = with_replays(records).where("NOT is_replay")
-    rows = rows.withColumns({"prev_seq": F.lag("seq").over(order), "prev_chain": F.lag("chain").over(order), "prev_session": F.lag("session_id").over(order)})
-    head = F.when(F.col("seq") == 0, seed(F.col("stream_id"), F.col("key_id"))).when(F.col("seq") == F.col("prev_seq") + 1, F.col("prev_chain")).otherwise(F.col("prev"))
-    rows = rows.withColumn("head", head)
-    broken = (F.col("chain") != step(F.col("head"), F.col("body"))) | (F.col("prev") != F.col("head"))
-    return rows.withColumns({"gap": F.greatest(F.col("seq") - F.col("prev_seq") - 1, F.lit(0)), "broken": F.coalesce(broken, F.lit(False)), "unanchored": F.col("head").isNull() & (F.col("seq") > 0)})
-
-
-def session_codes(records: DataFrame) -> DataFrame:
+    within = Window.partitionBy("stream_id", "_block").orderBy("seq")
+    last = F.struct("seq", *(c for c in columns if c != "seq"))
+    blocks = rows.withColumn("_block", F.floor(F.col("seq") / block))
+    edges = blocks.groupBy("stream_id", "_block").agg(F.max_by(last, "seq").alias("_last"))
+    edges = edges.select("stream_id", "_block", F.lag("_last").over(Window.partitionBy("stream_id").orderBy("_block")).alias("_edge")).where("_edge IS NOT NULL")
+    near = blocks.withColumns({"_near": F.lag(last).over(within), "_first": F.row_number().over(within) == 1}).join(edges, ["stream_id", "_block"], "left")
+    before = F.when(F.col("_first"), F.col("_edge")).otherwise(F.col("_near"))
+    return near.withColumn("_before", before).withColumns({f"prev_{c}": F.col(f"_before.{c}") for c in columns}).drop("_block", "_near", "_first", "_edge", "_before")
+
+
+def _folded(rows: DataFrame) -> DataFrame:
+    """rows of runs in which records declare no chain, with the head that the steps before come to; sorted within partitions by stream and seq."""
+    columns = rows.columns
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        after = ""
+        for batch in batches:
+            heads = []
+            for opens, head, chain, body in zip(batch["opens"], batch["head"], batch["chain"], batch["body"], strict=True):
+                head = head if opens else after
+                head = head if isinstance(head, str) else ""
+                step_ = hashlib.sha256(f"{head}{SEPARATOR}{body}".encode()).hexdigest() if head else ""
+                after = chain if isinstance(chain, str) else step_
+                heads.append(head or None)
+            yield batch.assign(head=pd.Series(heads, dtype=object, index=batch.index))[columns]
+
+    return rows.repartition("stream_id").sortWithinPartitions("stream_id", "seq").mapInPandas(run, rows.schema)
+
+
+def verified(records: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Records (session_id, stream_id, key_id, seq, prev, chain, body, arrival) without replays, with head, after, gap, broken, unanchored, midstream, prev_session_id.
+
+    A declared chain is the next record's head, so the record before is all that most records need. Where a record
+    declares none, its computed step is the next head: such runs alone are walked one by one. A record after a gap, or
+    the first of a stream past position 0, is held against its own prev.
+    """
+    rows = with_previous(with_replays(records).where("NOT is_replay"), ["seq", "chain", "session_id"], block)
+    follows = F.coalesce(F.col("seq") == F.col("prev_seq") + 1, F.lit(False)) & (F.col("seq") > 0)
+    head = F.when(F.col("seq") == 0, seed(F.col("stream_id"), F.coalesce("key_id", F.lit("")))).when(follows, F.col("prev_chain")).otherwise(F.col("prev"))
+    rows = rows.withColumns({"head": head, "opens": ~follows | F.col("prev_chain").isNotNull(), "midstream": F.col("prev_seq").isNull() & (F.col("seq") > 0)})
+    walked = ~F.col("opens") | F.col("chain").isNull()
+    rows = rows.where(~walked).unionByName(_folded(rows.where(walked)))
+    mismatch = F.coalesce(F.col("chain") != step(F.col("head"), F.col("body")), F.lit(False)) | F.coalesce(F.col("prev") != F.col("head"), F.lit(False))
+    gap = F.coalesce(F.greatest(F.col("seq") - F.col("prev_seq") - 1, F.lit(0)), F.lit(0))
+    rows = rows.withColumn("after", F.coalesce("chain", step(F.col("head"), F.col("body")), "head"))
+    return rows.withColumns({"gap": gap, "broken": F.col("head").isNotNull() & mismatch, "unanchored": F.col("head").isNull() & (F.col("seq") > 0)}).drop("opens")
+
+
+def session_codes(records: DataFrame, block: int = BLOCK) -> DataFrame:
     """(session_id, code, n): faults charged to the sessions they touch; breaks and gaps also to the record before."""
-    rows = verified(records)
+    flags = F.array_compact(F.array(F.when(F.col("broken"), F.lit("CHAIN_BROKEN")), F.when(F.col("gap") > 0, F.lit("SEQUENCE_GAP"))))
+    alone = F.array_compact(F.array(F.when(F.col("unanchored"), F.lit("CHAIN_UNANCHORED")), F.when(F.col("midstream"), F.lit("JOINED_MIDSTREAM"))))
+    both = F.array_distinct(F.array_compact(F.array("prev_session_id", "session_id")))
+    charged = F.concat(F.flatten(F.transform(flags, lambda code: F.transform(both, lambda s: F.struct(s.alias("session_id"), code.alias("code"))))), F.transform(alone, lambda code: F.struct(F.col("session_id").alias("session_id"), code.alias("code"))))
+    found = verified(records, block).select(F.inline(charged))
     replays = with_replays(records).where("is_replay").select("session_id", F.lit("SEQUENCE_REPLAY").alias("code"))
-    both = lambda cond, code: rows.where(cond).select(F.explode(F.array_distinct(F.array_compact(F.array("prev_session", "session_id")))).alias("session_id"), F.lit(code).alias("code"))
-    alone = rows.where("unanchored").select("session_id", F.lit("CHAIN_UNANCHORED").alias("code"))
-    found = replays.unionByName(both("broken", "CHAIN_BROKEN")).unionByName(both("gap > 0", "SEQUENCE_GAP")).unionByName(alone)
-    return found.groupBy("session_id", "code").agg(F.count("*").alias("n"))
+    return replays.unionByName(found).where("session_id IS NOT NULL").groupBy("session_id", "code").agg(F.count("*").alias("n"))
 
 
 def reordered(records: DataFrame) -> DataFrame:
@@ -59,35 +109,51 @@ def reordered(records: DataFrame) -> DataFrame:
 
 
 def summary(records: DataFrame) -> DataFrame:
-    rows = with_replays(records).where("NOT is_replay")
-    return rows.groupBy("stream_id").agg(F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"), F.count("*").alias("records"), F.max_by("chain", "seq").alias("head"), F.count_distinct("session_id").alias("sessions"))
+    """Each stream's extent, the head that its last record leaves, and what its first one says that it follows."""
+    return verified(records).groupBy("stream_id").agg(
+        F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"), F.count("*").alias("records"), F.max_by("after", "seq").alias("head"), F.min_by("prev", "seq").alias("first_prev"), F.count_distinct("session_id").alias("sessions"),
+    )
+
+
+#: How far the integrity of a session's telemetry was established.
+STATUSES = ("unattested", "inadmissible", "chained_unsigned", "verified_prefix", "verified_complete")
 
 
 def evidence_status(codes: DataFrame, records: DataFrame) -> DataFrame:
-    """(session_id, status): inadmissible, or chained_unsigned; signatures lift the latter by verified reach."""
+    """(session_id, status) of chained records alone: inadmissible, or chained_unsigned; attestation.status() adds all other evidence."""
     bad = codes.where(F.col("code").isin(*INADMISSIBLE)).select("session_id").distinct().withColumn("bad", F.lit(True))
     return records.select("session_id").distinct().join(bad, "session_id", "left").select("session_id", F.when(F.col("bad"), "inadmissible").otherwise("chained_unsigned").alias("status"))
 
 
 def ledger_status(streams: DataFrame, ledger: DataFrame, records: DataFrame) -> DataFrame:
-    """streams (summary) against a ledger (stream_id, first_seq, last_seq, head, closed): new, advanced, discontinuous, replayed, forked, after_close."""
+    """streams (summary) against a ledger (stream_id, first_seq, last_seq, head, closed), with status and boundary.
+
+    A stream that reaches back to positions seen before is replayed, or forked if its head there is another one. One
+    that goes on from the last position is after_close if that was signed as the end, discontinuous past a gap, forked
+    if its first record names another predecessor, and advanced otherwise; boundary says what the join was held against.
+    """
     old = ledger.select("stream_id", F.col("last_seq").alias("seen_seq"), F.col("head").alias("seen_head"), "closed")
-    at_seen = with_replays(records).where("NOT is_replay").select("stream_id", F.col("seq").alias("seen_seq"), F.col("chain").alias("now_head"))
+    at_seen = verified(records).select("stream_id", F.col("seq").alias("seen_seq"), F.col("after").alias("now_head"))
     joined = streams.join(old, "stream_id", "left").join(at_seen, ["stream_id", "seen_seq"], "left")
+    goes_on, next_ = F.col("first_seq") > F.col("seen_seq"), F.col("first_seq") == F.col("seen_seq") + 1
+    differs = F.coalesce(F.col("first_prev") != F.col("seen_head"), F.lit(True))
     status = (
-        F.when(F.col("seen_head").isNull(), "new")
-        .when(F.col("now_head").isNotNull() & (F.col("now_head") != F.col("seen_head")), "forked")
-        .when(F.col("last_seq") <= F.col("seen_seq"), "replayed")
-        .when(F.col("closed"), "after_close")
-        .when(F.col("first_seq") > F.col("seen_seq") + 1, "discontinuous")
-        .otherwise("advanced")
+        F.when(F.col("seen_seq").isNull(), "new")
+        .when(goes_on & F.coalesce("closed", F.lit(False)), "after_close")
+        .when(goes_on & ~next_, "discontinuous")
+        .when(goes_on & F.col("first_prev").isNotNull() & differs, "forked")
+        .when(goes_on, "advanced")
+        .when(F.col("now_head").isNotNull() & F.coalesce(F.col("now_head") != F.col("seen_head"), F.lit(True)), "forked")
+        .otherwise("replayed")
     )
-    return joined.withColumn("status", status)
+    boundary = F.when(F.col("seen_seq").isNull(), F.lit(None)).when(~goes_on | F.col("closed"), "not_compared").when(~next_, "gap").when(F.col("first_prev").isNull(), "unstated").when(differs, "differs").when(next_, "match")
+    return joined.withColumns({"status": status, "boundary": boundary})
 
 
 def ledger_next(status: DataFrame, ledger: DataFrame) -> DataFrame:
-    """The ledger after a run: streams that held are merged, others only count the run."""
-    now = status.select("stream_id", "status", F.col("first_seq").alias("f"), F.col("last_seq").alias("l"), F.col("head").alias("h"))
+    """The ledger after a run: streams that held are merged, others only count the run. A stream once closed stays closed."""
+    closes = F.col("closes") if "closes" in status.columns else F.lit(False)
+    now = status.select("stream_id", "status", F.col("first_seq").alias("f"), F.col("last_seq").alias("l"), F.col("head").alias("h"), closes.alias("closes"))
     held = F.col("status").isin("new", "advanced", "discontinuous")
     return ledger.join(now, "stream_id", "full_outer").select(
         "stream_id",
@@ -95,6 +161,7 @@ def ledger_next(status: DataFrame, ledger: DataFrame) -> DataFrame:
         F.when(held, F.greatest("last_seq", "l")).otherwise(F.col("last_seq")).alias("last_seq"),
         F.when(held, F.col("h")).otherwise(F.col("head")).alias("head"),
         (F.coalesce("runs", F.lit(0)) + F.col("status").isNotNull().cast("long")).alias("runs"),
+        *([(F.coalesce("closed", F.lit(False)) | (F.coalesce("closes", F.lit(False)) & held)).alias("closed")] if "closed" in ledger.columns else []),
     )
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -85,21 +87,54 @@ def ch01_sequence_order(calls: DataFrame, known: DataFrame) -> DataFrame:
     return per.join(shape, "session_id").where(fires).select("session_id", "n_transitions", "n_unseen", F.round(rate, 6).alias("rate"), F.when(F.col("n_novel") > 0, "high").otherwise("medium").alias("severity"))
 
 
-def references(events: DataFrame, condition: Column, per: tuple[str, ...] = ("session_id",)) -> DataFrame:
-    """One row per session (or finer): the earliest valid clock of the reference events and how many have none."""
+class References(NamedTuple):
+    """What ordering calls against a set of reference events takes, of constant size per session and per stream of it.
+
+    clocks: ref_ts, the lowest valid clock, ref_stream, the verified stream that it is from, other_ts, the lowest of any
+    other stream, n_unclocked and n_refs. minima: at_stream and low_seq, the lowest verified position in each stream.
+    """
+
+    clocks: DataFrame
+    minima: DataFrame
+    per: tuple[str, ...]
+
+
+def references(events: DataFrame, condition: Column, per: tuple[str, ...] = ("session_id",)) -> References:
+    """The reference events of each session (or finer), reduced. events may have at_stream and at_seq, as attestation.positions() gives them."""
+    if "at_stream" not in events.columns:
+        events = events.withColumns({"at_stream": F.lit(None).cast("string"), "at_seq": F.lit(None).cast("long")})
     valid = F.when(~F.isnan("ts"), F.col("ts"))
-    return events.where(condition).groupBy(*per).agg(F.min(valid).alias("ref_ts"), F.count_if(valid.isNull()).alias("n_unclocked"), F.count("*").alias("n_refs"))
+    streams = events.where(condition).groupBy(*per, "at_stream").agg(F.min(valid).alias("_ts"), F.min("at_seq").alias("low_seq"), F.count_if(valid.isNull()).alias("_unclocked"), F.count("*").alias("_n"))
+    place = F.row_number().over(Window.partitionBy(*per).orderBy(F.col("_ts").asc_nulls_last()))
+    nth = lambda k, c: F.max(F.when(F.col("_place") == k, F.col(c)))
+    clocks = streams.withColumn("_place", place).groupBy(*per).agg(
+        nth(1, "_ts").alias("ref_ts"), nth(1, "at_stream").alias("ref_stream"), nth(2, "_ts").alias("other_ts"), F.sum("_unclocked").alias("n_unclocked"), F.sum("_n").alias("n_refs"),
+    )
+    return References(clocks, streams.where("at_stream IS NOT NULL").select(*per, "at_stream", "low_seq"), per)
+
+
+def with_positions(calls: DataFrame, positioned: DataFrame) -> DataFrame:
+    """calls with start_stream and start_seq, the verified position of the event that started each."""
+    return calls.join(positioned.select(F.col("arrival").alias("start_arrival"), F.col("at_stream").alias("start_stream"), F.col("at_seq").alias("start_seq")), "start_arrival", "left")
 
 
-def ordered_after(calls: DataFrame, refs: DataFrame, per: tuple[str, ...] = ("session_id",)) -> DataFrame:
-    """calls of sessions with references, with position after, indeterminate or not_after. References are aggregated first."""
+def ordered_after(calls: DataFrame, refs: References) -> DataFrame:
+    """calls of sessions with references, with position: after any of them, indeterminate, or not_after.
+
+    Within a call's own verified stream the positions decide, and the clock has no say there; references elsewhere are
+    held against the clock. A tie, or a clock that is missing where it would have to decide, is indeterminate.
+    """
+    if "start_stream" not in calls.columns:
+        calls = calls.withColumns({"start_stream": F.lit(None).cast("string"), "start_seq": F.lit(None).cast("long")})
+    minima = refs.minima.withColumnRenamed("at_stream", "start_stream")
+    known = calls.join(refs.clocks, "session_id").join(minima, [*refs.per, "start_stream"], "left")
     start = F.when(~F.isnan("start_ts"), F.col("start_ts"))
-    position = (
-        F.when(start > F.col("ref_ts"), "after")
-        .when(start.isNull() | F.col("ref_ts").isNull() | (start == F.col("ref_ts")) | (F.col("n_unclocked") > 0), "indeterminate")
-        .otherwise("not_after")
-    )
-    return calls.join(refs, "session_id").withColumn("position", position)
+    own = F.coalesce(F.col("start_stream") == F.col("ref_stream"), F.lit(False))
+    at = F.when(own, F.col("other_ts")).otherwise(F.col("ref_ts"))
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    tie = yes(F.col("start_seq") == F.col("low_seq")) | (at.isNotNull() & (start.isNull() | yes(start == at))) | ((F.col("n_unclocked") > 0) & F.col("low_seq").isNull())
+    position = F.when(yes(F.col("start_seq") > F.col("low_seq")) | yes(start > at), "after").when(tie, "indeterminate").otherwise("not_after")
+    return known.withColumn("position", position)
 
 
 def ch03_untrusted(calls: DataFrame, events: DataFrame) -> DataFrame:
@@ -118,7 +153,7 @@ def ch04_guardrail(calls: DataFrame, events: DataFrame, enforcement: DataFrame,
     """
     per = ("session_id", "policy")
     policy = events.where(F.col("event_type").isin(*POLICY_TYPES)).withColumn("policy", F.col("event_type"))
-    after = ordered_after(calls, references(policy, F.lit(True), per), per).where("position = 'after' AND consequential AND start_arrival IS NOT NULL")
+    after = ordered_after(calls, references(policy, F.lit(True), per)).where("position = 'after' AND consequential AND start_arrival IS NOT NULL")
     if approvals is None:
         after = after.withColumn("approval", F.lit("none"))
     else:

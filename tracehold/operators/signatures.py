@@ -30,31 +30,41 @@ def trust_store(spark: SparkSession, text: DataFrame) -> DataFrame:
     """(key_id, public, roles, not_before, not_after, revoked_at, replaces) of one JSON document (value); refused if any key is unsound."""
     parsed = text.select(F.from_json("value", STORE).alias("s"))
     keys = parsed.select(F.explode("s.keys").alias("key_id", "k")).select("key_id", F.expr("try_to_binary(k.key, 'base64')").alias("public"), "k.roles", "k.not_before", "k.not_after", "k.revoked_at", "k.replaces")
-    unsound = (F.coalesce(F.octet_length("public"), F.lit(0)) != 32) | F.col("roles").isNull() | (F.size("roles") == 0) | (F.col("not_before") > F.col("not_after")) | (F.col("replaces") == F.col("key_id"))
+    unsound = ~_usable("public") | F.col("roles").isNull() | (F.size("roles") == 0) | (F.col("not_before") > F.col("not_after")) | (F.col("replaces") == F.col("key_id"))
     if not parsed.where("s.keys IS NULL").isEmpty() or not keys.where(F.coalesce(unsound, F.lit(False))).isEmpty():
         raise StoreError("a key of the trust store is unsound")
     return keys
 
 
+@F.pandas_udf(BooleanType())
+def _usable(public: pd.Series) -> pd.Series:
+    return pd.Series([ed25519.usable_key(p) for p in public], dtype=bool)
+
+
 @F.pandas_udf(BooleanType())
 def _holds(public: pd.Series, signed: pd.Series, sig: pd.Series) -> pd.Series:
-    return pd.Series([ed25519.verify(p, m.encode(), s) for p, m, s in zip(public, signed, sig, strict=True)], dtype=bool)
+    rows = list(zip(public, [m.encode() for m in signed], sig, strict=True))
+    once = list(dict.fromkeys(rows))
+    return pd.Series(map(dict(zip(once, ed25519.verify_all(once), strict=True)).__getitem__, rows), dtype=bool)
 
 
 def results(signed: DataFrame, keys: DataFrame, role: str = "collector") -> DataFrame:
     """signed (stream_id, session_id, seq, chain, final, key_id, sig binary, ts) with result and held.
 
     Unknown keys, wrong roles and revoked keys are told from the store alone, before any signature is computed; then the
-    signature; only then the record's clock, which nothing vouches for before. Each distinct signature is computed once.
+    signature; only then the record's clock, which nothing vouches for before. Signatures are dealt evenly over all
+    tasks and sorted by key, so that a key that signs often is prepared once in a task, and equal ones are computed once.
     """
     known = signed.join(small(keys.select("key_id", "public", "roles", "not_before", "not_after", "revoked_at")), "key_id", "left").withColumn("message", message(F.col("stream_id"), F.col("seq"), F.col("chain"), F.col("final")))
     early = F.when(F.col("roles").isNull(), "KEY_UNKNOWN").when(~F.array_contains("roles", role), "KEY_WRONG_ROLE").when(F.col("revoked_at").isNotNull(), "KEY_REVOKED")
-    known = known.withColumn("early", early)
-    once = known.where("early IS NULL").select("public", "message", "sig").distinct().withColumn("holds", _holds("public", "message", "sig"))
-    joined = known.join(once, ["public", "message", "sig"], "left")
+    known = known.withColumn("early", early).withColumn("_tried", F.when(F.col("early").isNull(), F.col("public")))
+    parts = max(int(signed.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    salt = F.pmod(F.xxhash64("message", "sig"), F.lit(16 * parts))
+    even = known.repartition(parts, "_tried", salt).sortWithinPartitions("_tried", "message", "sig")
+    judged = even.withColumn("holds", _holds("_tried", "message", "sig"))
     late = F.when(~F.coalesce("holds", F.lit(False)), "SIGNATURE_INVALID").when(F.col("ts") < F.col("not_before"), "KEY_NOT_YET_VALID").when(F.col("ts") > F.col("not_after"), "KEY_EXPIRED").otherwise("VERIFIED")
-    found = joined.withColumn("result", F.coalesce("early", late)).withColumn("held", F.col("result").isin(*HELD))
-    return found.drop("early", "holds", "message", "public", "roles", "not_before", "not_after", "revoked_at")
+    found = judged.withColumn("result", F.coalesce("early", late)).withColumn("held", F.col("result").isin(*HELD))
+    return found.drop("early", "_tried", "holds", "message", "public", "roles", "not_before", "not_after", "revoked_at")
 
 
 def ranges(records: DataFrame, found: DataFrame) -> DataFrame:
@@ -74,12 +84,6 @@ def session_reach(records: DataFrame, spans: DataFrame) -> DataFrame:
     )
 
 
-def session_status(statuses: DataFrame, reach: DataFrame) -> DataFrame:
-    """(session_id, status): chained_unsigned is lifted to verified_prefix where a signature reaches, to verified_complete at all ends."""
-    lifted = F.when(F.col("covers_final"), "verified_complete").when(F.col("coverage") > 0, "verified_prefix").otherwise(F.col("status"))
-    return statuses.join(reach, "session_id", "left").select("session_id", F.when(F.col("status") == "chained_unsigned", lifted).otherwise(F.col("status")).alias("status"))
-
-
 def successions(keys: DataFrame) -> set[tuple[str, str]]:
     """(key, predecessor) for each key and all that it replaces, directly or not; the store is a small dimension."""
     replaces = {r["key_id"]: r["replaces"] for r in keys.select("key_id", "replaces").limit(DIMENSION_ROWS + 1).collect()}
@@ -96,13 +100,13 @@ def successions(keys: DataFrame) -> set[tuple[str, str]]:
 
 
 def key_changes(found: DataFrame, keys: DataFrame) -> DataFrame:
-    """(stream_id, seq, from_key_id, to_key_id) of verified records under a key that does not succeed the stream's own.
+    """(stream_id, seq, session_id, from_key_id, to_key_id) of verified records under a key that does not succeed the stream's own.
 
     A stream is pinned to the key that first verified in it, and pinned anew by a declared successor. Only records whose
     key differs from the one before can change that; these few are folded per stream.
     """
     order = Window.partitionBy("stream_id").orderBy("seq")
-    held = found.where("held").select("stream_id", "seq", "key_id")
+    held = found.where("held").select("stream_id", "seq", "key_id", "session_id")
     turns = held.withColumn("before", F.lag("key_id").over(order)).where("before IS NULL OR before <> key_id")
     after = F.array(*(F.lit(f"{a}{SEPARATOR}{b}") for a, b in sorted(successions(keys)))).cast("array<string>")
     pins = turns.groupBy("stream_id").agg(F.array_sort(F.collect_list(F.struct("seq", "key_id"))).alias("turns"))
@@ -115,7 +119,7 @@ def key_changes(found: DataFrame, keys: DataFrame) -> DataFrame:
 
     at = pins.select("stream_id", F.inline(F.aggregate("turns", first, pinned, lambda acc: acc["out"])))
     joined = held.join(at, ["stream_id", "seq"], "left").withColumn("pin", F.last("pin", ignorenulls=True).over(order))
-    return joined.where("key_id <> pin").select("stream_id", "seq", F.col("pin").alias("from_key_id"), F.col("key_id").alias("to_key_id"))
+    return joined.where("key_id <> pin").select("stream_id", "seq", "session_id", F.col("pin").alias("from_key_id"), F.col("key_id").alias("to_key_id"))
 
 
 def closure(records: DataFrame, found: DataFrame, required: bool = False) -> DataFrame:
@@ -125,7 +129,7 @@ def closure(records: DataFrame, found: DataFrame, required: bool = False) -> Dat
     per = joined.groupBy("stream_id").agg(F.first("closed_at").alias("closed_at"), F.first("final_seen").alias("final_seen"), F.count_if(F.col("seq") > F.col("closed_at")).alias("n_after_close"))
     open_ = F.col("closed_at").isNull()
     codes = F.array(
-        F.when(F.col("n_after_close") > 0, "RECORD_AFTER_CLOSE"), F.when(open_, "STREAM_NOT_CLOSED"), F.when(open_ & F.coalesce("final_seen", F.lit(False)), "CLOSE_UNVERIFIED"),
+        F.when(F.col("n_after_close") > 0, "RECORDS_AFTER_CLOSE"), F.when(open_, "STREAM_NOT_CLOSED"), F.when(open_ & F.coalesce("final_seen", F.lit(False)), "CLOSE_UNVERIFIED"),
         F.when(open_ & F.lit(required), "STREAM_END_MISSING"),
     )
     return per.select("stream_id", "closed_at", "n_after_close", F.array_join(F.array_compact(codes), ",").alias("codes"))

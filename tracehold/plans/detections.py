@@ -11,13 +11,13 @@ from tracehold.operators.pairing import pair_calls
 from tracehold.plans import claims
 from tracehold.plans.claims import CLAIMS
 from tracehold.plans.registry import query
-from tracehold.plans.view import CALLS, VIEW, table, telemetry
+from tracehold.plans.view import CALLS, VIEW, positions, table, telemetry
 from tracehold.sources.shared import kept
 
 
 def calls_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The view's calls, paired once and written: most queries read them several times."""
-    return kept(detect.classified(pair_calls(telemetry(spark, sf_dir))), "calls")
+    return kept(detect.with_positions(detect.classified(pair_calls(telemetry(spark, sf_dir))), positions(spark, sf_dir)), "calls")
 
 
 def benign_grammar(spark: SparkSession, sf_dir: str, calls: DataFrame | None = None) -> DataFrame:
@@ -107,7 +107,10 @@ def ch01_sequence_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _after(refs: str) -> str:
-    return f", refs AS (SELECT session_id, min(ts) AS ref_ts, count(*) AS n_refs FROM tele WHERE {refs} GROUP BY 1), placed AS (SELECT c.*, n_refs, CASE WHEN start_ts > ref_ts THEN 'after' WHEN start_ts IS NULL OR start_ts = ref_ts THEN 'indeterminate' ELSE 'not_after' END AS position FROM classed c JOIN refs USING (session_id))"
+    """Every call against every reference: after any, else indeterminate with any, by sequence within a verified stream and by clock elsewhere."""
+    return f""", refs AS (SELECT session_id, ts, at_stream, at_seq FROM pos WHERE {refs}),
+against AS (SELECT c.session_id, c.call_no, CASE WHEN c.start_stream = r.at_stream THEN CASE WHEN c.start_seq > r.at_seq THEN 2 WHEN c.start_seq = r.at_seq THEN 1 ELSE 0 END WHEN c.start_ts > r.ts THEN 2 WHEN c.start_ts IS NULL OR r.ts IS NULL OR c.start_ts = r.ts THEN 1 ELSE 0 END AS o FROM (SELECT *, row_number() OVER (ORDER BY session_id, coalesce(start_arrival, -1), coalesce(end_arrival, -1)) AS call_no FROM classed) c JOIN refs r USING (session_id)),
+placed AS (SELECT c.*, list_extract(['not_after', 'indeterminate', 'after'], o + 1) AS position FROM (SELECT *, row_number() OVER (ORDER BY session_id, coalesce(start_arrival, -1), coalesce(end_arrival, -1)) AS call_no FROM classed) c JOIN (SELECT call_no, max(o) AS o FROM against GROUP BY 1) USING (call_no))"""
 
 
 _MARKED, _POLICY = _after("marked"), _after("event_type = 'cost_threshold_exceeded'")
@@ -115,13 +118,13 @@ _MARKED, _POLICY = _after("marked"), _after("event_type = 'cost_threshold_exceed
 
 @query(CALLS + _MARKED + "SELECT session_id, name, position, count(*) AS n FROM placed GROUP BY ALL")
 def calls_after_marker(spark: SparkSession, sf_dir: str) -> DataFrame:
-    placed = detect.ordered_after(calls_of(spark, sf_dir), detect.references(telemetry(spark, sf_dir), F.col("marked")))
+    placed = detect.ordered_after(calls_of(spark, sf_dir), detect.references(positions(spark, sf_dir), F.col("marked")))
     return placed.groupBy("session_id", "name", "position").agg(F.count("*").alias("n"))
 
 
 @query(CALLS + _POLICY + "SELECT session_id, name, position, count(*) AS n FROM placed GROUP BY ALL")
 def calls_after_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    placed = detect.ordered_after(calls_of(spark, sf_dir), detect.references(telemetry(spark, sf_dir), F.col("event_type").isin(*detect.POLICY_TYPES)))
+    placed = detect.ordered_after(calls_of(spark, sf_dir), detect.references(positions(spark, sf_dir), F.col("event_type").isin(*detect.POLICY_TYPES)))
     return placed.groupBy("session_id", "name", "position").agg(F.count("*").alias("n"))
 
 
@@ -130,7 +133,7 @@ _CH03 = "SELECT session_id, kind, n_calls, CASE WHEN kind = 'attempted' THEN 'me
 
 @query(CALLS + _MARKED + _CH03)
 def ch03_untrusted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return detect.ch03_untrusted(calls_of(spark, sf_dir), telemetry(spark, sf_dir))
+    return detect.ch03_untrusted(calls_of(spark, sf_dir), positions(spark, sf_dir))
 
 
 _CH04 = _POLICY + CLAIMS + """, judged AS (SELECT p.*, coalesce(approval, 'none') AS approval FROM placed p LEFT JOIN states a ON p.session_id = a.session_id AND p.start_arrival = a.start_arrival WHERE position = 'after' AND consequential AND p.start_arrival IS NOT NULL),
@@ -145,7 +148,7 @@ def approval_states_of(calls: DataFrame) -> DataFrame:
 @query(CALLS + _CH04 + "SELECT * FROM ch04")
 def ch04_guardrail(spark: SparkSession, sf_dir: str) -> DataFrame:
     calls = calls_of(spark, sf_dir)
-    return detect.ch04_guardrail(calls, telemetry(spark, sf_dir), enforcement(spark), approval_states_of(calls))
+    return detect.ch04_guardrail(calls, positions(spark, sf_dir), enforcement(spark), approval_states_of(calls))
 
 
 @query(CALLS + CLAIMS + "SELECT session_id, approval, count(*) AS n FROM states GROUP BY ALL")
@@ -186,7 +189,7 @@ _FINDINGS = _MARKED + f", ch03 AS ({_CH03})" + _CH05 + _CH07 + ", findings AS (S
 
 def findings_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     calls = calls_of(spark, sf_dir)
-    return detect.union_findings(ch03=detect.ch03_untrusted(calls, telemetry(spark, sf_dir)), ch05=detect.ch05_unpaired(calls), ch07=detect.ch07_effects(claims.with_receipts(calls)))
+    return detect.union_findings(ch03=detect.ch03_untrusted(calls, positions(spark, sf_dir)), ch05=detect.ch05_unpaired(calls), ch07=detect.ch07_effects(claims.with_receipts(calls)))
 
 
 @query(CALLS + _FINDINGS + "SELECT session_id, \"check\", severity, count(*) AS n FROM findings GROUP BY ALL")

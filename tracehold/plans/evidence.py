@@ -5,41 +5,51 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tracehold.operators import bindings, chains
-from tracehold.plans import claims
-from tracehold.plans.claims import CLAIMS
-from tracehold.plans.detections import calls_of
+from tracehold.operators import chains
 from tracehold.plans.registry import query
-from tracehold.plans.view import CALLS, VIEW, table, telemetry
+from tracehold.plans.view import VIEW, table, telemetry
 from tracehold.sources.shared import kept
 
-_STREAMS = """WITH numbered AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 AS seq FROM lineitem),
-bodies AS (SELECT 's' || l_orderkey AS stream_id, 'k' || (l_orderkey % 3) AS key_id, 'o' || (l_suppkey % 50) || '-' || (l_orderkey % 40) AS session_id, seq, l_orderkey, l_partkey, l_suppkey, sha256(concat_ws('|', l_orderkey, seq, l_partkey, l_suppkey)) AS body FROM numbered),
+_SESSION = "CASE WHEN l_orderkey % 16 = 0 THEN 'u' || (l_orderkey // 16 % 150) || '-w' || (2817 + l_suppkey % 5) ELSE 'o' || (l_suppkey % 50) || '-' || (l_orderkey % 40) END"
+
+
+def _streams(where: str = "TRUE") -> str:
+    """The chained records in SQL, walked one by one; where keeps some of them."""
+    return f"""WITH RECURSIVE numbered AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 AS seq FROM lineitem),
+bodies AS (SELECT 's' || l_orderkey AS stream_id, 'k' || (l_orderkey % 3) AS key_id, {_SESSION} AS session_id, seq, l_orderkey, l_partkey, l_suppkey, sha256(concat_ws('|', l_orderkey, seq, l_partkey, l_suppkey)) AS body FROM numbered),
 seeded AS (SELECT *, sha256('stream/1' || chr(31) || stream_id || chr(31) || key_id || chr(31)) AS seed, array_agg(body) OVER (PARTITION BY stream_id ORDER BY seq) AS upto FROM bodies),
 chained AS (SELECT * EXCLUDE (upto), list_reduce(list_concat([seed], upto), lambda a, x: sha256(a || chr(31) || x)) AS chain FROM seeded),
 linked AS (SELECT *, coalesce(lag(chain) OVER (PARTITION BY stream_id ORDER BY seq), seed) AS prev FROM chained),
-records AS (SELECT session_id, stream_id, key_id, seq, prev, chain, CASE WHEN l_partkey % 97 = 0 THEN sha256(body) ELSE body END AS body, l_orderkey * 1000 + seq * 10 + CASE WHEN l_partkey % 71 = 0 THEN 25 ELSE 0 END AS arrival FROM linked WHERE l_partkey % 89 <> 0
-  UNION ALL SELECT session_id, stream_id, key_id, seq, prev, chain, body, l_orderkey * 1000 + 500 + seq FROM linked WHERE l_partkey % 89 <> 0 AND l_suppkey % 83 = 0),
+said AS (SELECT * REPLACE (CASE WHEN l_partkey % 103 <> 0 THEN prev END AS prev, CASE WHEN l_partkey % 101 <> 0 THEN chain END AS chain) FROM linked WHERE l_partkey % 89 <> 0),
+records AS (SELECT * FROM (SELECT session_id, stream_id, key_id, seq, prev, chain, CASE WHEN l_partkey % 97 = 0 THEN sha256(body) ELSE body END AS body, l_orderkey * 1000 + seq * 10 + CASE WHEN l_partkey % 71 = 0 THEN 25 ELSE 0 END AS arrival FROM said
+  UNION ALL SELECT session_id, stream_id, key_id, seq, prev, chain, body, l_orderkey * 1000 + 500 + seq FROM said WHERE l_suppkey % 83 = 0) WHERE {where}),
 firsts AS (SELECT stream_id, arg_min(seq, arrival) AS first_seq FROM records GROUP BY 1),
 replay AS (SELECT r.*, row_number() OVER (PARTITION BY r.stream_id, seq ORDER BY arrival) > 1 OR seq < first_seq AS is_replay FROM records r JOIN firsts USING (stream_id)),
-kept AS (SELECT *, lag(seq) OVER w AS prev_seq, lag(chain) OVER w AS prev_chain, lag(session_id) OVER w AS prev_session FROM replay WHERE NOT is_replay WINDOW w AS (PARTITION BY stream_id ORDER BY seq)),
-headed AS (SELECT *, CASE WHEN seq = 0 THEN sha256('stream/1' || chr(31) || stream_id || chr(31) || key_id || chr(31)) WHEN seq = prev_seq + 1 THEN prev_chain ELSE prev END AS head FROM kept),
-judged AS (SELECT *, greatest(coalesce(seq - prev_seq - 1, 0), 0) AS gap, chain <> sha256(head || chr(31) || body) OR prev <> head AS broken FROM headed),
+ranked AS (SELECT *, row_number() OVER w AS rn, lag(seq) OVER w AS prev_seq, lag(session_id) OVER w AS prev_session FROM replay WHERE NOT is_replay WINDOW w AS (PARTITION BY stream_id ORDER BY seq)),
+walk AS (SELECT *, CASE WHEN seq = 0 THEN sha256('stream/1' || chr(31) || stream_id || chr(31) || key_id || chr(31)) ELSE prev END AS head, coalesce(chain, sha256((CASE WHEN seq = 0 THEN sha256('stream/1' || chr(31) || stream_id || chr(31) || key_id || chr(31)) ELSE prev END) || chr(31) || body)) AS after FROM ranked WHERE rn = 1
+  UNION ALL SELECT r.*, CASE WHEN r.seq = w.seq + 1 THEN w.after ELSE r.prev END, coalesce(r.chain, sha256((CASE WHEN r.seq = w.seq + 1 THEN w.after ELSE r.prev END) || chr(31) || r.body)) FROM walk w JOIN ranked r ON r.stream_id = w.stream_id AND r.rn = w.rn + 1),
+judged AS (SELECT *, greatest(coalesce(seq - prev_seq - 1, 0), 0) AS gap, head IS NOT NULL AND (coalesce(chain <> sha256(head || chr(31) || body), FALSE) OR coalesce(prev <> head, FALSE)) AS broken FROM walk),
 codes AS (SELECT session_id, code, count(*) AS n FROM (
   SELECT session_id, 'SEQUENCE_REPLAY' AS code FROM replay WHERE is_replay
   UNION ALL SELECT session_id, 'CHAIN_BROKEN' FROM judged WHERE broken UNION ALL SELECT prev_session, 'CHAIN_BROKEN' FROM judged WHERE broken AND prev_session <> session_id
+  UNION ALL SELECT session_id, 'CHAIN_UNANCHORED' FROM judged WHERE head IS NULL AND seq > 0 UNION ALL SELECT session_id, 'JOINED_MIDSTREAM' FROM judged WHERE prev_seq IS NULL AND seq > 0
   UNION ALL SELECT session_id, 'SEQUENCE_GAP' FROM judged WHERE gap > 0 UNION ALL SELECT prev_session, 'SEQUENCE_GAP' FROM judged WHERE gap > 0 AND prev_session <> session_id) GROUP BY ALL),
-summary AS (SELECT stream_id, min(seq) AS first_seq, max(seq) AS last_seq, count(*) AS records, arg_max(chain, seq) AS head, count(DISTINCT session_id) AS sessions FROM replay WHERE NOT is_replay GROUP BY 1)
+summary AS (SELECT stream_id, min(seq) AS first_seq, max(seq) AS last_seq, count(*) AS records, any_value(after) FILTER (is_last) AS head, any_value(prev) FILTER (rn = 1) AS first_prev, count(DISTINCT session_id) AS sessions FROM (SELECT *, rn = max(rn) OVER (PARTITION BY stream_id) AS is_last FROM walk) GROUP BY 1)
 """
 
 
+_STREAMS = _streams()
+
+
 def chained(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The lines of orders as chained records."""
+    """The lines of orders as chained records; a sixteenth of the orders carry sessions of the telemetry view."""
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
     lines = table(spark, sf_dir, "lineitem").withColumn("seq", (F.row_number().over(order) - 1).cast("long"))
+    own = F.concat(F.lit("u"), F.floor(F.col("l_orderkey") / 16) % 150, F.lit("-w"), 2817 + F.col("l_suppkey") % 5)
+    session = F.when(F.col("l_orderkey") % 16 == 0, own).otherwise(F.concat(F.lit("o"), F.col("l_suppkey") % 50, F.lit("-"), F.col("l_orderkey") % 40))
     bodies = lines.select(
         F.concat(F.lit("s"), "l_orderkey").alias("stream_id"), F.concat(F.lit("k"), F.col("l_orderkey") % 3).alias("key_id"),
-        F.concat(F.lit("o"), F.col("l_suppkey") % 50, F.lit("-"), F.col("l_orderkey") % 40).alias("session_id"), "seq", "l_orderkey", "l_partkey", "l_suppkey", "l_shipdate",
+        session.alias("session_id"), "seq", "l_orderkey", "l_partkey", "l_suppkey", "l_shipdate",
         F.sha2(F.concat_ws("|", "l_orderkey", "seq", "l_partkey", "l_suppkey"), 256).alias("body"),
     )
     by_seq = Window.partitionBy("stream_id").orderBy("seq")
@@ -50,8 +60,8 @@ def chained(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def streams_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chained records with tampered bodies, deleted records, replays and late arrivals."""
-    linked = chained(spark, sf_dir)
+    """Chained records with tampered bodies, deleted records, replays, late arrivals, and some that declare no chain or no predecessor."""
+    linked = chained(spark, sf_dir).withColumns({"prev": F.when(F.col("l_partkey") % 103 != 0, F.col("prev")), "chain": F.when(F.col("l_partkey") % 101 != 0, F.col("chain"))})
     own = F.when(F.col("l_partkey") % 97 == 0, F.sha2("body", 256)).otherwise(F.col("body"))
     arrival = F.col("l_orderkey") * 1000 + F.col("seq") * 10 + F.when(F.col("l_partkey") % 71 == 0, 25).otherwise(0)
     columns = ["session_id", "stream_id", "key_id", "seq", "prev", "chain", "body", "arrival"]
@@ -62,13 +72,13 @@ def streams_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_STREAMS + "SELECT session_id, stream_id, seq, prev_session FROM judged WHERE broken")
 def chain_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chains.verified(streams_of(spark, sf_dir)).where("broken").select("session_id", "stream_id", "seq", "prev_session")
+    return chains.verified(streams_of(spark, sf_dir)).where("broken").select("session_id", "stream_id", "seq", F.col("prev_session_id").alias("prev_session"))
 
 
 @query(_STREAMS + "SELECT stream_id, prev_seq + 1 AS missing_from, seq - 1 AS missing_to, gap, prev_session, session_id FROM judged WHERE gap > 0")
 def sequence_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = chains.verified(streams_of(spark, sf_dir)).where("gap > 0")
-    return rows.select("stream_id", (F.col("prev_seq") + 1).alias("missing_from"), (F.col("seq") - 1).alias("missing_to"), "gap", "prev_session", "session_id")
+    return rows.select("stream_id", (F.col("prev_seq") + 1).alias("missing_from"), (F.col("seq") - 1).alias("missing_to"), "gap", F.col("prev_session_id").alias("prev_session"), "session_id")
 
 
 @query(_STREAMS + "SELECT session_id, stream_id, seq, arrival FROM replay WHERE is_replay")
@@ -86,52 +96,51 @@ def stream_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chains.session_codes(streams_of(spark, sf_dir))
 
 
-@query(_STREAMS + "SELECT DISTINCT r.session_id, CASE WHEN c.session_id IS NULL THEN 'chained_unsigned' ELSE 'inadmissible' END AS status FROM records r LEFT JOIN (SELECT DISTINCT session_id FROM codes) c USING (session_id)")
+@query(_STREAMS + "SELECT DISTINCT r.session_id, CASE WHEN c.session_id IS NULL THEN 'chained_unsigned' ELSE 'inadmissible' END AS status FROM records r LEFT JOIN (SELECT DISTINCT session_id FROM codes WHERE code <> 'JOINED_MIDSTREAM') c USING (session_id)")
 def evidence_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = streams_of(spark, sf_dir)
     return chains.evidence_status(chains.session_codes(records), records)
 
 
-@query(_STREAMS + "SELECT session_id, string_agg(code, ',' ORDER BY code) AS codes, 'critical' AS severity FROM codes GROUP BY 1")
-def ch06_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    codes = chains.session_codes(streams_of(spark, sf_dir)).where(F.col("code").isin(*chains.INADMISSIBLE))
-    return codes.groupBy("session_id").agg(F.array_join(F.array_sort(F.collect_set("code")), ",").alias("codes"), F.lit("critical").alias("severity"))
-
-
 @query(_STREAMS + "SELECT * FROM summary")
 def stream_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chains.summary(streams_of(spark, sf_dir))
 
 
-_LEDGER = """, ledger AS (SELECT stream_id, first_seq, last_seq - CASE WHEN n % 5 = 0 THEN 1 ELSE 0 END AS last_seq, CASE WHEN n % 7 = 0 THEN sha256(head) WHEN n % 5 = 0 THEN NULL ELSE head END AS head, n % 11 = 0 AS closed, CAST(1 AS BIGINT) AS runs FROM (SELECT *, CAST(substr(stream_id, 2) AS BIGINT) AS n FROM summary) WHERE n % 2 = 0),
-seen AS (SELECT s.*, l.last_seq AS seen_seq, l.head AS seen_head, l.closed, k.chain AS now_head FROM summary s LEFT JOIN ledger l USING (stream_id) LEFT JOIN (SELECT stream_id, seq, chain FROM replay WHERE NOT is_replay) k ON k.stream_id = s.stream_id AND k.seq = l.last_seq),
-status AS (SELECT *, CASE WHEN seen_head IS NULL THEN 'new' WHEN now_head IS NOT NULL AND now_head <> seen_head THEN 'forked' WHEN last_seq <= seen_seq THEN 'replayed' WHEN closed THEN 'after_close' WHEN first_seq > seen_seq + 1 THEN 'discontinuous' ELSE 'advanced' END AS status FROM seen)
+#: A run that goes on where the ledger ends has no records before position 2 of a third of the streams.
+_LATER = "NOT (CAST(substr(stream_id, 2) AS BIGINT) % 12 IN (4, 6, 8, 10) AND seq < 2)"
+_LEDGER = """, ledger AS (SELECT stream_id, CAST(0 AS BIGINT) AS first_seq, seq AS last_seq, CASE WHEN n % 12 IN (2, 8) THEN sha256(chain) ELSE chain END AS head, n % 12 = 6 AS closed, CAST(1 AS BIGINT) AS runs FROM (SELECT *, l_orderkey AS n, max(seq) OVER (PARTITION BY stream_id) AS most FROM linked WHERE l_partkey % 89 <> 0) WHERE n % 2 = 0 AND seq = CASE WHEN n % 12 < 4 THEN most WHEN n % 12 = 10 THEN 0 ELSE 1 END),
+seen AS (SELECT s.*, l.last_seq AS seen_seq, l.head AS seen_head, l.closed, k.after AS now_head FROM summary s LEFT JOIN ledger l USING (stream_id) LEFT JOIN walk k ON k.stream_id = s.stream_id AND k.seq = l.last_seq),
+status AS (SELECT *, CASE WHEN seen_seq IS NULL THEN 'new' WHEN first_seq > seen_seq AND closed THEN 'after_close' WHEN first_seq > seen_seq + 1 THEN 'discontinuous' WHEN first_seq > seen_seq AND first_prev <> seen_head THEN 'forked' WHEN first_seq > seen_seq THEN 'advanced' WHEN now_head <> seen_head THEN 'forked' ELSE 'replayed' END AS status,
+  CASE WHEN first_seq <= seen_seq OR closed THEN 'not_compared' WHEN first_seq > seen_seq + 1 THEN 'gap' WHEN seen_seq IS NULL THEN NULL WHEN first_prev IS NULL THEN 'unstated' WHEN first_prev <> seen_head THEN 'differs' ELSE 'match' END AS boundary FROM seen)
 """
 
 
-def ledger_of(streams: DataFrame) -> DataFrame:
-    """A ledger of every other stream: some a record behind without its head, some with another head, some closed."""
-    n = F.substring("stream_id", 2, 20).cast("long")
-    return streams.where(n % 2 == 0).select(
-        "stream_id", "first_seq", (F.col("last_seq") - F.when(n % 5 == 0, 1).otherwise(0)).alias("last_seq"),
-        F.when(n % 7 == 0, F.sha2("head", 256)).when(n % 5 == 0, F.lit(None)).otherwise(F.col("head")).alias("head"), (n % 11 == 0).alias("closed"), F.lit(1).cast("long").alias("runs"),
-    )
+def ledger_of(linked: DataFrame) -> DataFrame:
+    """A ledger of every other stream: seen to its end or to one of its first records, rightly or with another head, some closed."""
+    n = F.col("l_orderkey") % 12
+    rows = linked.where("l_orderkey % 2 = 0")
+    rows = rows.join(rows.groupBy("stream_id").agg(F.max("seq").alias("most")), "stream_id").where(F.col("seq") == F.when(n < 4, F.col("most")).when(n == 10, 0).otherwise(1))
+    return rows.select("stream_id", F.lit(0).cast("long").alias("first_seq"), F.col("seq").alias("last_seq"), F.when(n.isin(2, 8), F.sha2("chain", 256)).otherwise(F.col("chain")).alias("head"), (n == 6).alias("closed"), F.lit(1).cast("long").alias("runs"))
 
 
-@query(_STREAMS + _LEDGER + "SELECT stream_id, status, seen_seq, last_seq FROM status")
+def resumed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The records of a run that goes on, and the ledger of the runs before."""
+    n = F.substring("stream_id", 2, 20).cast("long") % 12
+    return kept(streams_of(spark, sf_dir).where(~(n.isin(4, 6, 8, 10) & (F.col("seq") < 2))), "resumed"), ledger_of(chained(spark, sf_dir))
+
+
+@query(_streams(_LATER) + _LEDGER + "SELECT stream_id, status, boundary, seen_seq, last_seq FROM status")
 def stream_ledger_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    records = streams_of(spark, sf_dir)
-    streams = chains.summary(records)
-    return chains.ledger_status(streams, ledger_of(streams), records).select("stream_id", "status", "seen_seq", "last_seq")
+    records, ledger = resumed(spark, sf_dir)
+    return chains.ledger_status(chains.summary(records), ledger, records).select("stream_id", "status", "boundary", "seen_seq", "last_seq")
 
 
-@query(_STREAMS + _LEDGER + """SELECT coalesce(l.stream_id, s.stream_id) AS stream_id, CASE WHEN l.first_seq IS NULL THEN s.first_seq WHEN status IN ('new', 'advanced', 'discontinuous') THEN least(l.first_seq, s.first_seq) ELSE l.first_seq END AS first_seq,
-CASE WHEN status IN ('new', 'advanced', 'discontinuous') THEN greatest(coalesce(l.last_seq, s.last_seq), s.last_seq) ELSE l.last_seq END AS last_seq, CASE WHEN status IN ('new', 'advanced', 'discontinuous') THEN s.head ELSE l.head END AS head, coalesce(l.runs, 0) + CASE WHEN s.status IS NULL THEN 0 ELSE 1 END AS runs FROM ledger l FULL OUTER JOIN status s USING (stream_id)""")
+@query(_streams(_LATER) + _LEDGER + """SELECT coalesce(l.stream_id, s.stream_id) AS stream_id, CASE WHEN l.first_seq IS NULL THEN s.first_seq WHEN status IN ('new', 'advanced', 'discontinuous') THEN least(l.first_seq, s.first_seq) ELSE l.first_seq END AS first_seq,
+CASE WHEN status IN ('new', 'advanced', 'discontinuous') THEN greatest(coalesce(l.last_seq, s.last_seq), s.last_seq) ELSE l.last_seq END AS last_seq, CASE WHEN status IN ('new', 'advanced', 'discontinuous') THEN s.head ELSE l.head END AS head, coalesce(l.runs, 0) + CASE WHEN s.status IS NULL THEN 0 ELSE 1 END AS runs, coalesce(l.closed, FALSE) AS closed FROM ledger l FULL OUTER JOIN status s USING (stream_id)""")
 def ledger_next(spark: SparkSession, sf_dir: str) -> DataFrame:
-    records = streams_of(spark, sf_dir)
-    streams = chains.summary(records)
-    ledger = ledger_of(streams)
-    return chains.ledger_next(chains.ledger_status(streams, ledger, records), ledger.drop("closed"))
+    records, ledger = resumed(spark, sf_dir)
+    return chains.ledger_next(chains.ledger_status(chains.summary(records), ledger, records), ledger)
 
 
 _KEYS = "(VALUES ('k0', ['collector'], 0.0, 1.7045e9, NULL), ('k1', ['collector', 'approver'], 1.7043e9, 1.8e9, 1.7055e9), ('k2', ['approver'], 0.0, 1.8e9, NULL)) AS keys(key_id, roles, not_before, not_after, revoked_at)"
@@ -159,15 +168,6 @@ def spent_nonces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chains.spent_nonces(used.select("nonce", "arrival"), used.where("k % 10 = 9").select("nonce")).select("arrival", "nonce", "use")
 
 
-@query(CALLS + CLAIMS + "SELECT session_id, list_extract(['claimed', 'bound', 'authenticated', 'reconciled'], min(tier)) AS weakest, list_extract(['claimed', 'bound', 'authenticated', 'reconciled'], max(tier)) AS strongest FROM (SELECT session_id, least(CASE WHEN receipt_binding = 'bound' THEN 2 ELSE 1 END, CASE WHEN start_arrival % 8 = 7 THEN 1 WHEN assurance = 'operation' THEN 4 WHEN assurance = 'object' THEN 2 ELSE 1 END) AS tier FROM receipted WHERE receipt_binding IS NOT NULL) GROUP BY 1")
-def trust_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The weakest and the strongest tier of a session's receipts: the weaker of what binding and assurance support."""
-    rank = bindings.receipt_tier(F.col("receipt_binding"))
-    names = F.array(*map(F.lit, bindings.RECEIPT_TIERS))
-    rows = claims.with_receipts(calls_of(spark, sf_dir)).where("receipt IS NOT NULL")
-    return rows.groupBy("session_id").agg(F.element_at(names, F.min(rank)).alias("weakest"), F.element_at(names, F.max(rank)).alias("strongest"))
-
-
 @query(VIEW + "SELECT session_id, sha256(string_agg(d, '' ORDER BY ts, arrival)) AS digest FROM (SELECT *, sha256(concat_ws('|', arrival, event_type, k)) AS d FROM tele) GROUP BY 1")
 def session_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A digest of the digests of a session's events in clock order."""

@@ -41,6 +41,15 @@ def receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("session_id", "start_arrival", "receipt_binding", F.col("receipt_defect").alias("defect"), tier.alias("tier"))
 
 
+@query(CALLS + claims.CLAIMS + "SELECT session_id, list_extract(['claimed', 'bound', 'authenticated', 'reconciled'], min(tier)) AS weakest, list_extract(['claimed', 'bound', 'authenticated', 'reconciled'], max(tier)) AS strongest FROM (SELECT session_id, least(CASE WHEN receipt_binding = 'bound' THEN 2 ELSE 1 END, CASE WHEN start_arrival % 8 = 7 THEN 1 WHEN assurance = 'operation' THEN 4 WHEN assurance = 'object' THEN 2 ELSE 1 END) AS tier FROM receipted WHERE receipt_binding IS NOT NULL) GROUP BY 1")
+def trust_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The weakest and the strongest tier of a session's receipts: the weaker of what binding and assurance support."""
+    rank = bindings.receipt_tier(F.col("receipt_binding"))
+    names = F.array(*map(F.lit, bindings.RECEIPT_TIERS))
+    rows = claims.with_receipts(calls_of(spark, sf_dir)).where("receipt IS NOT NULL")
+    return rows.groupBy("session_id").agg(F.element_at(names, F.min(rank)).alias("weakest"), F.element_at(names, F.max(rank)).alias("strongest"))
+
+
 @query(VIEW + "SELECT arrival, CASE k % 5 WHEN 0 THEN 'declared_and_recomputed' WHEN 1 THEN 'producer_contradicted' WHEN 2 THEN 'recomputed' WHEN 3 THEN 'producer_declared' ELSE 'none' END AS identity FROM tele")
 def arg_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Declared digests that are right, wrong, absent, alone, and of a form that is none."""

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracehold.operators import detect
-from tracehold.plans import detections, evidence, intake, proofs
+from tracehold.plans import detections, evidence, intake, proofs, signing
 from tracehold.plans.detections import _RANK
 from tracehold.plans.registry import SQL, query
 from tracehold.sources.shared import kept
@@ -15,14 +15,14 @@ _CHECKS = {
     "CH01": "ch01_sequence_order", "CH02": "ch02_concealment_gap", "CH03": "ch03_untrusted", "CH04": "ch04_guardrail", "CH05": "ch05_unpaired", "CH06": "ch06_integrity", "CH07": "ch07_effects",
 }
 _FOUND = "WITH found AS (" + " UNION ALL ".join(f"SELECT session_id, '{check}' AS \"check\", severity FROM ({SQL[name]})" for check, name in _CHECKS.items()) + ")"
-_STAMPED = _FOUND + f", stamped AS (SELECT f.session_id, f.\"check\", f.severity, c.confidence, c.status AS coverage, e.status AS evidence_status FROM found f LEFT JOIN ({SQL['contracts']}) c ON c.session_id = f.session_id AND c.\"check\" = f.\"check\" LEFT JOIN ({SQL['evidence_status']}) e ON e.session_id = f.session_id)"
+_STAMPED = _FOUND + f", stamped AS (SELECT f.session_id, f.\"check\", f.severity, c.confidence, c.status AS coverage, e.status AS evidence_status FROM found f LEFT JOIN ({SQL['contracts']}) c ON c.session_id = f.session_id AND c.\"check\" = f.\"check\" LEFT JOIN ({SQL['signed_evidence_status']}) e ON e.session_id = f.session_id)"
 
 
 def found_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(session_id, check, severity) of the seven checks."""
     checks = {
         "ch01": detections.ch01_sequence_order, "ch02": intake.ch02_concealment_gap, "ch03": detections.ch03_untrusted, "ch04": detections.ch04_guardrail,
-        "ch05": detections.ch05_unpaired, "ch06": evidence.ch06_integrity, "ch07": detections.ch07_effects,
+        "ch05": detections.ch05_unpaired, "ch06": signing.ch06_integrity, "ch07": detections.ch07_effects,
     }
     return kept(detect.union_findings(**{name: f(spark, sf_dir) for name, f in checks.items()}), "findings")
 
@@ -31,7 +31,7 @@ def stamped(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(session_id, check, severity, confidence, coverage, evidence_status); nulls where a session has no contract or no chained record."""
     found = found_of(spark, sf_dir)
     contracts = proofs.contracts(spark, sf_dir).withColumnRenamed("status", "coverage")
-    status = evidence.evidence_status(spark, sf_dir).withColumnRenamed("status", "evidence_status")
+    status = signing.signed_evidence_status(spark, sf_dir).withColumnRenamed("status", "evidence_status")
     return found.join(contracts, ["session_id", "check"], "left").join(status, "session_id", "left")
 
 
