@@ -21,3 +21,20 @@ def spark(tmp_path_factory):
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
+
+
+@pytest.fixture(scope="session", autouse=True)
+def one_run():
+    """Queries of a test session share the view's tables instead of writing them again for each query: the rows are the same."""
+    from tracehold.plans import detections, evaluation, evidence, intake, proofs, signing, surface, verdicts
+
+    def once(f):
+        made = {}
+        return lambda spark, sf_dir: made[sf_dir] if sf_dir in made else made.setdefault(sf_dir, f(spark, sf_dir))
+
+    for name, home, users in (
+        ("calls_of", detections, (evaluation, intake, proofs, surface)), ("chained", evidence, (signing,)), ("evidence_of", signing, ()), ("Scored", verdicts, ()),
+    ):
+        shared = once(getattr(home, name))
+        for module in (home, *users):
+            setattr(module, name, shared)

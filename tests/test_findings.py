@@ -25,7 +25,9 @@ def test_all_seven_checks_are_united_and_stamped(spark):
     rows = queries["findings_all"](spark, DATA).collect()
     assert Counter({(r.session_id, r.check, r.severity): r.n for r in rows}) == want
     for r in rows:
-        assert ((r.confidence, r.coverage), r.evidence_status) == (confidence.get((r.session_id, r.check), (None, None)), status.get(r.session_id))
+        assert (r.confidence, r.coverage) == confidence[r.session_id, r.check]
+        assert r.evidence_status == ("not_applicable" if r.check == "CH06" else status[r.session_id])
+        assert r.coverage != "not_evaluated", "a check that fired could look"
     worst, rules = defaultdict(int), defaultdict(set)
     for session, check, severity in want:
         worst[session] = max(worst[session], ("low", "medium", "high", "critical").index(severity))
@@ -34,3 +36,13 @@ def test_all_seven_checks_are_united_and_stamped(spark):
     assert got == {s: (("low", "medium", "high", "critical")[w], ",".join(sorted(rules[s]))) for s, w in worst.items()}
     ranked = queries["findings_all_ranked"](spark, DATA).collect()
     assert len(ranked) == sum(want.values()) and sum(r.place == 1 for r in ranked) == len(worst)
+
+
+def test_contracts_vary_with_the_evidence(spark):
+    """No check has the same confidence everywhere, and those that could not look say what they miss."""
+    rows = catalog.queries()["contracts"](spark, DATA).collect()
+    for check, least in {"CH01": 2, "CH03": 9, "CH04": 3, "CH05": 2, "CH06": 3, "CH07": 9}.items():
+        assert len({r.confidence for r in rows if r.check == check}) >= least, check
+    assert len({r.reasons for r in rows}) > 20
+    assert all((r.status == "not_evaluated") <= (r.confidence == 0 and r.missing != "" and r.reasons != "") for r in rows)
+    assert any(r.status == "degraded" and r.confidence == 0 for r in rows if r.check == "CH06")

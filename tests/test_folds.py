@@ -6,11 +6,12 @@ import base64
 import random
 from collections import defaultdict
 
+import numpy as np
 import pytest
 
 from tracehold.functions import ed25519
 from tracehold.functions.text import asserted
-from tracehold.operators import chains, evaluate, signatures
+from tracehold.operators import anchors, chains, evaluate, signatures
 from tracehold.operators.pairing import pair_by_name, pair_calls
 from tracehold.sources.jsonl import anonymous_windows, quarantined, read_lines, reject_code
 
@@ -85,6 +86,61 @@ def test_suppression(spark):
     assert got == {0.0: True, 100.0: False, 3599.0: False, 3600.0: True, 3700.0: False, 7300.0: True}
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_windows_and_suppression_equal_walks(spark, seed):
+    rng = random.Random(seed)
+    rows = sorted({(rng.choice("ab"), float(rng.choice([rng.randrange(3_000), rng.randrange(40) * 60]))) for _ in range(400)})
+    want, start = {}, {}
+    for scope, ts in rows:
+        if scope not in start or ts - start[scope] > 300:
+            start[scope] = ts
+        want[scope, ts] = start[scope]
+    got = anonymous_windows(spark.createDataFrame([*rows, ("a", None), ("b", float("nan"))], "scope string, ts double"))
+    assert {(r.scope, r.ts): r.window_start for r in got.collect()} == want
+    alerts, until, kept = [(a, t, k) for k, (a, t) in enumerate(rows + rows[::5])], {}, {}
+    for a, t, k in sorted(alerts):
+        kept[k] = t >= until.get(a, -1)
+        if kept[k]:
+            until[a] = t + 120
+    assert {r.arrival: r.kept for r in evaluate.suppressed(spark.createDataFrame(alerts, "agent string, ts double, arrival long"), 120.0).collect()} == kept
+
+
+def test_a_busy_agent_without_pauses_is_many_groups(spark):
+    """A gapless agent: no window group has more rows than a slot of time holds."""
+    alerts = spark.range(40_000).selectExpr("'a' AS agent", "CAST(id AS double) AS ts", "id AS arrival")
+    got = evaluate.suppressed(alerts, 1_000.0).where("kept")
+    assert sorted(r.ts for r in got.collect()) == [float(t) for t in range(0, 40_000, 1_000)]
+    plan = anchors.pointers(alerts.select("agent", "ts"), "agent", 1_000.0, False)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_drift_counts_sessions_once(spark, seed):
+    rng = random.Random(seed)
+    rows = [(rng.choice("ab"), f"s{rng.randrange(12)}", float(rng.randrange(3_000))) for _ in range(300)]
+    want = {}
+    for agent, _, at in rows:
+        sessions = {s for a, s, ts in rows if a == agent and at - 200 < ts <= at}
+        if len(sessions) >= 4:
+            want[agent, at] = len(sessions)
+    got = {(r.agent, r.ts): r.sessions for r in evaluate.drift(spark.createDataFrame(rows, "agent string, session_id string, ts double"), 200.0, 4).collect()}
+    assert got == want != {}
+
+
+def test_bootstrap_resamples_blocks_as_one(spark):
+    rng = random.Random(1)
+    rows = [(rng.randrange(9), rng.randrange(9), rng.randrange(9), rng.randrange(9)) for _ in range(800)]
+    clusters = spark.createDataFrame(rows, "tp long, fp long, fn long, tn long")
+    whole, parted = evaluate.bootstrap(clusters, 600).first(), evaluate.bootstrap(clusters, 600, block=50).first()
+    assert parted == evaluate.bootstrap(clusters.repartition(5), 600, block=50).first()
+    table = np.array(rows)
+    draws = [table[np.random.default_rng(k).integers(0, 800, 800)].sum(0) for k in range(600)]
+    recall, fpr = [t[0] / (t[0] + t[2]) for t in draws], [t[1] / (t[1] + t[3]) for t in draws]
+    for got in (whole, parted):
+        assert np.allclose(got.recall, np.percentile(recall, [2.5, 50, 97.5]), atol=0.004) and np.allclose(got.fpr, np.percentile(fpr, [2.5, 50, 97.5]), atol=0.004)
+    assert evaluate.bootstrap(clusters.where("FALSE"), 5).first().recall is None
+
+
 def test_empty_tables(spark):
     empty = spark.createDataFrame([], EVENTS)
     assert pair_calls(empty).count() == 0

@@ -20,16 +20,17 @@ def _of_streams(streams: DataFrame, records: DataFrame) -> DataFrame:
 
 def codes(
     records: DataFrame, found: DataFrame, keys: DataFrame, ledger: DataFrame | None = None, unattested: DataFrame | None = None, as_of: float | None = None, max_age: float = float("inf"), require_closed: bool = False,
+    walked: DataFrame | None = None,
 ) -> DataFrame:
     """(session_id, code, n) from chains, signatures, keys, freshness, closure, the ledger and missing sidecars.
 
     records: as chains.verified() takes them. found: signatures.results() of the signed ones. ledger: streams of earlier
-    runs. unattested: (session_id) of records without a sidecar. Chain breaks and gaps are charged to both neighbours; a
+    runs. walked: chains.verified() of records, if at hand. unattested: (session_id) of records without a sidecar. Chain breaks and gaps are charged to both neighbours; a
     signature, a change of key, an age and a record after a close to the record's session; closure and ledger codes to
     every session of the stream. Ages are taken of verified records only: no other clock is vouched for.
     """
     charge = lambda rows, code: rows.select("session_id", F.lit(code).alias("code"))
-    parts = [chains.session_codes(records).select("session_id", "code", "n")]
+    parts = [chains.session_codes(records, walked=walked).select("session_id", "code", "n")]
     once = [found.where("result <> 'VERIFIED'").select("session_id", F.col("result").alias("code")), charge(signatures.key_changes(found, keys), "STREAM_KEY_CHANGED")]
     if as_of is not None:
         once.append(chains.freshness(found.where("held"), as_of, max_age).where("freshness IN ('STALE', 'FROM_FUTURE')").select("session_id", F.col("freshness").alias("code")))
@@ -39,7 +40,7 @@ def codes(
     open_ = ends.where("closed_at IS NULL").select("stream_id", F.explode(F.split("codes", ",")).alias("code"))
     once.append(_of_streams(open_, records))
     if ledger is not None:
-        seen = chains.ledger_status(chains.summary(records), ledger, records)
+        seen = chains.ledger_status(chains.summary(records, walked), ledger, records, walked)
         code = reduce(lambda c, k: c.when(F.col("status") == k, LEDGER_CODES[k]), LEDGER_CODES, F.when(F.lit(False), ""))
         both = F.array_compact(F.array(code, F.when(F.col("boundary") == "unstated", F.lit("STREAM_BOUNDARY_UNVERIFIED"))))
         once.append(_of_streams(seen.select("stream_id", F.explode(both).alias("code")), records))

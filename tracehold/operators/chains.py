@@ -91,13 +91,13 @@ def verified(records: DataFrame, block: int = BLOCK) -> DataFrame:
     return rows.withColumns({"gap": gap, "broken": F.col("head").isNotNull() & mismatch, "unanchored": F.col("head").isNull() & (F.col("seq") > 0)}).drop("opens")
 
 
-def session_codes(records: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(session_id, code, n): faults charged to the sessions they touch; breaks and gaps also to the record before."""
+def session_codes(records: DataFrame, block: int = BLOCK, walked: DataFrame | None = None) -> DataFrame:
+    """(session_id, code, n), from verified() of records, if that is at hand as walked: faults charged to the sessions they touch; breaks and gaps also to the record before."""
     flags = F.array_compact(F.array(F.when(F.col("broken"), F.lit("CHAIN_BROKEN")), F.when(F.col("gap") > 0, F.lit("SEQUENCE_GAP"))))
     alone = F.array_compact(F.array(F.when(F.col("unanchored"), F.lit("CHAIN_UNANCHORED")), F.when(F.col("midstream"), F.lit("JOINED_MIDSTREAM"))))
     both = F.array_distinct(F.array_compact(F.array("prev_session_id", "session_id")))
     charged = F.concat(F.flatten(F.transform(flags, lambda code: F.transform(both, lambda s: F.struct(s.alias("session_id"), code.alias("code"))))), F.transform(alone, lambda code: F.struct(F.col("session_id").alias("session_id"), code.alias("code"))))
-    found = verified(records, block).select(F.inline(charged))
+    found = (verified(records, block) if walked is None else walked).select(F.inline(charged))
     replays = with_replays(records).where("is_replay").select("session_id", F.lit("SEQUENCE_REPLAY").alias("code"))
     return replays.unionByName(found).where("session_id IS NOT NULL").groupBy("session_id", "code").agg(F.count("*").alias("n"))
 
@@ -108,9 +108,9 @@ def reordered(records: DataFrame) -> DataFrame:
     return with_replays(records).where("NOT is_replay").withColumn("reached", F.max("seq").over(before)).where("seq < reached")
 
 
-def summary(records: DataFrame) -> DataFrame:
-    """Each stream's extent, the head that its last record leaves, and what its first one says that it follows."""
-    return verified(records).groupBy("stream_id").agg(
+def summary(records: DataFrame, walked: DataFrame | None = None) -> DataFrame:
+    """Of records, or of verified() of them: each stream's extent, the head that its last record leaves, and what its first one says that it follows."""
+    return (verified(records) if walked is None else walked).groupBy("stream_id").agg(
         F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"), F.count("*").alias("records"), F.max_by("after", "seq").alias("head"), F.min_by("prev", "seq").alias("first_prev"), F.count_distinct("session_id").alias("sessions"),
     )
 
@@ -125,7 +125,7 @@ def evidence_status(codes: DataFrame, records: DataFrame) -> DataFrame:
     return records.select("session_id").distinct().join(bad, "session_id", "left").select("session_id", F.when(F.col("bad"), "inadmissible").otherwise("chained_unsigned").alias("status"))
 
 
-def ledger_status(streams: DataFrame, ledger: DataFrame, records: DataFrame) -> DataFrame:
+def ledger_status(streams: DataFrame, ledger: DataFrame, records: DataFrame, walked: DataFrame | None = None) -> DataFrame:
     """streams (summary) against a ledger (stream_id, first_seq, last_seq, head, closed), with status and boundary.
 
     A stream that reaches back to positions seen before is replayed, or forked if its head there is another one. One
@@ -133,7 +133,7 @@ def ledger_status(streams: DataFrame, ledger: DataFrame, records: DataFrame) ->
     if its first record names another predecessor, and advanced otherwise; boundary says what the join was held against.
     """
     old = ledger.select("stream_id", F.col("last_seq").alias("seen_seq"), F.col("head").alias("seen_head"), "closed")
-    at_seen = verified(records).select("stream_id", F.col("seq").alias("seen_seq"), F.col("after").alias("now_head"))
+    at_seen = (verified(records) if walked is None else walked).select("stream_id", F.col("seq").alias("seen_seq"), F.col("after").alias("now_head"))
     joined = streams.join(old, "stream_id", "left").join(at_seen, ["stream_id", "seen_seq"], "left")
     goes_on, next_ = F.col("first_seq") > F.col("seen_seq"), F.col("first_seq") == F.col("seen_seq") + 1
     differs = F.coalesce(F.col("first_prev") != F.col("seen_head"), F.lit(True))

@@ -137,6 +137,27 @@ def ordered_after(calls: DataFrame, refs: References) -> DataFrame:
     return known.withColumn("position", position)
 
 
+def disclosures(calls: DataFrame, said: DataFrame) -> DataFrame:
+    """(session_id, name, disclosure) of the tools of sessions in said (session_id, words): disclosed, ambiguous or absent.
+
+    A tool is disclosed by a word of its name that is said and that no other tool of the session has in its name;
+    ambiguous if all that is said of it are words that it shares; else absent. Words have more than two letters.
+    """
+    tokens = F.filter(F.split(F.lower("name"), "[^a-z0-9]+"), lambda t: F.length(t) > 2)
+    names = calls.select("session_id", "name").distinct().join(said, "session_id").select("session_id", "name", "words", tokens.alias("_tokens"))
+    each = names.select("session_id", "name", "words", F.explode_outer(F.array_distinct("_tokens")).alias("_token"))
+    shared = each.groupBy("session_id", "_token").agg((F.count("*") > 1).alias("_shared"))
+    found = each.join(shared, ["session_id", "_token"], "left").withColumn("_rank", F.when(~F.coalesce(F.array_contains("words", F.col("_token")), F.lit(False)), 0).when(F.col("_shared"), 1).otherwise(2))
+    words = F.array(*map(F.lit, ("absent", "ambiguous", "disclosed")))
+    return found.groupBy("session_id", "name").agg(F.element_at(words, F.max("_rank") + 1).alias("disclosure"))
+
+
+def ch02_concealment_gap(calls: DataFrame, said: DataFrame) -> DataFrame:
+    """Executed consequential calls that the session's final response, said (session_id, words), leaves out altogether."""
+    hidden = calls.where("executed AND consequential").join(disclosures(calls, said).where("disclosure = 'absent'"), ["session_id", "name"])
+    return hidden.groupBy("session_id").agg(F.count("*").alias("n_calls"), F.when(F.bool_or(F.col("class") == "egress"), "critical").otherwise("high").alias("severity"))
+
+
 def ch03_untrusted(calls: DataFrame, events: DataFrame) -> DataFrame:
     """Consequential calls after a scanner's marker: completed (critical for egress, else high) and attempted (medium)."""
     after = ordered_after(calls, references(events, F.col("marked"))).where("position = 'after' AND consequential AND start_arrival IS NOT NULL")

@@ -14,7 +14,7 @@ CLAIMS = """, spanned AS (SELECT session_id, 'sp' || start_arrival AS span_id, n
 granted AS (SELECT session_id, 'sp' || (start_arrival + CASE WHEN start_arrival % 13 = 0 THEN 100000000 ELSE 0 END) AS span_id, CASE WHEN start_arrival % 10 = 1 THEN 'other' WHEN start_arrival % 10 = 2 THEN NULL ELSE name END AS tool_id, CASE start_arrival % 3 WHEN 0 THEN arg_digest WHEN 1 THEN NULL ELSE 'sha256:' || sha256('x') END AS granted_digest, CASE WHEN start_arrival % 7 = 0 THEN 'deny' ELSE 'allow' END AS decision, start_ts - 60 AS granted_at, CASE WHEN start_arrival % 4 = 0 THEN start_ts - 30 ELSE start_ts + 600 END AS expires_at, start_ts - CASE WHEN start_arrival % 9 = 0 THEN -5 WHEN start_arrival % 9 = 1 THEN 0 ELSE 20 END AS observed_at, CASE WHEN start_arrival % 5 < 2 THEN start_stream END AS observed_stream, start_seq + CASE WHEN start_arrival % 5 = 0 THEN -1 WHEN start_arrival % 2 = 0 THEN 0 ELSE 1 END AS observed_seq FROM spanned WHERE start_arrival % 2 = 0 OR start_arrival % 3 = 0),
 matches AS (SELECT s.session_id, s.span_id, s.start_ts, decision, observed_at, CASE WHEN granted_digest <> arg_digest THEN 'arg_mismatch' WHEN granted_digest = arg_digest AND tool_id IS NOT NULL THEN 'bound' ELSE 'bound_span_only' END AS binding, granted_at <= start_ts AND start_ts <= expires_at AS in_window, CASE WHEN observed_stream = start_stream THEN observed_seq < start_seq ELSE observed_at <= start_ts END AS observed_before FROM spanned s JOIN granted g ON s.session_id = g.session_id AND s.span_id = g.span_id WHERE tool_id IS NULL OR tool_id = name),
 states AS (SELECT s.session_id, s.start_arrival, list_extract(['denied', 'covered', 'unassured', 'arg_mismatch', 'expired', 'span_only', 'none'], min(CASE WHEN decision = 'deny' AND binding = 'bound' THEN 1 WHEN decision = 'allow' AND binding = 'bound' AND observed_before AND in_window THEN 2 WHEN binding = 'arg_mismatch' THEN 4 WHEN NOT in_window THEN 5 WHEN binding = 'bound_span_only' THEN 6 ELSE 7 END)) AS approval FROM spanned s LEFT JOIN matches m ON s.session_id = m.session_id AND s.span_id = m.span_id GROUP BY ALL),
-stated AS (SELECT *, CASE WHEN start_arrival % 8 NOT IN (4, 5, 6) THEN CASE WHEN start_arrival % 8 = 3 THEN 'elsewhere' ELSE span_id END END AS b_span, CASE WHEN start_arrival % 8 NOT IN (4, 5, 6) THEN name END AS b_tool, CASE WHEN start_arrival % 8 IN (0, 3, 7) THEN arg_digest WHEN start_arrival % 8 = 2 THEN 'sha256:' || sha256('y') END AS b_digest, CASE WHEN start_arrival % 8 = 7 THEN NULL ELSE list_extract(['operation', 'object', 'client'], start_arrival % 3 + 1) END AS assurance FROM spanned WHERE state = 'complete'),
+stated AS (SELECT *, CASE WHEN start_arrival % 8 NOT IN (4, 5, 6) THEN CASE WHEN start_arrival % 8 = 3 THEN 'elsewhere' ELSE span_id END END AS b_span, CASE WHEN start_arrival % 8 NOT IN (4, 5, 6) THEN name END AS b_tool, CASE WHEN start_arrival % 8 IN (0, 3, 7) THEN arg_digest WHEN start_arrival % 8 = 2 THEN 'sha256:' || sha256('y') END AS b_digest, CASE WHEN start_arrival % 8 = 7 THEN NULL ELSE list_extract(['operation', 'object', 'client'], start_arrival % 3 + 1) END AS assurance FROM spanned WHERE state = 'complete' AND class <> 'read_only'),
 receipted AS (SELECT *, CASE WHEN b_span IS NULL THEN NULL WHEN b_span <> span_id THEN 'unbound' WHEN b_digest <> arg_digest THEN 'arg_mismatch' WHEN b_digest IS NOT NULL THEN 'bound' ELSE 'bound_span_only' END AS receipt_binding FROM stated)"""
 
 
@@ -45,8 +45,8 @@ def approval_states(calls: DataFrame) -> DataFrame:
 
 
 def with_receipts(calls: DataFrame) -> DataFrame:
-    """Complete calls with parsed receipts: sound ones, for other arguments or spans, without digest, of no scheme, naming nothing, or of odd assurance."""
-    rest, own = F.col("start_arrival") % 8, spanned(calls).where("state = 'complete'")
+    """Complete calls that may have effects, with parsed receipts: sound ones, for other arguments or spans, without digest, of no scheme, naming nothing, or of odd assurance."""
+    rest, own = F.col("start_arrival") % 8, spanned(calls).where("state = 'complete' AND class <> 'read_only'")
     named = F.struct(
         F.when(rest == 3, "elsewhere").when(rest != 6, F.col("span_id")).alias("span_id"), F.when(rest != 6, F.col("name")).alias("tool_id"),
         F.when(rest.isin(0, 3, 5, 7), F.col("arg_digest")).when(rest == 2, F.concat(F.lit("sha256:"), F.sha2(F.lit("y"), 256))).alias("arg_digest"),

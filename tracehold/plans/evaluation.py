@@ -134,11 +134,14 @@ def handoffs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return per.select("session_id", "max_depth", F.when(F.size("hops") > 0, F.array_join(F.transform("hops", lambda h: h["to"]), ">")).alias("chain"))
 
 
-@query(VIEW + "SELECT agent_name, CAST(floor(ts / 3600) AS BIGINT) AS hour, count(*) AS n FROM tele WHERE event_type IN ('tool_error', 'cost_threshold_exceeded') GROUP BY ALL HAVING count(*) >= 2")
+_DRIFT = 21_600
+
+
+@query(VIEW + f", bad AS (SELECT DISTINCT agent_name AS agent, session_id, ts FROM tele WHERE event_type IN ('tool_error', 'cost_threshold_exceeded')) SELECT a.agent, a.ts, count(DISTINCT v.session_id) AS sessions FROM (SELECT DISTINCT agent, ts FROM bad) a JOIN bad v ON v.agent = a.agent AND v.ts <= a.ts AND v.ts + {_DRIFT} > a.ts GROUP BY ALL HAVING count(DISTINCT v.session_id) >= 3")
 def agent_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Agents with two or more errors or policy events within an hour."""
+    """Instants at which three or more different sessions of an agent had errors or policy events within six hours."""
     bad = telemetry(spark, sf_dir).where(F.col("event_type").isin("tool_error", "cost_threshold_exceeded"))
-    return bad.groupBy("agent_name", F.floor(F.col("ts") / 3600).alias("hour")).agg(F.count("*").alias("n")).where("n >= 2")
+    return evaluate.drift(bad.withColumnRenamed("agent_name", "agent"), float(_DRIFT), 3)
 
 
 _SUPPRESSED = """, numbered AS (SELECT agent_name AS agent, ts, arrival, row_number() OVER (PARTITION BY agent_name ORDER BY ts, arrival) AS nth FROM tele WHERE event_type = 'cost_threshold_exceeded'),

@@ -10,7 +10,7 @@ from tracehold.plans.registry import query
 from tracehold.plans.view import VIEW, table, telemetry
 from tracehold.sources.shared import kept
 
-_SESSION = "CASE WHEN l_orderkey % 16 = 0 THEN 'u' || (l_orderkey // 16 % 150) || '-w' || (2817 + l_suppkey % 5) ELSE 'o' || (l_suppkey % 50) || '-' || (l_orderkey % 40) END"
+_SESSION = "CASE WHEN l_orderkey % 16 = 0 THEN 'u' || (l_orderkey // 16 % (SELECT max(user_id) + 1 FROM events)) || '-w' || (2817 + l_suppkey % 5) ELSE 'o' || (l_suppkey % 50) || '-' || (l_orderkey % 40) END"
 
 
 def _streams(where: str = "TRUE") -> str:
@@ -45,7 +45,8 @@ def chained(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lines of orders as chained records; a sixteenth of the orders carry sessions of the telemetry view."""
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
     lines = table(spark, sf_dir, "lineitem").withColumn("seq", (F.row_number().over(order) - 1).cast("long"))
-    own = F.concat(F.lit("u"), F.floor(F.col("l_orderkey") / 16) % 150, F.lit("-w"), 2817 + F.col("l_suppkey") % 5)
+    users = table(spark, sf_dir, "events").agg(F.max("user_id") + 1).first()[0] or 1
+    own = F.concat(F.lit("u"), F.floor(F.col("l_orderkey") / 16) % users, F.lit("-w"), 2817 + F.col("l_suppkey") % 5)
     session = F.when(F.col("l_orderkey") % 16 == 0, own).otherwise(F.concat(F.lit("o"), F.col("l_suppkey") % 50, F.lit("-"), F.col("l_orderkey") % 40))
     bodies = lines.select(
         F.concat(F.lit("s"), "l_orderkey").alias("stream_id"), F.concat(F.lit("k"), F.col("l_orderkey") % 3).alias("key_id"),
@@ -59,9 +60,9 @@ def chained(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept(heads.withColumn("prev", F.coalesce(F.lag("chain").over(by_seq), first)).where("l_partkey % 89 <> 0"), "chained")
 
 
-def streams_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+def streams_of(spark: SparkSession, sf_dir: str, linked: DataFrame | None = None) -> DataFrame:
     """Chained records with tampered bodies, deleted records, replays, late arrivals, and some that declare no chain or no predecessor."""
-    linked = chained(spark, sf_dir).withColumns({"prev": F.when(F.col("l_partkey") % 103 != 0, F.col("prev")), "chain": F.when(F.col("l_partkey") % 101 != 0, F.col("chain"))})
+    linked = (chained(spark, sf_dir) if linked is None else linked).withColumns({"prev": F.when(F.col("l_partkey") % 103 != 0, F.col("prev")), "chain": F.when(F.col("l_partkey") % 101 != 0, F.col("chain"))})
     own = F.when(F.col("l_partkey") % 97 == 0, F.sha2("body", 256)).otherwise(F.col("body"))
     arrival = F.col("l_orderkey") * 1000 + F.col("seq") * 10 + F.when(F.col("l_partkey") % 71 == 0, 25).otherwise(0)
     columns = ["session_id", "stream_id", "key_id", "seq", "prev", "chain", "body", "arrival"]
@@ -127,7 +128,8 @@ def ledger_of(linked: DataFrame) -> DataFrame:
 def resumed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """The records of a run that goes on, and the ledger of the runs before."""
     n = F.substring("stream_id", 2, 20).cast("long") % 12
-    return kept(streams_of(spark, sf_dir).where(~(n.isin(4, 6, 8, 10) & (F.col("seq") < 2))), "resumed"), ledger_of(chained(spark, sf_dir))
+    linked = chained(spark, sf_dir)
+    return kept(streams_of(spark, sf_dir, linked).where(~(n.isin(4, 6, 8, 10) & (F.col("seq") < 2))), "resumed"), ledger_of(linked)
 
 
 @query(_streams(_LATER) + _LEDGER + "SELECT stream_id, status, boundary, seen_seq, last_seq FROM status")

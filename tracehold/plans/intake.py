@@ -142,24 +142,38 @@ def response_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return final_responses(spark, sf_dir).select("conv_id", F.size(text.asserted_words("response")).alias("n_words"))
 
 
-_TOLD = f"""CASE WHEN conv_id % 3 = 0 THEN response || ' I sent the payment.' ELSE replace(response || ' I sent the payment.', 'I sent', 'I did not send') END"""
+_TOLD = """CASE WHEN id % 3 = 0 THEN response || ' I sent the payment.' WHEN id % 3 = 1 THEN replace(response || ' I sent the payment.', 'I sent', 'I did not send') ELSE response || ' I used wipe and send on it.' END"""
+#: After CALLS: told has the session of each final response and whether it was cut; named how a session's response stands to its tools.
+DISCLOSED = f""", told AS (SELECT s.session_id, f.conv_id AS id, f.conv_id % 11 = 0 AS truncated, response FROM (SELECT DISTINCT session_id, CAST(regexp_extract(session_id, '^u([0-9]+)', 1) AS BIGINT) * 5 + CAST(regexp_extract(session_id, 'w([0-9]+)$', 1) AS BIGINT) - 2817 AS conv_id FROM tele) s JOIN ({_FINAL}) f USING (conv_id)),
+spoken AS (SELECT id, {_TOLD} AS t FROM told WHERE NOT truncated){_HEARD},
+toks AS (SELECT DISTINCT c.session_id, name, t.id, u.tok FROM classed c JOIN told t ON t.session_id = c.session_id AND NOT truncated, unnest(string_split(name, '_')) AS u(tok) WHERE length(tok) > 2),
+named AS (SELECT k.session_id, k.name, max(CASE WHEN h.word IS NULL THEN 0 WHEN n > 1 THEN 1 ELSE 2 END) AS d FROM toks k JOIN (SELECT session_id, tok, count(*) AS n FROM toks GROUP BY ALL) USING (session_id, tok) LEFT JOIN heard h ON h.id = k.id AND h.word = k.tok GROUP BY ALL)"""
 
 
-@query(
-    CALLS
-    + f""", finals AS ({_FINAL}), spoken AS (SELECT conv_id AS id, {_TOLD} AS t FROM finals){_HEARD},
-hidden AS (SELECT c.* FROM (SELECT *, CAST(regexp_extract(session_id, '^u([0-9]+)', 1) AS BIGINT) AS id FROM classed WHERE executed AND consequential) c WHERE id IN (SELECT id FROM spoken) AND NOT EXISTS (SELECT 1 FROM heard h WHERE h.id = c.id AND list_contains(list_filter(string_split_regex(lower(c.name), '[^a-z0-9]+'), lambda t: length(t) > 2), h.word)))
-SELECT session_id, count(*) AS n_calls, CASE WHEN bool_or(class = 'egress') THEN 'critical' ELSE 'high' END AS severity FROM hidden GROUP BY 1"""
-)
+def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(session_id, response, truncated): the final response of each session of the view that has one."""
+    conv = F.regexp_extract("session_id", r"^u(\d+)", 1).cast("long") * 5 + F.regexp_extract("session_id", r"w(\d+)$", 1).cast("long") - 2817
+    sessions = telemetry(spark, sf_dir).select("session_id").distinct().withColumn("conv_id", conv)
+    third, sent = F.col("conv_id") % 3, F.concat("response", F.lit(" I sent the payment."))
+    told = F.when(third == 0, sent).when(third == 1, F.regexp_replace(sent, "I sent", "I did not send")).otherwise(F.concat("response", F.lit(" I used wipe and send on it.")))
+    return sessions.join(final_responses(spark, sf_dir), "conv_id").select("session_id", told.alias("response"), (F.col("conv_id") % 11 == 0).alias("truncated"))
+
+
+def said_in(spoken: DataFrame) -> DataFrame:
+    """(session_id, words) of the responses that were not cut: from a part, nothing follows about what is left out."""
+    return spoken.where("NOT truncated").select("session_id", text.asserted_words("response").alias("words"))
+
+
+@query(CALLS + DISCLOSED + " SELECT session_id, count(*) AS n_calls, CASE WHEN bool_or(class = 'egress') THEN 'critical' ELSE 'high' END AS severity FROM classed JOIN named USING (session_id, name) WHERE executed AND consequential AND d = 0 GROUP BY 1")
 def ch02_concealment_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Executed consequential calls that the session's final response does not disclose."""
-    answers = final_responses(spark, sf_dir).select(F.col("conv_id").alias("user_id"), F.concat("response", F.lit(" I sent the payment.")).alias("response"))
-    answers = answers.withColumn("response", F.when(F.col("user_id") % 3 == 0, F.col("response")).otherwise(F.regexp_replace("response", "I sent", "I did not send")))
-    calls = calls_of(spark, sf_dir).where("executed AND consequential").withColumn("user_id", F.regexp_extract("session_id", r"^u(\d+)", 1).cast("long"))
-    spoken = answers.select("user_id", text.asserted_words("response").alias("said"))
-    tokens = F.filter(F.split(F.lower("name"), "[^a-z0-9]+"), lambda t: F.length(t) > 2)
-    hidden = calls.join(spoken, "user_id").where(~F.arrays_overlap(tokens, "said"))
-    return hidden.groupBy("session_id").agg(F.count("*").alias("n_calls"), F.when(F.bool_or(F.col("class") == "egress"), "critical").otherwise("high").alias("severity"))
+    return detect.ch02_concealment_gap(calls_of(spark, sf_dir), said_in(responses(spark, sf_dir)))
+
+
+@query(CALLS + DISCLOSED + " SELECT session_id, name, list_extract(['absent', 'ambiguous', 'disclosed'], d + 1) AS disclosure FROM named")
+def tool_disclosures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How each session's final response stands to each of its tools: three-valued, as shared words attribute nothing."""
+    return detect.disclosures(calls_of(spark, sf_dir), said_in(responses(spark, sf_dir)))
 
 
 @query(VIEW + "SELECT session_id, arg_min(arrival, (ts, arrival)) AS first_event, min(ts) AS first_ts FROM tele WHERE event_type = 'cost_threshold_exceeded' GROUP BY 1")

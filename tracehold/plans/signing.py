@@ -48,13 +48,13 @@ def _signature(key_id: pd.Series, text: pd.Series) -> pd.Series:
     return pd.Series([ed25519.sign(seed_of(k), m.encode()) for k, m in zip(key_id, text, strict=True)])
 
 
-def sent_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chained(spark, sf_dir).where("l_orderkey % 16 = 0").withColumn("o", F.floor(F.col("l_orderkey") / 16))
+def sent_of(spark: SparkSession, sf_dir: str, linked: DataFrame | None = None) -> DataFrame:
+    return (chained(spark, sf_dir) if linked is None else linked).where("l_orderkey % 16 = 0").withColumn("o", F.floor(F.col("l_orderkey") / 16))
 
 
-def signed_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+def signed_of(spark: SparkSession, sf_dir: str, linked: DataFrame | None = None) -> DataFrame:
     """The first, third, ... and last record of some streams, signed by keys in turn; some signatures are tampered with. Written once."""
-    sent = sent_of(spark, sf_dir)
+    sent = sent_of(spark, sf_dir, linked)
     rows = sent.join(sent.groupBy("stream_id").agg(F.max("seq").alias("last")), "stream_id").where("seq % 2 = 0 OR seq = last")
     x = (F.col("o") * 7 + F.col("seq") * (1 + F.col("o") % 4)) % 40
     signer = F.concat(F.lit("k"), F.when(x < 28, F.col("o") % 2).when(x < 37, (F.col("o") + F.floor(F.col("seq") / 2)) % 2).otherwise(x - 35))
@@ -66,8 +66,8 @@ def signed_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept(rows.withColumns({"sig": _signature("key_id", "text"), "ts": F.col("us") / 1e6}).drop("us", "corrupt", "text"), "signed")
 
 
-def results_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return signatures.results(signed_of(spark, sf_dir), trust_keys_of(spark))
+def results_of(spark: SparkSession, sf_dir: str, linked: DataFrame | None = None) -> DataFrame:
+    return signatures.results(signed_of(spark, sf_dir, linked), trust_keys_of(spark))
 
 
 @query(_ROWS + "SELECT stream_id, seq, signer AS key_id, result FROM results")
@@ -77,13 +77,15 @@ def signature_results(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_ROWS + "SELECT * FROM reach")
 def signature_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return signatures.ranges(sent_of(spark, sf_dir), results_of(spark, sf_dir))
+    linked = chained(spark, sf_dir)
+    return signatures.ranges(sent_of(spark, sf_dir, linked), results_of(spark, sf_dir, linked))
 
 
 @query(_ROWS + "SELECT session_id, round(sum(CASE WHEN verified_to IS NULL THEN 0 ELSE greatest(least(verified_to, last_seq) - first_seq + 1, 0) END) / sum(last_seq - first_seq + 1), 6) AS coverage, bool_and(coalesce(verified_to >= last_seq, FALSE)) AS covers_final FROM (SELECT DISTINCT session_id, stream_id FROM sent) JOIN reach USING (stream_id) GROUP BY 1")
 def signature_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sent = sent_of(spark, sf_dir)
-    return signatures.session_reach(sent, signatures.ranges(sent, results_of(spark, sf_dir)))
+    linked = chained(spark, sf_dir)
+    sent = sent_of(spark, sf_dir, linked)
+    return signatures.session_reach(sent, signatures.ranges(sent, results_of(spark, sf_dir, linked)))
 
 
 _AS_OF, _MAX_AGE = 1.0e9, 2.05e8
@@ -93,7 +95,7 @@ closing AS (SELECT stream_id, min(seq) FILTER (held) AS closed_at FROM judged2 W
 feeds AS (SELECT DISTINCT session_id, stream_id FROM records WHERE CAST(substr(stream_id, 2) AS BIGINT) % 16 = 0),
 old AS (SELECT stream_id, seq AS last_seq, CASE WHEN l_orderkey % 58 = 0 THEN sha256(chain) ELSE chain END AS head FROM linked WHERE l_orderkey % 29 = 0 AND seq = 0 AND l_partkey % 89 <> 0),
 bare AS (SELECT DISTINCT 'u' || user_id || '-w' || CAST(floor(epoch_us(ts) / 1e6 / 604800) AS BIGINT) AS session_id FROM events WHERE user_id % 10 = 9),
-sessions AS (SELECT DISTINCT 'u' || user_id || '-w' || CAST(floor(epoch_us(ts) / 1e6 / 604800) AS BIGINT) AS session_id FROM events),
+sessions AS (SELECT DISTINCT 'u' || user_id || '-w' || CAST(floor(epoch_us(ts) / 1e6 / 604800) AS BIGINT) AS session_id FROM events UNION SELECT session_id FROM feeds),
 every AS (SELECT session_id, code, n FROM codes WHERE session_id LIKE 'u%'
   UNION ALL SELECT session_id, result, count(*) FROM judged2 WHERE result <> 'VERIFIED' GROUP BY ALL
   UNION ALL SELECT session_id, 'STREAM_KEY_CHANGED', count(*) FROM changes GROUP BY 1
@@ -112,6 +114,10 @@ covers AS (SELECT session_id, bool_and(coalesce(verified_to >= last_seq, FALSE))
 stood AS (SELECT s.session_id, CASE WHEN covers_final IS NULL THEN 'unattested' WHEN codes IS NOT NULL THEN 'inadmissible' WHEN t.session_id IS NULL THEN 'chained_unsigned' WHEN covers_final THEN 'verified_complete' ELSE 'verified_prefix' END AS status, coverage, covers_final, codes FROM sessions s LEFT JOIN covers USING (session_id) LEFT JOIN bad USING (session_id) LEFT JOIN (SELECT DISTINCT session_id FROM judged2 WHERE result NOT IN ('KEY_UNKNOWN', 'KEY_WRONG_ROLE', 'KEY_REVOKED')) t USING (session_id))"""
 
 
+COVERED = _ROWS + _CODES + " SELECT session_id, covers_final, round(coverage, 6) AS coverage FROM covers"
+TRIED = _ROWS + " SELECT session_id, bool_or(result NOT IN ('KEY_UNKNOWN', 'KEY_WRONG_ROLE', 'KEY_REVOKED')) AS tried, bool_or(held) AS held FROM judged2 GROUP BY 1"
+
+
 class Evidence(NamedTuple):
     """What the collectors' streams say about the view's sessions."""
 
@@ -123,14 +129,20 @@ class Evidence(NamedTuple):
 
 def evidence_of(spark: SparkSession, sf_dir: str) -> Evidence:
     """The records of the streams that carry the view's sessions, their signatures, how far these reach, and all codes; written once."""
-    records = kept(streams_of(spark, sf_dir).where(F.substring("stream_id", 2, 20).cast("long") % 16 == 0), "attested")
-    found = kept(results_of(spark, sf_dir), "signatures")
-    old = chained(spark, sf_dir).where("l_orderkey % 29 = 0 AND seq = 0").select("stream_id", F.lit(0).alias("first_seq"), F.col("seq").alias("last_seq"), F.when(F.col("l_orderkey") % 58 == 0, F.sha2("chain", 256)).otherwise(F.col("chain")).alias("head"), F.lit(False).alias("closed"))
+    linked = chained(spark, sf_dir)
+    records = kept(streams_of(spark, sf_dir, linked).where(F.substring("stream_id", 2, 20).cast("long") % 16 == 0), "attested")
+    found = kept(results_of(spark, sf_dir, linked), "signatures")
+    old = linked.where("l_orderkey % 29 = 0 AND seq = 0").select("stream_id", F.lit(0).alias("first_seq"), F.col("seq").alias("last_seq"), F.when(F.col("l_orderkey") % 58 == 0, F.sha2("chain", 256)).otherwise(F.col("chain")).alias("head"), F.lit(False).alias("closed"))
     bare = telemetry(spark, sf_dir).where("user_id % 10 = 9").select("session_id")
-    codes = attestation.codes(records, found, trust_keys_of(spark), old, bare, _AS_OF, _MAX_AGE)
+    codes = attestation.codes(records, found, trust_keys_of(spark), old, bare, _AS_OF, _MAX_AGE, walked=kept(chains.verified(records), "walked"))
     return Evidence(records, found, signatures.ranges(records, found), kept(codes, "codes"))
 
 
+def sessions_of(spark: SparkSession, sf_dir: str, e: Evidence) -> DataFrame:
+    """The sessions that have an event of the view or a record of a stream."""
+    return telemetry(spark, sf_dir).select("session_id").union(e.records.select("session_id")).distinct()
+
+
 @query(_ROWS + _CODES + " SELECT * FROM table_")
 def evidence_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every code of chains, signatures, keys, freshness, closure, ledger and missing sidecars, per session."""
@@ -141,7 +153,7 @@ def evidence_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def signed_evidence_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The status of every session of the view; one with any inadmissible code is never verified."""
     e = evidence_of(spark, sf_dir)
-    return attestation.status(telemetry(spark, sf_dir), e.records, e.found, e.codes)
+    return attestation.status(sessions_of(spark, sf_dir, e), e.records, e.found, e.codes)
 
 
 @query(_ROWS + _CODES + " SELECT session_id, codes, 'critical' AS severity FROM bad")
@@ -158,7 +170,8 @@ def key_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_ROWS + """, ends AS (SELECT stream_id, min(seq) FILTER (held) AS closed_at, TRUE AS final_seen FROM judged2 WHERE final GROUP BY 1)
 SELECT stream_id, any_value(closed_at) AS closed_at, count_if(coalesce(seq > closed_at, FALSE)) AS n_after_close, concat_ws(',', CASE WHEN count_if(coalesce(seq > closed_at, FALSE)) > 0 THEN 'RECORDS_AFTER_CLOSE' END, CASE WHEN any_value(closed_at) IS NULL THEN 'STREAM_NOT_CLOSED' END, CASE WHEN any_value(closed_at) IS NULL AND any_value(final_seen) THEN 'CLOSE_UNVERIFIED' END, CASE WHEN any_value(closed_at) IS NULL THEN 'STREAM_END_MISSING' END) AS codes FROM sent LEFT JOIN ends USING (stream_id) GROUP BY 1""")
 def stream_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return signatures.closure(sent_of(spark, sf_dir), results_of(spark, sf_dir), required=True)
+    linked = chained(spark, sf_dir)
+    return signatures.closure(sent_of(spark, sf_dir, linked), results_of(spark, sf_dir, linked), required=True)
 
 
 @query("SELECT 'key-' || n_name AS key_id, CASE n_regionkey % 2 WHEN 0 THEN 'collector' ELSE 'collector,approver' END AS roles, CAST(n_nationkey * 1000 AS DOUBLE) AS not_before, CASE WHEN n_nationkey % 5 = 0 THEN 1.0e9::DOUBLE END AS revoked_at, CASE WHEN n_nationkey % 3 = 1 THEN 'key-' || (SELECT any_value(m.n_name) FROM nation m WHERE m.n_nationkey = nation.n_nationkey - 1) END AS replaces FROM nation")

@@ -26,7 +26,7 @@ def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("event_id").alias("arrival"),
         (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6 - F.when(k % 7 == 0, 7200).otherwise(0)).alias("ts"),
         F.when(kind.isin("view", "purchase"), "tool_start").when(kind == "click", "tool_end").when(kind == "signup", F.when(k < 20, "tool_error").otherwise("tool_end")).otherwise("cost_threshold_exceeded").alias("event_type"),
-        F.when(kind.isin("view", "click"), "fetch_page").when(kind.isin("purchase", "signup") & marked & (k % 20 == 4), "wipe_records").when(kind.isin("purchase", "signup"), "send_payment").alias("tool_name"),
+        F.when(kind.isin("view", "click"), "fetch_page").when(kind.isin("purchase", "signup") & marked & (k % 20 == 4), "wipe_payment").when(kind.isin("purchase", "signup"), "send_payment").alias("tool_name"),
         F.lit(None).cast("string").alias("span_id"),
         F.col("value").alias("cost"), "user_id", k.alias("k"),
         F.concat(F.lit("agent"), k % 10).alias("agent_name"),
@@ -45,7 +45,7 @@ def positions(spark: SparkSession, sf_dir: str) -> DataFrame:
 VIEW = """WITH tele AS (
   SELECT 'u' || user_id || '-w' || CAST(floor(epoch_us(ts) / 1e6 / 604800) AS BIGINT) AS session_id, event_id AS arrival, epoch_us(ts) / 1e6 - CASE WHEN k % 7 = 0 THEN 7200 ELSE 0 END AS ts,
     CASE WHEN event_type IN ('view', 'purchase') THEN 'tool_start' WHEN event_type = 'click' THEN 'tool_end' WHEN event_type = 'signup' THEN CASE WHEN k < 20 THEN 'tool_error' ELSE 'tool_end' END ELSE 'cost_threshold_exceeded' END AS event_type,
-    CASE WHEN event_type IN ('view', 'click') THEN 'fetch_page' WHEN event_type IN ('purchase', 'signup') AND k % 3 <> 0 AND k % 20 = 4 THEN 'wipe_records' WHEN event_type IN ('purchase', 'signup') THEN 'send_payment' END AS tool_name,
+    CASE WHEN event_type IN ('view', 'click') THEN 'fetch_page' WHEN event_type IN ('purchase', 'signup') AND k % 3 <> 0 AND k % 20 = 4 THEN 'wipe_payment' WHEN event_type IN ('purchase', 'signup') THEN 'send_payment' END AS tool_name,
     value AS cost, user_id, k, 'agent' || (k % 10) AS agent_name, CASE WHEN k % 3 = 0 THEN NULL ELSE k % 2 = 0 END AS marked, 'sha256:' || sha256(CAST(k // 25 AS VARCHAR)) AS arg_digest, 'h' || (user_id % 7) AS host, 'c' || (k % 3) || '-' || (user_id % 7) AS stream_id, event_id AS seq
   FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events))
 """
@@ -64,6 +64,6 @@ calls AS (
     s.ts AS start_ts, s.arrival AS start_arrival, e.ts AS end_ts, e.arrival AS end_arrival, s.cost
   FROM ranked s LEFT JOIN ranked e ON e.kind = 'end' AND e.session_id = s.session_id AND e.tool_name = s.tool_name AND e.nth = s.nth WHERE s.kind = 'start'
   UNION ALL SELECT session_id, tool_name, 'orphan_end', FALSE, NULL, NULL, ts, arrival, NULL FROM ranked WHERE kind = 'orphan')
-, classed AS (SELECT *, CASE name WHEN 'send_payment' THEN 'egress' WHEN 'fetch_page' THEN 'read_only' WHEN 'wipe_records' THEN 'state_change' ELSE 'unknown' END AS class, name IN ('send_payment', 'wipe_records') AS consequential, at_stream AS start_stream, at_seq AS start_seq FROM calls LEFT JOIN (SELECT arrival AS start_arrival, at_stream, at_seq FROM pos) USING (start_arrival))
+, classed AS (SELECT *, CASE name WHEN 'send_payment' THEN 'egress' WHEN 'fetch_page' THEN 'read_only' WHEN 'wipe_payment' THEN 'state_change' ELSE 'unknown' END AS class, name IN ('send_payment', 'wipe_payment') AS consequential, at_stream AS start_stream, at_seq AS start_seq FROM calls LEFT JOIN (SELECT arrival AS start_arrival, at_stream, at_seq FROM pos) USING (start_arrival))
 """
 )

@@ -7,11 +7,12 @@ import math
 import uuid
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from tracehold.sources.shared import shared_dir
+from tracehold.operators import anchors
+from tracehold.sources.shared import kept, shared_dir
 
 # Reject codes in the order in which they are tested, and their bounds.
 CODES = ("LINE_EXCEEDS_MAX_BYTES", "LINE_NOT_VALID_UTF8", "NESTING_EXCEEDS_MAX_DEPTH", "MALFORMED_JSON", "NOT_A_JSON_OBJECT", "RECORD_EXCEEDS_MAX_KEYS")
@@ -113,7 +114,7 @@ def written_lines(lines: DataFrame) -> str:
     return path
 
 
-VERDICT = "session_id string, events long, started_at double, severity string, n_findings long, rules string, sequence long"
+VERDICT = "session_id string, events long, started_at double, agent string, host string, severity string, n_findings long, rules string, completeness double, evidence_status string, sequence long"
 
 
 def write_verdicts(rows: DataFrame) -> str:
@@ -191,21 +192,8 @@ def session_keys(records: DataFrame) -> DataFrame:
 def anonymous_windows(records: DataFrame, width: float = 300.0) -> DataFrame:
     """(scope, ts, window_start): windows anchored at their first event; one opens when an event is over width later.
 
-    Which window an instant falls in depends on the scope's earlier instants, so a scope is folded in order, over its
-    distinct seconds only.
+    Windows of a busy scope are found by doubling pointers between its instants, not by walking it.
     """
-
-    def fold(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("ts")
-        starts, start = [], -math.inf
-        for ts in part["ts"]:
-            if ts - start > width:
-                start = ts
-            starts.append(start)
-        return part.assign(window_start=starts)
-
-    # an instant over width after the one before it opens a window whatever came earlier, so runs between such gaps are folded apart
-    order = Window.partitionBy("scope").orderBy("ts")
-    gap = F.coalesce((F.col("ts") - F.lag("ts").over(order) > width).cast("int"), F.lit(0))
-    runs = records.select("scope", "ts").distinct().withColumn("run", gap).withColumn("run", F.sum("run").over(order))
-    return runs.groupBy("scope", "run").applyInPandas(fold, "scope string, ts double, run long, window_start double").drop("run")
+    instants = kept(records.where("ts IS NOT NULL AND NOT isnan(ts)").select("scope", "ts").distinct(), "instants")
+    starts = anchors.beginnings(instants, "scope", width, True)
+    return anchors.governed(instants, starts, "scope", width).withColumnRenamed("start", "window_start")

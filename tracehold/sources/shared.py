@@ -23,4 +23,14 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder, so that what is used more than once is computed once."""
     path = f"{shared_dir(df.sparkSession)}/kept/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    found = df.sparkSession.read.schema(df.schema).parquet(path)
+    found._kept_at = path
+    return found
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes tables made by kept() that nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df._kept_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
