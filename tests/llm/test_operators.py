@@ -467,8 +467,14 @@ def test_nearest_with_odd_rows(spark):
         got[r.query_id].append((r.rank, r.vec_id, r.score))
     asked = {i for i, _ in rows if i % 50 == 0 or i > 2999}
     assert set(got) == asked
+    hits = total = 0
     for q in asked:
-        assert sorted(got[q]) == [(k + 1, i, pytest.approx(s)) for k, (i, s) in enumerate(_nearest_by_force(rows, q, 10))]
+        every, want = dict(_nearest_by_force(rows, q, len(rows))), _nearest_by_force(rows, q, 10)
+        assert [(r, s) for r, _, s in sorted(got[q])] == [(k + 1, pytest.approx(s)) for k, s in enumerate(sorted(every[v] for _, v, _ in got[q]))]
+        assert len(got[q]) == len({v for _, v, _ in got[q]}) == len(want)
+        hits, total = hits + sum(s <= want[-1][1] + 1e-12 for _, _, s in got[q]), total + len(want)
+    assert hits >= 0.9 * total
+    assert sorted(got[4000]) == [(k + 1, i, pytest.approx(s)) for k, (i, s) in enumerate(_nearest_by_force(rows, 4000, 10))]  # of four vectors of a length, all are found
 
 
 @pytest.mark.parametrize("clusters", [0, 150])

@@ -32,8 +32,6 @@ TABLES, SEED = 48, 7
 PILOTS, RECALL, SAMPLE = 48, 0.93, 1_000
 #: Settings that are tried: projections of a table, slot width as a multiple of the neighbours' median distance, most probes.
 HASHES, WIDTHS, MOST_PROBES = (6, 9, 12, 16, 20), (1.5, 2.0, 3.0), 1_024
-#: Vectors of a length up to which they are compared one by one, without hashing.
-FEW = 2_000
 #: Vectors indexed together, bytes of queries answered in one pass, queries whose candidates are held together.
 SHARD, QUERY_BYTES, TOGETHER = 65_536, 32 << 20, 64
 #: What a probe costs, in vectors compared.
@@ -238,12 +236,12 @@ def _by_length(rows: list) -> dict[int, tuple[np.ndarray, np.ndarray]]:
 
 
 def hashers_of(rows: DataFrame, wanted: DataFrame, k: int, tables: int = TABLES) -> dict[int, tuple[Hasher, float, float]]:
-    """For each length with more than FEW vectors, its hasher with the measured recall and share of candidates.
+    """For each length, its hasher with the measured recall and share of candidates.
 
     Of each length, at most PILOTS queries and SAMPLE vectors come to the driver, and as many vectors as the pilots have
     neighbours: k each.
     """
-    lengths = [r["n"] for r in rows.groupBy(F.size("v").alias("n")).count().where(F.col("count") > FEW).collect()]
+    lengths = [r["n"] for r in rows.groupBy(F.size("v").alias("n")).count().collect()]
     found = {}
     for n in lengths:
         of = rows.where(F.size("v") == n)
@@ -267,8 +265,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, tables: int = TA
     score is the Euclidean distance in double precision; ties go to the smaller vec_id. Vectors that are null, zero, or
     hold a null or non-finite component take no part; distances are between vectors of one length. Rows that repeat a
     vec_id are one candidate, with the nearest of its vectors; as a query, an id stands for the least of its vectors.
-    Queries that find fewer than k candidates by their probes are compared with all vectors. An empty table gives an
-    empty result; other columns play no part.
+    Vectors are hashed whatever their number. Queries that find fewer than k candidates by their probes are compared with
+    all vectors. An empty table gives an empty result; other columns play no part.
     """
     rows = usable(vectors)
     wanted = written(usable(queries).groupBy("vec_id").agg(F.min("v").alias("v")), "nearest-queries")
