@@ -42,12 +42,18 @@ def _usable(public: pd.Series) -> pd.Series:
 
 
 @F.pandas_udf(BooleanType())
-def _holds(public: pd.Series, signed: pd.Series, sig: pd.Series) -> pd.Series:
+def holds(public: pd.Series, signed: pd.Series, sig: pd.Series) -> pd.Series:
     rows = list(zip(public, [m.encode() for m in signed], sig, strict=True))
     once = list(dict.fromkeys(rows))
     return pd.Series(map(dict(zip(once, ed25519.verify_all(once), strict=True)).__getitem__, rows), dtype=bool)
 
 
+def even(rows: DataFrame, public: str, signed: str, sig: str) -> DataFrame:
+    """rows dealt evenly over as many tasks as shuffles have, those of one key and equal ones together in a task."""
+    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    return rows.repartition(parts, public, F.pmod(F.xxhash64(signed, sig), F.lit(16 * parts))).sortWithinPartitions(public, signed, sig)
+
+
 def results(signed: DataFrame, keys: DataFrame, role: str = "collector") -> DataFrame:
     """signed (stream_id, session_id, seq, chain, final, key_id, sig binary, ts) with result and held.
 
@@ -58,10 +64,7 @@ def results(signed: DataFrame, keys: DataFrame, role: str = "collector") -> Data
     known = signed.join(small(keys.select("key_id", "public", "roles", "not_before", "not_after", "revoked_at")), "key_id", "left").withColumn("message", message(F.col("stream_id"), F.col("seq"), F.col("chain"), F.col("final")))
     early = F.when(F.col("roles").isNull(), "KEY_UNKNOWN").when(~F.array_contains("roles", role), "KEY_WRONG_ROLE").when(F.col("revoked_at").isNotNull(), "KEY_REVOKED")
     known = known.withColumn("early", early).withColumn("_tried", F.when(F.col("early").isNull(), F.col("public")))
-    parts = max(int(signed.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    salt = F.pmod(F.xxhash64("message", "sig"), F.lit(16 * parts))
-    even = known.repartition(parts, "_tried", salt).sortWithinPartitions("_tried", "message", "sig")
-    judged = even.withColumn("holds", _holds("_tried", "message", "sig"))
+    judged = even(known, "_tried", "message", "sig").withColumn("holds", holds("_tried", "message", "sig"))
     late = F.when(~F.coalesce("holds", F.lit(False)), "SIGNATURE_INVALID").when(F.col("ts") < F.col("not_before"), "KEY_NOT_YET_VALID").when(F.col("ts") > F.col("not_after"), "KEY_EXPIRED").otherwise("VERIFIED")
     found = judged.withColumn("result", F.coalesce("early", late)).withColumn("held", F.col("result").isin(*HELD))
     return found.drop("early", "_tried", "holds", "message", "public", "roles", "not_before", "not_after", "revoked_at")

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import hashlib
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
-from tracehold.operators import bindings
+from tracehold.functions import ed25519
+from tracehold.operators import approvals, bindings
+from tracehold.sources.shared import kept
 
 SCHEME = "receipt/1"
 
@@ -38,6 +44,47 @@ def granted(calls: DataFrame) -> DataFrame:
     )
 
 
+#: After CLAIMS: approvals with what their signatures and nonces make of them.
+SIGNED = """, issued AS (SELECT *, CASE n % 8 WHEN 4 THEN 'a1' WHEN 5 THEN 'a2' WHEN 6 THEN 'a4' WHEN 7 THEN NULL ELSE 'a0' END AS key_id, CASE WHEN n % 23 = 0 THEN NULL WHEN n % 10 = 4 THEN 'n' || (n // 100) ELSE 'n-' || n END AS nonce FROM (SELECT *, CAST(substr(span_id, 3) AS BIGINT) % 100000000 AS n FROM granted)),
+proved AS (SELECT *, coalesce(key_id, '') IN ('a0', 'a4') AND n % 17 <> 0 AND (key_id = 'a0' OR granted_at <= 1.7045e9) AS verified FROM issued),
+used AS (SELECT *, CASE WHEN verified AND nonce IS NOT NULL THEN row_number() OVER (PARTITION BY nonce, verified ORDER BY n) = 1 AND NOT (n % 10 <> 4 AND n % 29 = 0) END AS unspent FROM proved),
+worth AS (SELECT *, CASE WHEN verified AND coalesce(unspent, FALSE) THEN 'single_use' WHEN verified THEN 'authenticated' WHEN tool_id IS NOT NULL AND granted_digest IS NOT NULL THEN 'bound' ELSE 'claimed' END AS tier, verified AND coalesce(unspent, TRUE) AS assured FROM used)"""
+
+
+def seed_of(key_id: str) -> bytes:
+    return hashlib.sha256(f"approver {key_id}".encode()).digest()
+
+
+@F.pandas_udf(BinaryType())
+def _signature(key_id: pd.Series, text: pd.Series) -> pd.Series:
+    return pd.Series([ed25519.sign(seed_of(k), m.encode()) if isinstance(k, str) else None for k, m in zip(key_id, text, strict=True)])
+
+
+def approver_keys(spark: SparkSession) -> DataFrame:
+    """a0; a1 revoked; a2 for telemetry only; a4 with an end. a3 is unknown."""
+    rows = [("a0", ["approver"], None, None, None), ("a1", ["approver"], None, None, 1.0), ("a2", ["collector"], None, None, None), ("a4", ["approver"], 0.0, 1.7045e9, None)]
+    return spark.createDataFrame([(k, bytearray(ed25519.public_key(seed_of(k))), *rest) for k, *rest in rows], "key_id string, public binary, roles array<string>, not_before double, not_after double, revoked_at double")
+
+
+def signed(calls: DataFrame) -> DataFrame:
+    """granted() approvals of spanned() calls as issuers sent them: some of keys that do not count, some altered, some nonces used again."""
+    n = F.substring("span_id", 3, 20).cast("long") % 100_000_000
+    rows = granted(calls).withColumn("arrival", n)
+    n = F.col("arrival")
+    key = F.when(n % 8 == 4, "a1").when(n % 8 == 5, "a2").when(n % 8 == 6, "a4").when(n % 8 != 7, "a0")
+    nonce = F.when(n % 23 == 0, F.lit(None)).when(n % 10 == 4, F.concat(F.lit("n"), F.floor(n / 100))).otherwise(F.concat(F.lit("n-"), n))
+    rows = rows.withColumns({"key_id": key, "nonce": nonce})
+    text = approvals.message(*approvals.FIELDS)
+    return kept(rows.withColumn("sig", _signature("key_id", F.when(n % 17 == 0, F.concat(text, F.lit("?"))).otherwise(text))), "approvals")
+
+
+def judged(calls: DataFrame) -> DataFrame:
+    """signed() approvals and what they are worth, after runs in which some nonces were used."""
+    rows = signed(calls)
+    before = rows.where("arrival % 10 <> 4 AND arrival % 29 = 0 AND nonce IS NOT NULL").select("nonce")
+    return approvals.judged(rows, approver_keys(calls.sparkSession), before)
+
+
 def approval_states(calls: DataFrame) -> DataFrame:
     """spanned() calls with the state of their approvals."""
     own = spanned(calls)

@@ -27,6 +27,21 @@ def covering_approvals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bindings.covering(bindings.approval_matches(calls, claims.granted(calls))).select("session_id", "span_id", "observed_at")
 
 
+@query(_SPANNED.rstrip() + claims.SIGNED + " SELECT session_id, span_id, verified, unspent, tier FROM worth")
+def approval_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each approval is worth: claimed, bound, authenticated by its issuer, or authenticated and used for the first time."""
+    return claims.judged(claims.spanned(calls_of(spark, sf_dir))).select("session_id", "span_id", "verified", "unspent", "tier")
+
+
+@query(_SPANNED.rstrip() + claims.SIGNED + """, marked AS (SELECT m.session_id, m.span_id, CASE WHEN m.decision = 'deny' AND m.binding = 'bound' THEN 1 WHEN m.decision = 'allow' AND m.binding = 'bound' AND observed_before AND in_window THEN CASE WHEN assured THEN 2 ELSE 3 END WHEN m.binding = 'arg_mismatch' THEN 4 WHEN NOT in_window THEN 5 WHEN m.binding = 'bound_span_only' THEN 6 ELSE 7 END AS r FROM matches m JOIN worth w ON w.session_id = m.session_id AND w.span_id = m.span_id)
+SELECT session_id, list_extract(['denied', 'covered', 'unassured', 'arg_mismatch', 'expired', 'span_only', 'none'], coalesce(r, 7)) AS approval, count(*) AS n FROM spanned LEFT JOIN (SELECT session_id, span_id, min(r) AS r FROM marked GROUP BY ALL) USING (session_id, span_id) GROUP BY ALL""")
+def approval_states_signed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The state of each call's approvals where only signed ones of a first use may cover: the rest are unassured."""
+    own = claims.spanned(calls_of(spark, sf_dir))
+    matches = bindings.approval_matches(own, claims.judged(own))
+    return bindings.approval_states(own, matches, F.col("assured")).groupBy("session_id", "approval").agg(F.count("*").alias("n"))
+
+
 @query(_SPANNED + "SELECT g.session_id, g.span_id, g.decision FROM granted g ANTI JOIN spanned s ON g.session_id = s.session_id AND g.span_id = s.span_id")
 def dangling_approvals(spark: SparkSession, sf_dir: str) -> DataFrame:
     calls = claims.spanned(calls_of(spark, sf_dir))
