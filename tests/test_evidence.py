@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracehold.functions import ed25519
-from tracehold.operators import attestation, chains, detect, signatures
+from tracehold.operators import approvals, attestation, chains, detect, signatures, traces
 
 RECORDS = "session_id string, stream_id string, key_id string, seq long, prev string, chain string, body string, arrival long"
 
@@ -178,3 +178,52 @@ def test_positions_count_only_where_verified(spark):
     codes = spark.createDataFrame([("b", "CHAIN_BROKEN"), ("a", "JOINED_MIDSTREAM")], "session_id string, code string")
     got = sorted(((r.session_id, r.stream_id, r.seq), (r.at_stream, r.at_seq)) for r in attestation.positions(events, spans, codes).where("stream_id IS NOT NULL").collect())
     assert got == [(("a", "x", 1), ("x", 1)), (("a", "x", 3), (None, None)), (("a", "y", 1), (None, None)), (("b", "x", 1), (None, None))]
+
+
+def test_signed_approvals_are_good_once_and_only_as_signed(spark):
+    fields = {"decision": "allow", "span_id": "sp", "tool_id": "pay", "arg_digest": "sha256:" + "a" * 64, "nonce": "n1", "granted_at": 10.0, "expires_at": 20.5}
+    seed = b"a" * 32
+    text = "\x1f".join(("approval/1", "allow", "sp", "pay", fields["arg_digest"], "n1", "10.0", "20.5"))
+    signature = bytearray(ed25519.sign(seed, text.encode()))
+    schema = "n long, decision string, span_id string, tool_id string, arg_digest string, nonce string, granted_at double, expires_at double, key_id string, sig binary, arrival long"
+    made = lambda n, key="k", sig=signature, **other: (n, *(fields | other).values(), key, sig, n)
+    rows = [
+        made(0), made(1), made(2, nonce="n2"), made(3, span_id="sq"), made(4, tool_id=None), made(5, arg_digest=None), made(6, decision="deny"), made(7, granted_at=11.0), made(8, expires_at=None), made(9, "gone"), made(10, "other"),
+        made(11, "late"), made(12, None, None), made(13, span_id="s\x1fp"), made(14, nonce=None),
+    ]
+    public = bytearray(ed25519.public_key(seed))
+    keys = spark.createDataFrame([("k", public, ["approver"], 0.0, 99.0, None), ("gone", public, ["approver"], None, None, 1.0), ("other", public, ["collector"], None, None, None), ("late", public, ["approver"], 50.0, None, None)], "key_id string, public binary, roles array<string>, not_before double, not_after double, revoked_at double")
+    asked = spark.createDataFrame(rows, schema)
+    empty = spark.createDataFrame([], "nonce string")
+    got = {r.n: (r.verified, r.unspent, r.tier, r.assured) for r in approvals.judged(asked, keys, empty).collect()}
+    assert got[0] == (True, True, "single_use", True) and got[1] == (True, False, "authenticated", False)
+    assert all(got[n][0] is False and got[n][1] is None and not got[n][3] for n in range(2, 15))
+    assert got[4][2] == got[5][2] == "claimed" and got[2][2] == "bound"
+    after = approvals.next_ledger(approvals.verified(asked, keys), empty)
+    assert [r.nonce for r in after.collect()] == ["n1"]
+    assert {r.n: r.assured for r in approvals.judged(asked, keys, after).collect()}[0] is False
+
+
+def test_message_traces_pair_by_id_or_in_order(spark):
+    call, result = (lambda *c: ("assistant", None, list(c), None, None)), (lambda i, f, t="r": ("tool", t, None, i, f))
+    rows = [
+        ("mixed", None, True, None, [("user", "hi", None, None, None), call(("c1", "send", "{}"), (None, "read", "{}"), (None, "read", "{}"), (None, "write", "{}")), result(None, "read", "one"), result(None, "read", "two"), result(None, "read", "stray"), result(None, "send", "no id"), result("c1", "send", "id"), result("c1", "send", "again"), ("assistant", "done", None, None, None)]),
+        ("broken", "boom", True, None, [call((None, "read", "{}"))]), ("unknown", None, None, "x", [call((None, "read", "{}"))]), ("hit", None, False, "x", []), ("early", None, True, "x", [result("c", "f"), call(("c", "f", "{}"))]), ("empty", None, True, None, None),
+    ]
+    made = spark.createDataFrame(rows, f"trace_id string, error string, outcome boolean, attack string, messages {traces.MESSAGES}")
+    found = traces.events(made).collect()
+    assert {r.session_id for r in found} == {"mixed", "early"}
+    own = sorted((r.ts, r.event_type, r.tool_name, r.span_id, r.text) for r in found if r.session_id == "mixed")
+    spans = {r.span_id: r.tool_name for r in found if r.event_type == "tool_start" and r.session_id == "mixed"}
+    assert len(spans) == 4 and sorted(spans.values()) == ["read", "read", "send", "write"]
+    assert [(k, t, x) for _, k, t, _, x in own if k == "tool_end"] == [("tool_end", "read", "one"), ("tool_end", "read", "two"), ("tool_end", "send", "id")]
+    assert [s for _, k, _, s, _ in own if k == "tool_end"][:2] == sorted(s for s, t in spans.items() if t == "read")
+    assert [k for _, k, *_ in own][0] == "user_message" and [k for _, k, *_ in own][-1] == "model_response"
+    assert {r.session_id: (r.stray_results, r.open_calls) for r in traces.unpaired(made).collect()} == {"mixed": (3, 1), "early": (1, 1)}
+    assert {r.session_id: (r.is_attack, r.kind) for r in traces.labels(made, harm_when=False).collect()} == {"mixed": (False, "clean"), "hit": (True, "attack_succeeded"), "early": (False, "attack_resisted"), "empty": (False, "clean")}
+
+
+def test_undeclared_controls_need_a_manifest_that_declares_some(spark):
+    events = spark.createDataFrame([("a", "cost_threshold_exceeded", "p9"), ("a", "cost_threshold_exceeded", None), ("b", "cost_threshold_exceeded", "p0"), ("c", "depth_exceeded", "x"), ("d", "tool_start", "p9")], "session_id string, event_type string, policy_id string")
+    found = lambda *names: {r.session_id: (r.policy, r.n_calls) for r in detect.undeclared_findings(events, spark.createDataFrame([(n,) for n in names], "policy_id string")).collect()}
+    assert found("p0", "depth_exceeded") == {"a": ("cost_threshold_exceeded,p9", 2)} and found() == {}

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracehold.operators.detect import RECEIPT_TIERS
+
 HEX64 = "^[0-9a-f]{64}$"
 SIDECAR = "struct<scheme:string,stream_id:string,seq:long,prev:string,chain:string,key_id:string,sig:string,final:string>"
 APPROVAL = "struct<decision:string,subject:struct<span_id:string,tool_id:string,arg_digest:string>,granted_at:double,expires_at:double,enforcement:string,nonce:string>"
@@ -104,8 +106,7 @@ def approval_states(calls: DataFrame, matches: DataFrame, assured: Column | None
     return calls.join(best, ["session_id", "span_id"], "left").withColumn("approval", F.element_at(names, F.coalesce("_rank", F.lit(7)))).drop("_rank")
 
 
-#: Tiers of trust from the weakest on, and the highest that a receipt's stated assurance allows.
-RECEIPT_TIERS = ("claimed", "bound", "authenticated", "reconciled")
+#: The highest of RECEIPT_TIERS, as a place from 1 on, that a receipt's stated assurance allows.
 CEILINGS = {"operation": 4, "object": 2, "client": 1}
 
 

@@ -20,6 +20,8 @@ START, END = "<start>", "<end>"
 FAMILIES = {"CH01": "sequence", "CH02": "concealment", "CH03": "untrusted_flow", "CH04": "guardrail", "CH05": "pairing", "CH06": "integrity", "CH07": "effects"}
 
 
+#: Tiers of trust in a receipt from the weakest on, and the first of them that shows that an effect took place.
+RECEIPT_TIERS, AUTHENTIC = ("claimed", "bound", "authenticated", "reconciled"), 3
 #: Rows up to which a dimension is broadcast; a larger one is joined as any other table.
 DIMENSION_ROWS = 100_000
 
@@ -166,8 +168,8 @@ def ch03_untrusted(calls: DataFrame, events: DataFrame) -> DataFrame:
     return found.select("session_id", "kind", "n_calls", F.when(F.col("kind") == "attempted", "medium").when(F.col("egress"), "critical").otherwise("high").alias("severity"))
 
 
-def ch04_guardrail(calls: DataFrame, events: DataFrame, enforcement: DataFrame, approvals: DataFrame | None = None) -> DataFrame:
-    """Consequential calls after a guardrail spoke, per session and policy type.
+def ch04_guardrail(calls: DataFrame, events: DataFrame, enforcement: DataFrame, approvals: DataFrame | None = None, declared: DataFrame | None = None) -> DataFrame:
+    """Consequential calls after a guardrail spoke, per session and policy type; with declared, also controls that it does not name.
 
     enforcement: (event_type, enforcement), a small dimension. approvals: (start_arrival, session_id, approval) with
     covered or denied; without a row a call is neither. Advisory controls report only what was denied and done.
@@ -189,7 +191,8 @@ def ch04_guardrail(calls: DataFrame, events: DataFrame, enforcement: DataFrame,
         F.when(~bypassed & (F.col("n_completed") > 0) & (F.col("enforcement") != "advisory"), F.struct(F.lit("completed").alias("kind"), F.lit("high").alias("severity"), F.col("n_completed").alias("n_calls"))),
         F.when((F.col("n_attempted") > 0) & (F.col("enforcement") != "advisory"), F.struct(F.lit("attempted").alias("kind"), F.lit("medium").alias("severity"), F.col("n_attempted").alias("n_calls"))),
     )
-    return sums.select("session_id", "policy", "enforcement", F.inline(F.array_compact(rows)))
+    found = sums.select("session_id", "policy", "enforcement", F.inline(F.array_compact(rows)))
+    return found if declared is None else found.unionByName(undeclared_findings(events, declared))
 
 
 def undeclared_controls(events: DataFrame, enforcement: DataFrame) -> DataFrame:
@@ -198,6 +201,20 @@ def undeclared_controls(events: DataFrame, enforcement: DataFrame) -> DataFrame:
     return spoke.join(small(enforcement.select("event_type")), "event_type", "left_anti")
 
 
+def undeclared_findings(events: DataFrame, declared: DataFrame) -> DataFrame:
+    """A finding per session whose policy events cite a control that the manifest does not declare, by policy_id or event_type.
+
+    An outdated manifest and an invented refusal look the same, so it is medium. A manifest without controls says nothing
+    about which exist, and finds nothing. events: with policy_id. declared: (policy_id), a small dimension.
+    """
+    names = declared.select("policy_id").where("policy_id IS NOT NULL").distinct()
+    spoke = events.where(F.col("event_type").isin(*POLICY_TYPES)).withColumn("_any", F.lit(True))
+    some = names.limit(1).select(F.lit(True).alias("_any"))
+    stray = spoke.join(F.broadcast(some), "_any", "left_semi").join(small(names), "policy_id", "left_anti").join(small(names.select(F.col("policy_id").alias("event_type"))), "event_type", "left_anti")
+    cited = F.array_join(F.slice(F.array_sort(F.collect_set(F.coalesce("policy_id", "event_type"))), 1, 50), ",")
+    return stray.groupBy("session_id").agg(cited.alias("policy"), F.count("*").alias("n_calls")).select("session_id", "policy", F.lit("undeclared").alias("enforcement"), F.lit("undeclared").alias("kind"), F.lit("medium").alias("severity"), "n_calls")
+
+
 def ch05_unpaired(calls: DataFrame) -> DataFrame:
     """Sessions with calls that have no start or no end; medium if any of them is consequential."""
     per = calls.where("state <> 'complete'").groupBy("session_id").agg(
@@ -208,14 +225,19 @@ def ch05_unpaired(calls: DataFrame) -> DataFrame:
 
 
 def ch07_effects(calls: DataFrame) -> DataFrame:
-    """Receipts that contradict their calls: calls (session_id, executed, class, receipt_binding), null binding: no receipt."""
+    """Receipts that contradict their calls: calls (session_id, executed, class, receipt_binding, receipt_rank), null binding: no receipt.
+
+    A contradiction weighs as much as the weakest of its receipts: only authenticated ones show that an effect took place.
+    """
     kind = (
         F.when(F.col("receipt_binding").isin("unbound", "arg_mismatch"), "unbound")
         .when(~F.col("executed") & (F.col("receipt_binding") == "bound"), "contradicted")
         .when(~F.col("executed") & (F.col("receipt_binding") == "bound_span_only"), "partial")
     )
-    found = calls.withColumn("kind", kind).where("kind IS NOT NULL").groupBy("session_id", "kind").agg(F.count("*").alias("n_calls"), F.bool_or(F.col("class") == "egress").alias("egress"))
-    return found.select("session_id", "kind", "n_calls", F.when(F.col("kind") == "partial", "low").when((F.col("kind") == "contradicted") & F.col("egress"), "high").otherwise("medium").alias("severity"))
+    found = calls.withColumn("kind", kind).where("kind IS NOT NULL").groupBy("session_id", "kind").agg(F.count("*").alias("n_calls"), F.bool_or(F.col("class") == "egress").alias("egress"), F.min("receipt_rank").alias("rank"))
+    step = F.col("egress").cast("int") + (F.col("rank") >= AUTHENTIC).cast("int") + 2
+    severity = F.when(F.col("kind") == "partial", "low").when(F.col("kind") == "unbound", "medium").otherwise(F.element_at(F.array(*map(F.lit, SEVERITIES)), step))
+    return found.select("session_id", "kind", "n_calls", F.element_at(F.array(*map(F.lit, RECEIPT_TIERS)), F.col("rank")).alias("receipt_trust"), severity.alias("severity"))
 
 
 def ranked(severity: Column) -> Column:

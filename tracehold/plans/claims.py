@@ -101,4 +101,5 @@ def with_receipts(calls: DataFrame) -> DataFrame:
     stated = F.when(rest == 7, "surely").otherwise(F.element_at(F.array(F.lit("operation"), F.lit("object"), F.lit("client")), (F.col("start_arrival") % 3 + 1).cast("int")))
     made = F.to_json(F.struct(F.when(rest == 5, "receipt/0").otherwise(SCHEME).alias("scheme"), F.lit("payments").alias("authority"), F.lit("charge").alias("kind"), F.concat(F.lit("ch"), "start_arrival").alias("identifier"), named.alias("binding"), stated.alias("assurance")))
     parsed = bindings.parsed_receipts(own.withColumn("receipt", F.when(rest != 4, made)), SCHEME)
-    return parsed.withColumn("receipt_binding", bindings.receipt_binding(F.col("span_id"), F.col("name"), F.col("arg_digest")))
+    bound = parsed.withColumn("receipt_binding", bindings.receipt_binding(F.col("span_id"), F.col("name"), F.col("arg_digest")))
+    return bound.withColumn("receipt_rank", bindings.receipt_tier(F.col("receipt_binding")))

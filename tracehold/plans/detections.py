@@ -38,6 +38,16 @@ def enforcement(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([("cost_threshold_exceeded", "blocking")], "event_type string, enforcement string")
 
 
+def cited(events: DataFrame) -> DataFrame:
+    """events with the policy_id that their policy events cite."""
+    return events.withColumn("policy_id", F.when(F.col("event_type").isin(*detect.POLICY_TYPES), F.concat(F.lit("p"), F.col("k") % 3)))
+
+
+def declared(spark: SparkSession) -> DataFrame:
+    """The controls that the manifest declares: two of the three that events cite."""
+    return spark.createDataFrame([("p0",), ("p1",)], "policy_id string")
+
+
 _STEPS = ", ordered AS (SELECT c.*, arg_digest, coalesce(start_ts, end_ts) AS clk, coalesce(start_arrival, end_arrival) AS pos FROM classed c LEFT JOIN (SELECT arrival AS start_arrival, arg_digest FROM tele) USING (start_arrival)), steps AS (SELECT session_id, coalesce(lag(name) OVER w, '<start>') AS prev, name AS next, consequential, coalesce(lag(name) OVER w = name AND NOT lag(executed) OVER w AND lag(arg_digest) OVER w = arg_digest, FALSE) AS is_retry, lead(name) OVER w IS NULL AS is_last FROM ordered WINDOW w AS (PARTITION BY session_id ORDER BY clk, pos)), trans AS (SELECT session_id, prev, next, consequential, is_retry FROM steps UNION ALL SELECT session_id, next, '<end>', FALSE, FALSE FROM steps WHERE is_last), grammar AS (SELECT prev, next, count(*) AS n FROM trans WHERE session_id NOT IN (SELECT session_id FROM tele WHERE marked OR event_type IN ('cost_threshold_exceeded', 'depth_exceeded')) GROUP BY ALL)"
 
 
@@ -140,7 +150,7 @@ def ch03_untrusted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _CH04 = _POLICY + CLAIMS + """, judged AS (SELECT p.*, coalesce(approval, 'none') AS approval FROM placed p LEFT JOIN states a ON p.session_id = a.session_id AND p.start_arrival = a.start_arrival WHERE position = 'after' AND consequential AND p.start_arrival IS NOT NULL),
 sums AS (SELECT session_id, CASE WHEN bool_or(executed AND approval <> 'covered' AND class = 'egress') THEN 'critical' ELSE 'high' END AS severity, count_if(executed AND approval <> 'covered') AS n_completed, count_if(NOT executed AND approval <> 'covered') AS n_attempted FROM judged GROUP BY 1),
-ch04 AS (SELECT session_id, 'cost_threshold_exceeded' AS policy, 'blocking' AS enforcement, 'bypassed' AS kind, severity, n_completed AS n_calls FROM sums WHERE n_completed > 0 UNION ALL SELECT session_id, 'cost_threshold_exceeded', 'blocking', 'attempted', 'medium', n_attempted FROM sums WHERE n_attempted > 0)"""
+ch04 AS (SELECT session_id, 'cost_threshold_exceeded' AS policy, 'blocking' AS enforcement, 'bypassed' AS kind, severity, n_completed AS n_calls FROM sums WHERE n_completed > 0 UNION ALL SELECT session_id, 'cost_threshold_exceeded', 'blocking', 'attempted', 'medium', n_attempted FROM sums WHERE n_attempted > 0 UNION ALL SELECT session_id, string_agg(DISTINCT 'p' || (k % 3), ','), 'undeclared', 'undeclared', 'medium', count(*) FROM tele WHERE event_type = 'cost_threshold_exceeded' AND k % 3 = 2 GROUP BY 1)"""
 
 
 def approval_states_of(calls: DataFrame) -> DataFrame:
@@ -150,7 +160,7 @@ def approval_states_of(calls: DataFrame) -> DataFrame:
 @query(CALLS + _CH04 + "SELECT * FROM ch04")
 def ch04_guardrail(spark: SparkSession, sf_dir: str) -> DataFrame:
     calls = calls_of(spark, sf_dir)
-    return detect.ch04_guardrail(calls, positions(spark, sf_dir), enforcement(spark), approval_states_of(calls))
+    return detect.ch04_guardrail(calls, cited(positions(spark, sf_dir)), enforcement(spark), approval_states_of(calls), declared(spark))
 
 
 @query(CALLS + CLAIMS + "SELECT session_id, approval, count(*) AS n FROM states GROUP BY ALL")
@@ -173,7 +183,7 @@ def ch05_unpaired(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect.ch05_unpaired(calls_of(spark, sf_dir))
 
 
-_CH07 = CLAIMS + ", ch07 AS (SELECT session_id, kind, n_calls, CASE WHEN kind = 'partial' THEN 'low' WHEN kind = 'contradicted' AND egress THEN 'high' ELSE 'medium' END AS severity FROM (SELECT session_id, CASE WHEN b IN ('unbound', 'arg_mismatch') THEN 'unbound' WHEN NOT executed AND b = 'bound' THEN 'contradicted' WHEN NOT executed AND b = 'bound_span_only' THEN 'partial' END AS kind, count(*) AS n_calls, bool_or(class = 'egress') AS egress FROM (SELECT *, receipt_binding AS b FROM receipted) GROUP BY ALL) WHERE kind IS NOT NULL)"
+_CH07 = CLAIMS + ", ch07 AS (SELECT session_id, kind, n_calls, list_extract(['claimed', 'bound', 'authenticated', 'reconciled'], rank) AS receipt_trust, CASE WHEN kind = 'partial' THEN 'low' WHEN kind = 'contradicted' AND egress THEN 'high' ELSE 'medium' END AS severity FROM (SELECT session_id, min(least(CASE WHEN b = 'bound' THEN 2 ELSE 1 END, CASE WHEN start_arrival % 8 = 7 THEN 1 WHEN assurance = 'operation' THEN 4 WHEN assurance = 'object' THEN 2 ELSE 1 END)) AS rank, CASE WHEN b IN ('unbound', 'arg_mismatch') THEN 'unbound' WHEN NOT executed AND b = 'bound' THEN 'contradicted' WHEN NOT executed AND b = 'bound_span_only' THEN 'partial' END AS kind, count(*) AS n_calls, bool_or(class = 'egress') AS egress FROM (SELECT *, receipt_binding AS b FROM receipted) GROUP BY ALL) WHERE kind IS NOT NULL)"
 
 
 @query(CALLS + _CH07 + "SELECT * FROM ch07")

@@ -7,11 +7,11 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tracehold.operators import detect, evaluate
+from tracehold.operators import detect, evaluate, grid
 from tracehold.operators.pairing import pair_calls
-from tracehold.plans.detections import _FINDINGS, calls_of, findings_of
+from tracehold.plans.detections import _FINDINGS, calls_of, findings_of, with_arguments
 from tracehold.plans.registry import query
-from tracehold.plans.view import CALLS, VIEW, table, telemetry
+from tracehold.plans.view import CALLS, VIEW, positions, table, telemetry
 
 _OUT = "WITH outcomes AS (SELECT doc_id, source AS family, lang AS kind, source || '-' || (doc_id % 5) AS task, toxic = 1 AS is_attack, (quality = 0) <> (doc_id % 4 = 0) AS alerted FROM labels JOIN documents USING (doc_id)), c AS (SELECT count_if(is_attack AND alerted) AS tp, count_if(NOT is_attack AND alerted) AS fp, count_if(is_attack AND NOT alerted) AS fn, count_if(NOT is_attack AND NOT alerted) AS tn FROM outcomes) "
 _COUNTS = "count_if(is_attack AND alerted) AS tp, count_if(NOT is_attack AND alerted) AS fp, count_if(is_attack AND NOT alerted) AS fn, count_if(NOT is_attack AND NOT alerted) AS tn"
@@ -67,6 +67,44 @@ def independence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outcomes_of(spark, sf_dir).groupBy("is_attack").agg(*(F.count_distinct(c).alias(n) for c, n in (("doc_id", "sessions"), ("task", "tasks"), ("family", "families"), ("kind", "kinds"))))
 
 
+_GRID = CALLS + """, corpus AS (SELECT *, (u + wk) % 4 = 0 AS is_attack, list_extract(['CH01', 'CH03', 'CH05'], u % 3 + 1) AS target, 'h' || (u % 7) AS family, 'u' || u AS task, substr(md5(session_id), 1, 1) < '8' AS trains_random FROM (SELECT DISTINCT session_id, user_id AS u, CAST(regexp_extract(session_id, 'w([0-9]+)$', 1) AS BIGINT) AS wk FROM tele)),
+halves AS (SELECT task, family, percent_rank() OVER (PARTITION BY family ORDER BY md5(task), task) < 0.5 AS trains_task FROM (SELECT DISTINCT task, family FROM corpus)),
+placed AS (SELECT * FROM corpus JOIN halves USING (task, family)),
+able AS (SELECT c.*, coalesce(start_ts, end_ts) AS clk, coalesce(start_arrival, end_arrival) AS place, s.source, CASE s.source WHEN 'manifest' THEN name = 'send_payment' WHEN 'producer' THEN name = 'send_payment' OR CASE WHEN start_arrival IS NULL THEN consequential ELSE start_arrival % 3 = 0 END ELSE consequential END AS cons FROM classed c, (VALUES ('manifest'), ('producer'), ('name_only')) AS s(source)),
+hops AS (SELECT session_id, source, coalesce(lag(name) OVER w, '<start>') AS prev, name AS next, cons, coalesce(lag(name) OVER w = name AND NOT lag(executed) OVER w AND lag(dig) OVER w = dig, FALSE) AS is_retry, lead(name) OVER w IS NULL AS is_last FROM (SELECT a.*, t.arg_digest AS dig FROM able a LEFT JOIN tele t ON t.arrival = a.start_arrival) WINDOW w AS (PARTITION BY session_id, source ORDER BY clk, place)),
+steps AS (SELECT session_id, source, prev, next, cons, is_retry FROM hops UNION ALL SELECT session_id, source, next, '<end>', FALSE, FALSE FROM hops WHERE is_last),
+shown AS (SELECT DISTINCT regime, fold, prev, next FROM steps s JOIN placed p USING (session_id), LATERAL (SELECT 'task_disjoint' AS regime, '' AS fold WHERE trains_task UNION ALL SELECT 'random_control', '' WHERE trains_random UNION ALL SELECT 'family_holdout', f.family FROM (SELECT DISTINCT family FROM placed) f WHERE f.family <> p.family) WHERE NOT is_attack AND source = 'manifest'),
+tests AS (SELECT p.*, r.regime, CASE WHEN r.regime = 'family_holdout' THEN family ELSE '' END AS fold FROM placed p, (VALUES ('task_disjoint'), ('family_holdout'), ('random_control')) AS r(regime) WHERE CASE r.regime WHEN 'task_disjoint' THEN NOT trains_task WHEN 'random_control' THEN NOT trains_random ELSE TRUE END),
+scores AS (SELECT t.regime, s.source, t.session_id, count_if(k.prev IS NULL) / count(*) > 0.25 OR count_if(k.prev IS NULL AND cons AND NOT is_retry) >= 1 AS wild FROM tests t JOIN steps s USING (session_id) LEFT JOIN shown k ON k.regime = t.regime AND k.fold = t.fold AND k.prev = s.prev AND k.next = s.next GROUP BY 1, 2, 3),
+apt AS (SELECT t.regime, t.session_id, NOT (sum(n) >= 3 AND count_if(k.next IS NOT NULL) / count(*) < 0.5) AS fits FROM tests t JOIN (SELECT session_id, name, count(*) AS n FROM calls GROUP BY ALL) c USING (session_id) LEFT JOIN (SELECT DISTINCT regime, fold, next FROM shown WHERE next <> '<end>') k ON k.regime = t.regime AND k.fold = t.fold AND k.next = c.name GROUP BY 1, 2),
+marks AS (SELECT session_id, ts, at_stream, at_seq FROM pos WHERE marked),
+tainted AS (SELECT a.session_id, a.source FROM able a JOIN marks m USING (session_id) WHERE cons AND start_arrival IS NOT NULL GROUP BY ALL HAVING bool_or(CASE WHEN a.start_stream = m.at_stream THEN a.start_seq > m.at_seq ELSE a.start_ts > m.ts END)),
+unpaired AS (SELECT DISTINCT session_id FROM calls WHERE state <> 'complete' AND session_id LIKE '%1'),
+outs AS (SELECT t.*, s.source, wild AND fits AS c1, x.session_id IS NOT NULL AS c3, u.session_id IS NOT NULL AS c5, CASE target WHEN 'CH01' THEN fits WHEN 'CH03' THEN m.session_id IS NOT NULL ELSE TRUE END AS could FROM tests t JOIN scores s ON s.regime = t.regime AND s.session_id = t.session_id JOIN apt a ON a.regime = t.regime AND a.session_id = t.session_id LEFT JOIN tainted x ON x.session_id = t.session_id AND x.source = s.source LEFT JOIN unpaired u ON u.session_id = t.session_id LEFT JOIN (SELECT DISTINCT session_id FROM marks) m ON m.session_id = t.session_id),
+outcomes AS (SELECT *, c1 OR c3 OR c5 AS flagged, CASE target WHEN 'CH01' THEN c1 WHEN 'CH03' THEN c3 ELSE c5 END AS hit FROM outs),
+sums AS (SELECT regime, source, count(*) AS sessions, count_if(is_attack AND flagged) AS tp, count_if(NOT is_attack AND flagged) AS fp, count_if(is_attack AND NOT flagged) AS fn, count_if(NOT is_attack AND NOT flagged) AS tn, count_if(is_attack AND hit) AS attributed, count_if(is_attack AND could) AS evaluable, count_if(is_attack AND hit AND could) AS attributed_evaluable FROM outcomes GROUP BY ALL)
+"""
+
+
+def corpus_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The view's sessions as a labelled corpus: hosts are families, users tasks, weeks attempts."""
+    week = F.regexp_extract("session_id", r"w(\d+)$", 1).cast("long")
+    target = F.element_at(F.array(*map(F.lit, ("CH01", "CH03", "CH05"))), (F.col("user_id") % 3 + 1).cast("int"))
+    sessions = telemetry(spark, sf_dir).select("session_id", "user_id").distinct()
+    return sessions.select("session_id", F.concat(F.lit("h"), F.col("user_id") % 7).alias("family"), F.concat(F.lit("u"), "user_id").alias("task"), ((F.col("user_id") + week) % 4 == 0).alias("is_attack"), target.alias("target"))
+
+
+@query(_GRID + f"SELECT *, {_RATES}, round(CASE WHEN tp + fn > 0 THEN attributed / (tp + fn) END, 6) AS attributable_recall, tp - attributed AS incidental, round(CASE WHEN evaluable > 0 THEN attributed_evaluable / evaluable END, 6) AS recall_where_evaluable FROM sums")
+def evaluation_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three ways to part the corpus by three sources of what tools can do: what alerts, and what the check named by the label sees."""
+    calls, events = calls_of(spark, sf_dir), positions(spark, sf_dir)
+    flag = F.when(F.col("start_arrival").isNull(), F.col("consequential")).otherwise(F.col("start_arrival") % 3 == 0)
+    sent = F.col("name") == "send_payment"
+    calls = with_arguments(calls, events).withColumns({"consequential_manifest": sent, "consequential_producer": sent | flag, "consequential_name_only": F.col("consequential")})
+    fired = calls.where("state <> 'complete' AND session_id LIKE '%1'").select("session_id", F.lit("CH05").alias("check")).distinct()
+    return grid.summary(grid.outcomes(corpus_of(spark, sf_dir), calls, detect.references(events, F.col("marked")), fired))
+
+
 @query()
 def cluster_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.bootstrap(evaluate.counts(outcomes_of(spark, sf_dir), "task"))

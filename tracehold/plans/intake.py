@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracehold.functions import text
-from tracehold.operators import detect
+from tracehold.operators import detect, traces
 from tracehold.operators.pairing import clock
 from tracehold.plans.detections import calls_of
 from tracehold.plans.registry import query
@@ -207,3 +207,39 @@ def manifest_tools(spark: SparkSession, sf_dir: str) -> DataFrame:
 def verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One verdict row per session, as it is written to the sink."""
     return calls_of(spark, sf_dir).groupBy("session_id").agg(F.count("*").alias("calls"), F.count_if("executed").alias("executed"), F.max("start_ts").alias("last_start"))
+
+
+_TRACED = """WITH turns AS (SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role) - 1 AS m FROM conversations WHERE conv_id % 6 <> 0 AND conv_id % 7 <> 0),
+acts AS (SELECT conv_id, m * 1000000 + k + 1 AS place, 'tool_start' AS kind, CASE WHEN conv_id % 2 = 0 THEN 'id:c' || turn || '-' || k ELSE 'fn:' || CASE WHEN k = 0 THEN 'read' ELSE 'send' END END AS key, CASE WHEN k = 0 THEN 'read' ELSE 'send' END AS tool FROM turns, (VALUES (0), (1)) AS t(k) WHERE role = 'assistant' AND k <= turn % 3
+  UNION ALL SELECT conv_id, m * 1000000, 'tool_end', CASE WHEN conv_id % 2 = 0 THEN 'id:c' || (turn - 1) || '-0' ELSE 'fn:read' END, 'read' FROM turns WHERE role <> 'assistant'),
+level AS (SELECT *, sum(CASE kind WHEN 'tool_start' THEN 1 ELSE -1 END) OVER (PARTITION BY conv_id, key ORDER BY place) AS level FROM acts),
+low AS (SELECT *, least(coalesce(min(level) OVER (PARTITION BY conv_id, key ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 0) AS low FROM level),
+sorted AS (SELECT *, row_number() OVER (PARTITION BY conv_id, key, kind ORDER BY place) AS nth FROM low WHERE kind = 'tool_start' OR level >= low),
+paired AS (SELECT s.conv_id, s.tool, s.place AS begun, e.place AS ended FROM sorted s LEFT JOIN sorted e ON e.kind = 'tool_end' AND s.conv_id = e.conv_id AND s.key = e.key AND s.nth = e.nth WHERE s.kind = 'tool_start')
+"""
+
+
+def message_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as message traces: assistants call one or two tools a turn, every other message is a result; half have call ids."""
+    even, turn, asks = F.col("conv_id") % 2 == 0, F.col("turn"), F.col("role") == "assistant"
+    one = lambda k, tool: F.struct(F.when(even, F.concat(F.lit("c"), turn, F.lit(f"-{k}"))).alias("id"), F.lit(tool).alias("function"), F.lit("{}").alias("args"))
+    made = F.when(asks, F.when(turn % 3 >= 1, F.array(one(0, "read"), one(1, "send"))).otherwise(F.array(one(0, "read"))))
+    message = F.struct("turn", F.col("role").alias("_role"), F.when(asks, "assistant").otherwise("tool").alias("role"), F.lit(None).cast("string").alias("content"), made.alias("tool_calls"), F.when(~asks & even, F.concat(F.lit("c"), turn - 1, F.lit("-0"))).alias("tool_call_id"), F.when(~asks, "read").alias("function"))
+    rows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(message)).alias("messages"))
+    messages = F.transform("messages", lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content"), m["tool_calls"].alias("tool_calls"), m["tool_call_id"].alias("tool_call_id"), m["function"].alias("function")))
+    return rows.select(
+        F.concat(F.lit("t"), "conv_id").alias("trace_id"), messages.alias("messages"), F.when(F.col("conv_id") % 6 == 0, "timeout").alias("error"), F.when(F.col("conv_id") % 7 != 0, F.col("conv_id") % 5 == 1).alias("outcome"),
+        F.when(F.col("conv_id") % 3 != 0, "injected").alias("attack"),
+    )
+
+
+@query(_TRACED + "SELECT 't' || conv_id AS session_id, 'tool_start' AS event_type, tool AS tool_name, 't' || conv_id || '-' || begun AS span_id, begun / 1e6::DOUBLE AS ts FROM paired UNION ALL SELECT 't' || conv_id, 'tool_end', tool, 't' || conv_id || '-' || begun, ended / 1e6::DOUBLE FROM paired WHERE ended IS NOT NULL")
+def adapt_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Foreign message traces as events, each result at the call that it answers."""
+    return traces.events(message_traces(spark, sf_dir)).drop("text")
+
+
+@query("SELECT 't' || conv_id AS session_id, conv_id % 3 <> 0 AND conv_id % 5 <> 1 AS is_attack, CASE WHEN conv_id % 3 = 0 THEN 'clean' WHEN conv_id % 5 <> 1 THEN 'attack_succeeded' ELSE 'attack_resisted' END AS kind FROM (SELECT DISTINCT conv_id FROM conversations) WHERE conv_id % 6 <> 0 AND conv_id % 7 <> 0")
+def trace_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the traces' outcome says, where true means that the attack was resisted; those without one are refused."""
+    return traces.labels(message_traces(spark, sf_dir), harm_when=False)

@@ -82,7 +82,7 @@ class Scored:
         approvals = bindings.approval_states(claims.spanned(self.calls), self.matches).select("session_id", "start_arrival", "approval")
         return {
             "ch01": detect.ch01_sequence_order(self.calls, self.grammar), "ch02": detect.ch02_concealment_gap(self.calls, intake.said_in(self.responses)), "ch03": detect.ch03_untrusted(self.calls, self.events),
-            "ch04": detect.ch04_guardrail(self.calls, self.events, detections.enforcement(self.spark), approvals), "ch05": detect.ch05_unpaired(self.calls),
+            "ch04": detect.ch04_guardrail(self.calls, detections.cited(self.events), detections.enforcement(self.spark), approvals, detections.declared(self.spark)), "ch05": detect.ch05_unpaired(self.calls),
             "ch06": signing.attestation.ch06_integrity(self.evidence.codes), "ch07": detect.ch07_effects(self.receipts),
         }
 
