@@ -285,6 +285,10 @@ def test_token_counts(spark):
 
 
 def test_chunk_maps_compose_to_the_whole(spark):
+    def compose(left, right):
+        """The map of two neighbouring chunks, None if the right one was made for another state."""
+        return (left[0], right[1], left[2] + right[2]) if right[0] in (None, left[1]) else None
+
     machine, rng = token_counts.transducer(), random.Random(3)
     for n in range(300):
         text = "".join(rng.choice("ab  \n▁étheino日" if n % 2 else "aab") for _ in range(rng.randint(1, 300)))
@@ -293,16 +297,30 @@ def test_chunk_maps_compose_to_the_whole(spark):
         look = rng.choice([1, 3, 64])
         maps = [machine.chunk_map(text[a:b], text[max(0, a - look) : a]) for a, b in parts]
         for k in range(1, len(maps)):  # chunks that are entered otherwise than expected
-            if token_counts.compose(maps[k - 1], maps[k]) is None:
+            if compose(maps[k - 1], maps[k]) is None:
                 maps[k] = machine.chunk_map(text[parts[k][0] : parts[k][1]], text[max(0, parts[k][0] - look) : parts[k][0]], maps[k - 1][1])
         left, right = maps[0], maps[-1]
         for m in maps[1:]:
-            left = token_counts.compose(left, m)
+            left = compose(left, m)
         for m in reversed(maps[:-1]):
-            right = token_counts.compose(m, right)
+            right = compose(m, right)
         assert left == right and left[2] == machine.count([text])[0] == len(machine.model.encode(text))
 
 
+def test_a_prefix_scan_takes_few_rounds(spark):
+    """Texts that repeat, of 62 chunks and of chunks entered otherwise than expected, one of them with an odd part within."""
+    from pyspark.sql import DataFrame
+
+    machine, size = token_counts.transducer(), 16_384
+    texts = ["a" * 1_000_000, "b" + "ab" * 150_000 + "c" + "a" * 200_001, "the" * 60_000]
+    rows = [(i, k, t[k * size : (k + 1) * size], t[max(0, k * size - token_counts.LOOK) : k * size]) for i, t in enumerate(texts) for k in range(-(-len(t) // size))]
+    cut: DataFrame = spark.createDataFrame(rows, "_row long, _chunk long, part string, look string")
+    rounds = []
+    got = {r["_row"]: r["n_tokens"] for r in token_counts._chunk_sums(cut, None, rounds).collect()}
+    assert got == {i: len(machine.model.encode(t)) for i, t in enumerate(texts)}
+    assert len(rounds) <= 6  # log2 of the chunks of the longest
+
+
 def test_transducer_tells_states_and_emitted_tokens():
     machine = token_counts.transducer()
     rng = random.Random(8)

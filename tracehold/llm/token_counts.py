@@ -10,10 +10,10 @@ run for all words of many texts at once, one character a step. Spaces after othe
 the vocabulary, lead every state back to the start.
 
 Texts are cut into chunks. A chunk's map takes the state it is entered in to the state it is left in and the tokens
-between. It is made for the state that the characters before the chunk lead to; maps of neighbours compose where the one
-is left in the state that the other is entered in, and a chunk that was entered otherwise than expected gets its map
-made again for that state. Composition is associative, so a prefix scan over neighbours (a window over the small rows of
-maps, not of texts) gives a text's count, and long texts are counted on any executors.
+between. It is made for the state that the characters before the chunk lead to. Where that is not the state that the
+neighbour leaves, maps are composed by a parallel prefix scan: entries point to the next chunk's entry, and pointers
+are doubled, so a text of n chunks takes log2(n) joins of small rows. A map that the scan misses is made for its state,
+for all chunks of the same characters at once. Long texts are counted on any executors.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracehold.llm import words
-from tracehold.llm.storage import written
+from tracehold.llm.storage import discard, written
 
 LIMIT = 4096
 VOCABULARY = "piece_bpe_32k.model"
@@ -284,14 +284,6 @@ class Transducer:
         return entered, self.name(int(left[0])), int(tokens[0])
 
 
-Map = tuple[str | None, str, int]
-
-
-def compose(left: Map, right: Map) -> Map | None:
-    """The map of two neighbouring chunks, None if the right one was made for another state; associative."""
-    return (left[0], right[1], left[2] + right[2]) if right[0] in (None, left[1]) else None
-
-
 _loaded: dict[str, Transducer] = {}
 
 
@@ -315,27 +307,66 @@ def _slices(column: pa.Array, size: pa.Array) -> Iterator[list[str]]:
         at = to
 
 
-def _chunk_sums(cut: DataFrame, vocabulary: str | None) -> DataFrame:
-    """(_row, n_tokens) of texts given as chunks (_row, _chunk, part, look)."""
+def _scan(maps: DataFrame) -> DataFrame:
+    """The entries of maps (_row, _chunk, entered, left, tokens; entered '' fits any) that each row's text goes through, from its first chunk on.
+
+    A parallel prefix: entries point to the entry of the next chunk that their state enters, and pointers are doubled by
+    joins, so a text of n chunks takes log2(n) steps. The scan of a row ends where the next chunk has no entry.
+    """
+    steps = maps.select("_row", (F.col("_chunk") - 1).alias("_chunk"), F.col("entered").alias("_to"))
+    fits = maps.select("_row", "_chunk", "entered", "left").join(steps, ["_row", "_chunk"]).where("_to IN ('', left)")
+    jump = written(fits.select("_row", F.struct("_chunk", "entered").alias("_at"), F.struct((F.col("_chunk") + 1).alias("_chunk"), F.col("_to").alias("entered")).alias("_next")), "token-jumps")
+    reached = written(maps.where("_chunk = 0").select("_row", F.struct("_chunk", "entered").alias("_at")), "token-reached")
+    while not jump.isEmpty():
+        more = reached.join(jump, ["_row", "_at"]).select("_row", F.col("_next").alias("_at"))
+        far = jump.select("_row", F.col("_at").alias("_next"), F.col("_next").alias("_far"))
+        before, old = reached, jump
+        reached = written(reached.unionByName(more), "token-reached")
+        jump = written(jump.join(far, ["_row", "_next"]).select("_row", "_at", F.col("_far").alias("_next")), "token-jumps")
+        discard(before, old)
+    discard(jump)
+    return maps.join(reached.select("_row", "_at._chunk", "_at.entered"), ["_row", "_chunk", "entered"])
+
+
+def _chunk_sums(cut: DataFrame, vocabulary: str | None, rounds: list[int] | None = None) -> DataFrame:
+    """(_row, n_tokens) of texts given as chunks (_row, _chunk, part, look). rounds gets a number for each round of maps.
+
+    Each chunk is mapped for the state that look leads to. Where that is the state that the chunk before is left in, all
+    through a text, its tokens are summed. Other texts are scanned; where a scan ends, the chunk is mapped for the state it
+    is entered in, and so are the text's later chunks of the same characters, as a text that repeats will ask for it again.
+    """
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = transducer(vocabulary)
         for batch in batches:
             made = [machine.chunk_map(*row) for row in zip(*(batch.column(c).to_pylist() for c in (2, 3, 4)), strict=True)]
-            columns = [pa.array([m[k] for m in made], t) for k, t in enumerate((pa.string(), pa.string(), pa.int64()))]
+            columns = [pa.array([m[0] or "" for m in made]), pa.array([m[1] for m in made]), pa.array([m[2] for m in made], pa.int64())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["_row", "_chunk", "entered", "left", "tokens"])
 
-    schema = "_row long, _chunk long, entered string, left string, tokens long"
-    maps = written(cut.withColumn("given", F.lit(None).cast("string")).mapInArrow(words.trimmed(mapped), schema), "token-maps")
+    def maps_of(chunks: DataFrame) -> DataFrame:
+        if rounds is not None:
+            rounds.append(len(rounds) + 1)
+        found = chunks.select("_row", "_chunk", "part", "look", "given").mapInArrow(words.trimmed(mapped), "_row long, _chunk long, entered string, left string, tokens long")
+        return written(found, "token-maps")
+
+    maps = maps_of(cut.withColumn("given", F.lit(None).cast("string")))
     before = F.lag("left").over(Window.partitionBy("_row").orderBy("_chunk"))
+    unsure = written(maps.withColumn("_before", before).where("entered NOT IN ('', _before)").select("_row").distinct(), "token-unsure")
+    total = F.sum("tokens").alias("n_tokens")
+    sure = maps.join(unsure, "_row", "left_anti").groupBy("_row").agg(total)
+    if unsure.isEmpty():
+        return sure
+    own = written(cut.join(unsure, "_row").withColumn("_same", F.xxhash64("part", "look")), "token-chunks")
+    maps = maps.join(unsure, "_row")
     while True:
-        scanned = maps.withColumn("given", before)
-        wrong = written(scanned.where("entered <> given").select("_row", "_chunk", "given"), "token-maps-wrong")
-        if wrong.isEmpty():
-            break
-        again = cut.join(wrong, ["_row", "_chunk"]).select("_row", "_chunk", "part", "look", "given").mapInArrow(words.trimmed(mapped), schema)
-        maps = written(maps.join(wrong, ["_row", "_chunk"], "left_anti").unionByName(again), "token-maps")
-    return maps.groupBy("_row").agg(F.sum("tokens").alias("n_tokens"))
+        scanned = written(_scan(maps), "token-scanned")
+        ends = scanned.groupBy("_row").agg((F.max("_chunk") + 1).alias("_chunk"), F.max_by("left", "_chunk").alias("given"))
+        asked = written(own.join(ends, ["_row", "_chunk"]).select("_row", F.col("_chunk").alias("_from"), "_same", "given"), "token-asked")
+        if asked.isEmpty():
+            return sure.unionByName(scanned.groupBy("_row").agg(total))
+        again = own.join(asked, ["_row", "_same"]).where("_chunk >= _from")
+        more = maps_of(again).join(maps.select("_row", "_chunk", "entered"), ["_row", "_chunk", "entered"], "left_anti")
+        maps = written(maps.unionByName(more), "token-maps")
 
 
 def count(docs: DataFrame, vocabulary: str | None = None, limit: int = LIMIT) -> DataFrame:
