@@ -243,3 +243,28 @@ def adapt_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def trace_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the traces' outcome says, where true means that the attack was resisted; those without one are refused."""
     return traces.labels(message_traces(spark, sf_dir), harm_when=False)
+
+
+#: For each rest of k by 16: a part of a record that is as it should be or not, and the defects that this makes.
+_PARTS = (
+    ('"event_id": "e1", "host": "h"', ""), ('"event_id": 7', "INVALID_EVENT_ID_TYPE"), ('"host": ["h"], "user": 3', "INVALID_IDENTITY_FIELD_TYPE"), ('"framework": "' + "f" * 257 + '"', "INVALID_IDENTITY_FIELD_TYPE"),
+    ('"data": "text"', "INVALID_DATA_BAG_TYPE"), ('"data": {"response_text": 5}', "INVALID_RESPONSE_TEXT_TYPE"), ('"data": {"response_text": "' + "r" * 60 + '"}', "RESPONSE_TEXT_TRUNCATED"), ('"data": {"reversible": "true"}', "INVALID_REVERSIBLE_TYPE"),
+    ('"data": {"has_injection_patterns": "false"}', "INVALID_SCANNER_CLAIM"), ('"data": {"injection_patterns": "A,B"}', "INVALID_INJECTION_MARKERS"), ('"data": {"injection_patterns": ["A", " "]}', "INVALID_INJECTION_MARKERS"), ('"data": {"injection_patterns": ["A", {}]}', "INVALID_INJECTION_MARKERS"),
+    ('"data": {"injection_patterns": ["A", "B"], "has_injection_patterns": false, "reversible": true}', ""), ('"data": {"injection_patterns": []}', ""), ('"session_id": "' + "s" * 300 + '", "timestamp": "nan"', "INVALID_SESSION_KEY_TYPE,INVALID_TIMESTAMP"), ('"agent_name": "", "data": null, "timestamp": "12.5"', ""),
+)
+
+
+def _given(rest: int, value: str) -> str:
+    return f"CASE WHEN k % 16 = {rest} THEN {value} END"
+
+
+@query(
+    VIEW + "SELECT arrival, list_extract([" + ", ".join(f"'{d}'" for _, d in _PARTS) + "], k % 16 + 1) AS defects, "
+    + f"{_given(0, chr(39) + 'e1' + chr(39))} AS event_id, {_given(0, chr(39) + 'h' + chr(39))} AS host, {_given(6, 'repeat(' + chr(39) + 'r' + chr(39) + ', 50)')} AS response_text, {_given(12, 'TRUE')} AS reversible, {_given(12, 'FALSE')} AS has_injection_patterns, CASE k % 16 WHEN 12 THEN 'A,B' WHEN 13 THEN '' END AS markers, {_given(15, '12.5::DOUBLE')} AS ts FROM tele"
+)
+def record_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All fields of a record and its data bag, of sound and unsound records in turn; responses are cut at 50 characters here."""
+    parts = F.array(*(F.lit("{" + part + "}") for part, _ in _PARTS))
+    lines = telemetry(spark, sf_dir).select("arrival", F.element_at(parts, (F.col("k") % 16 + 1).cast("int")).alias("line"))
+    found = jsonl.record_view(lines, 50)
+    return found.select("arrival", F.array_join("defects", ",").alias("defects"), "event_id", "host", "response_text", "reversible", "has_injection_patterns", F.array_join("injection_patterns", ",").alias("markers"), "ts")

@@ -153,29 +153,48 @@ def gate(counts: DataFrame, most: int | None = None, ratio: float | None = None)
     return counts
 
 
-def record_view(lines: DataFrame) -> DataFrame:
-    """Accepted lines as checked fields; a wrong type becomes null and a defect code, and never fails the record."""
-    raw = lambda key: F.get_json_object("line", f"$.{key}")
-    kind = lambda key: F.coalesce(F.schema_of_variant(F.try_variant_get(F.try_parse_json("line"), f"$.{key}", "variant")), F.lit("VOID"))
+def record_view(lines: DataFrame, most_response: int = MAX_RESPONSE) -> DataFrame:
+    """Accepted lines as checked fields; a wrong type becomes null and a defect code, and never fails the record.
+
+    Identities of over MAX_IDENTITY characters are absent, never cut, as two would become one; a response is cut at
+    most_response, with a defect, as it is read for its meaning. A list of markers is read whole or not at all. A flag is
+    true, false, or no answer; text that looks like one is none. defects are distinct, in the order of the fields.
+    """
+    raw = lambda path: F.get_json_object("line", f"$.{path}")
+    kind = lambda path: F.coalesce(F.schema_of_variant(F.try_variant_get(F.try_parse_json("line"), f"$.{path}", "variant")), F.lit("VOID"))
     defects: list[Column] = []
 
     def text(key: str, code: str, longest: str | None = None) -> Column:
         is_text = kind(key) == "STRING"
         defects.append(F.when(~kind(key).isin("STRING", "VOID"), code))
-        if longest:
-            defects.append(F.when(is_text & (F.length(raw(key)) > MAX_IDENTITY), longest))
+        defects.append(F.when(is_text & (F.length(raw(key)) > MAX_IDENTITY), longest or code))
         return F.when(is_text & (F.length(raw(key)) > 0) & (F.length(raw(key)) <= MAX_IDENTITY), raw(key))
 
-    number = raw("timestamp").try_cast("double")
-    good = (kind("timestamp") != "BOOLEAN") & (number > 0) & (number < float("inf"))
-    defects.append(F.when(raw("timestamp").isNotNull() & ~F.coalesce(good, F.lit(False)), "INVALID_TIMESTAMP"))
-    flag = F.when(kind("reversible") == "BOOLEAN", raw("reversible") == "true")
-    defects.append(F.when(~kind("reversible").isin("BOOLEAN", "VOID"), "INVALID_REVERSIBLE_TYPE"))
+    def flag(path: str, code: str) -> Column:
+        defects.append(F.when(~kind(path).isin("BOOLEAN", "VOID"), code))
+        return F.when(kind(path) == "BOOLEAN", raw(path) == "true")
+
     fields = {
         "event_type": text("event_type", "INVALID_EVENT_TYPE"), "session_id": text("session_id", "INVALID_SESSION_KEY_TYPE"), "trace_id": text("trace_id", "INVALID_SESSION_KEY_TYPE"),
         "span_id": text("span_id", "INVALID_SPAN_TYPE", "SPAN_EXCEEDS_MAX_CHARS"), "tool_name": text("tool_name", "INVALID_TOOL_NAME_TYPE", "TOOL_NAME_EXCEEDS_MAX_CHARS"),
-        "ts": F.when(good, number), "reversible": flag,
+        "event_id": text("event_id", "INVALID_EVENT_ID_TYPE"), **{key: text(key, "INVALID_IDENTITY_FIELD_TYPE") for key in ("host", "user", "agent_name", "framework")},
     }
+    number = raw("timestamp").try_cast("double")
+    good = (kind("timestamp") != "BOOLEAN") & (number > 0) & (number < float("inf"))
+    defects.append(F.when(raw("timestamp").isNotNull() & ~F.coalesce(good, F.lit(False)), "INVALID_TIMESTAMP"))
+    fields |= {"ts": F.when(good, number), "reversible": flag("reversible", "INVALID_REVERSIBLE_TYPE")}
+    defects.append(F.when(~(kind("data").startswith("OBJECT") | (kind("data") == "VOID")), "INVALID_DATA_BAG_TYPE"))
+    response = raw("data.response_text")
+    spoken = kind("data.response_text") == "STRING"
+    defects.append(F.when(~kind("data.response_text").isin("STRING", "VOID"), "INVALID_RESPONSE_TEXT_TYPE"))
+    defects.append(F.when(spoken & (F.length(response) > most_response), "RESPONSE_TEXT_TRUNCATED"))
+    fields["response_text"] = F.when(spoken & (F.length(response) > 0), F.substring(response, 1, most_response))
+    fields["reversible"] = F.coalesce(flag("data.reversible", "INVALID_REVERSIBLE_TYPE"), fields["reversible"])
+    fields["has_injection_patterns"] = flag("data.has_injection_patterns", "INVALID_SCANNER_CLAIM")
+    listed = F.from_json(raw("data.injection_patterns"), "array<string>")
+    whole = kind("data.injection_patterns").isin("ARRAY<STRING>", "ARRAY<VOID>") & F.forall(listed, lambda x: F.trim(x) != "")
+    defects.append(F.when((kind("data.injection_patterns") != "VOID") & ~F.coalesce(whole, F.lit(False)), "INVALID_INJECTION_MARKERS"))
+    fields["injection_patterns"] = F.when(whole, listed)
     return lines.withColumns(fields | {"defects": F.array_distinct(F.array_compact(F.array(*defects)))})
 
 
