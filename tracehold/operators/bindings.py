@@ -164,31 +164,55 @@ def arg_identity(declared: Column, recomputed: Column) -> Column:
     )
 
 
-# Where a provider's response holds its identifier, in order of preference: operation, path, kind, assurance.
+# Where a provider's response holds its identifier, in order of preference: operation, authority, path, kind, assurance.
+# A last part with a dash is a header, whose name is matched in either case.
 RECEIPT_PATHS = (
-    ("aws.s3.put_object", "$.VersionId", "object_version", "operation"),
-    ("gcp.storage.upload", "$.generation", "object_generation", "operation"),
-    ("azure.blob.upload", "$.version_id", "blob_version", "operation"),
-    ("smtp.send", "$.server_message_id", "message_id", "operation"),
-    ("smtp.send", "$.message_id", "client_message_id", "client"),
-    ("stripe.charge", "$.id", "charge_id", "operation"),
-    ("jira.create_issue", "$.key", "issue_key", "operation"),
-    ("jira.create_issue", "$.id", "issue_id", "object"),
-    ("servicenow.create_record", "$.result.sys_id", "sys_id", "operation"),
-    ("kubernetes.apply", "$.metadata.resourceVersion", "resource_version", "operation"),
-    ("kubernetes.apply", "$.metadata.uid", "resource_uid", "object"),
-    ("github.create_pull_request", "$.node_id", "node_id", "operation"),
-    ("github.create_pull_request", "$.number", "pull_request_number", "object"),
-    ("postgres.commit", "$.commit_lsn", "commit_lsn", "operation"),
+    ("aws.s3.put_object", "aws:s3", "VersionId", "object_version", "operation"),
+    ("aws.s3.put_object", "aws:s3", "ResponseMetadata.HTTPHeaders.x-amz-version-id", "object_version", "operation"),
+    ("aws.s3.delete_object", "aws:s3", "VersionId", "delete_marker_version", "operation"),
+    ("aws.s3.delete_object", "aws:s3", "ResponseMetadata.HTTPHeaders.x-amz-version-id", "delete_marker_version", "operation"),
+    ("gcp.storage.upload", "gcp:storage", "generation", "object_generation", "operation"),
+    ("azure.blob.upload", "azure:blob", "version_id", "blob_version", "operation"),
+    ("azure.blob.upload", "azure:blob", "x-ms-version-id", "blob_version", "operation"),
+    ("smtp.send", "smtp", "server_message_id", "message_id", "operation"),
+    ("smtp.send", "smtp", "message-id", "client_message_id", "client"),
+    ("smtp.send", "smtp", "message_id", "client_message_id", "client"),
+    ("aws.ses.send_email", "aws:ses", "MessageId", "message_id", "operation"),
+    ("sendgrid.send", "sendgrid", "headers.x-message-id", "message_id", "operation"),
+    ("sendgrid.send", "sendgrid", "x-message-id", "message_id", "operation"),
+    ("stripe.charge", "stripe", "id", "charge_id", "operation"),
+    ("stripe.refund", "stripe", "id", "refund_id", "operation"),
+    ("jira.create_issue", "jira", "key", "issue_key", "operation"),
+    ("jira.create_issue", "jira", "id", "issue_id", "object"),
+    ("servicenow.create_record", "servicenow", "result.sys_id", "sys_id", "operation"),
+    ("servicenow.create_record", "servicenow", "sys_id", "sys_id", "operation"),
+    ("kubernetes.apply", "kubernetes", "metadata.resourceVersion", "resource_version", "operation"),
+    ("kubernetes.apply", "kubernetes", "metadata.uid", "resource_uid", "object"),
+    ("aws.cloudtrail.event", "aws:cloudtrail", "eventID", "event_id", "operation"),
+    ("github.create_pull_request", "github", "node_id", "node_id", "operation"),
+    ("github.create_pull_request", "github", "number", "pull_request_number", "object"),
+    ("postgres.commit", "postgresql", "commit_lsn", "commit_lsn", "operation"),
+    ("postgres.commit", "postgresql", "pg_current_wal_lsn", "cluster_wal_position", "object"),
 )
 
 
+def _at_path(path: str) -> Column:
+    """The text of a response at a path, null where there is none or only white space."""
+    *parents, name = path.split(".")
+    if "-" in name:
+        headers = F.map_entries(F.from_json(F.get_json_object("response", ".".join(["$", *parents])), "map<string,string>"))
+        value = F.get(F.filter(headers, lambda h: F.lower(h["key"]) == name), 0)["value"]
+    else:
+        value = F.get_json_object("response", f"$.{path}")
+    return F.nullif(F.trim(value), F.lit(""))
+
+
 def receipts(responses: DataFrame) -> DataFrame:
-    """responses (operation, response JSON) with receipt (kind, identifier, assurance): the first path that holds a value."""
+    """responses (operation, response JSON) with receipt (authority, kind, identifier, assurance): the first path that holds a value."""
     options = []
-    for operation, path, kind, assurance in RECEIPT_PATHS:
-        value = F.trim(F.get_json_object("response", path))
-        options.append(F.when((F.col("operation") == operation) & (value != ""), F.struct(F.lit(kind).alias("kind"), value.alias("identifier"), F.lit(assurance).alias("assurance"))))
+    for operation, authority, path, kind, assurance in RECEIPT_PATHS:
+        value = _at_path(path)
+        options.append(F.when((F.col("operation") == operation) & value.isNotNull(), F.struct(F.lit(authority).alias("authority"), F.lit(kind).alias("kind"), value.alias("identifier"), F.lit(assurance).alias("assurance"))))
     return responses.withColumn("receipt", F.coalesce(*options))
 
 

@@ -107,6 +107,28 @@ def receipts_from_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("o_orderkey", "receipt.kind", "receipt.identifier", "receipt.assurance")
 
 
+_PATHS = bindings.RECEIPT_PATHS
+_EXPECTED = ", ".join(f"({i}, '{op}', '{authority}', '{kind}', '{assurance}')" for i, (op, authority, _, kind, assurance) in enumerate(_PATHS))
+
+
+def _nested(path: str) -> str:
+    """A response that holds its value (%s) at this path alone, headers with capital letters."""
+    *parents, name = path.split(".")
+    text = '{"' + (name.title() if "-" in name else name) + '": "%s"}'
+    for parent in reversed(parents):
+        text = '{"' + parent + '": ' + text + "}"
+    return text
+
+
+@query(f"SELECT o_orderkey, op AS operation, authority, kind, CAST(o_custkey AS VARCHAR) AS identifier, assurance FROM orders JOIN (VALUES {_EXPECTED}) AS p(i, op, authority, kind, assurance) ON o_orderkey % {len(_PATHS)} = i")
+def receipt_authorities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every authority's response by every path that its identifier may be found at."""
+    at = (F.col("o_orderkey") % len(_PATHS) + 1).cast("int")
+    shapes, operations = F.array(*(F.lit(_nested(path)) for _, _, path, _, _ in _PATHS)), F.array(*(F.lit(op) for op, *_ in _PATHS))
+    made = table(spark, sf_dir, "orders").select("o_orderkey", F.element_at(operations, at).alias("operation"), F.replace(F.element_at(shapes, at), F.lit("%s"), F.col("o_custkey").cast("string")).alias("response"))
+    return bindings.receipts(made).select("o_orderkey", "operation", "receipt.authority", "receipt.kind", "receipt.identifier", "receipt.assurance")
+
+
 @query("SELECT conv_id AS session_id, role AS tool_name, event_type, count(*) AS n FROM conversations, (VALUES ('tool_start'), ('tool_end')) AS e(event_type) WHERE conv_id % 6 <> 0 GROUP BY ALL")
 def adapt_trajectories(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations as foreign trajectories; those that ended with an error are left out."""
