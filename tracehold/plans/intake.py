@@ -11,7 +11,7 @@ from tracehold.operators.pairing import clock
 from tracehold.plans.detections import calls_of
 from tracehold.plans.registry import query
 from tracehold.plans.view import CALLS, VIEW, table, telemetry
-from tracehold.sources import jsonl
+from tracehold.sources import jsonl, manifest
 
 _BAD = "CASE WHEN arrival % 50 = 1 THEN 'MALFORMED_JSON' WHEN arrival % 50 = 2 THEN 'NOT_A_JSON_OBJECT' WHEN arrival % 50 = 3 THEN 'MALFORMED_JSON' WHEN arrival % 50 = 4 THEN 'MALFORMED_JSON' WHEN arrival % 50 = 5 THEN 'NESTING_EXCEEDS_MAX_DEPTH' END"
 
@@ -268,3 +268,29 @@ def record_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = telemetry(spark, sf_dir).select("arrival", F.element_at(parts, (F.col("k") % 16 + 1).cast("int")).alias("line"))
     found = jsonl.record_view(lines, 50)
     return found.select("arrival", F.array_join("defects", ",").alias("defects"), "event_id", "host", "response_text", "reversible", "has_injection_patterns", F.array_join("injection_patterns", ",").alias("markers"), "ts")
+
+
+def manifest_of(spark: SparkSession, sf_dir: str) -> manifest.Manifest:
+    """Suppliers as the tools and nations as the policies of one manifest document."""
+    n, effects = F.col("s_suppkey"), F.array(*map(F.lit, manifest.EFFECTS))
+    spec = F.struct(
+        F.slice(effects, (n % 5 + 1).cast("int"), (n % 2 + 1).cast("int")).alias("effects"), F.when(n % 3 > 0, n % 3 == 1).alias("reversible"), F.when(n % 4 == 0, F.concat(F.lit("host-"), n)).alias("destination"),
+        F.when(n % 7 < 2, n % 7 == 0).alias("requires_approval"), F.when(n % 2 == 0, F.array(F.lit("body"), F.lit("to"))).alias("sensitive_args"),
+    )
+    whole = lambda df, name, spec: df.agg(F.map_from_entries(F.collect_list(F.struct(F.col(name), spec))))
+    tools = whole(table(spark, sf_dir, "supplier"), "s_name", spec).toDF("tools")
+    policies = whole(table(spark, sf_dir, "nation"), "n_name", F.struct(F.when(F.col("n_nationkey") % 2 == 0, "blocking").otherwise("advisory").alias("enforcement"))).toDF("policies")
+    return manifest.load(tools.crossJoin(policies).select(F.to_json(F.struct("tools", "policies")).alias("value")))  # one row each
+
+
+@query("""SELECT tool_id, CASE WHEN list_contains(e, 'egress') THEN 'egress' WHEN list_has_any(e, ['write', 'delete', 'execute']) THEN 'state_change' ELSE 'read_only' END AS effect, array_to_string(list_sort(e), ',') AS effects, reversible, destination, requires_approval, sensitive_args
+FROM (SELECT s_name AS tool_id, ['read', 'write', 'delete', 'execute', 'egress'][s_suppkey % 5 + 1:s_suppkey % 5 + 1 + s_suppkey % 2] AS e, CASE WHEN s_suppkey % 3 > 0 THEN s_suppkey % 3 = 1 END AS reversible, CASE WHEN s_suppkey % 4 = 0 THEN 'host-' || s_suppkey END AS destination, s_suppkey % 7 = 0 AS requires_approval, CASE WHEN s_suppkey % 2 = 0 THEN 'body,to' ELSE '' END AS sensitive_args FROM supplier)""")
+def manifest_file_tools(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tools of a manifest document, with the class of their gravest effect."""
+    return manifest_of(spark, sf_dir).tools.withColumns({"effects": F.array_join("effects", ","), "sensitive_args": F.array_join("sensitive_args", ",")})
+
+
+@query("SELECT n_name AS policy_id, CASE WHEN n_nationkey % 2 = 0 THEN 'blocking' ELSE 'advisory' END AS enforcement FROM nation")
+def manifest_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The policies of a manifest document."""
+    return manifest_of(spark, sf_dir).policies.select("policy_id", "enforcement")
