@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracehold.operators.detect import small
+from tracehold.sources.shared import kept
 
 SCHEME = "stream/1"
 SEPARATOR = "\x1f"
@@ -30,11 +31,18 @@ def step(head: Column, body: Column) -> Column:
     return F.sha2(F.concat(head, F.lit(SEPARATOR), body), 256)
 
 
-def with_replays(records: DataFrame) -> DataFrame:
+def _blocked(records: DataFrame, block: int) -> DataFrame:
+    """records with _block, by which one shuffle serves all that follows, and is_replay. What holds for a whole stream goes through a row per block."""
+    rows = records.withColumn("_block", F.floor(F.col("seq") / block))
+    first = F.min("_first").over(Window.partitionBy("stream_id"))
+    firsts = rows.groupBy("stream_id", "_block").agg(F.min(F.struct("arrival", "seq")).alias("_first")).select("stream_id", "_block", first["seq"].alias("_first_seq"))
+    again = F.row_number().over(Window.partitionBy("stream_id", "_block", "seq").orderBy("arrival"))
+    return rows.join(firsts, ["stream_id", "_block"]).withColumn("is_replay", (again > 1) | (F.col("seq") < F.col("_first_seq"))).drop("_first_seq")
+
+
+def with_replays(records: DataFrame, block: int = BLOCK) -> DataFrame:
     """records with is_replay: a filled position again, or one before the first-arrived position of its stream."""
-    again = Window.partitionBy("stream_id", "seq").orderBy("arrival")
-    first = records.groupBy("stream_id").agg(F.min_by("seq", "arrival").alias("first_seq"))
-    return records.join(first, "stream_id").withColumn("is_replay", (F.row_number().over(again) > 1) | (F.col("seq") < F.col("first_seq"))).drop("first_seq")
+    return _blocked(records, block).drop("_block")
 
 
 def with_previous(rows: DataFrame, columns: list[str], block: int = BLOCK) -> DataFrame:
@@ -45,7 +53,7 @@ def with_previous(rows: DataFrame, columns: list[str], block: int = BLOCK) -> Da
     """
     within = Window.partitionBy("stream_id", "_block").orderBy("seq")
     last = F.struct("seq", *(c for c in columns if c != "seq"))
-    blocks = rows.withColumn("_block", F.floor(F.col("seq") / block))
+    blocks = rows if "_block" in rows.columns else rows.withColumn("_block", F.floor(F.col("seq") / block))
     edges = blocks.groupBy("stream_id", "_block").agg(F.max_by(last, "seq").alias("_last"))
     edges = edges.select("stream_id", "_block", F.lag("_last").over(Window.partitionBy("stream_id").orderBy("_block")).alias("_edge")).where("_edge IS NOT NULL")
     near = blocks.withColumns({"_near": F.lag(last).over(within), "_first": F.row_number().over(within) == 1}).join(edges, ["stream_id", "_block"], "left")
@@ -79,12 +87,13 @@ def verified(records: DataFrame, block: int = BLOCK) -> DataFrame:
     declares none, its computed step is the next head: such runs alone are walked one by one. A record after a gap, or
     the first of a stream past position 0, is held against its own prev.
     """
-    rows = with_previous(with_replays(records).where("NOT is_replay"), ["seq", "chain", "session_id"], block)
+    rows = with_previous(_blocked(records, block).where("NOT is_replay"), ["seq", "chain", "session_id"], block)
     follows = F.coalesce(F.col("seq") == F.col("prev_seq") + 1, F.lit(False)) & (F.col("seq") > 0)
     head = F.when(F.col("seq") == 0, seed(F.col("stream_id"), F.coalesce("key_id", F.lit("")))).when(follows, F.col("prev_chain")).otherwise(F.col("prev"))
     rows = rows.withColumns({"head": head, "opens": ~follows | F.col("prev_chain").isNotNull(), "midstream": F.col("prev_seq").isNull() & (F.col("seq") > 0)})
-    walked = ~F.col("opens") | F.col("chain").isNull()
-    rows = rows.where(~walked).unionByName(_folded(rows.where(walked)))
+    if not records.where("chain IS NULL").isEmpty():
+        walked, rows = ~F.col("opens") | F.col("chain").isNull(), kept(rows, "linked")
+        rows = rows.where(~walked).unionByName(_folded(rows.where(walked)))
     mismatch = F.coalesce(F.col("chain") != step(F.col("head"), F.col("body")), F.lit(False)) | F.coalesce(F.col("prev") != F.col("head"), F.lit(False))
     gap = F.coalesce(F.greatest(F.col("seq") - F.col("prev_seq") - 1, F.lit(0)), F.lit(0))
     rows = rows.withColumn("after", F.coalesce("chain", step(F.col("head"), F.col("body")), "head"))
