@@ -23,6 +23,9 @@ states AS (SELECT s.session_id, s.start_arrival, list_extract(['denied', 'covere
 stated AS (SELECT *, CASE WHEN start_arrival % 8 NOT IN (4, 5, 6) THEN CASE WHEN start_arrival % 8 = 3 THEN 'elsewhere' ELSE span_id END END AS b_span, CASE WHEN start_arrival % 8 NOT IN (4, 5, 6) THEN name END AS b_tool, CASE WHEN start_arrival % 8 IN (0, 3, 7) THEN arg_digest WHEN start_arrival % 8 = 2 THEN 'sha256:' || sha256('y') END AS b_digest, CASE WHEN start_arrival % 8 = 7 THEN NULL ELSE list_extract(['operation', 'object', 'client'], start_arrival % 3 + 1) END AS assurance FROM spanned WHERE state = 'complete' AND class <> 'read_only'),
 receipted AS (SELECT *, CASE WHEN b_span IS NULL THEN NULL WHEN b_span <> span_id THEN 'unbound' WHEN b_digest <> arg_digest THEN 'arg_mismatch' WHEN b_digest IS NOT NULL THEN 'bound' ELSE 'bound_span_only' END AS receipt_binding FROM stated)"""
 
+#: CLAIMS with the receipts of all complete calls, read-only ones too.
+ALL_RECEIPTS = CLAIMS.replace(" AND class <> 'read_only'", "")
+
 
 def spanned(calls: DataFrame) -> DataFrame:
     """Started calls with a span and an argument digest of their own."""
@@ -92,8 +95,13 @@ def approval_states(calls: DataFrame) -> DataFrame:
 
 
 def with_receipts(calls: DataFrame) -> DataFrame:
-    """Complete calls that may have effects, with parsed receipts: sound ones, for other arguments or spans, without digest, of no scheme, naming nothing, or of odd assurance."""
-    rest, own = F.col("start_arrival") % 8, spanned(calls).where("state = 'complete' AND class <> 'read_only'")
+    """Complete calls that may have effects, with all_receipts() of them."""
+    return all_receipts(calls.where("class <> 'read_only'"))
+
+
+def all_receipts(calls: DataFrame) -> DataFrame:
+    """Complete calls with parsed receipts: sound ones, for other arguments or spans, without digest, of no scheme, naming nothing, or of odd assurance."""
+    rest, own = F.col("start_arrival") % 8, spanned(calls).where("state = 'complete'")
     named = F.struct(
         F.when(rest == 3, "elsewhere").when(rest != 6, F.col("span_id")).alias("span_id"), F.when(rest != 6, F.col("name")).alias("tool_id"),
         F.when(rest.isin(0, 3, 5, 7), F.col("arg_digest")).when(rest == 2, F.concat(F.lit("sha256:"), F.sha2(F.lit("y"), 256))).alias("arg_digest"),
