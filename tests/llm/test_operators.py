@@ -611,3 +611,32 @@ def test_empty_tables(spark):
     assert warc.read(warc.write(spark.createDataFrame([], "page_id long, url string, html string"))).count() == 0
     none = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert nearest.search(none, none).count() == 0
+
+
+def test_topk_search_in_a_shard(monkeypatch):
+    """WAND over all of a query's blocks at once gives what the sums of all documents give, and reads only stretches that can reach the k-th best score."""
+    rng = np.random.default_rng(6)
+    n, k, mean = 20_000, 10, 100.0
+    held = [np.flatnonzero(rng.random(n) < share) for share in (0.9, 0.5, 0.2, 0.05, 0.01, 0.0005)]
+    counts = [np.where(d // 500 == 17 + t % 2, 30, 1) + rng.integers(0, 2, len(d)) for t, d in enumerate(held)]
+    sizes, lengths = np.array([len(d) for d in held]), rng.integers(90, 110, n)
+    blocks = [(t, a) for t, d in enumerate(held) for a in range(0, len(d), topk_search.BLOCK)]
+    most = np.array([counts[t][a : a + topk_search.BLOCK].max() for t, a in blocks])
+    least = np.array([lengths[held[t][a : a + topk_search.BLOCK]].min() for t, a in blocks])
+    idf = np.log(1 + (n - sizes + 0.5) / (sizes + 0.5))
+    norm = 1.2 * (0.25 + 0.75 * lengths / mean)
+    shard = topk_search._Shard(np.concatenate(held), np.concatenate(counts), sizes, most, least, idf, norm, mean)
+    queries = [np.array(q) for q in ([0, 1, 2, 3, 4, 5], [0], [2, 3], [5], [1, 4])]
+    read, scored = [], shard._scored
+    monkeypatch.setattr(shard, "_scored", lambda b, e, live: read.append(np.diff(e)[live].sum()) or scored(b, e, live))
+    shard.wand(queries[1], k)
+    assert sum(read) < 0.05 * n
+    by_wand = [shard.wand(q, k) for q in queries]
+    by_sums = {q: (docs[some == q], scores[some == q]) for some, docs, scores in shard.best(queries, k) for q in np.unique(some)}
+    for q, terms in enumerate(queries):
+        total = np.zeros(n)
+        for t in terms:
+            total[held[t]] += idf[t] * counts[t] * 2.2 / (counts[t] + norm[held[t]])
+        want = sorted((-round(s, 6), d) for d, s in enumerate(total.tolist()) if s)[:k]
+        for docs, scores in (by_wand[q], by_sums[q]):
+            assert list(zip((-scores).tolist(), docs.tolist(), strict=True)) == want
