@@ -640,3 +640,57 @@ def test_topk_search_in_a_shard(monkeypatch):
         want = sorted((-round(s, 6), d) for d, s in enumerate(total.tolist()) if s)[:k]
         for docs, scores in (by_wand[q], by_sums[q]):
             assert list(zip((-scores).tolist(), docs.tolist(), strict=True)) == want
+
+
+def test_topk_search_makes_one_list_a_task(spark, monkeypatch):
+    """However many shards the index has, a query has at most k documents from each task, and the best of all are found."""
+    rng, k = random.Random(8), 3
+    rows = [(i, " ".join(f"w{int(rng.paretovariate(0.7)) % 400}" for _ in range(rng.choice([5, 30, 200])))) for i in range(800)]
+    rows += [(800 + i, rows[i][1]) for i in range(0, 200, 20)]
+    index = written(topk_search.build(spark.createDataFrame(rows, DOCS).repartition(40)), "index", **topk_search.OPTIONS)
+    assert index.count() == 40
+    made, kept = {}, topk_search.written
+    monkeypatch.setattr(topk_search, "written", lambda df, name, **options: made.setdefault(name, kept(df, name, **options)))
+    batch = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    asked = spark.createDataFrame(rows[::20], DOCS).withColumnRenamed("doc_id", "query_id")
+    got = defaultdict(list)
+    for r in topk_search.search(index, asked, k).collect():
+        got[r.query_id].append((r.rank, r.doc_id, r.score))
+    assert made["search-found"].count() <= len(rows[::20]) * k * spark.sparkContext.defaultParallelism
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == batch
+    bags = {i: Counter(words(t)) for i, t in rows}
+    n, mean = len(bags), sum(sum(c.values()) for c in bags.values()) / len(bags)
+    df = Counter(w for c in bags.values() for w in c)
+    for q, _ in rows[::20]:
+        scores = [(-round(sum(math.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * c[w] * 2.2 / (c[w] + 1.2 * (0.25 + 0.75 * sum(c.values()) / mean)) for w in bags[q] if w in c), 6), i) for i, c in bags.items()]
+        assert sorted(got[q]) == [(r + 1, i, pytest.approx(-s, abs=2e-6)) for r, (s, i) in enumerate(sorted(scores)[:k])]
+
+
+def test_topk_search_of_long_queries_with_a_score_to_be_reached():
+    """Rough 32-bit sums leave out no document that reaches the score, and equal scores go to the smaller place."""
+    rng = np.random.default_rng(9)
+    n, k, m = 3000, 20, 200
+    held = [np.flatnonzero(rng.random(n) < share) for share in rng.choice([0.4, 0.1, 0.01, 0.002], m)]
+    held = [np.unique(np.append(d, [7, 1907, 2907])) for d in held]
+    sizes = np.array([len(d) for d in held])
+    counts, lengths = np.ones(sizes.sum(), np.int32), np.full(n, 100)
+    blocks = -(-sizes // topk_search.BLOCK)
+    idf = np.log(1 + (n - sizes + 0.5) / (sizes + 0.5))
+    shard = topk_search._Shard(np.concatenate(held).astype(np.int32), counts, sizes, np.ones(blocks.sum(), np.int32), np.full(blocks.sum(), 100), idf, 1.2 * (0.25 + 0.75 * lengths / 100.0), 100.0)
+    queries = [np.sort(rng.choice(m, 80, replace=False)).astype(np.int32) for _ in range(30)]
+    want = {}
+    for q, terms in enumerate(queries):
+        total = np.zeros(n)
+        for t in terms:
+            total[held[t]] += idf[t] * 2.2 / (1 + 1.2)
+        want[q] = sorted((-round(s, 6), d) for d, s in enumerate(total.tolist()) if s)[:k]
+        assert {7, 1907, 2907} <= {d for _, d in want[q]}
+    for reach in (1, 5, k):
+        limits = np.array([-want[q][reach - 1][0] for q in range(len(queries))])
+        found = [(int(q), -s, int(d)) for some, docs, scores in shard.best(queries, k, limits) for q, d, s in zip(some, docs, scores, strict=True)]
+        for q in range(len(queries)):
+            must = [x for x in want[q] if -x[0] >= limits[q]]
+            mine = [(s, d) for p, s, d in found if p == q]
+            assert mine[: len(must)] == must
+            docs, scores = shard.wand(queries[q], k, limits[q])
+            assert list(zip((-scores).tolist(), docs.tolist(), strict=True))[: len(must)] == must
