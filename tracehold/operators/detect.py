@@ -62,8 +62,10 @@ def transitions(calls: DataFrame) -> DataFrame:
     before = lambda c: F.lag(c).over(order)
     again = (before("name") == F.col("name")) & ~before("executed") & (before("arg_digest") == F.col("arg_digest")) if "arg_digest" in calls.columns else F.lit(False)
     steps = calls.withColumns({"prev": F.coalesce(before("name"), F.lit(START)), "is_last": F.lead("name").over(order).isNull(), "is_retry": F.coalesce(again, F.lit(False))})
-    inner = steps.select("session_id", "prev", F.col("name").alias("next"), "consequential", "is_retry")
-    return inner.unionByName(steps.where("is_last").select("session_id", F.col("name").alias("prev"), F.lit(END).alias("next"), F.lit(False).alias("consequential"), F.lit(False).alias("is_retry")))
+    # one pass, not a union: Spark takes a union of two sides dealt alike for one that is dealt so itself, and a shuffled join over it then fails
+    own = F.struct("prev", F.col("name").alias("next"), "consequential", "is_retry")
+    end = F.struct(F.col("name").alias("prev"), F.lit(END).alias("next"), F.lit(False).alias("consequential"), F.lit(False).alias("is_retry"))
+    return steps.select("session_id", F.inline(F.array_compact(F.array(own, F.when(F.col("is_last"), end)))))
 
 
 def grammar(calls: DataFrame) -> DataFrame:
