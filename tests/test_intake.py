@@ -9,6 +9,7 @@ import json
 import pytest
 
 from tracehold.functions import canonical
+from tracehold.plans import intake
 from tracehold.sources import manifest
 
 TOOL = {"effects": ["read", "egress"], "reversible": False, "destination": "x", "requires_approval": True, "sensitive_args": ["to"]}
@@ -42,6 +43,24 @@ def test_a_manifest_with_any_unsound_part_is_refused(spark, document):
         _load(spark, document)
 
 
+def test_bounds_hold_per_document(spark):
+    """Tools beyond a document's bound, and names that come twice, are in further documents."""
+    document = lambda n, at=0: (json.dumps({"tools": {f"t{k + at}": {"effects": ["read"]} for k in range(n)}}),)
+    load = lambda *documents: manifest.load(spark.createDataFrame(documents, "value string")).tools.count()
+    assert load(document(manifest.MOST_ENTRIES), document(5, manifest.MOST_ENTRIES), document(1)) == manifest.MOST_ENTRIES + 6
+    with pytest.raises(manifest.ManifestError):
+        load(document(1), document(manifest.MOST_ENTRIES + 1))
+
+
+def test_all_suppliers_are_tools_of_a_manifest(spark, tmp_path):
+    """More suppliers than a document may have, each name twice."""
+    made = spark.range(0, 2 * manifest.MOST_ENTRIES + 3).selectExpr("id AS s_suppkey", "'S' || (id DIV 2) AS s_name")
+    made.write.parquet(str(tmp_path / "supplier.parquet"))
+    spark.createDataFrame([(0, "A"), (1, "B")], "n_nationkey int, n_name string").write.parquet(str(tmp_path / "nation.parquet"))
+    found = intake.manifest_file_tools(spark, str(tmp_path))
+    assert found.groupBy("tool_id").count().count() == manifest.MOST_ENTRIES + 2 and found.count() == 2 * manifest.MOST_ENTRIES + 3
+
+
 def test_scopes_are_keyed_by_a_secret(spark):
     rows = spark.createDataFrame([("h\x1fu",), (None,), ("",)], "scope string")
     got = [r[0] for r in rows.select(canonical.keyed_scope(b"secret")("scope")).collect()]

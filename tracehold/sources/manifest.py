@@ -1,4 +1,4 @@
-"""Capability manifests: tools and policies of one JSON document as dimensions, refused whole if any part is unsound."""
+"""Capability manifests: tools and policies of JSON documents as dimensions, refused whole if any part is unsound."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: The effects that a tool may have, what a control may do, and bounds on a manifest.
+#: The effects that a tool may have, what a control may do, and bounds on a document.
 EFFECTS, ENFORCEMENTS = ("read", "write", "delete", "execute", "egress"), ("blocking", "advisory")
 MOST_ENTRIES, MOST_CHARS, MOST_ARGS, MOST_EFFECTS = 10_000, 256, 64, 16
 
@@ -33,10 +33,10 @@ def _entries(text: DataFrame, key: str, name: str, required: bool) -> DataFrame:
         allowed = allowed | (_kind(f"$.{key}") == "VOID")
     if not whole.where(~(_kind("$").startswith("OBJECT") & allowed)).isEmpty():
         raise ManifestError(f"a manifest is an object, and so are its {key}")
-    rows = whole.select(F.explode(F.from_json(F.get_json_object("spec", f"$.{key}"), "map<string,string>")).alias(name, "spec"))
-    if rows.limit(MOST_ENTRIES + 1).count() > MOST_ENTRIES:
+    entries = F.from_json(F.get_json_object("spec", f"$.{key}"), "map<string,string>")
+    if not whole.where(F.size(entries) > MOST_ENTRIES).isEmpty():
         raise ManifestError(f"a manifest has at most {MOST_ENTRIES} {key}")
-    return rows
+    return whole.select(F.explode(entries).alias(name, "spec"))
 
 
 def _refuse(rows: DataFrame, sound: Column, name: str) -> None:
@@ -55,7 +55,7 @@ def _named(name: str) -> Column:
 
 def load(text: DataFrame) -> Manifest:
     """tools (tool_id, effect, effects, reversible, destination, requires_approval, sensitive_args) and policies (policy_id,
-    enforcement, description) of one JSON document (value).
+    enforcement, description) of JSON documents (value), which are bounded one by one and refused together.
 
     Types are taken as they are: the text "false" is no flag, and a list with one bad entry is no list. effect is the class
     of the gravest effect. What has no default, as a policy's enforcement, is not guessed. A document that is not JSON, or
