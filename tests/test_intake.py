@@ -61,6 +61,12 @@ def test_all_suppliers_are_tools_of_a_manifest(spark, tmp_path):
     assert found.groupBy("tool_id").count().count() == manifest.MOST_ENTRIES + 2 and found.count() == 2 * manifest.MOST_ENTRIES + 3
 
 
+def test_policies_do_not_depend_on_the_number_of_tools(spark, tmp_path):
+    spark.range(0, manifest.MOST_ENTRIES + 1).selectExpr("id AS s_suppkey", "'S' || id AS s_name").write.parquet(str(tmp_path / "supplier.parquet"))
+    spark.createDataFrame([(0, "A"), (1, "B"), (2, "B")], "n_nationkey int, n_name string").write.parquet(str(tmp_path / "nation.parquet"))
+    assert sorted(map(tuple, intake.manifest_policies(spark, str(tmp_path)).collect())) == [("A", "blocking"), ("B", "advisory"), ("B", "blocking")]
+
+
 def test_scopes_are_keyed_by_a_secret(spark):
     rows = spark.createDataFrame([("h\x1fu",), (None,), ("",)], "scope string")
     got = [r[0] for r in rows.select(canonical.keyed_scope(b"secret")("scope")).collect()]
