@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tracehold.functions import ed25519
 from tracehold.operators import approvals, attestation, chains, detect, signatures, traces
-from tracehold.plans import catalog
+from tracehold.plans import catalog, signing
 
 DATA = "/root/testdata/sf0.001"
 
@@ -153,6 +153,14 @@ def test_chains_of_orders_are_dealt_once_and_not_written(spark, name):
     assert len(dealt) <= (3 if "ledger" in name else 1), "what else reads the lines reuses that shuffle"
 
 
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
+def test_evidence_takes_the_streams_of_the_view_alone(spark):
+    """The records behind the code table are those of a sixteenth of the orders, from the first table written on."""
+    linked = signing.attested(spark, DATA)
+    assert linked.where("l_orderkey % 16 <> 0").isEmpty()
+    assert linked.count() == spark.read.parquet(f"{DATA}/lineitem.parquet").where("l_orderkey % 16 = 0 AND l_partkey % 89 <> 0").count() > 0
+
+
 def test_a_hot_stream_is_many_groups(spark):
     rows = spark.range(50_000).selectExpr("'s' AS session_id", "'one' AS stream_id", "'k' AS key_id", "id AS seq", "concat('p', id) AS prev", "concat('p', id + 1) AS chain", "'b' AS body", "id AS arrival")
     found = chains.with_previous(rows, ["seq", "chain"], block=2_000)

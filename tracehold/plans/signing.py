@@ -12,7 +12,7 @@ from pyspark.sql.types import BinaryType
 
 from tracehold.functions import ed25519
 from tracehold.operators import attestation, chains, signatures
-from tracehold.plans.evidence import _STREAMS, chained, streams_of
+from tracehold.plans.evidence import _STREAMS, linked_lines, streams_of
 from tracehold.plans.registry import query
 from tracehold.plans.view import table, telemetry
 from tracehold.sources.shared import kept
@@ -48,8 +48,13 @@ def _signature(key_id: pd.Series, text: pd.Series) -> pd.Series:
     return pd.Series([ed25519.sign(seed_of(k), m.encode()) for k, m in zip(key_id, text, strict=True)])
 
 
+def attested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chained records that carry the view's sessions, a sixteenth of the orders; written once."""
+    return kept(linked_lines(spark, sf_dir, "l_orderkey % 16 = 0"), "attested")
+
+
 def sent_of(spark: SparkSession, sf_dir: str, linked: DataFrame | None = None) -> DataFrame:
-    return (chained(spark, sf_dir) if linked is None else linked).where("l_orderkey % 16 = 0").withColumn("o", F.floor(F.col("l_orderkey") / 16))
+    return (attested(spark, sf_dir) if linked is None else linked).withColumn("o", F.floor(F.col("l_orderkey") / 16))
 
 
 def signed_of(spark: SparkSession, sf_dir: str, linked: DataFrame | None = None) -> DataFrame:
@@ -77,13 +82,13 @@ def signature_results(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_ROWS + "SELECT * FROM reach")
 def signature_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    linked = chained(spark, sf_dir)
+    linked = attested(spark, sf_dir)
     return signatures.ranges(sent_of(spark, sf_dir, linked), results_of(spark, sf_dir, linked))
 
 
 @query(_ROWS + "SELECT session_id, round(sum(CASE WHEN verified_to IS NULL THEN 0 ELSE greatest(least(verified_to, last_seq) - first_seq + 1, 0) END) / sum(last_seq - first_seq + 1), 6) AS coverage, bool_and(coalesce(verified_to >= last_seq, FALSE)) AS covers_final FROM (SELECT DISTINCT session_id, stream_id FROM sent) JOIN reach USING (stream_id) GROUP BY 1")
 def signature_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    linked = chained(spark, sf_dir)
+    linked = attested(spark, sf_dir)
     sent = sent_of(spark, sf_dir, linked)
     return signatures.session_reach(sent, signatures.ranges(sent, results_of(spark, sf_dir, linked)))
 
@@ -129,12 +134,13 @@ class Evidence(NamedTuple):
 
 def evidence_of(spark: SparkSession, sf_dir: str) -> Evidence:
     """The records of the streams that carry the view's sessions, their signatures, how far these reach, and all codes; written once."""
-    linked = chained(spark, sf_dir)
-    records = kept(streams_of(spark, sf_dir, linked).where(F.substring("stream_id", 2, 20).cast("long") % 16 == 0), "attested")
+    linked = attested(spark, sf_dir)
+    records = streams_of(spark, sf_dir, linked)
     found = kept(results_of(spark, sf_dir, linked), "signatures")
     old = linked.where("l_orderkey % 29 = 0 AND seq = 0").select("stream_id", F.lit(0).alias("first_seq"), F.col("seq").alias("last_seq"), F.when(F.col("l_orderkey") % 58 == 0, F.sha2("chain", 256)).otherwise(F.col("chain")).alias("head"), F.lit(False).alias("closed"))
     bare = telemetry(spark, sf_dir).where("user_id % 10 = 9").select("session_id")
-    codes = attestation.codes(records, found, trust_keys_of(spark), old, bare, _AS_OF, _MAX_AGE, walked=kept(chains.verified(records), "walked"))
+    walked = chains.verified(records, None).select("session_id", "prev_session_id", "stream_id", "seq", "prev", "after", "broken", "gap", "unanchored", "midstream")
+    codes = attestation.codes(records, found, trust_keys_of(spark), old, bare, _AS_OF, _MAX_AGE, walked=kept(walked, "walked"))
     return Evidence(records, found, signatures.ranges(records, found), kept(codes, "codes"))
 
 
@@ -170,7 +176,7 @@ def key_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_ROWS + """, ends AS (SELECT stream_id, min(seq) FILTER (held) AS closed_at, TRUE AS final_seen FROM judged2 WHERE final GROUP BY 1)
 SELECT stream_id, any_value(closed_at) AS closed_at, count_if(coalesce(seq > closed_at, FALSE)) AS n_after_close, concat_ws(',', CASE WHEN count_if(coalesce(seq > closed_at, FALSE)) > 0 THEN 'RECORDS_AFTER_CLOSE' END, CASE WHEN any_value(closed_at) IS NULL THEN 'STREAM_NOT_CLOSED' END, CASE WHEN any_value(closed_at) IS NULL AND any_value(final_seen) THEN 'CLOSE_UNVERIFIED' END, CASE WHEN any_value(closed_at) IS NULL THEN 'STREAM_END_MISSING' END) AS codes FROM sent LEFT JOIN ends USING (stream_id) GROUP BY 1""")
 def stream_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    linked = chained(spark, sf_dir)
+    linked = attested(spark, sf_dir)
     return signatures.closure(sent_of(spark, sf_dir, linked), results_of(spark, sf_dir, linked), required=True)
 
 
