@@ -10,7 +10,7 @@ import pytest
 
 from tracehold.functions import canonical
 from tracehold.plans import intake
-from tracehold.sources import manifest
+from tracehold.sources import jsonl, manifest
 
 TOOL = {"effects": ["read", "egress"], "reversible": False, "destination": "x", "requires_approval": True, "sensitive_args": ["to"]}
 
@@ -67,6 +67,13 @@ def test_policies_do_not_depend_on_the_number_of_tools(spark, tmp_path):
     assert sorted(map(tuple, intake.manifest_policies(spark, str(tmp_path)).collect())) == [("A", "blocking"), ("B", "advisory"), ("B", "blocking")]
 
 
+def test_a_line_is_parsed_once(spark):
+    lines = spark.createDataFrame([('{"session_id": "s", "timestamp": 5, "span_id": 1, "data": {"response_text": "r", "reversible": true}}',), ('{"host": "' + "h" * 300 + '", "reversible": "x"}',)], "line string")
+    found = jsonl.record_view(lines)
+    assert [tuple(r) for r in found.select("session_id", "ts", "response_text", "reversible", "defects").collect()] == [("s", 5.0, "r", True, ["INVALID_SPAN_TYPE"]), (None, None, None, None, ["INVALID_IDENTITY_FIELD_TYPE", "INVALID_REVERSIBLE_TYPE"])]
+    assert found.select("defects")._jdf.queryExecution().optimizedPlan().toString().lower().count("parse_json") <= 1 and "_parsed" not in found.columns
+
+
 def test_scopes_are_keyed_by_a_secret(spark):
     rows = spark.createDataFrame([("h\x1fu",), (None,), ("",)], "scope string")
     got = [r[0] for r in rows.select(canonical.keyed_scope(b"secret")("scope")).collect()]
